@@ -8,8 +8,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -52,20 +55,21 @@ def n_parts(total: int, each: int, least: int = 1) -> int:
 
 def map_rows(df: DataFrame, f: Callable[[list, list], dict], schema: str, slice_bytes: int = 8 << 20) -> DataFrame:
     """``f(doc_ids, bodies) -> columns`` over Arrow batches of (doc_id, body), in slices bounded in bytes."""
-    spark_schema = df.sparkSession.createDataFrame([], schema).schema
-    names = spark_schema.names
+    arrow = arrow_schema(schema)
+    names = arrow.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(spark_schema)
         for batch in batches:
             for lo, hi in slices(batch.column("body"), slice_bytes):
                 part = batch.slice(lo, hi - lo)
                 out = f(part.column("doc_id").to_pylist(), part.column("body").to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) for n in names], schema=arrow)
 
-    return df.mapInArrow(run, spark_schema)
+    return df.mapInArrow(run, schema)
+
+
+def arrow_schema(schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema))
 
 
 def slices(bodies: pa.Array, most: int) -> Iterator[tuple[int, int]]:
@@ -73,7 +77,7 @@ def slices(bodies: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     n = len(bodies)
     if not n:
         return
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(bodies), 0), dtype=np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(bodies), 0), dtype=np.int64)
     ends = np.cumsum(size)
     lo = 0
     while lo < n:
