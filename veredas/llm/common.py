@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -101,3 +101,22 @@ def mix64(h: np.ndarray) -> np.ndarray:
         h = h ^ (h >> np.uint64(33))
         h = h * np.uint64(0xC4CEB9FE1A85EC53)
         return h ^ (h >> np.uint64(33))
+
+
+#: Ids that one executor and the driver hold without strain (a long hash relation of some 5 MB).
+BROADCAST_IDS = 200_000
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in ``ids`` (one column of longs, written once here).
+
+    Up to BROADCAST_IDS ids are broadcast after counting them; more are anti-joined by a shuffle.
+    """
+    ids = materialize(ids.toDF("_gone").distinct(), "gone")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(side, docs[key].cast("long") == F.col("_gone"), "left_anti")
+
+
+def ascii_lower(text: Column) -> Column:
+    """A-Z lower-cased and nothing else."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

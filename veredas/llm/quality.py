@@ -13,6 +13,7 @@ ignored by :func:`ledger` and kept by :func:`apply_policy`.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -121,14 +122,27 @@ def judge(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def apply_policy(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The documents that a policy keeps, with all their columns.
+    """The documents that a policy keeps, with all their columns; judged beside the row, without a shuffle.
 
-    The verdict is computed beside the row and only its id travels; ids must be
-    unique, rows with a null id are judged too and kept by their text.
+    Columns of the input may have any names: the measurements travel in one struct that is dropped again.
     """
-    kept = judge(docs, policy).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    key = F.col("doc_id").cast("long")
-    return docs.join(kept.distinct(), key.eqNullSafe(F.col("_kept_id")), "left_semi")
+    import pandas as pd
+
+    @F.pandas_udf("struct<" + ", ".join(f"{k}: {v}" for k, v in MEASURES.items()) + ">")
+    def measured(bodies: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([measure(b) for b in bodies], columns=list(MEASURES))
+
+    held = "_measured"
+    while held in docs.columns:
+        held += "_"
+    wanted = mask(POLICIES[policy])
+    bits = " | ".join(f"CASE WHEN {_qualified(p, held)} THEN {1 << i} ELSE 0 END" for i, p in enumerate(RULES.values()))
+    with_struct = docs.withColumn(held, measured(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    return with_struct.where(F.expr(f"(({bits}) & {wanted}) = 0")).drop(held)
+
+
+def _qualified(predicate: str, held: str) -> str:
+    return re.sub(r"\b[a-z]\w*\b", lambda m: f"{held}.{m.group()}", predicate)
 
 
 def ablation(ledger_rows: DataFrame, policy: str = CURRENT) -> DataFrame:
