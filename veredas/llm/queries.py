@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, secrets, tokencount, urlrules
+from . import decontaminate, pieces, quality, secrets, tokencount, tokenfile, urlrules
 from .common import table
 
 
+def op2_piece_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.segment(table(spark, sf_dir, "documents"))
+    each = lambda name: F.transform("n_best", lambda x: x[name])
+    return found.select("doc_id", "n_pieces", each("score").alias("scores"), each("n_pieces").alias("lengths"), each("ids_crc32").alias("ids_crc32"), "round_trip")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
@@ -28,6 +34,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenfile.write(table(spark, sf_dir, "documents"), tokenfile.new_path(spark))
+    return tokenfile.digest(tokenfile.read(spark, files))
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"))
 
@@ -46,7 +57,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_decontaminate, op6_url_rules, op7_token_counts, op8_secret_scan)}
+    return {f.__name__: f for f in (op2_piece_segmentation, op3_quality_rules, op4_decontaminate, op5_token_files, op6_url_rules, op7_token_counts, op8_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

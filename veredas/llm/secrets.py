@@ -291,8 +291,10 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Crf | None:
     """Trains on at most ``sample_docs`` documents with a pattern hit (smallest hashed ids first)."""
     body = F.coalesce(F.col("text"), F.lit(""))
     hit = body.rlike(r"AKIA[A-Z0-9]{12}|[0-9a-f]{32}|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}")
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("t")).where(hit & (F.length("t") <= SAMPLE_CHARS)).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("t")).limit(sample_docs)
-    texts = [r.t for r in picked.collect()]
+    key = F.col("doc_id").cast("long")
+    able = docs.where(hit & (F.length(body) <= SAMPLE_CHARS) & key.isNotNull())
+    ids = [r.id for r in able.select(key.alias("id")).orderBy(F.xxhash64("id"), "id").limit(sample_docs).collect()]
+    texts = [r.t for r in able.where(key.isin(ids)).select(body.alias("t")).limit(sample_docs).collect()] if ids else []
     sequences = training_sequences(texts)
     return train(sequences) if sequences else None
 
