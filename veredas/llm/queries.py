@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pieces, quality, secrets, tokencount, tokenfile, urlrules
+from . import decontaminate, hmm, pieces, quality, secrets, tokencount, tokenfile, urlrules
 from .common import table
 
 
+def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hmm.scores(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_piece_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pieces.segment(table(spark, sf_dir, "documents"))
     each = lambda name: F.transform("n_best", lambda x: x[name])
@@ -57,7 +62,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_piece_segmentation, op3_quality_rules, op4_decontaminate, op5_token_files, op6_url_rules, op7_token_counts, op8_secret_scan)}
+    return {f.__name__: f for f in (op1_hmm_scores, op2_piece_segmentation, op3_quality_rules, op4_decontaminate, op5_token_files, op6_url_rules, op7_token_counts, op8_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
