@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, pieces, quality, secrets, tokencount, tokenfile, urlrules
+from . import decontaminate, hmm, jaccard, pieces, quality, secrets, tokencount, tokenfile, urlrules
 from .common import table
 
 
@@ -61,8 +61,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op9_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hmm_scores, op2_piece_segmentation, op3_quality_rules, op4_decontaminate, op5_token_files, op6_url_rules, op7_token_counts, op8_secret_scan)}
+    return {f.__name__: f for f in (op1_hmm_scores, op2_piece_segmentation, op3_quality_rules, op4_decontaminate, op5_token_files, op6_url_rules, op7_token_counts, op8_secret_scan, op9_jaccard_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
