@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,8 +127,6 @@ def apply_policy(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
 
     Columns of the input may have any names: the measurements travel in one struct that is dropped again.
     """
-    import pandas as pd
-
     @F.pandas_udf("struct<" + ", ".join(f"{k}: {v}" for k, v in MEASURES.items()) + ">")
     def measured(bodies: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measure(b) for b in bodies], columns=list(MEASURES))

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -294,7 +295,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Crf | None:
     key = F.col("doc_id").cast("long")
     able = docs.where(hit & (F.length(body) <= SAMPLE_CHARS) & key.isNotNull())
     ids = [r.id for r in able.select(key.alias("id")).orderBy(F.xxhash64("id"), "id").limit(sample_docs).collect()]
-    texts = [r.t for r in able.where(key.isin(ids)).select(body.alias("t")).limit(sample_docs).collect()] if ids else []
+    texts = [r.t for r in able.where(key.isin(ids)).select(body.alias("t")).orderBy(F.xxhash64("t"), "t").limit(sample_docs).collect()] if ids else []
     sequences = training_sequences(texts)
     return train(sequences) if sequences else None
 
@@ -326,7 +327,7 @@ def redact(docs: DataFrame, model: Crf | None, mark: str = "[SECRET]") -> DataFr
     """
 
     @F.pandas_udf("string")
-    def masked(texts):  # noqa: ANN001, ANN202
+    def masked(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else redact_text(t, model, mark))
 
     return docs.withColumn("text", masked(F.col("text")))
