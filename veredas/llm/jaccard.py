@@ -32,22 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, drop_ids, id_text, materialize, mix64, n_parts, offsets_of, slices, text_bytes
+from .common import arrow_schema, drop_ids, id_text, materialize, mix64, n_parts, offsets_of, text_bytes
 from .components import connected
+from .sharing import collect_slice, shared
 
 SHINGLE = 5
 THRESHOLD = 75
-SLICE_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
-_LOW = np.uint64((1 << 48) - 1)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
-_DEALT = "bucket int, slice long, hashes binary, counts binary, doc_ids binary, sizes binary"
-_SHARED = "bucket int, slice long, tokens binary, counts binary, doc_ids binary, sizes binary"
 _SETS = "doc_id long, n long, tokens array<long>, same string"
 
 
@@ -87,25 +83,6 @@ def shingles(bodies: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return value[new], np.bincount(doc[new], minlength=len(n))
 
 
-def _pack48(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpack48(body: bytes) -> np.ndarray:
-    out = np.zeros((len(body) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(body, dtype=np.uint8).reshape(-1, 6)
-    return out.view("<u8").reshape(-1)
-
-
-def _record(schema: pa.Schema, *values: object) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
-
-
-def rarity(df: np.ndarray) -> np.ndarray:
-    """Frequency class: eight steps a doubling, never falling with the frequency, below 256."""
-    return np.minimum(np.floor(8 * np.log2(df)), 255).astype(np.uint64)
-
-
 def shingle_sets(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Per document: its set's size, and where it may have a link the shared tokens, rarest first.
 
@@ -113,63 +90,10 @@ def shingle_sets(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """
     texts = id_text(docs)
     n_buckets = min(n_parts(text_bytes(texts), BUCKET_BYTES), 1 << 16)
-    dealt_schema, shared_schema, set_schema = arrow_schema(_DEALT), arrow_schema(_SHARED), arrow_schema(_SETS)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for lo, hi in slices(batch.column("body"), SLICE_BYTES):
-                part = batch.slice(lo, hi - lo)
-                h, sizes = shingles(part.column("body").to_pylist())
-                bucket = ((h >> np.uint64(48)) % np.uint64(n_buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                ids = part.column("doc_id")
-                known = np.asarray(ids.is_valid())
-                ids = np.asarray(ids.fill_null(0), dtype="<i8")
-                home = number % n_buckets
-                for b in range(n_buckets):
-                    at = order[ends[b] : ends[b + 1]]
-                    if len(at) or b == home:
-                        table = (ids.tobytes(), np.where(known, sizes, -1 - sizes).astype("<i8").tobytes()) if b == home else (None, None)
-                        yield _record(dealt_schema, b, number, _pack48(h[at] & _LOW), np.bincount(doc[at], minlength=len(sizes)).astype("<u4").tobytes(), *table)
-                number += 1
-
-    def share(key: tuple, group: pa.Table) -> pa.Table:
-        b = key[0].as_py()
-        parts = [_unpack48(x) for x in group.column("hashes").to_pylist()]
-        h = np.concatenate(parts)
-        _, back, df = np.unique(h, return_inverse=True, return_counts=True)
-        df = df[back]
-        token = ((rarity(df) << np.uint64(55)) | (np.uint64(b & 127) << np.uint64(48)) | h).astype("<i8")
-        out, lo = [], 0
-        rows = zip(*(group.column(c).to_pylist() for c in ("slice", "counts", "doc_ids", "sizes")), strict=True)
-        for (number, counts, ids, sizes), x in zip(rows, parts, strict=True):
-            hi = lo + len(x)
-            kept = df[lo:hi] > 1
-            counts = np.frombuffer(counts, dtype="<u4")
-            doc = np.repeat(np.arange(len(counts)), counts)
-            if kept.any() or ids is not None:
-                out.append(_record(shared_schema, b, number, token[lo:hi][kept].tobytes(), np.bincount(doc[kept], minlength=len(counts)).astype("<u4").tobytes(), ids, sizes))
-            lo = hi
-        return pa.Table.from_batches(out, schema=shared_schema)
+    set_schema = arrow_schema(_SETS)
 
     def gather(key: tuple, group: pa.Table) -> pa.Table:
-        ids = sizes = None
-        docs_, tokens = [], []
-        for t, c, i, s in zip(*(group.column(x).to_pylist() for x in ("tokens", "counts", "doc_ids", "sizes")), strict=True):
-            c = np.frombuffer(c, dtype="<u4")
-            docs_.append(np.repeat(np.arange(len(c)), c))
-            tokens.append(np.frombuffer(t, dtype="<i8"))
-            if i is not None:
-                ids, sizes = np.frombuffer(i, dtype="<i8"), np.frombuffer(s, dtype="<i8")
-        known = sizes >= 0
-        sizes = np.where(known, sizes, -1 - sizes)
-        doc, token = np.concatenate(docs_), np.concatenate(tokens)
-        order = np.lexsort((token, doc))
-        token = token[order]
-        found = np.bincount(doc, minlength=len(ids))
+        ids, known, sizes, token, found = collect_slice(group)
         at = offsets_of(found)
         able = known & (sizes > 0) & (100 * found >= threshold * sizes)
         lists, same = [], []
@@ -180,9 +104,7 @@ def shingle_sets(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         columns = (pa.array(ids, mask=~known), pa.array(sizes), pa.array(lists, type=pa.list_(pa.int64())), pa.array(same, type=pa.string()))
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, set_schema, strict=True)], schema=set_schema)
 
-    dealt = texts.mapInArrow(deal, _DEALT)
-    shared = dealt.groupBy("bucket").applyInArrow(share, _SHARED)
-    return materialize(shared.groupBy("slice").applyInArrow(gather, _SETS), "shingle-sets")
+    return materialize(shared(texts, shingles, n_buckets).groupBy("slice").applyInArrow(gather, _SETS), "shingle-sets")
 
 
 def postings(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

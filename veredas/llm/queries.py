@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, jaccard, pieces, quality, secrets, tokencount, tokenfile, urlrules
+from . import decontaminate, hmm, jaccard, pieces, quality, secrets, substrings, tokencount, tokenfile, urlrules
 from .common import table
 
 
@@ -65,8 +65,12 @@ def op9_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hmm_scores, op2_piece_segmentation, op3_quality_rules, op4_decontaminate, op5_token_files, op6_url_rules, op7_token_counts, op8_secret_scan, op9_jaccard_groups)}
+    return {f.__name__: f for f in (op1_hmm_scores, op2_piece_segmentation, op3_quality_rules, op4_decontaminate, op5_token_files, op6_url_rules, op7_token_counts, op8_secret_scan, op9_jaccard_groups, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
