@@ -25,8 +25,10 @@ share an id stay apart. An empty training set leaves a uniform model.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,10 @@ ITERATIONS = 6
 TOP_WORDS = 16_384
 HASHED = 2_048
 STRETCH = 256
-BATCH_TOKENS = 1 << 18
+BATCH_TOKENS = 1 << 17
 PRIOR = 200.0
+#: Steps between rescalings: eight probabilities of 1e-30 are still far from the least double.
+RESCALE = 8
 END = b"\n"
 BLOCK = 1_024
 
@@ -61,8 +65,16 @@ def split_chunks(docs: DataFrame) -> DataFrame:
     return texts.select("doc_id", "body", F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("chunk"), held.alias("held"))
 
 
+def _cell(value: object, kind: pa.DataType) -> pa.Array:
+    """A column of one row; arrays become lists without a Python object for each element."""
+    if pa.types.is_list(kind) and isinstance(value, np.ndarray | pa.Array):
+        values = pa.array(value) if isinstance(value, np.ndarray) else value
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], type=pa.int32()), values.cast(kind.value_type))
+    return pa.array([value], type=kind)
+
+
 def _row(schema: pa.Schema, *values: object) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([v], type=f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+    return pa.Table.from_arrays([_cell(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
 
 def list_words(chunks: DataFrame) -> DataFrame:
@@ -70,12 +82,11 @@ def list_words(chunks: DataFrame) -> DataFrame:
     arrow = arrow_schema(_CHUNKS)
 
     def f(key: tuple, group: pa.Table) -> pa.Table:
-        vocab: dict[bytes, int] = {END: 0}
+        vocab: dict[bytes, int] = defaultdict(count(1).__next__)
+        vocab[END] = 0
         lens, parts, held = [], [], group.column("held").to_pylist()
         for body in group.column("body").to_pylist():
             words = body.lower().split()
-            for w in set(words).difference(vocab):
-                vocab[w] = len(vocab)
             ids = np.fromiter(map(vocab.__getitem__, words), dtype=np.int32, count=len(words))
             parts += [ids, np.zeros(1, np.int32)]
             lens.append(len(words) + 1)
@@ -88,7 +99,7 @@ def list_words(chunks: DataFrame) -> DataFrame:
 
 
 def hashed_class(word: bytes, n: int = HASHED) -> int:
-    return zlib.crc32(b"class " + word) % n
+    return zlib.crc32(word, 1) % n
 
 
 def total_counts(chunks: DataFrame, n_buckets: int) -> DataFrame:
@@ -116,13 +127,13 @@ def total_counts(chunks: DataFrame, n_buckets: int) -> DataFrame:
             for w, n in zip(words, counts, strict=True):
                 total[w] = total.get(w, 0) + n
         b = key[0].as_py()
-        out = [_row(total_schema, b, c, at, [total[w] for w in words], [], [], 0, 0) for c, at, words, _ in lists]
-        seen = sorted(((n, w) for w, n in total.items() if n), key=lambda x: (-x[0], x[1]))
-        mass = np.zeros(HASHED, dtype=np.int64)
-        for n, w in seen:
-            mass[hashed_class(w)] += n + 1
-        top = seen[:TOP_WORDS]
-        out.append(_row(total_schema, b, None, [], [n for n, _ in top], [w for _, w in top], mass, sum(n for n, _ in seen), len(seen)))
+        out = [_row(total_schema, b, c, at, np.fromiter(map(total.__getitem__, words), dtype=np.int64, count=len(words)), [], [], 0, 0) for c, at, words, _ in lists]
+        names, n = list(total), np.fromiter(total.values(), dtype=np.int64, count=len(total))
+        kind = np.fromiter((zlib.crc32(w, 1) for w in names), dtype=np.int64, count=len(names)) % HASHED
+        mass = np.bincount(kind[n > 0], weights=n[n > 0] + 1, minlength=HASHED).astype(np.int64)
+        least = max(1, int(np.partition(n, -TOP_WORDS)[-TOP_WORDS])) if len(n) > TOP_WORDS else 1
+        top = sorted(((int(n[i]), names[i]) for i in np.flatnonzero(n >= least)), key=lambda x: (-x[0], x[1]))[:TOP_WORDS]
+        out.append(_row(total_schema, b, None, [], [n for n, _ in top], [w for _, w in top], mass, int(n.sum()), int((n > 0).sum())))
         return pa.concat_tables(out)
 
     return chunks.select("chunk", "words", "counts").mapInArrow(deal, _DEALT).groupBy("bucket").applyInArrow(add, _TOTALS)
@@ -169,13 +180,13 @@ def encode(chunks: DataFrame, totals: DataFrame, words: Words) -> DataFrame:
         if not chunk.num_rows:
             return arrow.empty_table()
         row = {c: chunk.column(c)[0] for c in chunk.column_names}
-        names = row["words"].as_py()
+        names = row["words"].values.to_pylist()
         c = np.zeros(len(names), dtype=np.int64)
         for at, counts in zip(back.column("at"), back.column("counts"), strict=True):
             c[np.asarray(at.values)] = np.asarray(counts.values)
         kind = np.fromiter((words.top.get(w, -1) for w in names), dtype=np.int64, count=len(names))
         rare = np.flatnonzero(kind < 0)
-        kind[rare] = n_top + np.fromiter((hashed_class(names[i]) for i in rare), dtype=np.int64, count=len(rare))
+        kind[rare] = n_top + np.fromiter((zlib.crc32(names[i], 1) for i in rare), dtype=np.int64, count=len(rare)) % HASHED
         inner = np.log10((c + 1) / words.class_mass[kind])
         base = np.log10((c + 1) / norm)
         tokens = np.frombuffer(row["tokens"].as_py(), dtype="<i4")
@@ -221,47 +232,54 @@ def expected(model: Model, tokens: np.ndarray, at: np.ndarray, lens: np.ndarray,
     """Adds the expected start, transition and emission counts of some sequences to ``out``."""
     order, running = _steps(lens)
     at = at[order]
-    forward, scale, seen = [], [], []
+    states, ones = len(model.start), np.ones(len(model.start))
+    emit, trans, back = model.emit, model.trans, np.ascontiguousarray(model.trans.T)
+    forward, weighted, seen = [], [], []
     for t, n in enumerate(running):
-        o = tokens[at[:n] + t]
-        e = model.emit[o]
-        a = (model.start if t == 0 else forward[-1][:n] @ model.trans) * e
-        s = a.sum(1)
-        a /= s[:, None]
+        o = tokens.take(at[:n] + t)
+        e = emit.take(o, axis=0)
+        a = (model.start if t == 0 else forward[-1][:n] @ trans) * e
+        if t % RESCALE == RESCALE - 1:
+            s = 1.0 / (a @ ones)[:, None]
+            a *= s
+            e *= s
         forward.append(a)
-        scale.append(s)
-        seen.append((o, e))
-    xi = np.zeros_like(model.trans)
-    gammas = []
-    beta = np.ones((0, len(model.start)))
+        weighted.append(e)
+        seen.append(o)
+    xi = np.zeros_like(trans)
+    beta = np.ones((0, states))
     for t in range(len(running) - 1, -1, -1):
-        n = running[t]
-        full = np.ones((n, len(model.start)))
-        full[: len(beta)] = beta
-        gammas.append(forward[t] * full)
-        w = seen[t][1] * full / scale[t][:, None]
+        n, m, w = running[t], len(beta), weighted[t]
+        if n > m:  # rows that end here
+            last = 1.0 / (forward[t][m:] @ ones)
+            beta = np.concatenate([beta, np.repeat(last[:, None], states, axis=1)])
+        w *= beta
         if t:
             xi += forward[t - 1][:n].T @ w
-            beta = w @ model.trans.T
-    out[0] += gammas[-1].sum(0)
-    out[1] += xi * model.trans
-    o = np.concatenate([x[0] for x in reversed(seen)])
-    g = np.concatenate(gammas)
-    for k in range(g.shape[1]):
-        out[2][:, k] += np.bincount(o, weights=g[:, k], minlength=len(out[2]))
+        # From here on the state's posterior takes the place of its forward value.
+        forward[t] *= beta
+        beta = w @ back
+    out[0] += forward[0].sum(0)
+    out[1] += xi * trans
+    cell = np.concatenate(seen).astype(np.int64)[:, None] * states + np.arange(states)
+    out[2] += np.bincount(cell.ravel(), weights=np.concatenate(forward).ravel(), minlength=out[2].size).reshape(out[2].shape)
 
 
 def log10_likelihood(model: Model, tokens: np.ndarray, at: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Scaled forward recursion over whole sequences."""
     order, running = _steps(lens)
     at = at[order]
-    total = np.zeros(len(lens))
+    total, ones = np.zeros(len(lens)), np.ones(len(model.start))
     a = np.zeros((0, 0))
     for t, n in enumerate(running):
-        a = (model.start if t == 0 else a[:n] @ model.trans) * model.emit[tokens[at[:n] + t]]
-        s = a.sum(1)
-        a /= s[:, None]
-        total[:n] += np.log10(s)
+        a = (model.start if t == 0 else a[:n] @ model.trans) * model.emit.take(tokens.take(at[:n] + t), axis=0)
+        if t % RESCALE == RESCALE - 1:
+            s = a @ ones
+            a /= s[:, None]
+            total[:n] += np.log10(s)
+        m = running[t + 1] if t + 1 < len(running) else 0
+        if n > m:  # rows that end here
+            total[m:n] += np.log10(a[m:] @ ones)
     out = np.empty(len(lens))
     out[order] = total
     return out
@@ -299,7 +317,7 @@ def baum_welch(encoded: DataFrame, share: np.ndarray, states: int = STATES, iter
     fan = max(1, round(texts.rdd.getNumPartitions() ** 0.5))
     for _ in range(iterations):
 
-        def count(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
+        def partial(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
             out = [np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)]
             for batch in batches:
                 for row in batch.to_pylist():
@@ -314,7 +332,7 @@ def baum_welch(encoded: DataFrame, share: np.ndarray, states: int = STATES, iter
             for i, b in enumerate(blocks):
                 yield _row(_PARTIAL_ARROW, lot, i, b.astype("<f8").tobytes()).to_batches()[0]
 
-        some = texts.mapInArrow(count, _PARTIAL).groupBy("lot", "block").applyInArrow(_add_bodies, _PARTIAL)
+        some = texts.mapInArrow(partial, _PARTIAL).groupBy("lot", "block").applyInArrow(_add_bodies, _PARTIAL)
         every = some.withColumn("lot", F.lit(0).cast("long")).groupBy("lot", "block").applyInArrow(_add_bodies, _PARTIAL)
         sums = {r.block: np.frombuffer(bytes(r.body), dtype="<f8") for r in every.collect()}
         if not sums:
