@@ -8,7 +8,8 @@ A byte goes if a string of WINDOW bytes that covers it also starts in a document
 2. *Shards.* Each shared anchor sends the bytes that its windows can reach (WINDOW - GRAM to either side) to the shard
    of its hash, equal ones of a chunk of documents only once, with the list of their places.
    All windows that can be equal thus meet in a shard, whatever the document.
-3. *Suffix arrays.* A shard sorts the suffixes of its distinct contexts by induced sorting. Neighbours that
+3. *Suffix arrays.* A shard sorts the suffixes of its distinct contexts by induced sorting (of grams with several contexts; a
+   lone context is equal to its copies as a whole). Neighbours that
    agree in WINDOW bytes (the permuted common prefix, capped there) form groups; the smallest id of a group
    removes the window everywhere else.
 4. Chunks turn removed windows into removed bytes.
@@ -153,6 +154,20 @@ def contexts_of(bodies: list[bytes], row: np.ndarray, place: np.ndarray) -> np.n
     return out
 
 
+_BITS = np.uint32(1) << np.arange(SIDE + 1, dtype=np.uint32)
+
+
+def _windows(contexts: np.ndarray) -> np.ndarray:
+    """Which of the SIDE + 1 starts leave a whole window in the text, per context."""
+    left, right = contexts[:, WIDTH].astype(np.int64)[:, None], contexts[:, WIDTH + 1].astype(np.int64)[:, None]
+    start = np.arange(SIDE + 1)
+    return (start >= SIDE - left) & (start + WINDOW <= SIDE + right)
+
+
+def window_bits(contexts: np.ndarray) -> np.ndarray:
+    return (_windows(contexts) * _BITS).sum(1, dtype=np.uint32)
+
+
 def duplicated(contexts: np.ndarray, low: np.ndarray) -> np.ndarray:
     """For distinct contexts with their smallest ids: per window of a context, the smallest id that holds it (columns: SIDE + 1 starts; a large number where there is no window)."""
     m = len(contexts)
@@ -168,9 +183,7 @@ def duplicated(contexts: np.ndarray, low: np.ndarray) -> np.ndarray:
     text = t[kept]
     order = suffix_array(text, 257, depth=WIDTH)
     # The windows among the suffixes: those that begin at one of the first SIDE + 1 columns and fit.
-    start = np.arange(SIDE + 1)
-    is_window = (start >= SIDE - left[:, None]) & (start + WINDOW <= SIDE + right[:, None])
-    owner, begin = np.nonzero(is_window)
+    owner, begin = np.nonzero(_windows(contexts))
     position = first[owner] + begin - (SIDE - left[owner])
     number = np.full(len(text), -1, dtype=np.int32)
     number[position] = np.arange(len(position))
@@ -260,10 +273,15 @@ def removals(texts: DataFrame, total: int) -> DataFrame:
         least = np.minimum.reduceat(low[order], starts)
         which = np.empty(len(x), dtype=np.int64)
         which[order] = np.cumsum(new) - 1
-        held = duplicated(x[order[starts]], least)
-        bits = (np.uint32(1) << np.arange(SIDE + 1, dtype=np.uint32))[None, :]
-        full = np.where(held < np.iinfo(np.int64).max, bits, np.uint32(0)).sum(1, dtype=np.uint32)
-        part = np.where(held < least[:, None], bits, np.uint32(0)).sum(1, dtype=np.uint32)
+        distinct = x[order[starts]]
+        full, part = window_bits(distinct), np.zeros(len(distinct), dtype=np.uint32)
+        # Where a gram has one context only, its windows are equal with the context and in no other way.
+        by_gram, first = _same_rows(np.ascontiguousarray(distinct[:, SIDE : SIDE + GRAM]))
+        gram = np.cumsum(first) - 1
+        mixed = by_gram[np.bincount(gram)[gram] > 1]
+        if len(mixed):
+            held = duplicated(distinct[mixed], least[mixed])
+            part[mixed] = ((held < least[mixed, None]) * _BITS).sum(1, dtype=np.uint32)
         out, lo = [], 0
         for chunk, counts, docs, rows, places in zip(*(group.column(c).to_pylist() for c in ("chunk", "counts", "docs", "rows", "places")), strict=True):
             counts = np.frombuffer(counts, dtype="<u4")
