@@ -8,7 +8,7 @@ spelled in byte pieces.
 
 Forward Viterbi costs of all lattice nodes are exact heuristics for a backward A-star
 search, which hence pops complete segmentations in order of their cost. No piece holds a
-space mark after another character, nor a line feed, so a lattice falls apart into
+space mark after another character, nor a line feed (pieces that do are left out), so a lattice falls apart into
 units between those places, and the N best of a text come from at most N - 1 units: those whose
 second-best segmentation costs the least more. Only these are searched; all other
 units take their best one.
@@ -26,6 +26,7 @@ import re
 import zlib
 from array import array
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import id_text, map_rows
@@ -34,9 +35,12 @@ MODEL = "piece_bpe_32k.model"
 N_BEST = 4
 SCALE = 1 << 16
 UNKNOWN = 10 * SCALE
-MEMO_UNITS = 600_000
+MEMO_UNITS = 250_000
 _MARK = "▁"
 _UNIT = re.compile(f"{_MARK}+[^{_MARK}\n]*|[^{_MARK}\n]+|\n")
+#: Longer units are searched one by one.
+ABREAST = 40
+LOT = 1 << 14
 NO_SECOND = 1 << 60
 
 
@@ -46,6 +50,26 @@ def default_path() -> str:
     return public_tokenizers.path(MODEL)
 
 
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_SHIFT = np.uint64(44)
+
+
+def units_of(text: str) -> list[str]:
+    return _UNIT.findall(_MARK + text.replace(" ", _MARK)) if text else []
+
+
+class Memory(dict):
+    """Best segmentations of units."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, unit: str) -> tuple[bytes, int, int]:
+        found = self[unit] = self.pieces.whole(unit)
+        return found
+
+
 class Pieces:
     """Vocabulary, costs and the searches over the lattice of one unit."""
 
@@ -64,9 +88,17 @@ class Pieces:
             self.bytes_of[i] = t.replace(_MARK, " ").encode()
         for b, i in enumerate(byte_ids):
             self.bytes_of[i] = bytes([b])
-        #: Costs of the pieces, and 0 for what only begins one.
-        self.walk = {t[:k]: 0 for t in texts for k in range(1, len(t))} | self.cost
-        self.memo: dict[str, tuple[bytes, int, int]] = {}
+        self.memo = Memory(self)
+        self.chars = {t for t in texts if len(t) == 1}
+        hashes = np.array([self._hash(t) for t in texts], dtype=np.uint64)
+        order = np.argsort(hashes)
+        self.keys = hashes[order]
+        self.costs = np.array([self.cost[t] for t in texts], dtype=np.int64)[order]
+        self.ids = np.array(ids, dtype=np.int32)[order]
+        self.maybe = np.zeros(1 << (64 - int(_SHIFT)), dtype=bool)
+        self.maybe[(self.keys >> _SHIFT).astype(np.int64)] = True
+        if len(np.unique(self.keys)) < len(self.keys):
+            raise ValueError("two pieces share a hash")
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -85,6 +117,13 @@ class Pieces:
         top = max(r for r in ranks if r < 1_000_000)
         return cls(texts, [min(r, top) for r in ranks], ids, byte_ids)
 
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h + ord(c)) * int(_FACTOR) & (1 << 64) - 1
+        return h
+
     def edges(self, unit: str) -> list[list[tuple[int, int]]]:
         """For each end position, (start, cost) of the pieces that end there, longest first."""
         get, longest = self.cost.get, self.longest
@@ -107,34 +146,72 @@ class Pieces:
         return out.tobytes()
 
     def best(self, unit: str) -> tuple[bytes, int, int]:
-        """Ids and cost of the best segmentation, and how much more the second best costs."""
-        found = self.memo.get(unit)
-        if found is None:
-            n, walk = len(unit), self.walk
-            first, second, back = [0] + [NO_SECOND] * n, [NO_SECOND] * (n + 1), [0] * (n + 1)
-            for i in range(n):
-                f, s = first[i], second[i]
-                for j in range(i + 1, n + 1):
-                    c = walk.get(unit[i:j])
-                    if c is None:
-                        if j == i + 1:
-                            c = self.unknown
-                        else:
-                            break
-                    elif not c:
-                        if j > i + 1:
-                            continue
-                        c = self.unknown
-                    x = f + c
-                    if x < first[j]:
-                        second[j], first[j], back[j] = min(first[j], s + c), x, i
-                    else:
-                        second[j] = min(second[j], x)
-            cuts = [len(unit)]
-            while cuts[-1]:
-                cuts.append(back[cuts[-1]])
-            found = self.memo[unit] = (self.ids_of(unit, cuts[::-1]), first[n], second[n] - first[n])
-        return found
+        """Ids and cost of the best segmentation, and how much more the second best costs (NO_SECOND or more: there is none)."""
+        return self.memo[unit]
+
+    def learn(self, units: list[str]) -> None:
+        """Viterbi over many units side by side: one numpy step for each start and length of a piece."""
+        units = sorted((u for u in units if len(u) <= ABREAST and self.chars.issuperset(u)), key=len, reverse=True)
+        for lo in range(0, len(units), LOT):
+            self._learn_lot(units[lo : lo + LOT])
+
+    def _learn_lot(self, units: list[str]) -> None:
+        m = len(units)
+        lens = np.fromiter(map(len, units), dtype=np.int64, count=m)
+        width = int(lens[0])
+        text = np.zeros((m, width), dtype=np.uint64)
+        text[np.arange(width) < lens[:, None]] = np.frombuffer("".join(units).encode("utf-32-le"), dtype="<u4")
+        first = np.full((width + 1, m), NO_SECOND)
+        second = np.full((width + 1, m), NO_SECOND)
+        first[0] = 0
+        back, ids = np.zeros((width + 1, m), dtype=np.int8), np.zeros((width + 1, m), dtype=np.int32)
+        reach = np.searchsorted(-lens, -np.arange(width + 1), side="right")  # units of so many characters or more
+        for i in range(width):
+            h = np.zeros(m, dtype=np.uint64)
+            for j in range(i + 1, min(i + self.longest, width) + 1):
+                n = reach[j]
+                with np.errstate(over="ignore"):
+                    h = (h[:n] + text[:n, j - 1]) * _FACTOR
+                at = np.flatnonzero(self.maybe[(h >> _SHIFT).astype(np.int64)])
+                piece = np.searchsorted(self.keys, h[at])
+                sure = self.keys[np.minimum(piece, len(self.keys) - 1)] == h[at]
+                at, piece = at[sure], piece[sure]
+                if not len(at):
+                    continue
+                c = self.costs[piece]
+                x, f = first[i, at] + c, first[j, at]
+                better = x < f
+                second[j, at] = np.where(better, np.minimum(f, second[i, at] + c), np.minimum(second[j, at], x))
+                win = at[better]
+                first[j, win], back[j, win], ids[j, win] = x[better], i, self.ids[piece[better]]
+        row = np.arange(m)
+        cost, gap = first[lens, row], second[lens, row] - first[lens, row]
+        at, found = lens.copy(), []
+        while (at > 0).any():
+            found.append(np.where(at > 0, ids[at, row], -1))
+            at = np.where(at > 0, back[at, row], 0)
+        found = np.stack(found[::-1], axis=1)
+        # Shorter segmentations are filled up in front.
+        size = (2 * (found >= 0).sum(1)).tolist()
+        width, body = 2 * found.shape[1], found.astype("<u2").tobytes()
+        best = [body[(k + 1) * width - d : (k + 1) * width] for k, d in enumerate(size)]
+        self.memo.update(zip(units, zip(best, cost.tolist(), gap.tolist(), strict=True), strict=True))
+
+    def whole(self, unit: str) -> tuple[bytes, int, int]:
+        """All Viterbi steps of a long unit at once."""
+        n = len(unit)
+        first, second, back = [0] + [NO_SECOND] * n, [NO_SECOND] * (n + 1), [0] * (n + 1)
+        for j, here in enumerate(self.edges(unit)):
+            for i, c in here:
+                x = first[i] + c
+                if x < first[j]:
+                    second[j], first[j], back[j] = min(first[j], second[i] + c), x, i
+                else:
+                    second[j] = min(second[j], x)
+        cuts = [n]
+        while cuts[-1]:
+            cuts.append(back[cuts[-1]])
+        return self.ids_of(unit, cuts[::-1]), first[n], second[n] - first[n]
 
     def n_best(self, unit: str, n: int) -> list[tuple[int, bytes]]:
         """(cost, ids) of the n best segmentations: backward A-star with forward Viterbi costs."""
@@ -163,21 +240,18 @@ class Pieces:
         """(cost, ids as 16-bit little-endian bytes) of the n best segmentations, best first."""
         if not text:
             return [(0, b"")]
-        if len(self.memo) > MEMO_UNITS:
-            self.memo.clear()
-        units = _UNIT.findall(_MARK + text.replace(" ", _MARK))
-        found = list(map(self.best, units))
-        total = sum(x[1] for x in found)
-        parts = [x[0] for x in found]
+        units = units_of(text)
+        ids, costs, gaps = zip(*map(self.memo.__getitem__, units), strict=True)
+        total, parts = sum(costs), list(ids)
         out = [(total, b"".join(parts))]
         if n > 1:
-            near = heapq.nsmallest(n - 1, range(len(found)), key=lambda k: (found[k][2], k))
+            near = [k for _, k in heapq.nsmallest(n - 1, zip(gaps, range(len(gaps)), strict=True))]
             combos: list[tuple[int, tuple]] = [(0, ())]
             for k in near:
-                if found[k][2] >= NO_SECOND >> 1:
+                if gaps[k] >= NO_SECOND >> 1:
                     continue
                 ways = self.n_best(units[k], n)
-                combos = heapq.nsmallest(n, ((d + c - found[k][1], (*choice, (k, ids)) if w else choice) for d, choice in combos for w, (c, ids) in enumerate(ways)))
+                combos = heapq.nsmallest(n, ((d + c - costs[k], (*choice, (k, ids)) if w else choice) for d, choice in combos for w, (c, ids) in enumerate(ways)))
             for d, choice in combos[1:]:
                 held = [(k, parts[k]) for k, _ in choice]
                 for k, ids in choice:
@@ -206,8 +280,11 @@ def segment(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFr
             held["pieces"] = Pieces.load(path)
         p = held["pieces"]
         out: dict = {"doc_id": ids, "n_pieces": [], "ids": [], "n_best": [], "round_trip": []}
-        for body in bodies:
-            text = body.decode("utf-8", "replace")
+        if len(p.memo) > MEMO_UNITS:
+            p.memo.clear()
+        texts = [b.decode("utf-8", "replace") for b in bodies]
+        p.learn(list({u for t in texts for u in units_of(t)}.difference(p.memo)))
+        for text in texts:
             ways = p.encode(text, n)
             out["n_pieces"].append(len(ways[0][1]) // 2)
             out["ids"].append(ways[0][1])
@@ -215,4 +292,4 @@ def segment(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFr
             out["round_trip"].append(p.decode(ways[0][1]) == text)
         return out
 
-    return map_rows(id_text(docs), rows, "doc_id long, n_pieces long, ids binary, n_best array<struct<score: double, n_pieces: long, ids_crc32: long>>, round_trip boolean")
+    return map_rows(id_text(docs), rows, "doc_id long, n_pieces long, ids binary, n_best array<struct<score: double, n_pieces: long, ids_crc32: long>>, round_trip boolean", slice_bytes=2 << 20)
