@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_schema, slices
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 LOW = np.uint64((1 << 48) - 1)
 _DEALT = "bucket int, slice long, hashes binary, counts binary, doc_ids binary, sizes binary"
 SHARED = "bucket int, slice long, tokens binary, counts binary, doc_ids binary, sizes binary"
