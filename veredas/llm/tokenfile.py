@@ -20,7 +20,6 @@ text; rows with a null id come first.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,11 +37,8 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 SHARD_BYTES = 32 << 20
 BLOCK_IDS = 1 << 18
-MEMO_UNITS = 300_000
-CHAIN = 4_096
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 MAGIC = b"VTB1"
-_BESIDE_SPACE = re.compile(r"\s | \s")
 
 
 def default_path() -> str:
@@ -52,52 +48,17 @@ def default_path() -> str:
 
 
 class Encoder:
-    """The library's encoder with a memory of space-separated units.
-
-    The pre-tokeniser always cuts before a lone space between two other characters. So units can be
-    encoded apart from each other, and new ones end to end in one call (their tokens are told apart by
-    their bytes); a text with white space beside a space goes to the library whole.
-    """
+    """The library's encoder, for slices of texts."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already keeps the cores busy
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        # A token of the byte-level vocabulary is written with one character a byte.
-        size = self.tokenizer.get_vocab_size()
-        self.n_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, units: list[str]) -> None:
-        chained, alone = [], []
-        for u in units:
-            (chained if len(u) > 1 and u[0] == " " and not u[-1].isspace() else alone).append(u)
-        self.memo.update(zip(alone, self._library(alone), strict=True))
-        for lo in range(0, len(chained), CHAIN):
-            part = chained[lo : lo + CHAIN]
-            text = "".join(part)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum([len(u.encode()) for u in part] if not text.isascii() else list(map(len, part)))
-            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, side="right")
-            body, cuts = ids.tobytes(), (4 * cuts).tolist()
-            self.memo.update(zip(part, (body[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Ids with the end id, as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > MEMO_UNITS:
-            self.memo.clear()
-        memo, end = self.memo, np.array([end_id], dtype="<u4").tobytes()
-        units: list[list[str] | None] = []
-        for t in texts:
-            # A unit keeps the space before it; the mark cannot stand inside a unit.
-            units.append(None if "\x00" in t or _BESIDE_SPACE.search(t) else t.replace(" ", "\x00 ").split("\x00"))
-        self._learn(list({u for x in units if x for u in x}.difference(memo)))
-        whole = iter(self._library([t for t, x in zip(texts, units, strict=True) if x is None]))
-        return [(next(whole) if x is None else b"".join(map(memo.__getitem__, x))) + end for x in units]
+        return [np.array([*e.ids, end_id], dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def _end_units() -> np.ndarray:
