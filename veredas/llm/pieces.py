@@ -35,7 +35,7 @@ MODEL = "piece_bpe_32k.model"
 N_BEST = 4
 SCALE = 1 << 16
 UNKNOWN = 10 * SCALE
-MEMO_UNITS = 250_000
+MEMO_UNITS = 150_000
 _MARK = "▁"
 _UNIT = re.compile(f"{_MARK}+[^{_MARK}\n]*|[^{_MARK}\n]+|\n")
 #: Longer units are searched one by one.
@@ -292,4 +292,4 @@ def segment(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFr
             out["round_trip"].append(p.decode(ways[0][1]) == text)
         return out
 
-    return map_rows(id_text(docs), rows, "doc_id long, n_pieces long, ids binary, n_best array<struct<score: double, n_pieces: long, ids_crc32: long>>, round_trip boolean", slice_bytes=2 << 20)
+    return map_rows(id_text(docs), rows, "doc_id long, n_pieces long, ids binary, n_best array<struct<score: double, n_pieces: long, ids_crc32: long>>, round_trip boolean", slice_bytes=1 << 20)

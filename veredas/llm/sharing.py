@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import arrow_schema, slices
+from .common import arrow_schema, slices, trim
 
 SLICE_BYTES = 4 << 20
 LOW = np.uint64((1 << 48) - 1)
@@ -83,6 +83,7 @@ def shared(texts: DataFrame, fingerprints: Fingerprints, n_buckets: int) -> Data
                         table = (ids.tobytes(), np.where(known, sizes, -1 - sizes).astype("<i8").tobytes()) if b == home else (None, None)
                         yield record(dealt_schema, b, number, pack48(h[at] & LOW), np.bincount(doc[at], minlength=len(sizes)).astype("<u4").tobytes(), *table)
                 number += 1
+            trim()
 
     def count(key: tuple, group: pa.Table) -> pa.Table:
         b = key[0].as_py()
@@ -101,6 +102,7 @@ def shared(texts: DataFrame, fingerprints: Fingerprints, n_buckets: int) -> Data
             if kept.any() or ids is not None:
                 out.append(record(shared_schema, b, number, token[lo:hi][kept].tobytes(), np.bincount(doc[kept], minlength=len(counts)).astype("<u4").tobytes(), ids, sizes))
             lo = hi
+        trim()
         return pa.Table.from_batches(out, schema=shared_schema)
 
     return texts.mapInArrow(deal, _DEALT).groupBy("bucket").applyInArrow(count, SHARED)
@@ -119,4 +121,5 @@ def collect_slice(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     known = sizes >= 0
     doc, token = np.concatenate(docs), np.concatenate(tokens)
     order = np.lexsort((token, doc))
+    trim()
     return ids, known, np.where(known, sizes, -1 - sizes), token[order], np.bincount(doc, minlength=len(ids))
