@@ -28,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag", "l_linestatus").count()
+    """Distances of two samples per group: the operator most reports rest on."""
+    return _QUERIES["wasserstein_ks"](spark, sf_dir)
