@@ -25,8 +25,8 @@ def summary(d: Spark, rel: str, least: int = 30) -> str:
     keys = ("Ocupacao", "Escolaridade", "Faixa_Etaria", "Regiao")
     sets = ", ".join(f"(side, {', '.join(g)})" for g in GROUPINGS.values())
     name = "CASE " + " ".join(f"WHEN {' AND '.join(f'grouping({k}) = {int(k not in g)}' for k in keys)} THEN '{n}'" for n, g in GROUPINGS.items()) + " END"
-    qs = ", ".join(f"round({d.quantile('Renda', q)}, 4) AS p{int(100 * q):02d}" for q in STATS)
-    return f"""SELECT side, {name} AS grouping_name, {', '.join(keys)}, count(*) AS n, round(avg(Renda), 4) AS mean, round(stddev_samp(Renda), 4) AS std, min(Renda) AS lo, max(Renda) AS hi, {qs}
+    qs = ", ".join(f"round({d.quantile('Renda', q)}, 2) AS p{int(100 * q):02d}" for q in STATS)
+    return f"""SELECT side, {name} AS grouping_name, {', '.join(keys)}, count(*) AS n, round(avg(Renda), 2) AS mean, round(stddev_samp(Renda), 2) AS std, min(Renda) AS lo, max(Renda) AS hi, {qs}
       FROM {banded_sql(rel)} AS b GROUP BY GROUPING SETS ({sets}) HAVING count(*) >= {least}"""
 
 

@@ -37,7 +37,7 @@ def geography_validity(d: Spark, rel: str) -> str:
 def invalid_places(d: Spark, rel: str, k: int = 20) -> str:
     """The most frequent combinations that break the joint rule (a report's top-k)."""
     t = [f"coalesce(CAST({c} AS VARCHAR(60)), '<NA>')" for c in ("Regiao", "Estado", "Municipio", "DDD")]
-    return f"SELECT concat_ws('|', {', '.join(t)}) AS place, count(*) AS n FROM {rel} AS p WHERE NOT {validate.rules(d)['geographic_joint']} GROUP BY 1 ORDER BY n DESC, place LIMIT {k}"
+    return f"SELECT concat_ws('|', {', '.join(t)}) AS place, CAST(sum(CASE WHEN {validate.rules(d)['geographic_joint']} THEN 0 ELSE 1 END) AS BIGINT) AS n FROM {rel} AS p GROUP BY 1 HAVING sum(CASE WHEN {validate.rules(d)['geographic_joint']} THEN 0 ELSE 1 END) > 0 ORDER BY n DESC, place LIMIT {k}"
 
 
 def rare_values(d: Spark, rel: str, column: str, share: float = 0.01) -> str:
@@ -53,7 +53,7 @@ def relational_validity(d: Spark, rel: str) -> str:
 
 
 def offending_pairs(d: Spark, rel: str, k: int = 10) -> str:
-    return f"SELECT Escolaridade, Ocupacao, count(*) AS n FROM {rel} AS p WHERE NOT {validate.rules(d)['occupation_education']} GROUP BY Escolaridade, Ocupacao ORDER BY n DESC, Escolaridade, Ocupacao LIMIT {k}"
+    return f"SELECT Escolaridade, Ocupacao, count(*) AS n FROM {rel} AS p GROUP BY Escolaridade, Ocupacao HAVING NOT {validate.rules(d)['occupation_education']} ORDER BY n DESC, Escolaridade, Ocupacao LIMIT {k}"
 
 
 def occupation_entropy(d: Spark, rel: str) -> str:

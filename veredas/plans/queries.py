@@ -76,7 +76,7 @@ _add("split", lambda d: f"SELECT side, count(*) AS n, sum(row_id) AS id_sum FROM
 _add("geography_catalog", lambda d: profilestats.geography_catalog(d))
 _add("geography_encode", lambda d: profilestats.encode_geography(d, _broken(d)))
 _add("geography_decode", lambda d: profilestats.decode_geography(d, f"(SELECT row_id, CASE WHEN row_id % 50 = 0 THEN 'GEO_999999' ELSE Geo_Key END AS Geo_Key FROM ({profilestats.encode_geography(d, _profiles(d))}) AS e)"))
-_add("select_valid", lambda d: f"SELECT row_id FROM {_broken(d)} WHERE {validate.rules(d)['state_ddd']} ORDER BY row_id LIMIT 1000")
+_add("select_valid", lambda d: f"SELECT row_id FROM {_broken(d)} WHERE Idade BETWEEN 18 AND 85 ORDER BY row_id LIMIT 1000")
 _add("presets", profilestats.presets)
 # Validation.
 _add("rule_counts", lambda d: validate.rule_counts(d, _broken(d), validate.rules(d)))
