@@ -209,3 +209,27 @@ def test_drop_ids_both_ways(docs, monkeypatch):
     assert Counter(r.doc_id for r in common.drop_ids(docs, ids).collect()) == want
     monkeypatch.setattr(common, "BROADCAST_IDS", 0)
     assert Counter(r.doc_id for r in common.drop_ids(docs, ids).select(F.col("doc_id")).collect()) == want
+
+
+def test_crf_finds_secrets_without_digits():
+    made = ["qWcRtYuLmPasDf", "ZxKvBnMqWeRtYu", "plOkMijNuhBygV", "tFcRdXesZwAqLk", "hGfDsAqPzoWixE"]
+    texts = [f"some words and then password={made[k % 5][k % 3 :]}{'XyQz'[k % 4]} in the deployment configuration of everybody, authentication notwithstanding" for k in range(40)]
+    sequences = secrets.training_sequences(texts)
+    assert all(secrets.B in tags for _, tags in sequences)
+    model = secrets.train(sequences)
+    text = "the header says password is: gHjKlQwErTyUzX thanks"
+    assert [(text[s:e], k) for s, e, k in secrets.all_spans(text, model)] == [("gHjKlQwErTyUzX", "crf")]
+    assert "gHjKlQwErTyUzX" not in secrets.redact_text(text, model, "[SECRET]")
+    assert not secrets.all_spans("everybody reads the configuration documentation, notwithstanding", model)
+
+
+def test_crf_scores_by_word_are_the_scores_of_the_features():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    m = secrets.Crf(rng.normal(size=(secrets.DIM, 3)), rng.normal(size=(3, 3)))
+    text = "Authorization: Bearer abcDEFghi é\t\n(key=12ab) x"
+    s = secrets.tokens(text)
+    starts, ends, u = secrets.Lookup(m).scores(text)
+    assert (starts.tolist(), ends.tolist()) == (s.starts, s.ends)
+    assert np.allclose(u, m.scores(secrets.features(text, s)))

@@ -5,14 +5,15 @@ linear-chain CRF tags tokens as begin, inside or outside of a secret from the
 token's shape, its neighbours and features of the whole text, decoded by
 Viterbi; a tagged span that touches no pattern span is added as kind ``crf``.
 
-The CRF has one hard constraint: only tokens of a white-space-free run that
-holds a digit and 8 characters or more can be tagged. All other tokens are
-outside for certain, so the best path over a text is the best paths over the
-stretches around such runs, and only those are decoded; nothing is lost by it.
+Every token of a text can be tagged, with digits or without, and whole texts are decoded. A word's
+part of the scores is looked up by word, so that a text costs a few array operations and one
+pass of Viterbi. Tagged spans of fewer than ``MIN_RUN`` characters are not given back: the
+patterns ask as much of a value.
 
 The weights are trained here, on the driver, from a bounded sample
 (``SAMPLE_DOCS`` documents of up to ``SAMPLE_CHARS`` characters with a pattern
-hit, those with the smallest hashed ids; the scan itself has no such bound) whose labels are the pattern spans. Half the training copies hide the
+hit, those with the smallest hashed ids, and as many picked without regard to hits, so that
+ordinary words are learnt as such; the scan itself has no such bound) whose labels are the pattern spans. Half the training copies hide the
 neighbouring words and hold a made-up secret of mixed letters and digits in
 place of the real one, so that shape alone can carry a decision.
 
@@ -23,10 +24,11 @@ CRF adds no span.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -42,13 +44,10 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
-_DIGIT = re.compile(r"[0-9]")
-_SPACES = " \t\n\x0b\x0c\r"
-_GAP = re.compile(r"[\x20\x09-\x0D]")
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^\x20\x09-\x0DA-Za-z0-9]")
+_PIECE = re.compile(r"[A-Za-z0-9]+|[\x20\x09-\x0D]+|[^\x20\x09-\x0DA-Za-z0-9]")
 _HINT = re.compile(r"(?:pass|secret|token|key|auth|cred|bearer|pwd)", re.I | re.A)
 MIN_RUN = 8
-CONTEXT = 60
 B, I, O = 0, 1, 2  # noqa: E741
 DIM = 1 << 12
 
@@ -65,55 +64,21 @@ def pattern_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
-def _runs(text: str) -> Iterator[tuple[int, int]]:
-    """White-space-free runs of MIN_RUN characters or more that hold a digit."""
-    at, n = 0, len(text)
-    while m := _DIGIT.search(text, at):
-        d = m.start()
-        lo = d
-        while lo > at and text[lo - 1] not in _SPACES:
-            lo -= 1
-        stop = _GAP.search(text, d)
-        at = stop.start() if stop else n
-        if at - lo >= MIN_RUN:
-            yield lo, at
-
-
 @dataclass
-class Stretch:
-    """Tokens around one or more runs: starts, ends, and which of them can be tagged."""
+class Tokens:
+    """The tokens of a text: starts, ends and words."""
 
     starts: list[int]
     ends: list[int]
-    can: list[bool]
     words: list[str]
 
 
-def stretches(text: str) -> list[Stretch]:
-    """The parts of a text that need decoding; contexts that overlap become one part."""
-    parts: list[list] = []
-    for lo, hi in _runs(text):
-        a, b = max(0, lo - CONTEXT), min(len(text), hi + CONTEXT)
-        if parts and a < parts[-1][1]:
-            parts[-1][1] = b
-            parts[-1][2].append((lo, hi))
-        else:
-            parts.append([a, b, [(lo, hi)]])
-    out = []
-    for a, b, runs in parts:
-        s = Stretch([], [], [], [])
-        r = 0
-        for m in _TOKEN.finditer(text, a, b):
-            while r < len(runs) and runs[r][1] <= m.start():
-                r += 1
-            s.starts.append(m.start())
-            s.ends.append(m.end())
-            s.can.append(r < len(runs) and runs[r][0] <= m.start())
-            s.words.append(m.group())
-        out.append(s)
-    return out
+def tokens(text: str) -> Tokens:
+    found = list(_TOKEN.finditer(text))
+    return Tokens([m.start() for m in found], [m.end() for m in found], [m.group() for m in found])
 
 
+@functools.lru_cache(1 << 16)
 def _slot(feature: str) -> int:
     return int.from_bytes(hashlib.blake2b(feature.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % DIM
 
@@ -129,23 +94,29 @@ def _shape(w: str) -> list[str]:
     return [f"kind={kinds}", f"len={min(len(w) // 4, 10)}", f"kindlen={kinds}{min(len(w) // 4, 10)}", f"turns={min(turns, 8)}", f"hex={set(w) <= set('0123456789abcdef')}"]
 
 
-def _near(s: Stretch, i: int) -> list[str]:
-    out = []
-    for k in (-3, -2, -1, 1, 2):
-        j = i + k
-        w = s.words[j] if 0 <= j < len(s.words) else "<edge>"
-        if _HINT.search(w):
-            out.append(f"hint{'<' if k < 0 else '>'}")
-        if not w.isalnum():
-            out.append(f"near{k}={w}")
+_NEAR = (-3, -2, -1, 1, 2)
+_EDGE = "<edge>"
+
+
+def _beside(w: str, k: int) -> list[str]:
+    """What a word gives to the token whose neighbour ``k`` it is."""
+    return [f"hint{'<' if k < 0 else '>'}"] * bool(_HINT.search(w)) + [f"near{k}={w}"] * (not w.isalnum())
+
+
+def _near(s: Tokens, i: int) -> list[str]:
+    out = [f for k in _NEAR for f in _beside(s.words[i + k] if 0 <= i + k < len(s.words) else _EDGE, k)]
     if i and s.ends[i - 1] == s.starts[i]:
         out.append("glued")
     return out
 
 
-def _file(text: str, parts: list[Stretch]) -> list[str]:
-    n = sum(sum(s.can) for s in parts)
-    return [f"filesize={len(text).bit_length() // 3}", f"filedense={min(8, (1000 * n // max(1, len(text))).bit_length())}", f"filehint={bool(_HINT.search(text))}"]
+def _file(text: str, n_digit: int) -> list[str]:
+    """Features of the whole text; ``n_digit`` of its tokens hold a digit."""
+    return [f"filesize={len(text).bit_length() // 3}", f"filedense={min(8, (1000 * n_digit // max(1, len(text))).bit_length())}", f"filehint={bool(_HINT.search(text))}"]
+
+
+def _has_digit(w: str) -> bool:
+    return w.isascii() and any(c.isdigit() for c in w)
 
 
 def _made_up(w: str) -> str:
@@ -157,10 +128,10 @@ def _made_up(w: str) -> str:
     return "".join(chars[seed[i % len(seed)] % len(chars)] for i in range(len(w)))
 
 
-def features(text: str, parts: list[Stretch]) -> list[list[np.ndarray | None]]:
-    """Feature slots of every token that can be tagged; None for the others."""
-    whole = [_slot(f) for f in _file(text, parts)] if parts else []
-    return [[np.array([_slot(f) for f in _shape(w) + _near(s, i)] + whole) if s.can[i] else None for i, w in enumerate(s.words)] for s in parts]
+def features(text: str, s: Tokens) -> list[np.ndarray]:
+    """Feature slots of every token."""
+    whole = [_slot(f) for f in _file(text, sum(map(_has_digit, s.words)))]
+    return [np.array([_slot(f) for f in _shape(w) + _near(s, i)] + whole) for i, w in enumerate(s.words)]
 
 
 @dataclass
@@ -169,6 +140,7 @@ class Crf:
 
     unary: np.ndarray
     trans: np.ndarray
+    lookup: Lookup | None = field(default=None, repr=False, compare=False)
 
     def scores(self, feats: list[np.ndarray | None]) -> np.ndarray:
         out = np.full((len(feats), 3), -1e9)
@@ -181,21 +153,86 @@ class Crf:
         return out
 
     def viterbi(self, feats: list[np.ndarray | None]) -> list[int]:
-        u = self.scores(feats)
-        best, back = u[0], []
-        for row in u[1:]:
-            cand = best[:, None] + self.trans
-            back.append(cand.argmax(0))
-            best = cand.max(0) + row
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
+        return self.best_path(self.scores(feats))
+
+    def best_path(self, u: np.ndarray) -> list[int]:
+        """Viterbi over the scores of the tags; inside never follows outside."""
+        (bb, bi, bo), (ib, ii, io), (ob, _, oo) = self.trans.tolist()
+        rows = u.tolist()
+        b, i, o = rows[0]
+        back = []
+        for ub, ui, uo in rows[1:]:
+            fb, to_b = b + bb, B
+            if i + ib > fb:
+                fb, to_b = i + ib, I
+            if o + ob > fb:
+                fb, to_b = o + ob, O
+            fo, to_o = o + oo, O
+            if b + bo > fo:
+                fo, to_o = b + bo, B
+            if i + io > fo:
+                fo, to_o = i + io, I
+            if b + bi >= i + ii:
+                fi, to_i = b + bi, B
+            else:
+                fi, to_i = i + ii, I
+            back.append((to_b, to_i, to_o))
+            b, i, o = fb + ub, fi + ui, fo + uo
+        path = [max((b, B), (i, I), (o, O))[1]]
+        for x in reversed(back):
+            path.append(x[path[-1]])
         return path[::-1]
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
+class Lookup:
+    """Scores of texts under a model: the parts that depend on one word are kept by word."""
+
+    MOST = 1 << 17
+
+    def __init__(self, model: Crf) -> None:
+        self.unary = model.unary
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.table = np.zeros((1 << 10, 3 * (1 + len(_NEAR))))
+        self.space, self.digit = np.zeros(1 << 10, dtype=bool), np.zeros(1 << 10, dtype=bool)
+        self.add(_EDGE)
+
+    def vector(self, names: list[str]) -> np.ndarray:
+        return self.unary[[_slot(f) for f in names]].sum(0) if names else np.zeros(3)
+
+    def add(self, w: str) -> int:
+        k = self.ids[w] = len(self.ids)
+        if k == len(self.table):
+            self.table, self.space, self.digit = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.space, self.digit))
+        self.space[k] = w[0] in " \t\n\x0b\x0c\r"
+        if not self.space[k]:
+            self.table[k] = np.concatenate([self.vector(_shape(w)), *(self.vector(_beside(w, j)) for j in _NEAR)])
+            self.digit[k] = _has_digit(w)
+        return k
+
+    def scores(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and tag scores of the tokens of a text."""
+        pieces = _PIECE.findall(text)
+        if len(self.ids) > self.MOST:
+            self.clear()
+        ids, add = self.ids, self.add
+        w = np.array([ids[p] if p in ids else add(p) for p in pieces], dtype=np.int64)
+        ends = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))
+        token = np.flatnonzero(~self.space[w])
+        n = len(token)
+        starts = ends[token] - np.fromiter((len(pieces[i]) for i in token), dtype=np.int64, count=n)
+        ends = ends[token]
+        edge = np.full(3, ids[_EDGE])
+        rows = self.table[np.concatenate([edge, w[token], edge[:2]])]
+        u = rows[3 : n + 3, :3].copy()
+        for j, k in enumerate(_NEAR):
+            u += rows[3 + k : 3 + k + n, 3 * (j + 1) : 3 * (j + 2)]
+        u[1:][ends[:-1] == starts[1:]] += self.vector(["glued"])
+        u += self.vector(_file(text, int(self.digit[w].sum())))
+        u[:1, I] = -1e9
+        return starts, ends, u
 
 
 def train(sequences: list[tuple[list[np.ndarray | None], list[int]]], rounds: int = 5, rate: float = 0.3, decay: float = 1e-4) -> Crf:
@@ -204,39 +241,57 @@ def train(sequences: list[tuple[list[np.ndarray | None], list[int]]], rounds: in
     m.trans[O, I] = -1e9
     gu, gt = np.full((DIM, 3), 1e-6), np.full((3, 3), 1e-6)
     order = np.random.default_rng(7)
+    packed = [(np.concatenate(feats), np.repeat(np.arange(len(feats)), [len(f) for f in feats]), np.eye(3)[tags]) for feats, tags in sequences]
     for _ in range(rounds):
-        for k in order.permutation(len(sequences)):
-            feats, tags = sequences[k]
-            u = m.scores(feats)
-            n = len(feats)
-            f, b = np.empty((n, 3)), np.zeros((n, 3))
-            f[0] = u[0]
-            for i in range(1, n):
-                f[i] = u[i] + _logsum(f[i - 1][:, None] + m.trans, 0)
-            for i in range(n - 2, -1, -1):
-                b[i] = _logsum(m.trans + u[i + 1] + b[i + 1], 1)
-            z = _logsum(f[-1], 0)
-            p = np.exp(f + b - z)
-            dt = np.zeros((3, 3))
-            for i in range(1, n):
-                dt -= np.exp(f[i - 1][:, None] + m.trans + u[i] + b[i] - z)
-                dt[tags[i - 1], tags[i]] += 1
+        for k in order.permutation(len(packed)):
+            slots, at, gold = packed[k]
+            n = len(gold)
+            u = np.stack([np.bincount(at, m.unary[slots, t], minlength=n) for t in range(3)], axis=1)
+            u[0, I] = -1e9
+            p, pairs = _marginals(u, m.trans)
+            dt = gold[:-1].T @ gold[1:] - pairs
             dt[O, I] = 0.0
             gt += dt**2
             m.trans += rate * dt / np.sqrt(gt)
-            for i, slots in enumerate(feats):
-                if slots is None:
-                    continue
-                d = -p[i]
-                d[tags[i]] += 1
-                if i == 0:
-                    d[I] = 0.0
-                d = d - decay * m.unary[slots]
-                gu[slots] += d**2
-                m.unary[slots] += rate * d / np.sqrt(gu[slots])
+            d = gold - p
+            d[0, I] = 0.0
+            used, place = np.unique(slots, return_inverse=True)
+            g = np.stack([np.bincount(place, d[at, t], minlength=len(used)) for t in range(3)], axis=1) - decay * m.unary[used]
+            gu[used] += g**2
+            m.unary[used] += rate * g / np.sqrt(gu[used])
     return m
 
 
+def _marginals(u: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exact tag marginals of every token, and expected transitions: forward-backward, scaled at each step."""
+    step = np.exp(trans)
+    e = np.exp(u - u.max(1, keepdims=True))
+    (bb, bi, bo), (ib, ii, io), (ob, oi, oo) = step.tolist()
+    rows = e.tolist()
+    x, y, z = rows[0]
+    s = x + y + z
+    x, y, z = x / s, y / s, z / s
+    ahead = [(x, y, z)]
+    for eb, ei, eo in rows[1:]:
+        x, y, z = (x * bb + y * ib + z * ob) * eb, (x * bi + y * ii + z * oi) * ei, (x * bo + y * io + z * oo) * eo
+        s = x + y + z
+        x, y, z = x / s, y / s, z / s
+        ahead.append((x, y, z))
+    x = y = z = 1.0
+    behind = [(x, y, z)]
+    for eb, ei, eo in reversed(rows[1:]):
+        x, y, z = x * eb, y * ei, z * eo
+        x, y, z = bb * x + bi * y + bo * z, ib * x + ii * y + io * z, ob * x + oi * y + oo * z
+        s = x + y + z
+        x, y, z = x / s, y / s, z / s
+        behind.append((x, y, z))
+    f, b = np.array(ahead), np.array(behind[::-1])
+    p = f * b
+    p /= p.sum(1, keepdims=True)
+    joint = f[:-1, :, None] * step * (e[1:] * b[1:])[:, None, :]
+    return p, (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+
+
 def _secret_part(text: str, span: tuple[int, int, str]) -> tuple[int, int]:
     """Of an assignment, the value; the other kinds are secrets as a whole."""
     if span[2] != "assign":
@@ -245,38 +300,41 @@ def _secret_part(text: str, span: tuple[int, int, str]) -> tuple[int, int]:
     return m.start(2), m.end(2)
 
 
-def training_sequences(texts: list[str]) -> list[tuple[list[np.ndarray | None], list[int]]]:
+def training_sequences(texts: list[str]) -> list[tuple[list[np.ndarray], list[int]]]:
     out = []
     for text in texts:
         gold = [_secret_part(text, s) for s in pattern_spans(text)]
-        parts = stretches(text)
-        full = features(text, parts)
-        whole = [_slot(f) for f in _file(text, parts)] if parts else []
-        for k, s in enumerate(parts):
-            tags, before = [], None
-            for i, (a, b) in enumerate(zip(s.starts, s.ends, strict=True)):
-                hit = next((g for g in gold if s.can[i] and g[0] <= a and b <= g[1]), None)
-                tags.append(O if hit is None else I if hit == before else B)
-                before = hit
-            words = [w if t == O else _made_up(w) for w, t in zip(s.words, tags, strict=True)]
-            bare = [np.array([_slot(f) for f in _shape(w)] + whole) if can else None for w, can in zip(words, s.can, strict=True)]
-            out += [(full[k], tags), (bare, tags)]
+        s = tokens(text)
+        tags, before, k = [], None, 0
+        gold.sort()
+        for a, b in zip(s.starts, s.ends, strict=True):
+            while k < len(gold) and gold[k][1] <= a:
+                k += 1
+            hit = next((g for g in itertools.takewhile(lambda g: g[0] <= a, gold[k:]) if b <= g[1]), None)  # noqa: B023
+            tags.append(O if hit is None else I if hit == before else B)
+            before = hit
+        words = [w if t == O else _made_up(w) for w, t in zip(s.words, tags, strict=True)]
+        whole = [_slot(f) for f in _file(text, sum(map(_has_digit, s.words)))]
+        bare = [np.array([_slot(f) for f in _shape(w)] + whole) for w in words]
+        out += [(features(text, s), tags), (bare, tags)]
     return [x for x in out if x[0]]
 
 
 def crf_spans(text: str, model: Crf) -> list[tuple[int, int]]:
-    parts = stretches(text)
+    if model.lookup is None:
+        model.lookup = Lookup(model)
+    starts, ends, u = model.lookup.scores(text)
+    if not len(u):
+        return []
+    tags = np.array(model.best_path(u))
     out: list[tuple[int, int]] = []
-    for s, feats in zip(parts, features(text, parts), strict=True):
-        if not feats:
-            continue
-        open_ = False
-        for i, tag in enumerate(model.viterbi(feats)):
-            if tag == B or (tag == I and not open_):
-                out.append((s.starts[i], s.ends[i]))
-            elif tag == I:
-                out[-1] = (out[-1][0], s.ends[i])
-            open_ = tag != O
+    last = -2
+    for i in np.flatnonzero(tags != O).tolist():
+        if tags[i] == I and last == i - 1:
+            out[-1] = (out[-1][0], int(ends[i]))
+        else:
+            out.append((int(starts[i]), int(ends[i])))
+        last = i
     return [(a, b) for a, b in out if b - a >= MIN_RUN]
 
 
@@ -289,13 +347,17 @@ def all_spans(text: str, model: Crf | None) -> list[tuple[int, int, str]]:
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Crf | None:
-    """Trains on at most ``sample_docs`` documents with a pattern hit (smallest hashed ids first)."""
+    """Trains on at most ``sample_docs`` documents with a pattern hit, and as many of any kind (smallest hashed ids first)."""
     body = F.coalesce(F.col("text"), F.lit(""))
     hit = body.rlike(r"AKIA[A-Z0-9]{12}|[0-9a-f]{32}|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}")
     key = F.col("doc_id").cast("long")
-    able = docs.where(hit & (F.length(body) <= SAMPLE_CHARS) & key.isNotNull())
-    ids = [r.id for r in able.select(key.alias("id")).orderBy(F.xxhash64("id"), "id").limit(sample_docs).collect()]
-    texts = [r.t for r in able.where(key.isin(ids)).select(body.alias("t")).orderBy(F.xxhash64("t"), "t").limit(sample_docs).collect()] if ids else []
+    able = docs.where((F.length(body) <= SAMPLE_CHARS) & key.isNotNull())
+    first = lambda rows: [r.id for r in rows.select(key.alias("id")).orderBy(F.xxhash64("id"), "id").limit(sample_docs).collect()]
+    ids = first(able.where(hit))
+    if not ids:
+        return None
+    ids = sorted({*ids, *first(able)})
+    texts = [r.t for r in able.where(key.isin(ids)).select(body.alias("t")).orderBy(F.xxhash64("t"), "t").limit(2 * sample_docs).collect()]
     sequences = training_sequences(texts)
     return train(sequences) if sequences else None
 
