@@ -184,3 +184,16 @@ def test_pipeline(spark, tmp_path):
     assert one.text == 'password = "[SECRET]"' and one.n_chars == len(one.text)
     assert secrets.redact(spark.createDataFrame([], SCHEMA), None).count() == 0
     assert Counter(n for n, _ in corpus_pipeline.STAGES).most_common(1)[0][1] == 1
+
+
+def test_pipeline_filters_judge_rows_apart(spark):
+    from veredas.llm import decontaminate
+
+    a, b, c = prose(301, 80), prose(302, 80), prose(303, 80)
+    docs = spark.createDataFrame([(7, a), (7, a), (7, b), (None, c), (None, c), (9, b), (3, b), (8, ""), (8, "")], "doc_id long, text string").repartition(3)
+    kept = sorted(((str(r.doc_id), r.text) for r in jaccard.keep_one(docs).collect()))
+    assert kept == sorted([("7", a), ("None", c), ("3", b), ("8", ""), ("8", "")])
+    bench = spark.createDataFrame([(1, " ".join(c.split()[10:30]))], "item_id long, text string")
+    clean = decontaminate.decontaminate_rows(docs.union(spark.createDataFrame([(7, c)], docs.schema)), bench)
+    assert clean.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in clean.collect()) == sorted([("7", a), ("7", a), ("7", b), ("9", b), ("3", b), ("8", ""), ("8", "")])

@@ -140,6 +140,11 @@ def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(side, docs[key].cast("long") == F.col("_gone"), "left_anti")
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of its own for every row, ``_row``; written once, so that the keys hold."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

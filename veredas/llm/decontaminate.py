@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, drop_ids
+from .common import ascii_lower, drop_ids, with_row
 
 WINDOW = 10
 BROADCAST_BYTES = 32 << 20
@@ -102,10 +102,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without those that hold a benchmark window; all columns stay."""
+    """The documents without those that hold a benchmark window; all columns stay.
+
+    Acts by id: rows that share an id with such a document go too, and rows with a null id stay.
+    """
     return drop_ids(docs, contamination(docs, benchmark, window).where("n_hit > 0 and doc_id is not null").select("doc_id"))
 
 
+def decontaminate_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows without those that hold a benchmark window; each is judged alone, whatever its id."""
+    rows = with_row(docs)
+    judged = contamination(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark, window)
+    return drop_ids(rows, judged.where("n_hit > 0").select("doc_id"), "_row").select(docs.columns)
+
+
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, drop_ids, id_text, materialize, mix64, n_parts, offsets_of, text_bytes
+from .common import arrow_schema, drop_ids, id_text, materialize, mix64, n_parts, offsets_of, text_bytes, with_row
 from .components import connected
 from .sharing import collect_slice, shared
 
@@ -196,5 +196,12 @@ def groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The documents without those whose group holds a smaller id; all columns stay."""
-    return drop_ids(docs, groups(docs, threshold).where("component_id < doc_id").select("doc_id"))
+    """One row of each group of near copies: that with the smallest id, null ids last; all columns stay.
+
+    Every row is a node of its own here, so that repeated ids and null ids are judged apart.
+    """
+    rows = with_row(docs)
+    found = materialize(groups(rows.select(F.col("_row").alias("doc_id"), "text"), threshold).select(F.col("doc_id").alias("_row"), "component_id"), "row-groups")
+    ids = rows.select("_row", F.col("doc_id").cast("long").alias("id"))
+    first = found.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("m")).select("m._row")
+    return drop_ids(rows, found.join(first, "_row", "left_anti").select("_row"), "_row").select(docs.columns)
