@@ -5,7 +5,7 @@ import pytest
 
 from veredas.functions import domain
 from veredas.functions.dialect import Duck, Spark
-from veredas.operators import generate, privacy, profilestats, twosample, validate
+from veredas.operators import conditional, generate, privacy, profilestats, twosample, validate
 from veredas.plans import queries, registry  # noqa: F401
 
 D = Spark()
@@ -73,3 +73,13 @@ def test_domain_sizes():
 def test_every_query_has_a_twin():
     assert set(registry.queries()) == set(registry.oracle_sql())
     assert "parquet.`" not in "".join(registry.oracle_sql().values()) and Duck().table("x") == "x"
+
+
+def test_tail_events_cut_by_all_four_keys(spark):
+    row = lambda side, k, age, region, x: (k, side, "A", "E", age, region, float(x))
+    rows = [row("ref", k, 30, "N", 100 + k) for k in range(40)] + [row("ref", k, 30, "S", 9000 + k) for k in range(40)] + [row("ref", k, 70, None, 50 + k) for k in range(30)]
+    rows += [row("ref", k, 20, "N", 10) for k in range(29)]
+    rows += [row("syn", 1, 30, "N", 500), row("syn", 2, 30, "S", 8000), row("syn", 3, 70, None, 200), row("syn", 4, 20, "N", 99999), row("syn", 5, 30, "S", 9500)]
+    build = conditional.tail_events(D, "{t}")
+    got = sql(spark, build, rows, "row_id long, side string, Ocupacao string, Escolaridade string, Idade int, Regiao string, Renda double")
+    assert [(r.row_id, r.Regiao) for r in got] == [(1, "N"), (5, "S"), (3, None)]

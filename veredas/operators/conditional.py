@@ -49,10 +49,12 @@ def plausibility(d: Spark, rel: str, group: str, least: int = 30) -> str:
     return f"SELECT count(*) AS n_groups, round(max(wasserstein), 4) AS max_wasserstein, round(avg(wasserstein), 4) AS mean_wasserstein, max(abs(p95_diff)) AS max_p95_diff, max(abs(p99_diff)) AS max_p99_diff, CAST(sum(CASE WHEN high_tail_excess > 0.1e0 THEN 1 ELSE 0 END) AS BIGINT) AS n_excess FROM ({compare(d, rel, group, least)}) AS t"
 
 
-def tail_events(d: Spark, rel: str, limit: int = 500) -> str:
-    """Synthetic rows above the reference's 99th percentile of their occupation and education: a report of at most ``limit`` rows, groups in order."""
-    cut = f"(SELECT Ocupacao AS o, Escolaridade AS e, {d.quantile('Renda', 0.99)} AS p99 FROM {rel} AS q WHERE side = 'ref' AND Renda IS NOT NULL GROUP BY Ocupacao, Escolaridade)"
-    return f"SELECT row_id, Ocupacao, Escolaridade, Renda, round(p99, 4) AS p99 FROM {rel} AS r JOIN {cut} AS c ON Ocupacao = o AND Escolaridade = e WHERE side = 'syn' AND Renda > p99 ORDER BY Ocupacao, Escolaridade, row_id LIMIT {limit}"
+def tail_events(d: Spark, rel: str, limit: int = 500, least: int = 30) -> str:
+    """Synthetic rows above the reference's 99th percentile of their occupation, education, age band and region, for groups of ``least`` reference rows: a report of at most ``limit`` rows, groups in order."""
+    keys = ("Ocupacao", "Escolaridade", "Faixa_Etaria", "Regiao")
+    cut = f"(SELECT {', '.join(f'{k} AS k{i}' for i, k in enumerate(keys))}, {d.quantile('Renda', 0.99)} AS p99 FROM {banded_sql(rel)} AS q WHERE side = 'ref' GROUP BY {', '.join(keys)} HAVING count(*) >= {least})"
+    on = " AND ".join(f"{k} IS NOT DISTINCT FROM k{i}" for i, k in enumerate(keys))
+    return f"SELECT row_id, {', '.join(keys)}, Renda, round(p99, 4) AS p99 FROM {banded_sql(rel)} AS r JOIN {cut} AS c ON {on} WHERE side = 'syn' AND Renda > p99 ORDER BY {', '.join(f'{k} NULLS LAST' for k in keys)}, row_id LIMIT {limit}"
 
 
 def rank_correlation(d: Spark, rel: str) -> str:
