@@ -108,7 +108,7 @@ _add("documents_duplicates", lambda d: privacy.duplicate_rows(d, f"{d.table('doc
 
 def _nearest(d: Spark) -> str:
     point = lambda s: f"(SELECT o_orderkey AS id, o_totalprice / 500000e0 AS x, CAST(o_custkey AS DOUBLE) / 1500e0 AS y, o_orderpriority AS c FROM {_orders(d)} WHERE side = '{s}')"
-    return privacy.nearest(d, point("ref"), point("syn"), "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + CASE WHEN a.c <> b.c THEN 2e0 ELSE 0e0 END)", 300)
+    return privacy.nearest(d, point("ref"), point("syn"), "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + CASE WHEN a.c <> b.c THEN 2e0 ELSE 0e0 END)")
 
 
 _add("dcr_nndr", _nearest)
