@@ -6,8 +6,8 @@ token's shape, its neighbours and features of the whole text, decoded by
 Viterbi; a tagged span that touches no pattern span is added as kind ``crf``.
 
 Every token of a text can be tagged, with digits or without, and whole texts are decoded. A word's
-part of the scores is looked up by word, so that a text costs a few array operations and one
-pass of Viterbi. Tagged spans of fewer than ``MIN_RUN`` characters are not given back: the
+part of the scores is looked up by its kind (shape, hint, symbol), so that a text costs a few array operations; Viterbi
+runs over the stretches where some path with a tag could win, which is exact. Tagged spans of fewer than ``MIN_RUN`` characters are not given back: the
 patterns ask as much of a value.
 
 The weights are trained here, on the driver, from a bounded sample
@@ -46,6 +46,7 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^\x20\x09-\x0DA-Za-z0-9]")
 _PIECE = re.compile(r"[A-Za-z0-9]+|[\x20\x09-\x0D]+|[^\x20\x09-\x0DA-Za-z0-9]")
+_TURN = re.compile(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
 _HINT = re.compile(r"(?:pass|secret|token|key|auth|cred|bearer|pwd)", re.I | re.A)
 MIN_RUN = 8
 B, I, O = 0, 1, 2  # noqa: E741
@@ -155,6 +156,40 @@ class Crf:
     def viterbi(self, feats: list[np.ndarray | None]) -> list[int]:
         return self.best_path(self.scores(feats))
 
+    def open_runs(self, u: np.ndarray) -> list[tuple[int, int]]:
+        """Runs of tokens outside which every best path is ``outside``.
+
+        Turning a stretch of other tags to ``outside`` changes a path by at most the sum of its tokens' gains, each with
+        the best transition into it, and the best transition back. A token for which no stretch around it has a sum of 0 or more is
+        outside in every best path, so that Viterbi has to run over the others only.
+        """
+        t = self.trans
+        gain = np.maximum(u[:, B] - u[:, O] + t[:, B].max(), u[:, I] - u[:, O] + t[:2, I].max()) - t[O, O]
+        back = max(t[B, O], t[I, O]) - t[O, O]
+        # The borders of a text have one transition less.
+        gain[0] = max(u[0, B], u[0, I]) - u[0, O] - min(0.0, t[O, O])
+        gain[-1] += abs(t).clip(max=1e6)[:, O].max() - min(0.0, back)
+        total = np.cumsum(gain)
+        upto = total - np.minimum.accumulate(np.concatenate([[0.0], total[:-1]]))
+        after = np.maximum.accumulate(total[::-1])[::-1] - total
+        at = np.flatnonzero(upto + after + back >= -1e-6)
+        if not len(at):
+            return []
+        cut = np.flatnonzero(np.diff(at) > 1)
+        return list(zip(at[np.concatenate([[0], cut + 1])].tolist(), (at[np.concatenate([cut, [len(at) - 1]])] + 1).tolist(), strict=True))
+
+    def decode(self, u: np.ndarray) -> np.ndarray:
+        """The best path, by Viterbi over the open runs; a run is closed by outside tokens on both sides."""
+        out = np.full(len(u), O, dtype=np.int8)
+        for lo, hi in self.open_runs(u):
+            first, last = max(lo - 1, 0), min(hi + 1, len(u))
+            part = u[first:last].copy()
+            for k, inner in ((0, lo == 0), (-1, hi == len(u))):
+                if not inner:
+                    part[k, :O] = -1e9
+            out[lo:hi] = self.best_path(part)[lo - first : hi - first]
+        return out
+
     def best_path(self, u: np.ndarray) -> list[int]:
         """Viterbi over the scores of the tags; inside never follows outside."""
         (bb, bi, bo), (ib, ii, io), (ob, _, oo) = self.trans.tolist()
@@ -184,32 +219,52 @@ class Crf:
         return path[::-1]
 
 
+def _kind(w: str) -> tuple:
+    """All that the features of a word depend on: a symbol itself, of other words the shape and whether a hint is in it."""
+    if not w.isascii() or not w.isalnum():
+        return (w,)
+    if w.isalpha():
+        kinds, turns = "u" * (not w.islower()) + "l" * (not w.isupper()), 0
+    elif w.isdigit():
+        kinds, turns = "d", 0
+    else:
+        kinds, turns = "d" + "u" * (w != w.lower()) + "l" * (w != w.upper()), min(len(_TURN.findall(w)), 8)
+    return kinds, min(len(w) // 4, 10), turns, not w.strip("0123456789abcdef"), _HINT.search(w) is not None
+
+
 class Lookup:
-    """Scores of texts under a model: the parts that depend on one word are kept by word."""
+    """Scores of texts under a model: the parts that depend on one word are kept by the word's kind, and the kind by word."""
 
-    MOST = 1 << 17
+    MOST = 1 << 18
 
     def __init__(self, model: Crf) -> None:
         self.unary = model.unary
+        self.glued = self.vector(["glued"])
         self.clear()
 
     def clear(self) -> None:
         self.ids: dict[str, int] = {}
+        self.kinds: dict[tuple, int] = {}
         self.table = np.zeros((1 << 10, 3 * (1 + len(_NEAR))))
         self.space, self.digit = np.zeros(1 << 10, dtype=bool), np.zeros(1 << 10, dtype=bool)
         self.add(_EDGE)
+        self.add(" ")
 
     def vector(self, names: list[str]) -> np.ndarray:
         return self.unary[[_slot(f) for f in names]].sum(0) if names else np.zeros(3)
 
     def add(self, w: str) -> int:
-        k = self.ids[w] = len(self.ids)
-        if k == len(self.table):
-            self.table, self.space, self.digit = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.space, self.digit))
-        self.space[k] = w[0] in " \t\n\x0b\x0c\r"
-        if not self.space[k]:
-            self.table[k] = np.concatenate([self.vector(_shape(w)), *(self.vector(_beside(w, j)) for j in _NEAR)])
-            self.digit[k] = _has_digit(w)
+        kind = (" ",) if w[0] in " \t\n\x0b\x0c\r" else _kind(w)
+        k = self.kinds.get(kind)
+        if k is None:
+            k = self.kinds[kind] = len(self.kinds)
+            if k == len(self.table):
+                self.table, self.space, self.digit = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.space, self.digit))
+            self.space[k] = kind == (" ",)
+            if not self.space[k]:
+                self.table[k] = np.concatenate([self.vector(_shape(w)), *(self.vector(_beside(w, j)) for j in _NEAR)])
+                self.digit[k] = _has_digit(w)
+        self.ids[w] = k
         return k
 
     def scores(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,17 +274,17 @@ class Lookup:
             self.clear()
         ids, add = self.ids, self.add
         w = np.array([ids[p] if p in ids else add(p) for p in pieces], dtype=np.int64)
-        ends = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))
+        lens = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        ends = np.cumsum(lens)
         token = np.flatnonzero(~self.space[w])
         n = len(token)
-        starts = ends[token] - np.fromiter((len(pieces[i]) for i in token), dtype=np.int64, count=n)
-        ends = ends[token]
+        starts, ends = (ends - lens)[token], ends[token]
         edge = np.full(3, ids[_EDGE])
         rows = self.table[np.concatenate([edge, w[token], edge[:2]])]
         u = rows[3 : n + 3, :3].copy()
         for j, k in enumerate(_NEAR):
             u += rows[3 + k : 3 + k + n, 3 * (j + 1) : 3 * (j + 2)]
-        u[1:][ends[:-1] == starts[1:]] += self.vector(["glued"])
+        u[1:][ends[:-1] == starts[1:]] += self.glued
         u += self.vector(_file(text, int(self.digit[w].sum())))
         u[:1, I] = -1e9
         return starts, ends, u
@@ -326,7 +381,7 @@ def crf_spans(text: str, model: Crf) -> list[tuple[int, int]]:
     starts, ends, u = model.lookup.scores(text)
     if not len(u):
         return []
-    tags = np.array(model.best_path(u))
+    tags = model.decode(u)
     out: list[tuple[int, int]] = []
     last = -2
     for i in np.flatnonzero(tags != O).tolist():
@@ -346,19 +401,36 @@ def all_spans(text: str, model: Crf | None) -> list[tuple[int, int, str]]:
     return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+_HIT = r"AKIA[A-Z0-9]{12}|[0-9a-f]{32}|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}"
+#: The sample is sought among this many documents for each one wanted first, then among more.
+SOUGHT = 64
+
+
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Crf | None:
-    """Trains on at most ``sample_docs`` documents with a pattern hit, and as many of any kind (smallest hashed ids first)."""
-    body = F.coalesce(F.col("text"), F.lit(""))
-    hit = body.rlike(r"AKIA[A-Z0-9]{12}|[0-9a-f]{32}|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}")
-    key = F.col("doc_id").cast("long")
-    able = docs.where((F.length(body) <= SAMPLE_CHARS) & key.isNotNull())
-    first = lambda rows: [r.id for r in rows.select(key.alias("id")).orderBy(F.xxhash64("id"), "id").limit(sample_docs).collect()]
-    ids = first(able.where(hit))
-    if not ids:
+    """Trains on at most ``sample_docs`` documents with a pattern hit, and as many of any kind (smallest hashes of id and text first; a repeated row counts once).
+
+    The hash is tested before the patterns and its bound raised until enough documents hit, so that
+    the patterns do not run over the corpus unless hits are rare in it.
+    """
+    body, key = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long")
+    able = docs.select(F.xxhash64(key, body).alias("h"), key.alias("id"), body.alias("t")).where(F.col("id").isNotNull() & (F.length("t") <= SAMPLE_CHARS))
+    hit = F.col("t").rlike(_HIT)
+    total, share = max(1, docs.count()), SOUGHT
+    while True:
+        bound = (1 << 63) - 1 if share * sample_docs >= total else -(1 << 63) + (1 << 64) * share * sample_docs // total
+        some = able.where(F.col("h") <= bound)
+        # Only hashes come to the driver at first; the texts of the chosen rows follow.
+        hits = [r.h for r in some.where(hit).select("h").distinct().orderBy("h").limit(sample_docs).collect()]
+        if len(hits) == sample_docs or bound == (1 << 63) - 1:
+            break
+        share *= 16
+    if not hits:
         return None
-    ids = sorted({*ids, *first(able)})
-    texts = [r.t for r in able.where(key.isin(ids)).select(body.alias("t")).orderBy(F.xxhash64("t"), "t").limit(2 * sample_docs).collect()]
-    sequences = training_sequences(texts)
+    every = [r.h for r in some.select("h").distinct().orderBy("h").limit(sample_docs).collect()]
+    rows = [(r.h, r.id, r.t) for r in some.where((F.col("h") <= every[-1]) | ((F.col("h") <= hits[-1]) & hit)).distinct().collect()]
+    pattern = re.compile(_HIT.replace("(?i:", "(?ai:"))
+    found = sorted(rows)[:sample_docs] + sorted(r for r in rows if pattern.search(r[2]))[:sample_docs]
+    sequences = training_sequences([t for _, _, t in sorted(set(found))])
     return train(sequences) if sequences else None
 
 
