@@ -19,6 +19,8 @@ text; rows with a null id come first.
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import uuid
 import zlib
@@ -31,13 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, id_text, materialize, n_parts, offsets_of, shared_dir, slices, text_bytes
+from .common import arrow_schema, id_text, n_parts, offsets_of, shared_dir, slices, text_bytes
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 SHARD_BYTES = 32 << 20
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 16
 SLICE_BYTES = 1 << 20
+#: Rows that a writer holds before it writes them out: blocks are large, so that the usual 128 MB would be all of a task.
+ROW_GROUP = 4 << 20
 MAGIC = b"VTB1"
 
 
@@ -47,18 +51,126 @@ def default_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+#: Bytes between which a lone space starts a new unit whatever stands around: printable ASCII.
+_PLAIN = np.zeros(256, dtype=bool)
+_PLAIN[0x21:0x7F] = True
+
+
 class Encoder:
-    """The library's encoder, for slices of texts."""
+    """The library's encoder, for slices of texts; every distinct unit of a text is encoded once.
+
+    A unit starts at a space between two printable ASCII characters (and at the start of a text). The
+    byte-level pre-tokenizer always cuts there and tokens never cross its cuts, so that the ids of a text are those of its
+    units in order; the constructor refuses a tokenizer file of another kind. Units are told apart by their bytes. Up to
+    ``MEMO`` units that a slice holds twice or more are remembered with their ids, then the memory starts anew; the others are
+    kept for their slice only.
+    """
+
+    MEMO = 1 << 17
+    CALL_BYTES = 1 << 18
+    TEXT_BYTES = 1 << 12
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already keeps the cores busy
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        """Ids with the end id, as little-endian unsigned 32-bit integers."""
-        return [np.array([*e.ids, end_id], dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        made = json.loads(self.tokenizer.to_str())
+        before = made["pre_tokenizer"] or {}
+        if made["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex") or any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in made["added_tokens"]):
+            raise ValueError("token files need a byte-level tokenizer without a normalizer")
+        #: Bytes of a token: a byte-level token has a character for each.
+        self.n_vocabulary = max(self.tokenizer.get_vocab().values()) + 1
+        self.size = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.n_vocabulary)], dtype=np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.ends = np.zeros(1 << 16, dtype="<u4"), np.zeros(1 << 16, dtype=np.int64)
+        self.n_units = self.n_ids = 0
+
+    def _add(self, into: dict[bytes, int], units: list[bytes], ids: np.ndarray, lens: np.ndarray) -> None:
+        self.ids, self.ends = _grown(self.ids, self.n_ids + len(ids)), _grown(self.ends, self.n_units + len(lens))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.ends[self.n_units : self.n_units + len(lens)] = self.n_ids + np.cumsum(lens)
+        into.update(zip(units, range(self.n_units, self.n_units + len(units)), strict=True))
+        self.n_units, self.n_ids = self.n_units + len(lens), self.n_ids + len(ids)
+
+    def _call(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of some texts, and how many each has."""
+        each = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        lens = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        return np.fromiter(itertools.chain.from_iterable(each), dtype="<u4", count=int(lens.sum())), lens
+
+    def _learn(self, into: dict[bytes, int], new: list[bytes]) -> None:
+        """Encodes units, in calls of bounded size."""
+        # Units between two cuts stay units in a row of such, whose ids the tokens' lengths tell apart.
+        rows = [u for u in new if u[0] == 0x20 and _PLAIN[u[-1]] and len(u) > 1 and _PLAIN[u[1]]]
+        taken = set(rows)
+        for lot in _lots(rows, self.CALL_BYTES):
+            texts = [b"".join(x) for x in _lots(lot, self.TEXT_BYTES)]
+            ids, _ = self._call(texts)
+            cut = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(np.fromiter(map(len, lot), dtype=np.int64, count=len(lot)))) + 1
+            self._add(into, lot, ids, np.diff(cut, prepend=0))
+        for lot in _lots([u for u in new if u not in taken], self.CALL_BYTES):
+            self._add(into, lot, *self._call(lot))
+
+    def _numbers(self, names: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """Numbers of a slice's distinct units in the store of ids; those of several occurrences are kept in it."""
+        known = self.known
+        fresh = [i for i, u in enumerate(names) if u not in known]
+        often = [names[i] for i in fresh if counts[i] > 1]
+        if len(known) + len(often) > self.MEMO:
+            self.forget()
+            known, fresh = self.known, range(len(names))
+            often = [names[i] for i in fresh if counts[i] > 1]
+        self._learn(known, often)
+        held = self.n_units, self.n_ids
+        once: dict[bytes, int] = {}
+        self._learn(once, [names[i] for i in fresh if counts[i] == 1])
+        out = np.fromiter((known[u] if u in known else once[u] for u in names), dtype=np.int64, count=len(names))
+        self.n_units, self.n_ids = held
+        return out
+
+    def encode(self, data: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts laid end to end in ``data`` (text i from at[i] to at[i + 1]): all ids, each text closed by the end id, and the texts' ends among them."""
+        plain, mark = _PLAIN[data], np.zeros(len(data), dtype=bool)
+        mark[1:-1] = (data[1:-1] == 0x20) & plain[:-2] & plain[2:]
+        mark[at[:-1][at[:-1] < at[1:]]] = True
+        starts = np.flatnonzero(mark)
+        bounds = np.append(starts, len(data)).astype(np.int32)
+        units = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        places = np.asarray(units.indices)
+        which = self._numbers(units.dictionary.to_pylist(), np.bincount(places, minlength=len(units.dictionary)))[places]
+        ends = self.ends[which]
+        first = np.where(which > 0, self.ends[np.maximum(which, 1) - 1], 0)
+        size = ends - first
+        # The end id of each text goes before the unit that follows it.
+        n = offsets_of(size)
+        closed = n[np.searchsorted(starts, at[1:])]
+        pick = np.repeat(first - n[:-1], size) + np.arange(n[-1])
+        return np.insert(self.ids[pick], closed, end_id).astype("<u4"), closed + np.arange(1, len(closed) + 1)
+
+
+def _lots(units: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """Cuts a list where its bytes would pass ``most`` (one unit at least)."""
+    lo, size = 0, 0
+    for hi, u in enumerate(units):
+        if size and size + len(u) > most:
+            yield units[lo:hi]
+            lo, size = hi, 0
+        size += len(u)
+    if units:
+        yield units[lo:]
+
+
+def _grown(x: np.ndarray, n: int) -> np.ndarray:
+    """``x`` with room for ``n`` values."""
+    if n <= len(x):
+        return x
+    out = np.zeros(max(n, 2 * len(x)), dtype=x.dtype)
+    out[: len(x)] = x
+    return out
 
 
 def _end_units() -> np.ndarray:
@@ -103,12 +215,23 @@ def unpack(block: bytes) -> np.ndarray:
     return out
 
 
-_RAW = "shard int, block int, at long, doc_ids array<long>, lens array<long>, ids binary"
+def flat(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls end to end, and the rows' bounds in them."""
+    bodies = bodies.cast(pa.binary())
+    at = np.frombuffer(bodies.buffers()[1], dtype=np.int32, count=len(bodies) + 1, offset=4 * bodies.offset).astype(np.int64)
+    data = np.frombuffer(bodies.buffers()[2], dtype=np.uint8)[at[0] : at[-1]] if at[-1] else np.zeros(0, np.uint8)
+    return data, at - at[0]
+
+
+_RAW = "shard int, block int, at long, doc_ids array<long>, lens array<long>, ids binary, freq binary"
 _FILE = "shard int, block int, at long, doc_ids array<long>, lens array<long>, body binary"
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """Blocks of raw ids in doc_id order; ``at``: ids of the shard before the block. Written once."""
+    """Blocks of raw ids in doc_id order; ``at``: ids of the shard before the block. Written once.
+
+    The last row of a task has no block but ``freq``: how often each id stands in the task, by id.
+    """
     texts = id_text(docs)
     n = n_parts(text_bytes(texts), SHARD_BYTES)
     arrow = arrow_schema(_RAW)
@@ -119,26 +242,33 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
             held["encoder"] = Encoder(path)
         encoder, shard = held["encoder"], TaskContext.get().partitionId()
         block, at, ids, lens, parts, size = 0, 0, [], [], [], 0
+        freq = np.zeros(max(encoder.n_vocabulary, end_id + 1), dtype="<i8")
 
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip((shard, block, at, ids, lens, b"".join(parts)), arrow, strict=True)], schema=arrow)
+        def row(*values: object) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(values, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
             for lo, hi in slices(batch.column("body"), SLICE_BYTES):
-                names, bodies = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in ("doc_id", "body"))
-                for name, x in zip(names, encoder.encode([b.decode("utf-8", "replace") for b in bodies], end_id), strict=True):
+                names, bodies = (batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "body"))
+                found, ends = encoder.encode(*flat(bodies), end_id)
+                freq += np.bincount(found, minlength=len(freq))
+                for name, a, b in zip(names.to_pylist(), [0, *ends.tolist()], ends.tolist(), strict=False):
                     ids.append(name)
-                    lens.append(len(x) // 4)
-                    parts.append(x)
-                    size += len(x) // 4
+                    lens.append(b - a)
+                    parts.append(found[a:b])
+                    size += b - a
                     if size >= BLOCK_IDS:
-                        yield flush()
+                        yield row(shard, block, at, ids, lens, np.concatenate(parts).astype("<u4").tobytes(), None)
                         block, at, ids, lens, parts, size = block + 1, at + size, [], [], [], 0
         if ids:
-            yield flush()
+            yield row(shard, block, at, ids, lens, np.concatenate(parts).astype("<u4").tobytes(), None)
+        if freq.any():
+            yield row(shard, None, None, None, None, None, freq.tobytes())
 
     dealt = texts.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "body")
-    return materialize(dealt.mapInArrow(run, _RAW), "token-ids")
+    out = f"{shared_dir(docs.sparkSession).rstrip('/')}/veredas/token-ids-{uuid.uuid4().hex}"
+    dealt.mapInArrow(run, _RAW).write.option("parquet.block.size", ROW_GROUP).parquet(out)
+    return docs.sparkSession.read.schema(_RAW).parquet(out)
 
 
 def ranks(raw: DataFrame) -> np.ndarray:
@@ -148,14 +278,13 @@ def ranks(raw: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for x in batch.column("ids").to_pylist():
-                c = np.bincount(np.frombuffer(x, dtype="<u4"), minlength=len(total))
-                c[: len(total)] += total
-                total = c
+            for x in batch.column("freq"):
+                more = np.frombuffer(x.as_py(), dtype="<i8")
+                total = more + np.concatenate([total, np.zeros(len(more) - len(total), np.int64)])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], schema=arrow)
 
-    counts = raw.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = raw.where("freq is not null").select("freq").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return np.array([r.id for r in counts.orderBy(F.desc("n"), "id").select("id").collect()], dtype=np.uint32)
 
 
@@ -191,7 +320,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
                 body = pack(rank_of[np.frombuffer(row.column("ids")[0].as_py(), dtype="<u4")])
                 yield pa.RecordBatch.from_arrays([*(row.column(c) for c in ("shard", "block", "at", "doc_ids", "lens")), pa.array([body], type=pa.binary())], schema=arrow)
 
-    raw.mapInArrow(code, _FILE).write.parquet(files.blocks)
+    blocks = raw.where("block is not null").drop("freq")
+    blocks.mapInArrow(code, _FILE).write.option("parquet.block.size", ROW_GROUP).parquet(files.blocks)
     spark.createDataFrame([(r, int(i)) for r, i in enumerate(by_rank)], "rank long, id long").coalesce(1).write.parquet(files.table)
     return files
 
@@ -209,12 +339,13 @@ def read(spark: SparkSession, files: TokenFiles) -> DataFrame:
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = by_rank[unpack(row["body"])]
-                at = offsets_of(np.array(row["lens"], dtype=np.int64))
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                ids = by_rank[unpack(row["body"].as_py())]
+                at = offsets_of(np.asarray(row["lens"].values))
                 each = [ids[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
-                first = starts[row["shard"]] + row["at"]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], type=pa.int64()), pa.array(first + at[:-1]), pa.array(np.diff(at)), pa.array(each, type=pa.binary())], schema=arrow)
+                first = starts[row["shard"].as_py()] + row["at"].as_py()
+                yield pa.RecordBatch.from_arrays([row["doc_ids"].values.cast(pa.int64()), pa.array(first + at[:-1]), pa.array(np.diff(at)), pa.array(each, type=pa.binary())], schema=arrow)
 
     return blocks.mapInArrow(back, "doc_id long, start long, n_tokens long, ids binary")
 
