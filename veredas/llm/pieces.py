@@ -8,7 +8,7 @@ spelled in byte pieces.
 
 Forward Viterbi costs of all lattice nodes are exact heuristics for a backward A-star
 search, which hence pops complete segmentations in order of their cost. No piece holds a
-space mark after another character, nor a line feed (pieces that do are left out), so a lattice falls apart into
+space mark after another character, nor a line feed (a vocabulary with such a piece is refused), so a lattice falls apart into
 units between those places, and the N best of a text come from at most N - 1 units: those whose
 second-best segmentation costs the least more. Only these are searched; all other
 units take their best one.
@@ -21,10 +21,12 @@ empty text. A text that itself holds U+2581 decodes with a space in its place
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import re
 import zlib
 from array import array
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -110,7 +112,9 @@ class Pieces:
             t = m.id_to_piece(i)
             if m.is_byte(i):
                 byte_ids[int(t[3:-1], 16)] = i
-            elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)) and _MARK not in t.lstrip(_MARK) and "\n" not in t:
+            elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
+                if _MARK in t.lstrip(_MARK) or "\n" in t:
+                    raise ValueError(f"piece {i} holds a space after another character or a line feed: lattices would not fall apart into units")
                 texts.append(t)
                 ids.append(i)
                 ranks.append(-int(m.get_score(i)))
@@ -270,7 +274,7 @@ class Pieces:
 def segment(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFrame:
     """Per document: doc_id, n_pieces, ids (best; 16-bit little-endian), n_best (score, n_pieces, ids_crc32) and round_trip.
 
-    One narrow pass without a shuffle; a task remembers the units that it has met (MEMO_UNITS, then afresh).
+    One narrow pass without a shuffle; a task remembers the units that a slice held twice or more (MEMO_UNITS, then afresh).
     """
     path = path or default_path()
     held: dict = {}
@@ -283,13 +287,18 @@ def segment(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFr
         if len(p.memo) > MEMO_UNITS:
             p.memo.clear()
         texts = [b.decode("utf-8", "replace") for b in bodies]
-        p.learn(list({u for t in texts for u in units_of(t)}.difference(p.memo)))
+        met = Counter(itertools.chain.from_iterable(map(units_of, texts)))
+        p.learn([u for u in met if u not in p.memo])
         for text in texts:
             ways = p.encode(text, n)
             out["n_pieces"].append(len(ways[0][1]) // 2)
             out["ids"].append(ways[0][1])
             out["n_best"].append([{"score": -c / SCALE, "n_pieces": len(x) // 2, "ids_crc32": zlib.crc32(x)} for c, x in ways])
             out["round_trip"].append(p.decode(ways[0][1]) == text)
+        # A unit that this slice held once is let go: most of them never come again.
+        for u, k in met.items():
+            if k == 1:
+                p.memo.pop(u, None)
         return out
 
     return map_rows(id_text(docs), rows, "doc_id long, n_pieces long, ids binary, n_best array<struct<score: double, n_pieces: long, ids_crc32: long>>, round_trip boolean", slice_bytes=1 << 20)

@@ -31,11 +31,11 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_rows
+from .common import id_text, map_rows, slices
 
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 1 << 17
@@ -235,7 +235,7 @@ def _kind(w: str) -> tuple:
 class Lookup:
     """Scores of texts under a model: the parts that depend on one word are kept by the word's kind, and the kind by word."""
 
-    MOST = 1 << 18
+    MOST = 1 << 16
 
     def __init__(self, model: Crf) -> None:
         self.unary = model.unary
@@ -460,8 +460,11 @@ def redact(docs: DataFrame, model: Crf | None, mark: str = "[SECRET]") -> DataFr
     Of an assignment only the value goes. Runs beside the row, without a shuffle.
     """
 
-    @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None else redact_text(t, model, mark))
+    @F.arrow_udf("string")
+    def masked(texts: pa.Array) -> pa.Array:
+        done = []
+        for lo, hi in slices(texts, 1 << 20):
+            done.append(pa.array([t if t is None else redact_text(t, model, mark) for t in texts.slice(lo, hi - lo).to_pylist()], type=pa.string()))
+        return pa.concat_arrays(done) if done else pa.array([], type=pa.string())
 
     return docs.withColumn("text", masked(F.col("text")))
