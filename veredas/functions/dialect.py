@@ -6,6 +6,25 @@ the same definition runs on Spark and is checked by DuckDB.
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterable
+
+
+def _composed() -> list[tuple[str, str]]:
+    """Decomposed and composed spellings of the Latin letters below U+0180, and of the three signs that stand for a letter."""
+    pairs = [(unicodedata.normalize("NFD", chr(c)), chr(c)) for c in range(0xC0, 0x180)]
+    return [p for p in pairs if len(p[0]) == 2] + [(chr(c), unicodedata.normalize("NFC", chr(c))) for c in (0x212A, 0x212B, 0x2126)]
+
+
+COMPOSED = _composed()
+#: A combining mark or one of the three signs.
+MARKED = f"[{chr(0x300)}-{chr(0x36F)}{chr(0x212A)}{chr(0x212B)}{chr(0x2126)}]"
+
+
+def _listed(values: Iterable[str]) -> str:
+    """An array literal of texts without a comma, short to parse."""
+    return f"split({literal(','.join(values))}, ',')"
+
 
 class Spark:
     """Spark SQL (ANSI mode)."""
@@ -47,9 +66,44 @@ class Spark:
         d = f"coalesce(CAST(try_to_timestamp({text}, 'yyyy-MM-dd') AS DATE), CAST(try_to_timestamp({text}, 'dd/MM/yyyy') AS DATE))"
         return f"(year(DATE'{reference}') - year({d}) - CASE WHEN date_format(DATE'{reference}', 'MMdd') < date_format({d}, 'MMdd') THEN 1 ELSE 0 END)"
 
+    def fixed(self, source: str, columns: dict[str, str]) -> str:
+        """``source`` with new columns that are computed once a row.
+
+        A generated row of one struct: the optimiser moves no predicate or expression of the columns through
+        it, where it would put the whole definition of a column into every condition on it.
+        """
+        cells = ", ".join(f"'{c}', {e}" for c, e in columns.items())
+        return f"(SELECT * FROM {source} LATERAL VIEW inline(array(named_struct({cells}))) fixed AS {', '.join(columns)})"
+
     def explode(self, items: list[str], alias: str) -> str:
         return f"explode(array({', '.join(items)})) AS {alias}"
 
+    def nfc(self, x: str) -> str:
+        """``x`` with a Latin letter and its combining mark as one character; texts without marks pass untouched."""
+        return f"CASE WHEN {x} RLIKE '{MARKED}' THEN aggregate(arrays_zip({_listed(a for a, _ in COMPOSED)}, {_listed(b for _, b in COMPOSED)}), {x}, (t, p) -> replace(t, p.`0`, p.`1`)) ELSE {x} END"
+
+    def spelled(self, x: str, table: dict[str, str]) -> str:
+        """The table's value for a key, else the key itself; ``x`` is computed once."""
+        return f"transform(array({x}), v -> coalesce(element_at(map_from_arrays({_listed(table)}, {_listed(table.values())}), v), v))[0]"
+
+    def listed(self, items: list[str]) -> str:
+        return f"array({', '.join(items)})"
+
+    def index(self, place: int) -> int:
+        """How brackets count the given place (from 1)."""
+        return place - 1
+
+    def sliced(self, x: str, first: int, n: int) -> str:
+        return f"slice({x}, {first}, {n})"
+
+    def first_largest(self, x: str) -> str:
+        """What brackets take for the place of the first of the largest elements."""
+        return f"CAST(array_position({x}, array_max({x})) - 1 AS INT)"
+
+    def list_total(self, x: str) -> str:
+        """The sum of a list."""
+        return f"aggregate({x}, 0e0, (a, v) -> a + v)"
+
     def joined(self, x: str) -> str:
         """Sorted distinct strings of a group, comma-joined."""
         return f"array_join(array_sort(collect_set({x})), ',')"
@@ -103,9 +157,33 @@ class Duck(Spark):
         d = f"coalesce(try_strptime({text}, '%Y-%m-%d'), try_strptime({text}, '%d/%m/%Y'))"
         return f"CAST(year(DATE '{reference}') - year({d}) - CASE WHEN strftime(DATE '{reference}', '%m%d') < strftime({d}, '%m%d') THEN 1 ELSE 0 END AS INT)"
 
+    def fixed(self, source: str, columns: dict[str, str]) -> str:
+        return f"(SELECT *, {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM {source})"
+
     def explode(self, items: list[str], alias: str) -> str:
         return f"unnest([{', '.join(items)}]) AS {alias}"
 
+    def nfc(self, x: str) -> str:
+        return f"nfc_normalize({x})"
+
+    def spelled(self, x: str, table: dict[str, str]) -> str:
+        return f"coalesce({lookup(x, table)}, {x})"
+
+    def listed(self, items: list[str]) -> str:
+        return f"[{', '.join(items)}]"
+
+    def index(self, place: int) -> int:
+        return place
+
+    def sliced(self, x: str, first: int, n: int) -> str:
+        return f"list_slice({x}, {first}, {first + n - 1})"
+
+    def first_largest(self, x: str) -> str:
+        return f"list_position({x}, list_max({x}))"
+
+    def list_total(self, x: str) -> str:
+        return f"list_sum({x})"
+
     def joined(self, x: str) -> str:
         return f"array_to_string(list_sort(list(DISTINCT {x})), ',')"
 

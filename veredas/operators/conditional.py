@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from veredas.functions.dialect import Spark
 
-from .twosample import distances_sql, income_band
+from .ranks import counted, finite, group_quantiles, quantile, ranked, settled, share_above, share_below, stats
+from .twosample import income_band
 
+# The groupings of the conditional reports.
 GROUPINGS = {
     "ocupacao": ("Ocupacao",),
     "ocupacao_escolaridade": ("Ocupacao", "Escolaridade"),
@@ -13,55 +15,94 @@ GROUPINGS = {
     "ocupacao_regiao": ("Ocupacao", "Regiao"),
     "ocupacao_escolaridade_faixa_etaria": ("Ocupacao", "Escolaridade", "Faixa_Etaria"),
 }
-STATS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+KEYS = ("Ocupacao", "Escolaridade", "Faixa_Etaria", "Regiao")
+#: The quantiles of the summary.
+STATS = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+_SIDES = {"r": "CASE WHEN side = 'ref' THEN 1 ELSE 0 END", "s": "CASE WHEN side = 'syn' THEN 1 ELSE 0 END"}
 
 
 def banded_sql(rel: str) -> str:
-    return f"(SELECT *, {income_band('Idade')} AS Faixa_Etaria FROM {rel} WHERE Renda IS NOT NULL)"
+    """Rows with a finite income, with their age band."""
+    return f"(SELECT *, {income_band('Idade')} AS Faixa_Etaria FROM {rel} AS banded WHERE {finite('CAST(Renda AS DOUBLE)')})"
+
+
+def _grouping_name() -> str:
+    return "CASE " + " ".join(f"WHEN {' AND '.join(f'grouping({k}) = {int(k not in g)}' for k in KEYS)} THEN '{n}'" for n, g in GROUPINGS.items()) + " END"
+
+
+def _grouped(rel: str, extra: dict[str, str], counts: dict[str, str]) -> str:
+    """Ranked incomes of every group of all five groupings, by grouping sets: the rows are read once."""
+    lead = "".join(f"{e}, " for e in extra.values())
+    sets = ", ".join(f"({lead}{', '.join(g)}, CAST(Renda AS DOUBLE))" for g in GROUPINGS.values())
+    keys = {**extra, "grouping_name": _grouping_name(), **{k: k for k in KEYS}}
+    return ranked(counted(banded_sql(rel), keys, "Renda", counts, f"GROUPING SETS ({sets})"), keys, counts)
 
 
 def summary(d: Spark, rel: str, least: int = 30) -> str:
-    """Seventeen statistics per side and group of all five groupings, by grouping sets: the rows are read once. Tails are strict."""
-    keys = ("Ocupacao", "Escolaridade", "Faixa_Etaria", "Regiao")
-    sets = ", ".join(f"(side, {', '.join(g)})" for g in GROUPINGS.values())
-    name = "CASE " + " ".join(f"WHEN {' AND '.join(f'grouping({k}) = {int(k not in g)}' for k in keys)} THEN '{n}'" for n, g in GROUPINGS.items()) + " END"
-    qs = ", ".join(f"round({d.quantile('Renda', q)}, 2) AS p{int(100 * q):02d}" for q in STATS)
-    return f"""SELECT side, {name} AS grouping_name, {', '.join(keys)}, count(*) AS n, round(avg(Renda), 2) AS mean, round(stddev_samp(Renda), 2) AS std, min(Renda) AS lo, max(Renda) AS hi, {qs}
-      FROM {banded_sql(rel)} AS b GROUP BY GROUPING SETS ({sets}) HAVING count(*) >= {least}"""
+    """Seventeen statistics per side and group of all five groupings with enough rows. Tails are strict."""
+    t = stats()
+    cells = [f"{t['n']} AS n", f"{settled(t['mean'])} AS mean", f"{settled(t['std'])} AS std", "min(x) AS lo", "max(x) AS hi"]
+    cells += [f"{settled(quantile('n', q))} AS {name}" for name, q in STATS.items()]
+    cells += [f"round({quantile('n', 0.75)} - {quantile('n', 0.25)}, 6) AS iqr", f"round({quantile('n', 0.95)}, 6) AS upper_threshold", f"round({quantile('n', 0.05)}, 6) AS lower_threshold"]
+    cells += [f"{settled(share_above('n', 0.95))} AS upper_rate", f"{settled(share_below('n', 0.05))} AS lower_rate"]
+    return f"SELECT side, grouping_name, {', '.join(KEYS)}, {', '.join(cells)} FROM {_grouped(rel, {'side': 'side'}, {'n': '1'})} AS g GROUP BY side, grouping_name, {', '.join(KEYS)} HAVING sum(n) >= {least}"
 
 
 def tail_rates(d: Spark, rel: str, group: str, least: int = 30) -> str:
     """Shares of a group's rows beyond its own 95th and 5th percentile."""
-    cut = f"(SELECT side, {group} AS g, {d.quantile('Renda', 0.95)} AS hi, {d.quantile('Renda', 0.05)} AS lo FROM {rel} AS q WHERE Renda IS NOT NULL GROUP BY side, {group} HAVING count(*) >= {least})"
-    return f"SELECT c.side, c.g AS grp, count(*) AS n, round(avg(CASE WHEN Renda > hi THEN 1e0 ELSE 0e0 END), 6) AS high_tail, round(avg(CASE WHEN Renda < lo THEN 1e0 ELSE 0e0 END), 6) AS low_tail FROM {rel} AS r JOIN {cut} AS c ON r.side = c.side AND r.{group} = c.g WHERE Renda IS NOT NULL GROUP BY c.side, c.g"
-
-
-def compare(d: Spark, rel: str, group: str, least: int = 30) -> str:
-    """Per group with enough rows on both sides: Wasserstein, KS, quantile differences, and the synthetic excess over the reference's 95th percentile."""
-    q = lambda s, p: d.quantile(f"CASE WHEN side = '{s}' THEN Renda END", p)
-    cut = f"(SELECT {group} AS g, {', '.join(f'{q(s, p)} AS {s}{int(100 * p)}' for s in ('ref', 'syn') for p in (0.5, 0.95, 0.99))} FROM {rel} AS q WHERE Renda IS NOT NULL GROUP BY {group} HAVING sum(CASE WHEN side = 'ref' THEN 1 ELSE 0 END) >= {least} AND sum(CASE WHEN side = 'syn' THEN 1 ELSE 0 END) >= {least})"
-    excess = f"(SELECT c.g, avg(CASE WHEN r.Renda > c.ref95 THEN 1e0 ELSE 0e0 END) - 0.05e0 AS excess FROM {rel} AS r JOIN {cut} AS c ON r.{group} = c.g WHERE r.side = 'syn' AND r.Renda IS NOT NULL GROUP BY c.g)"
-    return f"""SELECT w.grp, round(wasserstein, 4) AS wasserstein, round(ks, 6) AS ks, round(syn50 - ref50, 4) AS median_diff, round(syn95 - ref95, 4) AS p95_diff, round(syn99 - ref99, 4) AS p99_diff, round(excess, 6) AS high_tail_excess
-      FROM {distances_sql(d, rel, group, 'Renda')} AS w JOIN {cut} AS c ON w.grp = c.g JOIN {excess} AS e ON w.grp = e.g"""
+    r = ranked(counted(rel, {"side": "side", "grp": group}, "Renda", {"n": "1"}), ["side", "grp"], ["n"])
+    return f"SELECT side, grp, CAST(sum(n) AS BIGINT) AS n, {settled(share_above('n', 0.95))} AS high_tail, {settled(share_below('n', 0.05))} AS low_tail FROM {r} AS r GROUP BY side, grp HAVING sum(n) >= {least}"
+
+
+def comparison_sql(rel: str, least: int = 30) -> str:
+    """Per group of all five groupings with enough rows on both sides: Wasserstein, quantile differences, and the synthetic excess over the reference's 95th percentile (unrounded)."""
+    names = ("grouping_name", *KEYS)
+    sets = ", ".join(f"(side, {', '.join(g)}, CAST(Renda AS DOUBLE))" for g in GROUPINGS.values())
+    vals = counted(banded_sql(rel), {"side": "side", "grouping_name": _grouping_name(), **{k: k for k in KEYS}}, "Renda", {"n": "1"}, f"GROUPING SETS ({sets})")
+    cells = ", ".join(f"{quantile('n', q)} AS {name}" for name, q in STATS.items())
+    sums = f"(SELECT side, {', '.join(names)}, CAST(sum(n) AS BIGINT) AS n, {cells} FROM {ranked('vals', ['side', *names], ['n'])} AS g GROUP BY side, {', '.join(names)} HAVING sum(n) >= {least})"
+    one = lambda c, s: f"max(CASE WHEN side = '{s}' THEN {c} END)"
+    cut = f"(SELECT {', '.join(names)}, {', '.join(f'{one(c, s)} AS {s}_{c}' for s in ('ref', 'syn') for c in ('n', 'median', 'p95', 'p99'))} FROM {sums} AS q GROUP BY {', '.join(names)} HAVING count(*) = 2)"
+    sided = f"(SELECT {', '.join(names)}, x, sum(CASE WHEN side = 'ref' THEN n ELSE 0e0 END) AS r, sum(CASE WHEN side = 'syn' THEN n ELSE 0e0 END) AS s FROM vals AS v GROUP BY {', '.join(names)}, x)"
+    gap = "abs((r_before + r) / nullif(r_all, 0) - (s_before + s) / nullif(s_all, 0))"
+    on = " AND ".join(f"w.{k} IS NOT DISTINCT FROM c.{k}" for k in names)
+    cols = ", ".join(f"c.{k}" for k in names)
+    fixed = ", ".join(f"max(c.{s}_{c}) AS {s}_{c}" for s in ("ref", "syn") for c in ("n", "median", "p95", "p99"))
+    return f"(WITH vals AS {vals} SELECT {cols}, {fixed}, sum({gap} * coalesce(nx - x, 0)) AS wasserstein, max({gap}) AS ks, sum(CASE WHEN x > c.ref_p95 THEN s ELSE 0 END) / max(s_all) - 0.05e0 AS excess FROM {ranked(sided, names, ['r', 's'])} AS w JOIN {cut} AS c ON {on} GROUP BY {cols})"
+
+
+def compare(d: Spark, rel: str, least: int = 30) -> str:
+    return f"""SELECT grouping_name, {', '.join(KEYS)}, ref_n, syn_n, {settled('wasserstein')} AS wasserstein, {settled('ks')} AS ks, {settled('syn_median - ref_median')} AS median_diff, {settled('syn_p95 - ref_p95')} AS p95_diff, {settled('syn_p99 - ref_p99')} AS p99_diff, {settled('excess')} AS high_tail_excess
+      FROM {comparison_sql(rel, least)} AS t"""
+
+
+def rank_sql(rel: str) -> str:
+    """The Spearman correlation of the occupations' median incomes on both sides (null below two common ones), and the share of the reference's occupations that both have."""
+    q = group_quantiles(rel, {"side": "side", "Ocupacao": "Ocupacao"}, "Renda", {"m": 0.5})
+    med = f"(SELECT Ocupacao, max(CASE WHEN side = 'ref' THEN m END) AS r, max(CASE WHEN side = 'syn' THEN m END) AS s FROM {q} AS q WHERE Ocupacao IS NOT NULL GROUP BY Ocupacao)"
+    # One row an occupation: the windows over them are small.
+    rank = lambda x: f"(rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2e0)"
+    common = f"(SELECT {rank('r')} AS a, {rank('s')} AS b FROM {med} AS m WHERE r IS NOT NULL AND s IS NOT NULL)"
+    return f"(SELECT n_common, n_ref, CASE WHEN n_common > 1 THEN spearman END AS spearman, n_common / CAST(greatest(n_ref, 1) AS DOUBLE) AS coverage FROM (SELECT count(*) AS n_common, corr(a, b) AS spearman FROM {common} AS c) AS c CROSS JOIN (SELECT count(r) AS n_ref FROM {med} AS m) AS n)"
 
 
-def plausibility(d: Spark, rel: str, group: str, least: int = 30) -> str:
-    return f"SELECT count(*) AS n_groups, round(max(wasserstein), 4) AS max_wasserstein, round(avg(wasserstein), 4) AS mean_wasserstein, max(abs(p95_diff)) AS max_p95_diff, max(abs(p99_diff)) AS max_p99_diff, CAST(sum(CASE WHEN high_tail_excess > 0.1e0 THEN 1 ELSE 0 END) AS BIGINT) AS n_excess FROM ({compare(d, rel, group, least)}) AS t"
+def plausibility(d: Spark, rel: str, least: int = 30, limit: int = 500) -> str:
+    """The summary of the comparisons of all groups, with the rank correlation and the number of tail events."""
+    return f"""SELECT n_groups, max_wasserstein, mean_wasserstein, max_p95_diff, max_p99_diff, n_excess, round(k.spearman, 6) AS rank_correlation, e.n_events FROM (
+      SELECT count(*) AS n_groups, round(max(wasserstein), 4) AS max_wasserstein, round(avg(wasserstein), 4) AS mean_wasserstein, round(max(abs(syn_p95 - ref_p95)), 4) AS max_p95_diff, round(max(abs(syn_p99 - ref_p99)), 4) AS max_p99_diff, CAST(sum(CASE WHEN excess > 0.1e0 THEN 1 ELSE 0 END) AS BIGINT) AS n_excess FROM {comparison_sql(rel, least)} AS t) AS t
+      CROSS JOIN {rank_sql(rel)} AS k CROSS JOIN (SELECT count(*) AS n_events FROM ({tail_events(d, rel, limit, least)}) AS t) AS e"""
 
 
 def tail_events(d: Spark, rel: str, limit: int = 500, least: int = 30) -> str:
     """Synthetic rows above the reference's 99th percentile of their occupation, education, age band and region, for groups of ``least`` reference rows: a report of at most ``limit`` rows, groups in order."""
-    keys = ("Ocupacao", "Escolaridade", "Faixa_Etaria", "Regiao")
-    cut = f"(SELECT {', '.join(f'{k} AS k{i}' for i, k in enumerate(keys))}, {d.quantile('Renda', 0.99)} AS p99 FROM {banded_sql(rel)} AS q WHERE side = 'ref' GROUP BY {', '.join(keys)} HAVING count(*) >= {least})"
-    on = " AND ".join(f"{k} IS NOT DISTINCT FROM k{i}" for i, k in enumerate(keys))
-    return f"SELECT row_id, {', '.join(keys)}, Renda, round(p99, 4) AS p99 FROM {banded_sql(rel)} AS r JOIN {cut} AS c ON {on} WHERE side = 'syn' AND Renda > p99 ORDER BY {', '.join(f'{k} NULLS LAST' for k in keys)}, row_id LIMIT {limit}"
+    known = f"(SELECT * FROM {banded_sql(rel)} AS b WHERE side = 'ref')"
+    cut = f"(SELECT {', '.join(f'{k} AS k{i}' for i, k in enumerate(KEYS))}, p99 FROM {group_quantiles(known, {k: k for k in KEYS}, 'Renda', {'p99': 0.99})} AS q WHERE n >= {least})"
+    on = " AND ".join(f"{k} IS NOT DISTINCT FROM k{i}" for i, k in enumerate(KEYS))
+    return f"SELECT row_id, {', '.join(KEYS)}, Renda, round(p99, 4) AS p99 FROM {banded_sql(rel)} AS r JOIN {cut} AS c ON {on} WHERE side = 'syn' AND Renda > p99 ORDER BY {', '.join(f'{k} NULLS LAST' for k in KEYS)}, row_id LIMIT {limit}"
 
 
 def rank_correlation(d: Spark, rel: str) -> str:
-    """Spearman correlation of the occupations' median incomes on both sides, and how many of them both have."""
-    med = f"(SELECT Ocupacao, {d.quantile('''CASE WHEN side = 'ref' THEN Renda END''', 0.5)} AS r, {d.quantile('''CASE WHEN side = 'syn' THEN Renda END''', 0.5)} AS s FROM {rel} AS q WHERE Renda IS NOT NULL GROUP BY Ocupacao)"
-    rank = lambda x: f"(rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2e0)"
-    return f"SELECT count(*) AS n_common, round(corr(a, b), 6) AS spearman FROM (SELECT {rank('r')} AS a, {rank('s')} AS b FROM {med} AS m WHERE r IS NOT NULL AND s IS NOT NULL) AS t"
+    return f"SELECT n_common, round(coverage, 6) AS coverage, round(spearman, 6) AS spearman FROM {rank_sql(rel)} AS r"
 
 
 # Occupations whose incomes are compared in pairs.
@@ -70,35 +111,87 @@ PAIRS = (("Médico", "Atendente"), ("Engenheiro", "Serviços Gerais"), ("Gerente
 
 def income_by_occupation(d: Spark, rel: str, enough: int = 20) -> str:
     """Per occupation; this report's deviation is of the population."""
-    return f"SELECT Ocupacao, count(*) AS n, round(avg(Renda), 4) AS mean, round({d.median('Renda')}, 4) AS median, round(stddev_pop(Renda), 4) AS std, min(Renda) AS lo, max(Renda) AS hi, count(*) >= {enough} AS sufficient FROM {rel} AS r WHERE Renda IS NOT NULL GROUP BY Ocupacao"
+    r = ranked(counted(rel, {"Ocupacao": "Ocupacao"}, "Renda", {"n": "1"}), ["Ocupacao"], ["n"])
+    std = "sqrt(greatest(sum(x * x * n) / sum(n) - (sum(x * n) / sum(n)) * (sum(x * n) / sum(n)), 0e0))"
+    return f"SELECT Ocupacao, CAST(sum(n) AS BIGINT) AS n, {settled('sum(x * n) / sum(n)')} AS mean, {settled(quantile('n', 0.5))} AS median, {settled(std, 5)} AS std, min(x) AS lo, max(x) AS hi, sum(n) >= {enough} AS sufficient FROM {r} AS r GROUP BY Ocupacao"
 
 
 def income_pairs(d: Spark, rel: str) -> str:
     """Difference of the means of fixed pairs of occupations, and whether their ranges overlap."""
     g = f"(SELECT Ocupacao, avg(Renda) AS mean, min(Renda) AS lo, max(Renda) AS hi FROM {rel} AS r WHERE Renda IS NOT NULL GROUP BY Ocupacao)"
-    return f"SELECT p.a, p.b, round(x.mean - y.mean, 4) AS mean_difference, x.lo <= y.hi AND y.lo <= x.hi AS overlap FROM {d.values(list(PAIRS), 'a, b')} AS p LEFT JOIN {g} AS x ON p.a = x.Ocupacao LEFT JOIN {g} AS y ON p.b = y.Ocupacao"
+    return f"SELECT p.a, p.b, {settled('x.mean - y.mean', 5)} AS mean_difference, x.lo <= y.hi AND y.lo <= x.hi AS overlap FROM {d.values(list(PAIRS), 'a, b')} AS p LEFT JOIN {g} AS x ON p.a = x.Ocupacao LEFT JOIN {g} AS y ON p.b = y.Ocupacao"
+
+
+def versions_sql(d: Spark, parts: dict[str, str]) -> str:
+    """version, Ocupacao, Renda and a seed of some relations with an income each."""
+    return "(" + " UNION ALL ".join(f"SELECT '{v}' AS version, Ocupacao, Renda FROM {rel} AS v{i}" for i, (v, rel) in enumerate(parts.items())) + ")"
+
 
+def _valued(rel: str) -> str:
+    return counted(rel, {"version": "version", "Ocupacao": "Ocupacao"}, "Renda", {"n": "1"})
 
-def versions_sql(d: Spark, parts: dict[int, str]) -> str:
-    return "(" + " UNION ALL ".join(f"SELECT {v} AS version, Ocupacao, Renda FROM {rel} AS v{v}" for v, rel in parts.items()) + ")"
+
+def _versions_from(vals: str) -> str:
+    """Per income version and occupation of counted incomes: count, moments, quantiles, variation, and the share above the 95th percentile of all versions of the occupation (unrounded)."""
+    keys = ["version", "Ocupacao"]
+    qs = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    base = f"(SELECT version, Ocupacao, {', '.join(f'{e} AS {c}' for c, e in stats().items())}, {', '.join(f'{quantile("n", q)} AS {c}' for c, q in qs.items())} FROM {ranked(vals, keys, ['n'])} AS r GROUP BY version, Ocupacao)"
+    pooled = f"(SELECT Ocupacao, x, sum(n) AS n FROM {vals} AS v GROUP BY Ocupacao, x)"
+    top = f"(SELECT Ocupacao, {quantile('n', 0.95)} AS cut FROM {ranked(pooled, ['Ocupacao'], ['n'])} AS r GROUP BY Ocupacao)"
+    tail = f"(SELECT v.version, v.Ocupacao, sum(CASE WHEN x > cut THEN n ELSE 0 END) / sum(n) AS high_tail FROM {vals} AS v JOIN {top} AS t ON v.Ocupacao = t.Ocupacao GROUP BY v.version, v.Ocupacao)"
+    return f"(SELECT b.*, p75 - p25 AS iqr, CASE WHEN mean = 0 THEN 0e0 ELSE std / abs(mean) END AS cv, high_tail FROM {base} AS b JOIN {tail} AS t ON b.version = t.version AND b.Ocupacao = t.Ocupacao)"
+
+
+def _with_versions(rel: str) -> str:
+    """The common tables ``vals`` (counted incomes) and ``s`` (their summary)."""
+    return f"WITH vals AS {_valued(rel)}, s AS {_versions_from('vals')}"
 
 
 def version_summary(d: Spark, rel: str) -> str:
-    """Per income version and occupation: quantiles, variation, and the share above the pooled 95th percentile of the occupation."""
-    top = f"(SELECT Ocupacao AS o, {d.quantile('Renda', 0.95)} AS cut FROM {rel} AS q GROUP BY Ocupacao)"
-    return f"SELECT version, Ocupacao, count(*) AS n, round({d.quantile('Renda', 0.25)}, 4) AS p25, round({d.median('Renda')}, 4) AS p50, round({d.quantile('Renda', 0.95)}, 4) AS p95, round(stddev_samp(Renda) / avg(Renda), 6) AS cv, round(avg(CASE WHEN Renda > cut THEN 1e0 ELSE 0e0 END), 6) AS high_tail FROM {rel} AS r JOIN {top} AS t ON r.Ocupacao = t.o GROUP BY version, Ocupacao"
+    cells = ", ".join(f"{settled(c)} AS {c}" for c in ("mean", "std", "p25", "p50", "p75", "p90", "p95", "p99", "lo", "hi", "iqr", "cv", "high_tail"))
+    return f"{_with_versions(rel)} SELECT version, Ocupacao, n, {cells} FROM s"
+
+
+# What is compared between versions, the least base of a ratio, and the targets of the candidates' score.
+COMPRESSED = ("p50", "p95", "p99", "std", "iqr", "high_tail")
+
+
+def _compressed(base: str) -> str:
+    """Relative change of every later version's statistics against ``base``, per occupation (null where that is about 0)."""
+    based = lambda c: f"max(CASE WHEN version = '{base}' THEN {c} END) OVER (PARTITION BY Ocupacao)"
+    change = ", ".join(f"CASE WHEN abs(b_{c}) >= 1e-9 THEN ({c} - b_{c}) / b_{c} END AS {c}_change" for c in COMPRESSED)
+    # One row a version and occupation: the windows are small.
+    return f"(SELECT version, '{base}' AS baseline, Ocupacao, high_tail, {change} FROM (SELECT *, {', '.join(f'{based(c)} AS b_{c}' for c in COMPRESSED)} FROM s) AS w WHERE version > '{base}')"
+
+
+def compression(d: Spark, rel: str, bases: tuple[str, ...] = ("v1", "v2")) -> str:
+    """Against version 1, and against version 2 for those after it."""
+    cells = ", ".join(f"{settled(f'{c}_change')} AS {c}_change" for c in COMPRESSED)
+    return f"{_with_versions(rel)} " + " UNION ALL ".join(f"SELECT version, baseline, Ocupacao, {cells} FROM {_compressed(b)} AS c" for b in bases)
+
+
+def overlap_sql(base: str, bins: int = 80) -> str:
+    """Per version and occupation of ``vals`` the histogram overlap with ``base`` over equal bins of the joint range."""
+    edges = "(SELECT version, Ocupacao, min(x) AS a, max(x) AS b FROM vals AS e GROUP BY version, Ocupacao)"
+    pairs = f"(SELECT c.version, c.Ocupacao, least(c.a, o.a) AS lo, greatest(c.b, o.b) AS hi FROM {edges} AS c JOIN {edges} AS o ON c.Ocupacao = o.Ocupacao AND o.version = '{base}' WHERE c.version <> '{base}')"
+    cell = f"CASE WHEN hi > lo THEN least(CAST(floor((x - lo) / ((hi - lo) / {bins}e0)) AS INT), {bins - 1}) ELSE 0 END"
+    held = f"(SELECT p.version, p.Ocupacao, {cell} AS bin, sum(CASE WHEN v.version = p.version THEN n ELSE 0e0 END) AS r, sum(CASE WHEN v.version = p.version THEN 0e0 ELSE n END) AS s FROM vals AS v JOIN {pairs} AS p ON v.Ocupacao = p.Ocupacao AND (v.version = p.version OR v.version = '{base}') GROUP BY 1, 2, 3)"
+    return f"(SELECT version, Ocupacao, sum(least(p, q)) AS overlap FROM (SELECT version, Ocupacao, r / sum(r) OVER (PARTITION BY version, Ocupacao) AS p, s / sum(s) OVER (PARTITION BY version, Ocupacao) AS q FROM {held} AS h) AS t GROUP BY version, Ocupacao)"
 
 
-def compression(d: Spark, rel: str) -> str:
-    """Relative change of a version's quantiles against version 1, per occupation (null where that is about 0)."""
-    s = f"({version_summary(d, rel)})"
-    change = lambda c: f"round(CASE WHEN abs(b.{c}) >= 1e-9 THEN (a.{c} - b.{c}) / b.{c} END, 5) AS {c}_change"
-    return f"SELECT a.version, a.Ocupacao, {change('p50')}, {change('p95')}, {change('cv')} FROM {s} AS a JOIN {s} AS b ON a.Ocupacao = b.Ocupacao AND b.version = 1 WHERE a.version > 1"
+def candidate_scores(d: Spark, rel: str, candidates: tuple[str, ...] = ("v3_candidate_a", "v3_selected")) -> str:
+    """The score of every candidate version, and which of them is the best."""
+    named = f"version IN ({', '.join(f'{chr(39)}{c}{chr(39)}' for c in candidates)})"
+    shrink = f"(SELECT version, avg(abs(coalesce(p95_change, 0e0))) AS p95, avg(abs(coalesce(p99_change, 0e0))) AS p99, avg(high_tail) AS tail FROM {_compressed('v1')} AS c WHERE {named} GROUP BY version)"
+    same = f"(SELECT version, avg(overlap) AS overlap FROM {overlap_sql('v2')} AS o WHERE {named} GROUP BY version)"
+    score = "(1e0 - abs(p95 - 0.28e0)) + (1e0 - abs(p99 - 0.30e0)) + overlap - abs(tail - 0.04e0)"
+    return f"""{_with_versions(rel)}, scores AS (SELECT s.version, {score} AS score, tail, overlap FROM {shrink} AS s JOIN {same} AS o ON s.version = o.version)
+      SELECT s.version, {settled('score')} AS score, {settled('tail')} AS mean_high_tail, {settled('overlap')} AS mean_overlap_v2, score = best AS is_selected FROM scores AS s CROSS JOIN (SELECT max(score) AS best FROM scores AS m) AS m"""
 
 
-def rank_inversions(d: Spark, rel: str) -> str:
-    """Pairs of occupations whose medians a version orders unlike version 1, and the rank correlation; over one row an occupation."""
-    med = f"(SELECT version, Ocupacao, row_number() OVER (PARTITION BY version ORDER BY m, Ocupacao) AS rk FROM (SELECT version, Ocupacao, {d.median('Renda')} AS m FROM {rel} AS q GROUP BY version, Ocupacao) AS x)"
-    both = f"(SELECT c.version, c.Ocupacao, b.rk AS expected, c.rk AS current_rank FROM {med} AS c JOIN {med} AS b ON c.Ocupacao = b.Ocupacao AND b.version = 1 WHERE c.version > 1)"
-    inv = f"(SELECT p.version, count(*) AS n FROM {both} AS p JOIN {both} AS q ON p.version = q.version AND p.expected < q.expected AND p.current_rank > q.current_rank GROUP BY p.version)"
-    return f"SELECT b.version, round(corr(b.expected, b.current_rank), 6) AS spearman, max(coalesce(i.n, 0)) AS inversions FROM {both} AS b LEFT JOIN {inv} AS i ON b.version = i.version GROUP BY b.version"
+def rank_inversions(d: Spark, rel: str, base: str = "v1") -> str:
+    """Per version: pairs of occupations whose medians it orders unlike version 1, the rank correlation, and the ratio of the mean deviations; over one row an occupation."""
+    return f"""{_with_versions(rel)}, med AS (SELECT version, Ocupacao, std, row_number() OVER (PARTITION BY version ORDER BY p50, Ocupacao) AS rk FROM s),
+      both_ranks AS (SELECT c.version, c.Ocupacao, b.rk AS expected, c.rk AS current_rank, c.std, b.std AS base_std FROM med AS c JOIN med AS b ON c.Ocupacao = b.Ocupacao AND b.version = '{base}'),
+      inv AS (SELECT p.version, count(*) AS n FROM both_ranks AS p JOIN both_ranks AS q ON p.version = q.version AND p.expected < q.expected AND p.current_rank > q.current_rank GROUP BY p.version)
+      SELECT b.version, {settled('CASE WHEN count(*) > 1 THEN corr(b.expected, b.current_rank) END')} AS spearman, max(coalesce(i.n, 0)) AS inversions, {settled('avg(b.std) / greatest(avg(b.base_std), 1e-9)')} AS dispersion_ratio FROM both_ranks AS b LEFT JOIN inv AS i ON b.version = i.version GROUP BY b.version"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from veredas.functions.dialect import Spark
+from collections.abc import Iterable
+
+from veredas.functions.dialect import Spark, literal
 
 
 def aggregate(d: Spark, rel: str, keys: tuple[str, ...], metrics: tuple[str, ...]) -> str:
@@ -16,6 +18,23 @@ def by_model_and_size(d: Spark, rel: str, metric: str) -> str:
     return f"SELECT model, train_size, CAST(grouping(train_size) AS INT) AS is_total, count(*) AS n, round(avg({metric}), 6) AS mean, round(coalesce(stddev_samp({metric}), 0e0), 6) AS std FROM {rel} AS r GROUP BY GROUPING SETS ((model), (model, train_size))"
 
 
+# The distances whose fall is a gain of quality, and the costs that it is set against.
+DISTANCES = ("renda_wasserstein_normalized", "renda_ks", "genero_tvd", "correlation_difference")
+COSTS = {"training_seconds": "gain_per_second", "peak_memory_mb": "gain_per_memory_mb", "model_size_mb": "gain_per_model_mb"}
+
+
+def quality_gains(d: Spark, rel: str, sizes: list[tuple[int, int]]) -> str:
+    """Per model and pair of sizes: the mean fall of the distances that both sizes have, and its ratio to every cost's change (null where that is about 0)."""
+    names = (*DISTANCES, *COSTS)
+    g = f"(SELECT model, train_size, {', '.join(f'avg({m}) AS {m}' for m in names)} FROM {rel} AS r WHERE train_size IS NOT NULL GROUP BY model, train_size)"
+    falls = [f"(a.{m} - b.{m})" for m in DISTANCES]
+    have = " + ".join(f"CASE WHEN {f} IS NULL THEN 0 ELSE 1 END" for f in falls)
+    gain = f"({' + '.join(f'coalesce({f}, 0e0)' for f in falls)}) / nullif({have}, 0)"
+    ratio = ", ".join(f"round(CASE WHEN abs(d_{c}) > 1e-12 THEN gain / d_{c} END, 9) + 0e0 AS {n}" for c, n in COSTS.items())
+    pairs = f"(SELECT a.model, p.a AS from_size, p.b AS to_size, {gain} AS gain, {', '.join(f'b.{c} - a.{c} AS d_{c}' for c in COSTS)} FROM {d.values(sizes, 'a, b')} AS p JOIN {g} AS a ON a.train_size = p.a JOIN {g} AS b ON b.train_size = p.b AND a.model = b.model)"
+    return f"SELECT model, from_size, to_size, round(gain, 9) + 0e0 AS quality_gain, {ratio} FROM {pairs} AS q"
+
+
 def marginal_gains(d: Spark, rel: str, sizes: list[tuple[int, int]], metric: str) -> str:
     """Change of a metric's mean between given pairs of sizes, absolute and in percent."""
     g = f"(SELECT model, train_size, avg({metric}) AS v FROM {rel} AS r GROUP BY model, train_size)"
@@ -34,6 +53,99 @@ def pivot(d: Spark, rel: str, key: str, name: str, value: str, names: tuple[str,
     return f"SELECT {key}, {', '.join(f'''round(max(CASE WHEN {name} = '{n}' THEN {value} END), 6) AS m_{n.lower()}''' for n in names)} FROM {rel} AS r GROUP BY {key}"
 
 
+def long_metrics(d: Spark, rel: str, keys: tuple[str, ...], metrics: dict[str, tuple[str, ...]]) -> str:
+    """Wide rows of runs as (keys, metric_group, metric_name, value); missing values are left out. One pass."""
+    cells = [f"CASE WHEN {m} IS NULL OR isnan(CAST({m} AS DOUBLE)) THEN NULL ELSE concat('{g}:{m}:', CAST(CAST({m} AS DOUBLE) AS VARCHAR(40))) END" for g, ms in metrics.items() for m in ms]
+    return f"SELECT {', '.join(keys)}, split_part(cell, ':', 1) AS metric_group, split_part(cell, ':', 2) AS metric_name, CAST(split_part(cell, ':', 3) AS DOUBLE) AS value FROM (SELECT {', '.join(keys)}, {d.explode(cells, 'cell')} FROM {rel} AS r) AS l WHERE cell IS NOT NULL"
+
+
+def group_means(d: Spark, long: str) -> str:
+    """Means of the values that are there, per metric group: of a correlation matrix, of a table by name, of epochs."""
+    return f"SELECT metric_group, count(value) AS n, round(avg(value) + 1e-9, 6) AS mean FROM ({long}) AS l WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY metric_group"
+
+
+# The order of the tables of runs; rows without a size come last.
+SUMMARY_ORDER = ("train_size", "model", "seed")
+LONG_ORDER = (*SUMMARY_ORDER, "metric_group", "metric_name")
+
+
+def placed(d: Spark, rel: str, order: tuple[str, ...], limit: int) -> str:
+    """The first ``limit`` rows of a report in its order, nulls last, with their place."""
+    by = ", ".join(f"{c} NULLS LAST" for c in order)
+    first = f"(SELECT * FROM {rel} AS r ORDER BY {by} LIMIT {limit})"
+    return f"SELECT row_number() OVER (ORDER BY {by}) AS place, {', '.join(order)} FROM {first} AS f"
+
+
+def by_metric_group(rel: str, group: str) -> str:
+    """One of the filtered outputs of a long table."""
+    return f"(SELECT * FROM {rel} AS l WHERE metric_group = '{group}')"
+
+
+def rotated(d: Spark, models: list[str], seeds: list[int]) -> str:
+    """The order of the models for every seed: the list turned by the seed's place, so that each model is first in turn."""
+    rows = [(seed, i + 1, models[(i + k) % len(models)]) for k, seed in enumerate(seeds) for i in range(len(models))]
+    return f"SELECT seed, place, model FROM {d.values(rows, 'seed, place, model')} AS v"
+
+
+def history_filter(rel: str, kind: str | None = None, model: str | None = None, status: str | None = None, seed: int | None = None) -> str:
+    """Records that match every given field."""
+    given = [f"{c} = {literal(v)}" for c, v in (("kind", kind), ("model", model), ("status", status), ("seed", seed)) if v is not None and v != ""]
+    return f"(SELECT * FROM {rel} AS h WHERE {' AND '.join(given) or 'TRUE'})"
+
+
+def history_rows(d: Spark, rel: str) -> str:
+    """Records as shown: what is missing says so."""
+    shown = lambda c: f"coalesce(CAST({c} AS VARCHAR(60)), 'Não disponível') AS {c}"
+    return f"SELECT identifier, kind, {', '.join(shown(c) for c in ('model', 'seed', 'status', 'row_count', 'train_rows'))}, coalesce(CAST(exact_train_match_rate AS VARCHAR(40)), 'Não avaliado') AS exact_train_match_rate FROM {rel} AS h"
+
+
+def history_counts(d: Spark, rel: str) -> str:
+    """Records by status (a missing one is named) and by model (a missing one is left out), and the newest record's identifier, status and kind."""
+    cells = ["concat('status:', coalesce(status, 'Não disponível'))", "CASE WHEN model IS NULL OR model = '' THEN NULL ELSE concat('model:', model) END"]
+    counts = f"(SELECT cell, count(*) AS n FROM (SELECT {d.explode(cells, 'cell')} FROM {rel} AS h) AS c WHERE cell IS NOT NULL GROUP BY cell)"
+    last = f"(SELECT identifier, status, kind FROM {rel} AS l ORDER BY coalesce(created_at, '') DESC, identifier LIMIT 1)"
+    return f"SELECT split_part(cell, ':', 1) AS field, split_part(cell, ':', 2) AS value, n FROM {counts} AS c UNION ALL SELECT 'latest', concat(identifier, '|', coalesce(status, ''), '|', kind), 1 FROM {last} AS l"
+
+
+def latest_records(d: Spark, rel: str, limit: int) -> str:
+    """The newest ``limit`` records, newest first."""
+    return f"SELECT * FROM {rel} AS h ORDER BY coalesce(created_at, '') DESC, identifier LIMIT {limit}"
+
+
+def status_histogram(d: Spark, rel: str) -> str:
+    """Records as approved (or completed), quarantined or rejected; other statuses count nowhere."""
+    s = "lower(coalesce(status, ''))"
+    name = f"CASE WHEN {s} IN ('approved', 'completed') THEN 'approved' WHEN {s} LIKE '%quarantine%' THEN 'quarantined' WHEN {s} LIKE '%rejected%' THEN 'rejected' END"
+    known = d.values([("approved",), ("quarantined",), ("rejected",)], "status")
+    return f"SELECT k.status, coalesce(c.n, 0) AS n FROM {known} AS k LEFT JOIN (SELECT {name} AS status, count(*) AS n FROM {rel} AS h GROUP BY {name}) AS c ON k.status = c.status"
+
+
+def recommendation_rank(status: str = "status", purpose: str = "purpose", legacy: str = "is_legacy", recommended: str = "recommended") -> str:
+    """0 for an approved and recommended artifact up to 6 for a legacy one."""
+    s, p = f"lower(coalesce({status}, ''))", f"lower(coalesce({purpose}, ''))"
+    is_ = lambda v: f"({s} = '{v}' OR {p} = '{v}')"
+    return f"CASE WHEN {is_('legacy')} OR coalesce({legacy}, FALSE) THEN 6 WHEN {s} = 'approved' AND coalesce({recommended}, FALSE) THEN 0 WHEN {is_('approved')} THEN 1 WHEN {is_('recommended_candidate')} THEN 2 WHEN {is_('candidate')} THEN 3 WHEN {is_('experimental')} OR {is_('smoke')} THEN 5 ELSE 4 END"
+
+
+def ranked_artifacts(d: Spark, rel: str, models: tuple[str, ...] = ("ctgan", "simple_gan")) -> str:
+    """The artifacts of every trained model in order of recommendation, newest first, then by name."""
+    rank = recommendation_rank()
+    return f"SELECT model, artifact_id, rank_value, row_number() OVER (PARTITION BY model ORDER BY rank_value, created_at DESC, artifact_id) AS place FROM (SELECT *, {rank} AS rank_value FROM {rel} AS a WHERE model IN ({', '.join(map(literal, models))})) AS r"
+
+
+def generation_ready(d: Spark, rel: str, allowed: tuple[str, ...] = ("approved",), locale: str = "pt-BR") -> str:
+    """Whether any artifact may generate, and the model to use: the best ready one's, else the programmatic one."""
+    ready = f"lower(coalesce(status, '')) IN ({', '.join(map(literal, allowed))}) AND coalesce(vocabulary_version, 0) >= 2 AND locale = {literal(locale)} AND normalization = 'NFC'"
+    best = f"(SELECT model FROM {rel} AS a WHERE {ready} ORDER BY {recommendation_rank()}, created_at DESC, artifact_id LIMIT 1)"
+    return f"SELECT count(*) AS n_ready, coalesce(max(b.model), 'programmatic') AS default_model FROM (SELECT * FROM {rel} AS c WHERE {ready}) AS r CROSS JOIN {best} AS b"
+
+
+def evidence_checks(d: Spark, rel: str, bounds: dict[str, tuple[float, float]]) -> str:
+    """Per bounded metric of a long table: how many values there are, how many lie inside, and whether all do (none: not passed)."""
+    rows = [(m, float(lo), float(hi)) for m, (lo, hi) in bounds.items()]
+    return f"SELECT b.metric_name, count(l.value) AS n, CAST(coalesce(sum(CASE WHEN l.value BETWEEN b.lo AND b.hi THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_inside, count(l.value) > 0 AND coalesce(sum(CASE WHEN l.value BETWEEN b.lo AND b.hi THEN 0 ELSE 1 END), 0) = 0 AS passed FROM {d.values(rows, 'metric_name, lo, hi')} AS b LEFT JOIN {rel} AS l ON b.metric_name = l.metric_name GROUP BY b.metric_name"
+
+
 def history_summary(d: Spark, rel: str) -> str:
     return f"SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users, max(ts) AS latest FROM {rel} AS e GROUP BY event_type"
 
@@ -42,9 +154,20 @@ def history_summary(d: Spark, rel: str) -> str:
 FORBIDDEN = ("cpf", "cnh", "rg", "titulo", "telefone", "nome", "dataset", "dataframe", "stack", "traceback", "ip", "user_agent", "usuario", "user", "linha", "row")
 
 
-def allowed_field(name: str, allowed: set[str]) -> bool:
+# The fields that an audit record may keep. ``rows`` is among them, but holds a forbidden fragment.
+ALLOWED = ("timestamp_utc", "event", "session_id", "page", "model", "artifact_id", "rows", "format", "seed", "column_selection_mode", "column_preset", "exported_column_count", "duration_seconds", "status", "error_type")
+
+
+def allowed_field(name: str, allowed: Iterable[str] = ALLOWED) -> bool:
     """Whitelisted and without a forbidden fragment."""
-    return name in allowed and not any(f in name.lower() for f in FORBIDDEN)
+    return name in set(allowed) and not any(f in name.lower() for f in FORBIDDEN)
+
+
+def sanitized(d: Spark, rel: str, key: str, fields: dict[str, str]) -> str:
+    """The fields of an event that its record may keep, one row each; the choice is made when the query is built."""
+    kept = {n: e for n, e in fields.items() if allowed_field(n)}
+    cells = [f"concat('{n}:', CAST({e} AS VARCHAR(200)))" for n, e in kept.items()]
+    return f"SELECT {key}, split_part(cell, ':', 1) AS field, split_part(cell, ':', 2) AS value FROM (SELECT {key}, {d.explode(cells, 'cell')} FROM {rel} AS e) AS c WHERE cell IS NOT NULL"
 
 
 def latest_per_user(d: Spark, rel: str) -> str:

@@ -6,9 +6,11 @@ the ids, and for the occupation one join with a small table. Nothing is shuffled
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from veredas.functions import domain
 from veredas.functions.dialect import Spark, literal, lookup, pick
@@ -41,6 +43,7 @@ def _weights(names: Iterable[str], weights: Iterable[float]) -> dict[str, float]
     return dict(zip(names, weights, strict=True))
 
 
+# The weights, age modes and boosts below, up to the income steps.
 def occupation_weights_sql(d: Spark) -> str:
     """(level, age, occupation, lo, hi): the unit interval dealt among the occupations that an education level and age may have."""
     rows = [(i, n, int(o["level"]), int(o["min"]), int(o["max"]), o["weight"], n in domain.POSTGRADUATE_BOOST) for i, (n, o) in enumerate(domain.OCCUPATIONS.items())]
@@ -61,8 +64,14 @@ def _attribute(key: str) -> str:
     return lookup("Ocupacao", {n: o[key] for n, o in domain.OCCUPATIONS.items() if o[key] != domain.DEFAULTS.get(key)}, domain.DEFAULTS.get(key))
 
 
-def income_steps(d: Spark, seed: int, key: str, version: int = 3) -> Steps:
-    """Income of rows with Idade, Regiao, Escolaridade and Ocupacao, of model version 1, 2 or 3."""
+# What version 3 of the income model changes in version 2 (deviation, tail probability and what is added to it, tail, variability, experience), by variant.
+ADJUSTMENTS = {"candidate_a": (1.07, 1.20, 0.004, 1.10, 1.03, 0.02), "selected": (1.12, 1.35, 0.006, 1.18, 1.06, 0.04)}
+INCOME_VERSIONS = (("v1", 1, "selected"), ("v2", 2, "selected"), ("v3_candidate_a", 3, "candidate_a"), ("v3_selected", 3, "selected"))
+
+
+def income_steps(d: Spark, seed: int, key: str, version: int = 3, variant: str = "selected") -> Steps:
+    """Income of rows with Idade, Regiao, Escolaridade and Ocupacao, of model version 1 (and below), 2 or 3 (and above)."""
+    version = min(max(version, 1), 3)
     u = lambda draw: d.uniform(seed, key, f"income{version}_{draw}")
     normal = lambda a, b: f"sqrt(-2e0 * ln(1e0 - {a})) * cos({_TWO_PI} * {b})"
     steps: Steps = [
@@ -75,8 +84,9 @@ def income_steps(d: Spark, seed: int, key: str, version: int = 3) -> Steps:
     else:
         v, sigma, exp_, tail_p, tail_s = ("o_var", "o_sigma * o_var", "o_exp", "o_tail_p", "o_tail_s * o_var")
         if version == 3:
-            v = "(1e0 + (o_var - 1e0) * 1.06e0)"
-            sigma, exp_, tail_p, tail_s = f"o_sigma * 1.12e0 * {v}", "least(o_exp + 0.04e0, 0.90e0)", "least(o_tail_p * 1.35e0 + 0.006e0, 0.18e0)", f"o_tail_s * 1.18e0 * {v}"
+            wide, often, more, far, vary, learn = ADJUSTMENTS[variant]
+            v = f"(1e0 + (o_var - 1e0) * {vary!r}e0)"
+            sigma, exp_, tail_p, tail_s = f"o_sigma * {wide!r}e0 * {v}", f"least(o_exp + {learn!r}e0, 0.90e0)", f"least(o_tail_p * {often!r}e0 + {more!r}e0, 0.18e0)", f"o_tail_s * {far!r}e0 * {v}"
         steps.append({f"o_{k}": _attribute(k) for k in ("loc", "sigma", "tail_p", "tail_s", "edu", "exp", "min")})
         grown = f"(0.86e0 + greatest(0e0, least(1e0, (Idade - o_min) / greatest(38e0, 65e0 - o_min))) * {exp_}) * CASE WHEN Idade >= 67 THEN 0.92e0 ELSE 1e0 END"
         value = f"exp(ln(2050e0 * o_loc) + {sigma} * z1) * o_mult * (1e0 + (e_mult - 1e0) * o_edu) * {grown} * (1e0 + (g_mult - 1e0) * 0.72e0) * CASE WHEN i_up < {tail_p} THEN exp({tail_s} * z2) ELSE 1e0 END"
@@ -110,16 +120,22 @@ def profile_steps(d: Spark, seed: int, key: str = "row_id") -> Steps:
     ]
 
 
-def _with_occupations(d: Spark, ids: str, seed: int, version: int) -> str:
+def once(d: Spark, source: str, steps: Steps, keep: Iterable[str], columns: Iterable[str]) -> str:
+    """The columns ``keep`` of a source and the ``columns`` that the steps give, each computed once a row."""
+    inner = select_steps(source, steps, (*keep, *(f"{c} AS made_{c}" for c in columns)))
+    return f"(SELECT {', '.join((*keep, *columns))} FROM {d.fixed(f'{inner} AS made', {c: f'made_{c}' for c in columns})} AS kept)"
+
+
+def _with_occupations(d: Spark, ids: str, seed: int, version: int, variant: str = "selected") -> str:
     """The profile with its occupation (a small table, joined by level, age and the interval that holds the draw) and income."""
-    base = select_steps(ids, profile_steps(d, seed), ("row_id", "u_occ", "edu_level", *(c for c in domain.MODEL_COLUMNS if c not in ("Ocupacao", "Renda"))))
+    base = once(d, ids, profile_steps(d, seed), ("row_id",), ("u_occ", "edu_level", *(c for c in domain.MODEL_COLUMNS if c not in ("Ocupacao", "Renda"))))
     joined = f"(SELECT p.*, o.occupation AS Ocupacao FROM {base} AS p JOIN {occupation_weights_sql(d)} AS o ON p.edu_level = o.level AND p.Idade = o.age AND p.u_occ >= o.lo AND p.u_occ < o.hi) AS j"
-    return select_steps(joined, income_steps(d, seed, "row_id", version), ("row_id", *domain.MODEL_COLUMNS))
+    return once(d, joined, income_steps(d, seed, "row_id", version, variant), ("row_id",), domain.MODEL_COLUMNS)
 
 
-def profiles_sql(d: Spark, ids: str, seed: int = 41, version: int = 3) -> str:
+def profiles_sql(d: Spark, ids: str, seed: int = 41, version: int = 3, variant: str = "selected") -> str:
     """row_id and the model columns for a relation with a row_id."""
-    return _with_occupations(d, ids, seed, version)
+    return _with_occupations(d, ids, seed, version, variant)
 
 
 def _digits(number: str, n: int) -> list[str]:
@@ -129,7 +145,7 @@ def _digits(number: str, n: int) -> list[str]:
 
 def _bijection(row: str, modulus: int, factor: int, shift: int) -> str:
     """Distinct rows below the modulus get distinct numbers below it (the factor shares no divisor with it)."""
-    return f"(({row} * {factor} + {shift}) % {modulus})"
+    return f"((({row} % {modulus}) * {factor} + {shift}) % {modulus})"
 
 
 def _sum(digits: list[str], weights: Iterable[int]) -> str:
@@ -137,7 +153,11 @@ def _sum(digits: list[str], weights: Iterable[int]) -> str:
 
 
 def identifier_steps(d: Spark, seed: int, key: str = "row_id") -> Steps:
-    """Names, birth dates and the five identifiers; identifiers are unique by construction for up to 10**8 rows."""
+    """Names, birth dates and the five identifiers; identifiers are unique by construction for the first 99,999,989 row ids.
+
+    The masks of RG, Titulo and Telefone have eight free digits: beyond, their numbers come again (a validator
+    finds them), while CPF and CNH go on to 999,999,937. Row ids of any size are allowed.
+    """
     low = lambda x: f"CASE WHEN {x} > 9 THEN 0 ELSE {x} END"
     ten = lambda x: f"CASE WHEN {x} = 10 THEN 0 ELSE {x} END"
     text = lambda parts: f"concat({', '.join(parts)})"
@@ -147,8 +167,8 @@ def identifier_steps(d: Spark, seed: int, key: str = "row_id") -> Steps:
     t = [f"t{i}" for i in range(8)]
     return [
         {"u_first": d.uniform(seed, key, "first"), "u_last": d.uniform(seed, key, "last"), "u_sex": d.uniform(seed, key, "sex"), "u_birth": d.uniform(seed, key, "birth"),
-         "n_cpf": _bijection(key, 999_999_937, 700_000_009, 123_456), "n_cnh": _bijection(key, 999_999_937, 600_000_007, 654_321), "n_rg": _bijection(key, 99_999_989, 61_000_011, 777), "n_vote": _bijection(key, 99_999_989, 71_000_003, 999), "uf": f"1 + CAST(floor({d.uniform(seed, key, 'uf')} * 28) AS INT)"},
-        {**dict(zip(b, _digits("n_cpf", 9), strict=True)), **dict(zip(h, _digits("n_cnh", 9), strict=True)), **dict(zip(t, _digits("n_vote", 8), strict=True)), **{f"p{i}": x for i, x in enumerate(_digits("n_rg", 8))}},
+         "n_cpf": _bijection(key, 999_999_937, 700_000_009, 123_456), "n_cnh": _bijection(key, 999_999_937, 600_000_007, 654_321), "n_rg": _bijection(key, 99_999_989, 61_000_011, 777), "n_phone": _bijection(key, 99_999_989, 53_000_017, 4_321), "n_vote": _bijection(key, 99_999_989, 71_000_003, 999), "uf": f"1 + CAST(floor({d.uniform(seed, key, 'uf')} * 28) AS INT)"},
+        {**dict(zip(b, _digits("n_cpf", 9), strict=True)), **dict(zip(h, _digits("n_cnh", 9), strict=True)), **dict(zip(t, _digits("n_vote", 8), strict=True)), **{f"p{i}": x for i, x in enumerate(_digits("n_rg", 8))}, **{f"f{i}": x for i, x in enumerate(_digits("n_phone", 8))}},
         {"cpf1": low(f"(11 - ({_sum(b, range(10, 1, -1))}) % 11)"), "cnh1": ten(f"(({_sum(h, range(9, 0, -1))}) % 11)"), "cnh2": ten(f"(({_sum(h, range(1, 10))}) % 11)"), "vote1": ten(f"(({_sum(t, range(9, 1, -1))}) % 11)")},
         {"cpf2": low(f"(11 - ({_sum([*b, 'cpf1'], range(11, 1, -1))}) % 11)"), "vote2": ten(f"(({_sum(t, range(8, 0, -1))} + 9 * vote1 + 10 * uf) % 11)")},
         {
@@ -158,14 +178,14 @@ def identifier_steps(d: Spark, seed: int, key: str = "row_id") -> Steps:
             "CNH": text([*h, "cnh1", "cnh2"]),
             "RG": text(["p0", "p1", "'.'", "p2", "p3", "p4", "'.'", "p5", "p6", "p7", "'-'", "(n_rg % 9)"]),
             "Titulo_Eleitor": text([*t, "lpad(CAST(uf AS VARCHAR(2)), 2, '0')", "vote1", "vote2"]),
-            "Telefone": text(["'('", "DDD", "') 9'", "p7", "p5", "p6", "p4", "'-'", "p3", "p2", "p1", "p0"]),
+            "Telefone": text(["'('", "DDD", "') 9'", *(f"f{i}" for i in range(4)), "'-'", *(f"f{i}" for i in range(4, 8))]),
         },
     ]
 
 
 def final_profiles_sql(d: Spark, ids: str, seed: int = 41) -> str:
     """row_id and the eighteen final columns."""
-    return select_steps(f"{_with_occupations(d, ids, seed, 3)} AS m", identifier_steps(d, seed), ("row_id", *domain.FINAL_COLUMNS))
+    return once(d, f"{_with_occupations(d, ids, seed, 3)} AS m", identifier_steps(d, seed), ("row_id",), domain.FINAL_COLUMNS)
 
 
 def broken_profiles_sql(d: Spark, ids: str, seed: int = 41) -> str:
@@ -186,18 +206,65 @@ def broken_profiles_sql(d: Spark, ids: str, seed: int = 41) -> str:
         "Titulo_Eleitor": f"CASE WHEN {f('vote', 0.01)} THEN '000000000199' ELSE Titulo_Eleitor END",
         "Data_Nascimento": f"CASE WHEN {f('birth', 0.01)} THEN '1901-02-03' WHEN {f('nobirth', 0.005)} THEN 'x' ELSE Data_Nascimento END",
     }
-    cols = ", ".join(f"{changed[c]} AS {c}" if c in changed else c for c in domain.FINAL_COLUMNS)
-    return f"(SELECT row_id, {cols} FROM {final_profiles_sql(d, ids, seed)} AS clean)"
+    defects = {f"bad_{c}": e for c, e in changed.items()}
+    cols = ", ".join(f"bad_{c} AS {c}" if c in changed else c for c in domain.FINAL_COLUMNS)
+    return f"(SELECT row_id, {cols} FROM {d.fixed(f'{final_profiles_sql(d, ids, seed)} AS clean', defects)} AS changed)"
 
 
-def split_sql(source: str, holdout: int, seed: int = 41) -> str:
-    """Adds ``side``: exactly ``holdout`` rows of smallest hashed id are held out.
+def split_sql(d: Spark, source: str, holdout: int | None = None, seed: int = 41, fraction: float | None = None) -> str:
+    """Adds ``side``: exactly ``holdout`` rows (or ``fraction`` of all, rounded half to even, one at least) of smallest hashed id are held out.
 
-    The threshold is the holdout-th smallest hash, found by a top-k rather than by a window over all rows.
+    Hashes are counted by their first four digits; only the block that holds the last chosen row is put in order,
+    so that no task sees more than a 65,536th of the rows, however many are held out.
+    """
+    size = str(int(holdout)) if holdout is not None else f"greatest(1, CAST({d.bround(f'count(*) * {fraction!r}e0')} AS BIGINT))"
+    hashed = f"(SELECT row_id, md5(concat_ws('|', '{seed}', CAST(row_id AS VARCHAR(20)), 'split')) AS h FROM {source} AS s)"
+    blocks = f"(SELECT substr(h, 1, 4) AS block, count(*) AS n FROM {hashed} AS b GROUP BY substr(h, 1, 4))"
+    # One row a block: the window over 65,536 of them is small.
+    upto = f"(SELECT block, n, sum(n) OVER (ORDER BY block ROWS UNBOUNDED PRECEDING) AS upto FROM {blocks} AS c)"
+    last = f"(SELECT block, {size.replace('count(*)', 'total')} - (upto - n) AS wanted FROM {upto} AS u CROSS JOIN (SELECT count(*) AS total FROM {source} AS t) AS t WHERE upto >= {size.replace('count(*)', 'total')} AND upto - n < {size.replace('count(*)', 'total')})"
+    cut = f"(SELECT max(h) AS cut FROM (SELECT h, wanted, row_number() OVER (ORDER BY h) AS place FROM {hashed} AS r JOIN {last} AS l ON substr(r.h, 1, 4) = l.block) AS p WHERE place <= wanted)"
+    return f"(SELECT row_id, CASE WHEN h <= cut THEN 'holdout' ELSE 'train' END AS side FROM {hashed} AS f CROSS JOIN {cut} AS k)"
+
+
+def conditional_sample_sql(d: Spark, ids: str, occupation: str, seed: int = 41, version: int = 3, variant: str = "selected") -> str:
+    """row_id, Ocupacao and Renda of made-up people of one occupation: education among the allowed ones, age in the occupation's bounds (up to 75 where it has none) and region, all uniformly."""
+    o = domain.OCCUPATIONS[occupation]
+    low, high = int(o["min"]), int(o["max"]) if o["max"] < 200 else 75
+    levels, regions = list(domain.EDUCATION)[int(o["level"]) - 1 :], list(domain.REGIONS)
+    u = lambda draw: d.uniform(seed + 1009 * version, "row_id", f"{variant}_{draw}")
+    of = lambda values, draw: _part(literal(",".join(values)), _uniformly(u(draw), str(len(values))))
+    people = d.fixed(f"{ids} AS i", {"Ocupacao": literal(occupation), "Escolaridade": of(levels, "edu"), "Regiao": of(regions, "region"), "Idade": f"{low} + CAST(floor({u('age')} * {high - low + 1}) AS INT)"})
+    return select_steps(f"{people} AS people", income_steps(d, seed, "row_id", version, variant), ("row_id", "Ocupacao", "Renda"))
+
+
+def legacy_income_sql(d: Spark, ids: str, seed: int = 41) -> str:
+    """row_id and an income of the oldest model: log-normal around exp(8), within the bounds."""
+    u = lambda draw: d.uniform(seed, "row_id", f"legacy_{draw}")
+    value = f"exp(8e0 + 0.55e0 * sqrt(-2e0 * ln(1e0 - {u('u1')})) * cos({_TWO_PI} * {u('u2')}))"
+    return f"(SELECT row_id, {d.bround(f'greatest({domain.INCOME[0]!r}e0, least({value}, {domain.INCOME[1]!r}e0))', 2)} AS Renda FROM {ids} AS i)"
+
+
+def accounting_sql(d: Spark, masks: str, n: int) -> str:
+    """One row on a table of row_id, batch, batch_valid and valid: candidates, accepted by batch and by global rules, selected (the first ``n`` valid ones), surplus, rejected, rows on which both masks differ, and rates.
+
+    total = accepted + rejected, and accepted = selected + surplus.
     """
-    h = f"md5(concat_ws('|', '{seed}', CAST(row_id AS VARCHAR(20)), 'split'))"
-    cut = f"(SELECT max(h) FROM (SELECT {h} AS h FROM {source} AS s ORDER BY h LIMIT {holdout}) AS k)"
-    return f"(SELECT *, CASE WHEN {h} <= {cut} THEN 'holdout' ELSE 'train' END AS side FROM {source} AS f)"
+    one = lambda p: f"CAST(coalesce(sum(CASE WHEN {p} THEN 1 ELSE 0 END), 0) AS BIGINT)"
+    return f"""SELECT total, accepted_batch, accepted, least(accepted, {n}) AS selected, greatest(accepted - {n}, 0) AS surplus, total - accepted AS rejected, total - accepted_batch AS rejected_batch, disagreeing, batches,
+      CASE WHEN total = 0 THEN 0e0 ELSE round(accepted / CAST(total AS DOUBLE), 6) END AS acceptance_rate FROM (SELECT count(*) AS total, {one('batch_valid')} AS accepted_batch, {one('valid')} AS accepted, {one('batch_valid AND NOT valid')} AS disagreeing, count(DISTINCT batch) AS batches FROM {masks} AS m) AS t"""
+
+
+def select_first_sql(masks: str, n: int) -> str:
+    """The row ids of the first ``n`` valid rows: a top-k, no full sort."""
+    return f"(SELECT row_id FROM {masks} AS m WHERE valid ORDER BY row_id LIMIT {n})"
+
+
+def cross_batch_duplicates(d: Spark, rel: str, columns: tuple[str, ...] = domain.IDENTIFIERS) -> str:
+    """Occurrences beyond the first of identifiers that stand in more than one batch, summed over the identifiers; ``rel`` has a ``batch``."""
+    cells = [f"CASE WHEN {c} IS NULL THEN NULL ELSE concat('{c}{chr(1)}', {c}) END" for c in columns]
+    per = f"(SELECT cell, batch, count(*) AS n FROM (SELECT batch, {d.explode(cells, 'cell')} FROM {rel} AS b) AS l WHERE cell IS NOT NULL GROUP BY cell, batch)"
+    return f"SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_duplicates, count(*) AS n_values FROM (SELECT cell, sum(n) AS n, count(*) AS batches FROM {per} AS p GROUP BY cell) AS g WHERE batches > 1"
 
 
 def generate_profiles(ids: DataFrame, seed: int = 41, version: int = 3) -> DataFrame:
@@ -216,3 +283,36 @@ def accept(candidates: DataFrame, valid: str, n: int) -> DataFrame:
     if found.count() < n:
         raise ValueError(f"fewer than {n} valid rows")
     return found
+
+
+@dataclass(frozen=True)
+class Accepted:
+    """Chosen rows and how they came about."""
+
+    rows: DataFrame
+    candidates: int
+    accepted: int
+    batches: int
+
+    @property
+    def surplus(self) -> int:
+        return self.accepted - self.rows.count()
+
+
+def accept_in_batches(make: Callable[[int, int], DataFrame], judge: Callable[[DataFrame], DataFrame], n: int, batch_rows: int, max_batches: int) -> Accepted:
+    """Makes batches until ``n`` candidates are valid together, and returns the first ``n`` by row id.
+
+    ``make(first_row, rows)`` gives a batch, lazily; ``judge(candidates)`` gives row_id and valid for all of them at once, so that an
+    identifier which two batches share counts against the later row. Raises after ``max_batches``. Candidates are functions of
+    their row ids: nothing is stored between batches but the plan.
+    """
+    candidates = None
+    for k in range(1, max_batches + 1):
+        batch = make((k - 1) * batch_rows, batch_rows)
+        candidates = batch if candidates is None else candidates.unionByName(batch)
+        good = judge(candidates).where("valid").select(F.col("row_id").alias("good_id"))
+        found = good.count()
+        if found >= n:
+            chosen = candidates.join(good, F.col("row_id") == F.col("good_id"), "left_semi").orderBy("row_id").limit(n)
+            return Accepted(chosen, k * batch_rows, found, k)
+    raise ValueError(f"fewer than {n} valid rows after {max_batches} batches")

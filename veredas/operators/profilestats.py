@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veredas.functions import domain
+from veredas.functions import canonical, domain
 from veredas.functions.dialect import Spark, any_of, lookup
 
 from . import validate
@@ -42,7 +42,8 @@ def invalid_places(d: Spark, rel: str, k: int = 20) -> str:
 
 def rare_values(d: Spark, rel: str, column: str, share: float = 0.01) -> str:
     """Values rarer than ``share`` in the reference: counts on both sides, and whether the synthetic side has them."""
-    return f"SELECT v, r AS n_ref, s AS n_syn, s > 0 AS reproduced FROM (SELECT {column} AS v, sum(CASE WHEN side = 'ref' THEN 1 ELSE 0 END) AS r, sum(CASE WHEN side = 'syn' THEN 1 ELSE 0 END) AS s, sum(sum(CASE WHEN side = 'ref' THEN 1 ELSE 0 END)) OVER () AS total FROM {rel} AS p WHERE {column} IS NOT NULL GROUP BY {column}) AS g WHERE r > 0 AND r < {share!r}e0 * total"
+    counts = f"(SELECT {column} AS v, sum(CASE WHEN side = 'ref' THEN 1 ELSE 0 END) AS r, sum(CASE WHEN side = 'syn' THEN 1 ELSE 0 END) AS s FROM {rel} AS p WHERE {column} IS NOT NULL GROUP BY {column})"
+    return f"SELECT v, r AS n_ref, s AS n_syn, s > 0 AS reproduced FROM {counts} AS g CROSS JOIN (SELECT sum(r) AS total FROM {counts} AS e) AS t WHERE r > 0 AND r < {share!r}e0 * total"
 
 
 def relational_validity(d: Spark, rel: str) -> str:
@@ -63,25 +64,15 @@ def occupation_entropy(d: Spark, rel: str) -> str:
 
 
 def unexpected_values(d: Spark, rel: str) -> str:
-    """Values outside their column's domain, and which of them are known old spellings."""
-    aliases = tuple(domain.ALIASES)
-    one = lambda c: f"SELECT '{c}' AS column_name, {c} AS value, count(*) AS n, {any_of(c, aliases)} AS legacy FROM {rel} AS p WHERE {c} IS NOT NULL AND NOT {any_of(c, domain.CATEGORIES[c])} GROUP BY {c}"
-    return " UNION ALL ".join(one(c) for c in domain.CATEGORIES)
+    """Values outside their column's domain, and which of them are known old spellings; one pass over the rows."""
+    cells = [f"CASE WHEN {c} IS NULL OR {any_of(c, v)} THEN NULL ELSE concat('{c}{chr(1)}', {c}) END" for c, v in domain.CATEGORIES.items()]
+    value = f"split_part(cell, '{chr(1)}', 2)"
+    return f"SELECT split_part(cell, '{chr(1)}', 1) AS column_name, {value} AS value, n, {any_of(value, tuple(domain.ALIASES))} AS legacy FROM (SELECT cell, count(*) AS n FROM (SELECT {d.explode(cells, 'cell')} FROM {rel} AS p) AS l WHERE cell IS NOT NULL GROUP BY cell) AS c"
 
 
-def normalize_sql(rel: str, columns: tuple[str, ...]) -> str:
-    """Adds ``<column>_norm`` with old spellings replaced."""
-    return f"(SELECT *, {', '.join(f'coalesce({lookup(c, domain.ALIASES)}, {c}) AS {c}_norm' for c in columns)} FROM {rel})"
-
-
-def vocabulary_gates(d: Spark, rel: str) -> str:
-    """One row per check of the final vocabulary."""
-    r = validate.rules(d)
-    checks = {
-        "canonical_categories": r["known_categories"], "structural_compatibility": r["structural_global"], "income_bounds": r["income_domain"],
-        "no_legacy_values": "NOT (" + " OR ".join(f"coalesce({any_of(c, tuple(domain.ALIASES))}, FALSE)" for c in domain.CATEGORIES) + ")",
-    }
-    return " UNION ALL ".join(f"SELECT '{n}' AS gate, CAST(sum(CASE WHEN {p} THEN 0 ELSE 1 END) AS BIGINT) AS n_failed, sum(CASE WHEN {p} THEN 0 ELSE 1 END) = 0 AS passed FROM {rel} AS p" for n, p in checks.items())
+def normalize_sql(d: Spark, rel: str, columns: tuple[str, ...]) -> str:
+    """Adds ``<column>_norm``: composed characters and today's spelling."""
+    return f"(SELECT *, {', '.join(f'{canonical.text(d, c)} AS {c}_norm' for c in columns)} FROM {rel})"
 
 
 def repaired_sql(d: Spark, rel: str, seed: int = 41) -> str:
@@ -98,27 +89,70 @@ def repaired_sql(d: Spark, rel: str, seed: int = 41) -> str:
       CASE WHEN {validate.ddd_in_state('Estado', 'DDD')} THEN DDD ELSE coalesce(CAST(split_part({codes}, ',', 1 + CAST(floor({u('fix_ddd')} * {n_codes}) AS INT)) AS INT), DDD) END AS DDD FROM {rel})"""
 
 
+#: Fields that a repair may change, and those of them whose change replaces the person.
+CHANGED = ("Idade", "Genero", "Regiao", "Estado", "Municipio", "Escolaridade", "Estado_Civil", "Ocupacao", "Renda", "Dependentes", "DDD")
+REPLACING = ("Idade", "Estado", "Escolaridade", "Ocupacao", "Estado_Civil", "Dependentes")
+
+
+def changes_sql(d: Spark, raw: str, final: str, fields: tuple[str, ...] = CHANGED) -> str:
+    """row_id, and per field the canonical values before and after; both stages joined by row id once."""
+    cells = ", ".join(f"{canonical.compared(d, f'a.{c}', c)} AS before_{c}, {canonical.compared(d, f'b.{c}', c)} AS after_{c}" for c in fields)
+    return f"(SELECT a.row_id, {cells} FROM {raw} AS a JOIN {final} AS b ON a.row_id = b.row_id)"
+
+
 def field_changes(d: Spark, raw: str, final: str) -> str:
-    """Per field the rows that differ between the stages (null-safe), joined by row id once."""
-    fields = ("Idade", "Renda", "Dependentes", "Escolaridade", "Regiao", "Municipio", "DDD")
-    differ = lambda c: f"CASE WHEN a.{c} IS DISTINCT FROM b.{c} THEN 1 ELSE 0 END"
-    one = f"(SELECT count(*) AS n, {', '.join(f'sum({differ(c)}) AS x_{c}' for c in fields)}, sum(CASE WHEN {' + '.join(map(differ, fields))} > 1 THEN 1 ELSE 0 END) AS x_multi FROM {raw} AS a JOIN {final} AS b ON a.row_id = b.row_id)"
-    cells = [f"concat('{c}', ':', CAST(x_{c} AS VARCHAR(20)))" for c in (*fields, "multi")]
+    """Per field the rows whose canonical values differ between the stages, and (multi) those with several such fields."""
+    differ = lambda c: f"CASE WHEN before_{c} <> after_{c} THEN 1 ELSE 0 END"
+    one = f"(SELECT count(*) AS n, {', '.join(f'sum({differ(c)}) AS x_{c}' for c in CHANGED)}, sum(CASE WHEN {' + '.join(map(differ, CHANGED))} > 1 THEN 1 ELSE 0 END) AS x_multi FROM {changes_sql(d, raw, final)} AS j)"
+    cells = [f"concat('{c}', ':', CAST(x_{c} AS VARCHAR(20)))" for c in (*CHANGED, "multi")]
     return f"SELECT split_part(cell, ':', 1) AS field, n AS total, CAST(split_part(cell, ':', 2) AS BIGINT) AS changed FROM (SELECT n, {d.explode(cells, 'cell')} FROM {one} AS o) AS c"
 
 
-def transitions(d: Spark, raw: str, final: str, column: str, k: int = 20) -> str:
-    """The k most frequent (before, after) pairs of a field."""
-    t = lambda x: f"coalesce(CAST({x}.{column} AS VARCHAR(60)), '<NA>')"
-    return f"SELECT {t('a')} AS before_value, {t('b')} AS after_value, count(*) AS n FROM {raw} AS a JOIN {final} AS b ON a.row_id = b.row_id WHERE a.{column} IS DISTINCT FROM b.{column} GROUP BY 1, 2 ORDER BY n DESC, before_value, after_value LIMIT {k}"
+def transitions(d: Spark, raw: str, final: str, fields: tuple[str, ...] = CHANGED, k: int = 20) -> str:
+    """The k most frequent (before, after) pairs of every field."""
+    m = chr(1)
+    cells = [f"CASE WHEN before_{c} <> after_{c} THEN concat('{c}{m}', before_{c}, '{m}', after_{c}) END" for c in fields]
+    counts = f"(SELECT split_part(cell, '{m}', 1) AS field, cell, count(*) AS n FROM (SELECT {d.explode(cells, 'cell')} FROM {changes_sql(d, raw, final, fields)} AS j) AS l WHERE cell IS NOT NULL GROUP BY cell)"
+    ranked = f"(SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, cell) AS place FROM {counts} AS c)"
+    return f"SELECT field, split_part(cell, '{m}', 2) AS before_value, split_part(cell, '{m}', 3) AS after_value, n FROM {ranked} AS r WHERE place <= {k}"
+
+
+def stage_outcomes(d: Spark, raw: str, final: str, selected: str | None = None, judged: bool = True) -> str:
+    """One row: selected rows that are unchanged, repaired (no core field changed), replaced or changed in several fields; invalid rows are rejected, valid ones that are not selected are surplus.
+
+    ``selected``: a relation of the chosen row ids; without it every valid row is. Unless ``judged``, rows that are not
+    selected are rejected, whatever the rules say.
+    """
+    ok = f"(SELECT row_id AS k, ok_structural_global AS ok FROM {validate.masks_sql(d, final, {'structural_global': validate.rules(d)['structural_global']})} AS m)"
+    differ = lambda c: f"CASE WHEN before_{c} <> after_{c} THEN 1 ELSE 0 END"
+    rows = f"(SELECT row_id, {' + '.join(map(differ, CHANGED))} AS n_changed, {' + '.join(map(differ, REPLACING))} AS n_core FROM {changes_sql(d, raw, final)} AS j)"
+    chosen = f"LEFT JOIN (SELECT row_id AS s_id FROM {selected} AS c) AS s ON r.row_id = s.s_id" if selected else ""
+    picked = "s_id IS NOT NULL" if selected else "ok"
+    one = lambda p: f"CAST(coalesce(sum(CASE WHEN {p} THEN 1 ELSE 0 END), 0) AS BIGINT)"
+    good = "ok" if judged else picked
+    return f"""SELECT count(*) AS total, {one(picked)} AS selected, {one(f'{picked} AND n_changed = 0')} AS unchanged, {one(f'{picked} AND n_changed > 0 AND n_core = 0')} AS repaired, {one(f'{picked} AND n_core > 0')} AS replaced,
+      {one(f'{picked} AND n_changed > 1')} AS multiple_fields, {one(f'NOT ({good})')} AS rejected, {one(f'{good} AND NOT ({picked})')} AS surplus FROM {rows} AS r JOIN {ok} AS v ON r.row_id = v.k {chosen}"""
+
+
+def geography_outcomes(d: Spark, raw: str, final: str) -> str:
+    """One row: places unchanged, repaired (the state kept) or replaced, several place fields or only others changed, and the raw rows' reasons to reject a place."""
+    places = ("Regiao", "Estado", "Municipio", "DDD")
+    others = tuple(c for c in CHANGED if c not in places)
+    differ = lambda c: f"CASE WHEN before_{c} <> after_{c} THEN 1 ELSE 0 END"
+    rows = f"(SELECT {' + '.join(map(differ, places))} AS n_place, {differ('Estado')} AS n_state, {' + '.join(map(differ, others))} AS n_other FROM {changes_sql(d, raw, final)} AS j)"
+    one = lambda p: f"CAST(coalesce(sum(CASE WHEN {p} THEN 1 ELSE 0 END), 0) AS BIGINT)"
+    r = validate.rules(d)
+    why = f"(SELECT CAST(coalesce(sum({' + '.join(f'CASE WHEN {r[n]} THEN 0 ELSE 1 END' for n in ('region_state', 'state_municipality', 'state_ddd'))}), 0) AS BIGINT) AS rejected_reasons FROM {raw} AS w)"
+    return f"SELECT selected, unchanged, repaired, replaced, multiple_fields, other_modified, rejected_reasons FROM (SELECT count(*) AS selected, {one('n_place = 0')} AS unchanged, {one('n_place > 0 AND n_state = 0')} AS repaired, {one('n_state > 0')} AS replaced, {one('n_place > 1')} AS multiple_fields, {one('n_place = 0 AND n_other > 0')} AS other_modified FROM {rows} AS r) AS a CROSS JOIN {why} AS b"
 
 
-def stage_outcomes(d: Spark, raw: str, final: str) -> str:
-    """Rows unchanged, repaired or rejected after repair."""
-    r = validate.rules(d)["structural_global"]
-    ok = f"(SELECT row_id, {r} AS ok FROM {final} AS f)"
-    was = f"(SELECT row_id, {r} AS ok FROM {raw} AS g)"
-    return f"SELECT CASE WHEN a.ok THEN 'valid_before' WHEN b.ok THEN 'repaired' ELSE 'rejected' END AS outcome, count(*) AS n FROM {was} AS a JOIN {ok} AS b ON a.row_id = b.row_id GROUP BY 1"
+def catalog_check(d: Spark) -> str:
+    """One row: entries, distinct keys and tuples of the catalog, entries that break the tables, and a checksum of it in order."""
+    c = f"({geography_catalog(d)}) AS g"
+    r = validate.rules(d)
+    bad = " OR ".join(f"NOT {r[n]}" for n in ("region_state", "state_municipality", "state_ddd"))
+    line = "concat_ws('|', Geo_Key, Regiao, Estado, Municipio, CAST(DDD AS VARCHAR(3)))"
+    return f"SELECT count(*) AS entries, count(DISTINCT Geo_Key) AS unique_keys, count(DISTINCT concat_ws('|', Regiao, Estado, Municipio, CAST(DDD AS VARCHAR(3)))) AS unique_tuples, CAST(sum(CASE WHEN {bad} THEN 1 ELSE 0 END) AS BIGINT) AS invalid_entries, {d.sha256(d.joined(line))} AS checksum FROM {c}"
 
 
 def presets(d: Spark) -> str:
@@ -141,11 +175,3 @@ def resolve_columns(explicit: list[str] | None = None, preset: str | None = None
     if bad or not names or len(set(names)) < len(names):
         raise ValueError(f"columns must be known, distinct and at least one: {bad or names}")
     return names
-
-
-def gate_statuses(d: Spark, rel: str) -> str:
-    """approved, quarantined or rejected per row of metrics (limits are the defaults; a mandatory failure rejects)."""
-    bad = lambda m, limit: f"({m} IS NULL OR isnan(CAST({m} AS DOUBLE)) OR {m} > {limit})"
-    must = " OR ".join([bad("invalid_rows", "0"), bad("duplicated_identifier", "0"), bad("null_required_fields", "0"), bad("exact_train_match_rate", "0.01e0")])
-    may = " OR ".join([bad("total_variation_distance", "0.25e0"), bad("correlation_difference", "0.3e0"), "coalesce(duplicate_base_row_rate, 0e0) > 0.01e0", "coalesce(synthetic_rows, 0) < 100"])
-    return f"SELECT *, CASE WHEN {must} THEN 'rejected' WHEN {may} THEN 'quarantined' ELSE 'approved' END AS status FROM {rel} AS m"

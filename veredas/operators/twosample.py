@@ -8,48 +8,57 @@ aggregated to distinct values, so that windows run over values per group and not
 from __future__ import annotations
 
 from veredas.functions.dialect import Spark
+from veredas.functions.dialect import literal as literal_text
 
-QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
-
+from .ranks import counted, group_quantiles, quantile, ranked, settled, stats
 
-def finite(x: str) -> str:
-    """Neither null nor NaN nor infinite."""
-    return f"({x} IS NOT NULL AND NOT isnan({x}) AND abs({x}) < 1e308)"
+QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+_SIDES = {"r": "CASE WHEN side = 'ref' THEN 1 ELSE 0 END", "s": "CASE WHEN side = 'syn' THEN 1 ELSE 0 END"}
 
 
 def moments(d: Spark, rel: str, x: str) -> str:
-    """Count, mean, median, standard deviation, extremes and quantiles of both sides."""
-    qs = ", ".join(f"round({d.quantile(x, q)}, 6) AS q{int(100 * q):02d}" for q in QUANTILES)
-    return f"SELECT side, count(*) AS n, round(avg({x}), 6) AS mean, round(stddev_samp({x}), 6) AS std, min({x}) AS lo, max({x}) AS hi, {qs} FROM {rel} WHERE {finite(f'CAST({x} AS DOUBLE)')} GROUP BY side"
+    """Count, mean, median (q50), standard deviation, extremes and quantiles of both sides."""
+    r = ranked(counted(rel, {"side": "side"}, x, {"n": "1"}), ["side"], ["n"])
+    t = stats()
+    cells = [f"{t['n']} AS n", f"{settled(t['mean'])} AS mean", f"{settled(t['std'])} AS std", f"{t['lo']} AS lo", f"{t['hi']} AS hi"]
+    return f"SELECT side, {', '.join(cells)}, {', '.join(f'round({quantile("n", q)}, 6) AS q{int(100 * q):02d}' for q in QUANTILES)} FROM {r} AS r GROUP BY side"
 
 
 def mean_difference(d: Spark, rel: str, x: str) -> str:
     """Absolute and relative difference of the means, and differences of medians and deviations; relative is null for a mean of 0."""
-    s = f"(SELECT avg(CASE WHEN side = 'ref' THEN {x} END) AS mr, avg(CASE WHEN side = 'syn' THEN {x} END) AS ms, {d.median(f'''CASE WHEN side = 'ref' THEN {x} END''')} AS dr, {d.median(f'''CASE WHEN side = 'syn' THEN {x} END''')} AS ds, stddev_samp(CASE WHEN side = 'ref' THEN {x} END) AS sr, stddev_samp(CASE WHEN side = 'syn' THEN {x} END) AS ss FROM {rel}) AS m"
-    return f"SELECT round(abs(ms - mr), 6) AS mean_abs_diff, round(CASE WHEN mr <> 0 THEN abs(ms - mr) / abs(mr) END, 6) AS mean_rel_diff, round(abs(ds - dr), 6) AS median_diff, round(abs(ss - sr), 6) AS std_diff FROM {s}"
+    one = lambda c, s: f"max(CASE WHEN side = '{s}' THEN {c} END)"
+    return f"""SELECT round(abs(ms - mr), 6) AS mean_abs_diff, round(CASE WHEN mr <> 0 THEN abs(ms - mr) / abs(mr) END, 6) AS mean_rel_diff, round(abs(ds - dr), 6) AS median_diff, round(abs(ss - sr), 4) AS std_diff
+      FROM (SELECT {one('mean', 'ref')} AS mr, {one('mean', 'syn')} AS ms, {one('q50', 'ref')} AS dr, {one('q50', 'syn')} AS ds, {one('std', 'ref')} AS sr, {one('std', 'syn')} AS ss FROM ({moments(d, rel, x)}) AS t) AS m"""
 
 
 def distances_sql(d: Spark, rel: str, group: str, x: str) -> str:
     """grp, n_ref, n_syn, wasserstein and ks, unrounded; groups without a side have nulls."""
-    return f"""(SELECT grp, max(nr) AS n_ref, max(ns) AS n_syn, sum(abs(cr / nullif(nr, 0) - cs / nullif(ns, 0)) * coalesce(nx - x, 0)) AS wasserstein, max(abs(cr / nullif(nr, 0) - cs / nullif(ns, 0))) AS ks FROM (
-      SELECT grp, x, sum(r) OVER o AS cr, sum(s) OVER o AS cs, lead(x) OVER (PARTITION BY grp ORDER BY x) AS nx, sum(r) OVER (PARTITION BY grp) AS nr, sum(s) OVER (PARTITION BY grp) AS ns FROM (
-        SELECT {group} AS grp, CAST({x} AS DOUBLE) AS x, CAST(sum(CASE WHEN side = 'ref' THEN 1 ELSE 0 END) AS DOUBLE) AS r, CAST(sum(CASE WHEN side = 'syn' THEN 1 ELSE 0 END) AS DOUBLE) AS s
-        FROM {rel} WHERE {finite(f'CAST({x} AS DOUBLE)')} GROUP BY {group}, CAST({x} AS DOUBLE)) AS c
-      WINDOW o AS (PARTITION BY grp ORDER BY x)) AS w GROUP BY grp)"""
+    r = ranked(counted(rel, {"grp": group}, x, _SIDES), ["grp"], ["r", "s"])
+    gap = "abs((r_before + r) / nullif(r_all, 0) - (s_before + s) / nullif(s_all, 0))"
+    return f"(SELECT grp, max(r_all) AS n_ref, max(s_all) AS n_syn, sum({gap} * coalesce(nx - x, 0)) AS wasserstein, max({gap}) AS ks FROM {r} AS w GROUP BY grp)"
+
+
+def ks_p_value(ks: str, n_ref: str, n_syn: str) -> str:
+    """The asymptotic two-sided p-value: Kolmogorov's series, 20 terms (1 where the argument is so small that the series has not set in)."""
+    z = f"({ks} * sqrt({n_ref} * {n_syn} / ({n_ref} + {n_syn})))"
+    terms = " + ".join(f"({'-' if k % 2 == 0 else ''}2e0) * exp(-{2 * k * k}e0 * {z} * {z})" for k in range(1, 21))
+    return f"CASE WHEN {z} < 0.2e0 THEN 1e0 ELSE least(1e0, greatest(0e0, {terms})) END"
 
 
 def distances(d: Spark, rel: str, group: str, x: str) -> str:
-    """Wasserstein-1 and Kolmogorov-Smirnov distances per group, also normalised by the reference's interquartile range (else its deviation), and the asymptotic KS p-value's argument."""
-    scale = f"(SELECT {group} AS grp, {d.quantile(x, 0.75)} - {d.quantile(x, 0.25)} AS iqr, stddev_samp({x}) AS std FROM {rel} WHERE side = 'ref' AND {finite(f'CAST({x} AS DOUBLE)')} GROUP BY {group})"
+    """Wasserstein-1 and Kolmogorov-Smirnov distances per group, also normalised by the reference's interquartile range (else its deviation), and the asymptotic KS p-value."""
+    r = ranked(counted(f"(SELECT * FROM {rel} AS f WHERE side = 'ref')", {"grp": group}, x, {"n": "1"}), ["grp"], ["n"])
+    scale = f"(SELECT grp, {quantile('n', 0.75)} - {quantile('n', 0.25)} AS iqr, {stats()['std']} AS std FROM {r} AS r GROUP BY grp)"
     return f"""SELECT w.grp, CAST(n_ref AS BIGINT) AS n_ref, CAST(n_syn AS BIGINT) AS n_syn, round(wasserstein, 6) AS wasserstein, round(ks, 6) AS ks,
-      round(wasserstein / CASE WHEN iqr > 0 THEN iqr WHEN std > 0 THEN std END, 6) AS normalized, round(ks * sqrt(n_ref * n_syn / (n_ref + n_syn)), 6) AS ks_lambda
-      FROM {distances_sql(d, rel, group, x)} AS w LEFT JOIN {scale} AS s ON w.grp = s.grp"""
+      round(wasserstein / CASE WHEN iqr > 0 THEN iqr WHEN std > 0 THEN std END, 6) AS normalized, round({ks_p_value('ks', 'n_ref', 'n_syn')}, 6) AS ks_pvalue
+      FROM {distances_sql(d, rel, group, x)} AS w LEFT JOIN {scale} AS s ON w.grp IS NOT DISTINCT FROM s.grp"""
 
 
 def shares_sql(rel: str, column: str) -> str:
     """cat, p, q: shares of a category on both sides; null is a category of its own."""
     c = f"coalesce(CAST({column} AS VARCHAR(200)), '<NA>')"
-    return f"(SELECT cat, r / nullif(sum(r) OVER (), 0) AS p, s / nullif(sum(s) OVER (), 0) AS q FROM (SELECT {c} AS cat, CAST(sum(CASE WHEN side = 'ref' THEN 1 ELSE 0 END) AS DOUBLE) AS r, CAST(sum(CASE WHEN side = 'syn' THEN 1 ELSE 0 END) AS DOUBLE) AS s FROM {rel} GROUP BY {c}) AS c)"
+    both = f"(SELECT {c} AS cat, CAST(sum({_SIDES['r']}) AS DOUBLE) AS r, CAST(sum({_SIDES['s']}) AS DOUBLE) AS s FROM {rel} AS z GROUP BY {c})"
+    return f"(SELECT cat, r / nullif(r_all, 0) AS p, s / nullif(s_all, 0) AS q FROM {both} AS c CROSS JOIN (SELECT sum(r) AS r_all, sum(s) AS s_all FROM {both} AS e) AS t)"
 
 
 def category_shares(d: Spark, rel: str, column: str) -> str:
@@ -75,8 +84,8 @@ def ranked_sql(rel: str, group: str, columns: tuple[str, ...]) -> str:
     out = f"{rel} AS base"
     picked = ["base.*"]
     for i, c in enumerate(columns):
-        ranks = f"(SELECT g, v, before + (n + 1) / 2e0 AS rk FROM (SELECT g, v, n, coalesce(sum(n) OVER (PARTITION BY g ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT {group} AS g, {c} AS v, count(*) AS n FROM {rel} AS x WHERE {c} IS NOT NULL GROUP BY {group}, {c}) AS k) AS q)"
-        out += f" LEFT JOIN {ranks} AS r{i} ON base.{group} = r{i}.g AND base.{c} = r{i}.v"
+        ranks = f"(SELECT g, x, n_before + (n + 1) / 2e0 AS rk FROM {ranked(counted(rel, {'g': group}, c, {'n': '1'}), ['g'], ['n'])} AS q)"
+        out += f" LEFT JOIN {ranks} AS r{i} ON base.{group} = r{i}.g AND CAST(base.{c} AS DOUBLE) = r{i}.x"
         picked.append(f"r{i}.rk AS rank_{i}")
     return f"(SELECT {', '.join(picked)} FROM {out})"
 
@@ -94,13 +103,26 @@ def correlation_summary(d: Spark, rel: str, columns: tuple[str, ...]) -> str:
 
 def crosstab(d: Spark, rel: str, a: str, b: str) -> str:
     """Total variation and largest cell difference of a pair of columns; rows with a null are left out."""
+    cells = f"(SELECT {a} AS a, {b} AS b, CAST(sum({_SIDES['r']}) AS DOUBLE) AS r, CAST(sum({_SIDES['s']}) AS DOUBLE) AS s FROM {rel} AS z WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}, {b})"
     return f"""SELECT round(0.5e0 * sum(abs(p - q)), 6) AS tvd, round(max(abs(p - q)), 6) AS largest_cell, count(*) AS n_cells FROM (
-      SELECT r / sum(r) OVER () AS p, s / sum(s) OVER () AS q FROM (SELECT {a} AS a, {b} AS b, CAST(sum(CASE WHEN side = 'ref' THEN 1 ELSE 0 END) AS DOUBLE) AS r, CAST(sum(CASE WHEN side = 'syn' THEN 1 ELSE 0 END) AS DOUBLE) AS s
-      FROM {rel} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}, {b}) AS c) AS t"""
+      SELECT r / r_all AS p, s / s_all AS q FROM {cells} AS c CROSS JOIN (SELECT sum(r) AS r_all, sum(s) AS s_all FROM {cells} AS e) AS t) AS t"""
+
+
+# The pairs of columns whose joint distribution is compared.
+CROSSED = (("Regiao", "Estado"), ("Estado", "Municipio"), ("Estado", "DDD"), ("Escolaridade", "Ocupacao"), ("Idade", "Estado_Civil"))
+
+
+def crosstabs(d: Spark, rel: str, pairs: tuple[tuple[str, str], ...] = CROSSED) -> str:
+    """The comparison of every pair, from one pass over the rows."""
+    cells = [f"concat({', '.join([literal_text(f'{a}|{b}'), literal_text(chr(1)), f'CAST({a} AS VARCHAR(60))', literal_text(chr(1)), f'CAST({b} AS VARCHAR(60))'])})" for a, b in pairs]
+    long = f"(SELECT side, {d.explode(cells, 'cell')} FROM {rel} AS z)"
+    counts = f"(SELECT split_part(cell, {literal_text(chr(1))}, 1) AS pair, cell, CAST(sum({_SIDES['r']}) AS DOUBLE) AS r, CAST(sum({_SIDES['s']}) AS DOUBLE) AS s FROM {long} AS l WHERE cell IS NOT NULL GROUP BY cell)"
+    return f"""SELECT c.pair, round(0.5e0 * sum(abs(r / r_all - s / s_all)), 6) AS tvd, round(max(abs(r / r_all - s / s_all)), 6) AS largest_cell, count(*) AS n_cells
+      FROM {counts} AS c JOIN (SELECT pair, sum(r) AS r_all, sum(s) AS s_all FROM {counts} AS e GROUP BY pair) AS t ON c.pair = t.pair GROUP BY c.pair"""
 
 
 def grouped_means(d: Spark, rel: str, group: str, x: str) -> str:
-    return f"SELECT {group} AS grp, round(avg(CASE WHEN side = 'ref' THEN {x} END), 4) AS ref_mean, round(avg(CASE WHEN side = 'syn' THEN {x} END), 4) AS syn_mean, round(abs(avg(CASE WHEN side = 'ref' THEN {x} END) - avg(CASE WHEN side = 'syn' THEN {x} END)), 4) AS difference FROM {rel} WHERE {group} IS NOT NULL GROUP BY {group}"
+    return f"SELECT {group} AS grp, {settled(f"avg(CASE WHEN side = 'ref' THEN {x} END)")} AS ref_mean, {settled(f"avg(CASE WHEN side = 'syn' THEN {x} END)")} AS syn_mean, {settled(f"abs(avg(CASE WHEN side = 'ref' THEN {x} END) - avg(CASE WHEN side = 'syn' THEN {x} END))")} AS difference FROM {rel} WHERE {group} IS NOT NULL GROUP BY {group}"
 
 
 def income_band(age: str) -> str:
@@ -115,13 +137,14 @@ def cut_band(age: str) -> str:
 
 def overlap(d: Spark, rel: str, x: str, bins: int = 80) -> str:
     """Histogram overlap of both sides over equal bins of the joint range (1 where the range is a point)."""
-    b = f"least(CAST(floor(({x} - lo) / ((hi - lo) / {bins}e0)) AS INT), {bins - 1})"
-    return f"""SELECT round(CASE WHEN max(hi) = max(lo) THEN 1e0 ELSE sum(least(p, q)) END, 6) AS overlap FROM (SELECT lo, hi, r / sum(r) OVER () AS p, s / sum(s) OVER () AS q FROM (
-      SELECT {b} AS bin, max(lo) AS lo, max(hi) AS hi, CAST(sum(CASE WHEN side = 'ref' THEN 1 ELSE 0 END) AS DOUBLE) AS r, CAST(sum(CASE WHEN side = 'syn' THEN 1 ELSE 0 END) AS DOUBLE) AS s
-      FROM {rel} AS v CROSS JOIN (SELECT min({x}) AS lo, max({x}) AS hi FROM {rel} AS u) AS e GROUP BY 1) AS c) AS t"""
+    b = f"CASE WHEN hi > lo THEN least(CAST(floor(({x} - lo) / ((hi - lo) / {bins}e0)) AS INT), {bins - 1}) ELSE 0 END"
+    held = f"(SELECT {b} AS bin, max(lo) AS lo, max(hi) AS hi, CAST(sum({_SIDES['r']}) AS DOUBLE) AS r, CAST(sum({_SIDES['s']}) AS DOUBLE) AS s FROM {rel} AS v CROSS JOIN (SELECT min({x}) AS lo, max({x}) AS hi FROM {rel} AS u) AS e GROUP BY 1)"
+    # One row a bin: the window over them is small.
+    return f"SELECT round(CASE WHEN max(hi) = max(lo) THEN 1e0 ELSE sum(least(p, q)) END, 6) AS overlap FROM (SELECT lo, hi, r / sum(r) OVER () AS p, s / sum(s) OVER () AS q FROM {held} AS c) AS t"
 
 
 def quantile_overlap(d: Spark, rel: str, x: str) -> str:
     """Intersection over union of the interquartile ranges."""
-    q = lambda s, p: d.quantile(f"CASE WHEN side = '{s}' THEN {x} END", p)
-    return f"SELECT round(greatest(least(rb, sb) - greatest(ra, sa), 0e0) / nullif(greatest(rb, sb) - least(ra, sa), 0e0), 6) AS iqr_overlap FROM (SELECT {q('ref', 0.25)} AS ra, {q('ref', 0.75)} AS rb, {q('syn', 0.25)} AS sa, {q('syn', 0.75)} AS sb FROM {rel}) AS t"
+    q = group_quantiles(rel, {"side": "side"}, x, {"a": 0.25, "b": 0.75})
+    one = lambda c, s: f"max(CASE WHEN side = '{s}' THEN {c} END)"
+    return f"SELECT round(greatest(least(rb, sb) - greatest(ra, sa), 0e0) / greatest(greatest(rb, sb) - least(ra, sa), 1e-9), 6) AS iqr_overlap FROM (SELECT {one('a', 'ref')} AS ra, {one('b', 'ref')} AS rb, {one('a', 'syn')} AS sa, {one('b', 'syn')} AS sb FROM {q} AS q) AS t"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veredas.functions import domain
+from veredas.functions import canonical, domain
 from veredas.functions.dialect import Spark, any_of, literal, lookup
 
 
@@ -60,14 +60,20 @@ def _of_occupation(occupation: str, key: str) -> str:
     return lookup(occupation, {n: int(o[key]) for n, o in domain.OCCUPATIONS.items()})
 
 
-def rules(d: Spark) -> dict[str, str]:
-    """name -> predicate that a valid row fulfils: of the model columns, elementary rules and their conjunctions."""
-    known = " AND ".join(_ok(any_of(c, v)) for c, v in domain.CATEGORIES.items()) + " AND " + _ok(any_of("DDD", tuple(x for v in domain.STATES.values() for x in v[2])))
-    r = {
-        "known_categories": f"({known})",
-        "age_domain": _ok(f"Idade BETWEEN {domain.AGE[0]} AND {domain.AGE[1]}"),
-        "income_domain": _ok(f"Renda BETWEEN {domain.INCOME[0]!r}e0 AND {domain.INCOME[1]!r}e0"),
-        "dependents_domain": _ok(f"Dependentes BETWEEN {domain.DEPENDENTS[0]} AND {domain.DEPENDENTS[1]}"),
+def _whole(column: str, bounds: tuple) -> str:
+    """A whole number within bounds."""
+    n = canonical.number(column)
+    return _ok(f"{n} BETWEEN {float(bounds[0])!r}e0 AND {float(bounds[1])!r}e0 AND {n} % 1 = 0")
+
+
+def elementary(d: Spark) -> dict[str, str]:
+    """name -> predicate that a valid row fulfils, each of one thing; ``known_<column>``: a value of the column's domain."""
+    known = {f"known_{c}": _ok(any_of(c, v)) for c, v in domain.CATEGORIES.items()}
+    return known | {
+        "known_DDD": _ok(any_of("DDD", tuple(x for v in domain.STATES.values() for x in v[2]))),
+        "age_domain": _whole("Idade", domain.AGE),
+        "income_domain": _ok(f"{canonical.number('Renda')} BETWEEN {domain.INCOME[0]!r}e0 AND {domain.INCOME[1]!r}e0"),
+        "dependents_domain": _whole("Dependentes", domain.DEPENDENTS),
         "region_state": _ok(f"{region_of('Estado')} = Regiao"),
         "state_municipality": city_in_state("Estado", "Municipio"),
         "state_ddd": ddd_in_state("Estado", "DDD"),
@@ -75,13 +81,28 @@ def rules(d: Spark) -> dict[str, str]:
         "occupation_age": _ok(f"Idade BETWEEN {_of_occupation('Ocupacao', 'min')} AND {_of_occupation('Ocupacao', 'max')}"),
         "marital_age": _ok("Idade IS NOT NULL AND NOT (coalesce(Estado_Civil, '') = 'Viúvo' AND Idade < 25)"),
     }
-    places = " AND ".join(_ok(any_of(c, domain.CATEGORIES[c])) for c in ("Regiao", "Estado", "Municipio"))
-    work = " AND ".join(_ok(any_of(c, domain.CATEGORIES[c])) for c in ("Escolaridade", "Ocupacao"))
-    r["geographic_joint"] = f"({places} AND {r['region_state']} AND {r['state_municipality']} AND {r['state_ddd']})"
-    r["professional_joint"] = f"({work} AND {r['age_domain']} AND {r['income_domain']} AND {r['occupation_education']} AND {r['occupation_age']})"
-    r["non_relational_joint"] = f"({r['known_categories']} AND {r['age_domain']} AND {r['income_domain']} AND {r['dependents_domain']})"
-    r["structural_global"] = f"({r['non_relational_joint']} AND {r['region_state']} AND {r['state_municipality']} AND {r['state_ddd']} AND {r['occupation_education']} AND {r['occupation_age']})"
-    return r
+
+
+_DOMAINS = ("age_domain", "income_domain", "dependents_domain")
+_PLACE = ("region_state", "state_municipality", "state_ddd")
+_WORK = ("occupation_education", "occupation_age")
+_KNOWN = (*(f"known_{c}" for c in domain.CATEGORIES), "known_DDD")
+#: The fourteen rules as conjunctions of elementary ones.
+JOINT = {
+    "known_categories": _KNOWN, **{n: (n,) for n in (*_DOMAINS, *_PLACE, *_WORK, "marital_age")},
+    "geographic_joint": ("known_Regiao", "known_Estado", "known_Municipio", "known_DDD", *_PLACE),
+    "professional_joint": ("known_Escolaridade", "known_Ocupacao", "age_domain", "income_domain", *_WORK),
+    "non_relational_joint": (*_KNOWN, *_DOMAINS),
+    "structural_global": (*_KNOWN, *_DOMAINS, *_PLACE, *_WORK),
+}
+#: Rules that are conjunctions of others.
+COMPOSED = ("geographic_joint", "professional_joint", "non_relational_joint", "structural_global")
+
+
+def rules(d: Spark) -> dict[str, str]:
+    """name -> predicate over the model columns."""
+    e = elementary(d)
+    return {n: "(" + " AND ".join(e[p] for p in parts) + ")" for n, parts in JOINT.items()}
 
 
 def final_rules(d: Spark) -> dict[str, str]:
@@ -97,9 +118,14 @@ def final_rules(d: Spark) -> dict[str, str]:
     }
 
 
-def masks_sql(d: Spark, rel: str, chosen: dict[str, str]) -> str:
-    """row_id and one boolean per rule: a projection."""
-    return f"(SELECT row_id, {', '.join(f'{p} AS ok_{n}' for n, p in chosen.items())} FROM {rel})"
+def masks_sql(d: Spark, rel: str, chosen: dict[str, str], keep: tuple[str, ...] = ()) -> str:
+    """row_id, the columns ``keep`` and one boolean per rule: a projection in which every elementary predicate is computed once."""
+    e, own = elementary(d), rules(d)
+    joint = {n: JOINT[n] for n in chosen if n in JOINT and chosen[n] == own[n]}
+    once = {f"is_{p}": e[p] for p in dict.fromkeys(p for parts in joint.values() for p in parts)}
+    once |= {f"is_{n}": p for n, p in chosen.items() if n not in joint}
+    ok = ", ".join(f"({' AND '.join(f'is_{p}' for p in joint.get(n, (n,)))}) AS ok_{n}" for n in chosen)
+    return f"(SELECT {', '.join(('row_id', *keep))}, {ok} FROM {d.fixed(f'{rel} AS judged', once)} AS once)"
 
 
 def rule_counts(d: Spark, rel: str, chosen: dict[str, str]) -> str:
@@ -136,25 +162,189 @@ def co_occurrence(d: Spark, rel: str, chosen: dict[str, str]) -> str:
     return f"SELECT split_part(cell, ':', 1) AS rule_a, split_part(cell, ':', 2) AS rule_b, CAST(split_part(cell, ':', 3) AS BIGINT) AS n FROM (SELECT {d.explode(cells, 'cell')} FROM {one} AS o) AS c WHERE CAST(split_part(cell, ':', 3) AS BIGINT) > 0"
 
 
+def _cells(d: Spark, columns: tuple[str, ...], mark: str = chr(1)) -> list[str]:
+    """``column`` and value of each column as one text; null is a value of its own."""
+    return [f"concat('{c}{mark}', coalesce(CAST({c} AS VARCHAR(300)), '{chr(2)}'))" for c in columns]
+
+
+def _values(d: Spark, rel: str, columns: tuple[str, ...]) -> str:
+    """field, value and n of every distinct value of some columns; the rows are read once, and counted before they move."""
+    return f"(SELECT split_part(cell, '{chr(1)}', 1) AS field, cell, count(*) AS n FROM (SELECT {d.explode(_cells(d, columns), 'cell')} FROM {rel} AS r) AS c GROUP BY cell)"
+
+
 def duplicated_ids(d: Spark, rel: str, columns: tuple[str, ...] = domain.IDENTIFIERS) -> str:
-    """Per identifier: occurrences beyond the first of a value, and the values concerned."""
-    one = lambda c: f"SELECT '{c}' AS identifier, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS extra, CAST(coalesce(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_values FROM (SELECT {c}, count(*) AS n FROM {rel} AS r GROUP BY {c}) AS g"
-    return " UNION ALL ".join(map(one, columns))
+    """Per identifier: occurrences beyond the first of a value (null is a value), and the values concerned."""
+    return f"SELECT field AS identifier, CAST(sum(n - 1) AS BIGINT) AS extra, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_values FROM {_values(d, rel, columns)} AS g GROUP BY field"
 
 
 def keep_first_sql(rel: str, key: str) -> str:
-    """Adds ``later``: another row with a smaller row_id has the same key. A minimum per key joined back, so that a hot key is pre-aggregated."""
-    return f"(SELECT r.*, r.row_id > k.first_id AS later FROM {rel} AS r JOIN (SELECT {key} AS k0, min(row_id) AS first_id FROM {rel} AS q GROUP BY {key}) AS k ON r.{key} = k.k0)"
+    """Adds ``later``: another row with a smaller row_id has the same key (null is a key too). A minimum per key joined back, so that a hot key is pre-aggregated."""
+    return f"(SELECT r.*, r.row_id > k.first_id AS later FROM {rel} AS r JOIN (SELECT {key} AS k0, min(row_id) AS first_id FROM {rel} AS q GROUP BY {key}) AS k ON r.{key} IS NOT DISTINCT FROM k.k0)"
 
 
 def null_counts(d: Spark, rel: str, columns: tuple[str, ...]) -> str:
-    return " UNION ALL ".join(f"SELECT '{c}' AS field, CAST(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_null FROM {rel} AS r" for c in columns)
+    """Per field the rows without a value, from one aggregation."""
+    sums = ", ".join(f"sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS x_{c}" for c in columns)
+    cells = [f"concat('{c}:', CAST(coalesce(x_{c}, 0) AS VARCHAR(20)))" for c in columns]
+    return f"SELECT split_part(cell, ':', 1) AS field, CAST(split_part(cell, ':', 2) AS BIGINT) AS n_null FROM (SELECT {d.explode(cells, 'cell')} FROM (SELECT {sums} FROM {rel} AS r) AS o) AS c"
+
+
+def report_flags(d: Spark, final: bool = True) -> dict[str, str]:
+    """reason -> whether a row has it, over canonical text columns; in the report's order. Several nulls of a row count apart (see :func:`validation_reasons`)."""
+    n = canonical.number
+    out: dict[str, str] = {}
+    bad = lambda p: f"NOT {_ok(p)}"
+    bounds = {"Idade": domain.AGE, "Renda": domain.INCOME, "Dependentes": domain.DEPENDENTS, "DDD": (11, 99)}
+    for c, (low, high) in bounds.items():
+        out[f"{c}_below_min"] = _ok(f"{n(c)} < {float(low)!r}e0")
+        out[f"{c}_above_max"] = _ok(f"{n(c)} > {float(high)!r}e0")
+        if c != "Renda":
+            out[f"{c}_non_integer"] = _ok(f"{n(c)} % 1 <> 0")
+    for c, values in domain.CATEGORIES.items():
+        out[f"{c}_unexpected_category"] = bad(any_of(c, values))
+    out["DDD_unexpected_category"] = bad(any_of(n("DDD"), tuple(x for v in domain.STATES.values() for x in v[2])))
+    e = elementary(d)
+    out["estado_regiao_incompativel"] = f"NOT {e['region_state']}"
+    out["municipio_estado_incompativel"] = f"NOT {e['state_municipality']}"
+    out["ddd_estado_incompativel"] = f"NOT {ddd_in_state('Estado', n('DDD'))}"
+    whole = f"({n('Idade')} - {n('Idade')} % 1)"
+    fits = f"{level_of('Escolaridade')} >= {_of_occupation('Ocupacao', 'level')} AND {whole} BETWEEN {_of_occupation('Ocupacao', 'min')} AND {_of_occupation('Ocupacao', 'max')}"
+    out["ocupacao_escolaridade_idade_incompativel"] = bad(fits)
+    if final:
+        names = {"CPF": "CPF_invalido", "CNH": "CNH_invalido", "RG": "RG_invalido", "Titulo_Eleitor": "Titulo_Eleitor_invalido", "Telefone": "Telefone_invalido", "Data_Nascimento_idade": "idade_data_nascimento_incompativel", "telefone_ddd": "telefone_ddd_incompativel"}
+        out |= {names[k]: f"NOT {p}" for k, p in final_rules(d).items()}
+    return out
+
+
+def validation_sql(d: Spark, rel: str, final: bool = True) -> str:
+    """row_id, n_null and n_bad_number (of the row's fields), ``is_<reason>`` and ``later_<key>`` (another row with a smaller id has the same identifier, or the same row), and ``valid``.
+
+    Text is made canonical first. Keys are exploded and counted together; only those of several rows are joined back.
+    """
+    columns = domain.FINAL_COLUMNS if final else domain.MODEL_COLUMNS
+    numbers = ("Idade", "Renda", "Dependentes", "DDD")
+    clean = f"(SELECT row_id, {', '.join(c if c in numbers else f'{canonical.text(d, f"CAST({c} AS VARCHAR(300))")} AS {c}' for c in columns)} FROM {rel} AS raw)"
+    reasons = report_flags(d, final)
+    flags = {"n_null": " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in columns)}
+    flags["n_bad_number"] = " + ".join(f"CASE WHEN {canonical._finite(canonical.number(c))} THEN 0 ELSE 1 END" for c in numbers)
+    flags |= {f"is_{r}": p for r, p in reasons.items()}
+    keys = {"row": d.sha256("concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR(300)), '{chr(2)}')" for c in columns) + ")")}
+    if final:
+        keys |= {c: f"coalesce({c}, '{chr(2)}')" for c in domain.IDENTIFIERS}
+    flags |= {f"key_{k}": e for k, e in keys.items()}
+    judged = d.fixed(f"{clean} AS clean", flags)
+    cells = [f"concat('{k}{chr(1)}', key_{k})" for k in keys]
+    long = f"(SELECT row_id, {d.explode(cells, 'cell')} FROM {judged} AS j)"
+    first = f"(SELECT cell, min(row_id) AS first_id FROM {long} AS l GROUP BY cell HAVING count(*) > 1)"
+    marks = ", ".join(f"max(CASE WHEN l.cell LIKE '{k}{chr(1)}%' THEN 1 ELSE 0 END) AS m_{k}" for k in keys)
+    later = f"(SELECT l.row_id AS later_id, {marks} FROM {long} AS l JOIN {first} AS f ON l.cell = f.cell AND l.row_id > f.first_id GROUP BY l.row_id)"
+    ok = " AND ".join(["n_null = 0", "n_bad_number = 0", *(f"NOT is_{r}" for r in reasons), "later_id IS NULL"])
+    picked = ["row_id", "n_null", "n_bad_number", *(f"is_{r}" for r in reasons), *(f"coalesce(m_{k}, 0) = 1 AS later_{k}" for k in keys), f"({ok}) AS valid"]
+    return f"(SELECT {', '.join(picked)} FROM {judged} AS j LEFT JOIN {later} AS t ON j.row_id = t.later_id)"
+
+
+def _reason_names(d: Spark, final: bool) -> dict[str, str]:
+    """reason -> what a row adds to its count."""
+    one = lambda p: f"CASE WHEN {p} THEN 1 ELSE 0 END"
+    out = {"null_required_fields": "n_null", "invalid_numeric_values": "n_bad_number"} | {r: one(f"is_{r}") for r in report_flags(d, final)}
+    if final:
+        out |= {f"{c}_duplicado": one(f"later_{c}") for c in domain.IDENTIFIERS}
+    return out | {"duplicated_rows": one("later_row")}
+
+
+def validation_report(d: Spark, rel: str, final: bool = True) -> str:
+    """n_rows, valid_rows, invalid_rows, and every reason that occurs with its count: one row each, from one aggregation."""
+    names = {"n_rows": "1", "valid_rows": "CASE WHEN valid THEN 1 ELSE 0 END", "invalid_rows": "CASE WHEN valid THEN 0 ELSE 1 END"} | _reason_names(d, final)
+    sums = ", ".join(f"sum({e}) AS x{i}" for i, e in enumerate(names.values()))
+    cells = [f"concat('{n}:', CAST(coalesce(x{i}, 0) AS VARCHAR(20)))" for i, n in enumerate(names)]
+    return f"""SELECT split_part(cell, ':', 1) AS reason, CAST(split_part(cell, ':', 2) AS BIGINT) AS n FROM (SELECT {d.explode(cells, 'cell')} FROM (SELECT {sums} FROM {validation_sql(d, rel, final)} AS v) AS o) AS c
+      WHERE split_part(cell, ':', 2) <> '0' OR split_part(cell, ':', 1) IN ('n_rows', 'valid_rows', 'invalid_rows')"""
+
+
+def validation_reasons(d: Spark, rel: str, final: bool = True) -> str:
+    """row_id, valid and the comma-joined reasons of every row."""
+    cells = ", ".join(f"CASE WHEN {e} > 0 THEN '{r}' END" for r, e in _reason_names(d, final).items())
+    return f"SELECT row_id, valid, concat_ws(',', {cells}) AS reasons FROM {validation_sql(d, rel, final)} AS v"
+
+
+def missing_columns(columns: list[str], final: bool = True) -> list[str]:
+    """Required columns that a frame lacks: with any, all of its rows are invalid. Names are compared by case."""
+    return [c for c in (domain.FINAL_COLUMNS if final else domain.MODEL_COLUMNS) if c not in columns]
+
+
+# Labels of the checklist and the reason that each one excludes.
+CHECKLIST = (
+    ("CPFs estruturalmente válidos", "CPF_invalido"), ("CPFs sem duplicidade no lote", "CPF_duplicado"), ("Datas de nascimento coerentes com as idades", "idade_data_nascimento_incompativel"),
+    ("Municípios coerentes com os estados", "municipio_estado_incompativel"), ("DDDs coerentes com os estados", "ddd_estado_incompativel"),
+    ("Telefones no formato esperado", "Telefone_invalido"), ("Telefones coerentes com os DDDs", "telefone_ddd_incompativel"),
+)
+
+
+def checklist(d: Spark, rel: str) -> str:
+    """The labelled checks of a validation report (complete columns are known before the query)."""
+    found = ", ".join(f"max(CASE WHEN reason = '{r}' THEN n END) AS x{i}" for i, (_, r) in enumerate(CHECKLIST))
+    rep = f"(SELECT max(CASE WHEN reason = 'invalid_rows' THEN n END) AS bad, {found} FROM ({validation_report(d, rel)}) AS r)"
+    shown = [("Quantidade de linhas correta", "coalesce(bad, 0) = 0"), ("Schema interno completo", "TRUE"), *((label, f"coalesce(x{i}, 0) = 0") for i, (label, _) in enumerate(CHECKLIST))]
+    cells = [f"concat('{label}', '{chr(1)}', CASE WHEN {p} THEN '1' ELSE '0' END)" for label, p in shown]
+    return f"SELECT split_part(cell, '{chr(1)}', 1) AS label, split_part(cell, '{chr(1)}', 2) = '1' AS passed FROM (SELECT {d.explode(cells, 'cell')} FROM {rep} AS r) AS c"
+
+
+# Bounds of the older validators.
+LEGACY_AGE, LEGACY_INCOME, MINOR_INCOME = (18, 65), (1200, 25000), 8000
+
+
+def cpf_masked(d: Spark, x: str) -> str:
+    return _ok(d.matches(x, r"^[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}$"))
+
+
+def legacy_raw_summary(d: Spark, rel: str, sex: str | None = None) -> str:
+    """Counters of the older check of raw numbers: violations per row and conformity. ``sex``: the 0/1 column, where there is one."""
+    one = lambda p: f"CAST(coalesce(sum(CASE WHEN {p} THEN 1 ELSE 0 END), 0) AS BIGINT)"
+    counters = {
+        "idade_menor_18": one(f"Idade < {LEGACY_AGE[0]}"),
+        "idade_maior_65": one(f"Idade > {LEGACY_AGE[1]}"),
+        "renda_alta_para_menor": one(f"Idade < {LEGACY_AGE[0]} AND Renda > {MINOR_INCOME}"),
+        "renda_fora_faixa": one(f"NOT coalesce(Renda BETWEEN {LEGACY_INCOME[0]} AND {LEGACY_INCOME[1]}, FALSE)"),
+        "sexo_fora_0_1": one(f"NOT coalesce({sex} BETWEEN 0 AND 1, FALSE)") if sex else "CAST(0 AS BIGINT)",
+    }
+    total = " + ".join(counters)
+    rate = f"CASE WHEN n = 0 THEN 0e0 ELSE ({total}) / CAST(n AS DOUBLE) END"
+    return f"SELECT *, round({rate}, 6) AS violation_rate, round(1e0 - least(1e0, {rate}), 6) AS conformity FROM (SELECT count(*) AS n, {', '.join(f'{e} AS {c}' for c, e in counters.items())} FROM {rel} AS r) AS t"
 
 
 def legacy_summary(d: Spark, rel: str) -> str:
-    """Counters of the older validator, which knew ages 18 to 65: errors per row and conformity."""
+    """The twelve counters of the older validator, which knew ages 18 to 65: errors per row and conformity."""
     f = final_rules(d)
-    counters = {"cpf": f["CPF"], "cnh": f["CNH"], "rg": f["RG"], "titulo": f["Titulo_Eleitor"], "telefone": f["Telefone"], "ddd": f["telefone_ddd"], "idade": _ok("Idade BETWEEN 18 AND 65")}
-    sums = ", ".join(f"CAST(sum(CASE WHEN {p} THEN 0 ELSE 1 END) AS BIGINT) AS bad_{n}" for n, p in counters.items())
-    errors = " + ".join(f"bad_{n}" for n in counters)
-    return f"SELECT *, round(({errors}) / CAST(n AS DOUBLE), 6) AS errors_per_row, round(1e0 - least(1e0, ({errors}) / CAST(n AS DOUBLE)), 6) AS conformity FROM (SELECT count(*) AS n, {sums} FROM {rel} AS r) AS t"
+    counters = {"cpf_formato": cpf_masked(d, "CPF"), "cpf_digito": f["CPF"], "cnh": f["CNH"], "titulo": f["Titulo_Eleitor"], "rg": f["RG"], "telefone": f["Telefone"], "idade": _ok(f"Idade BETWEEN {LEGACY_AGE[0]} AND {LEGACY_AGE[1]}")}
+    sums = ", ".join(f"CAST(coalesce(sum(CASE WHEN {p} THEN 0 ELSE 1 END), 0) AS BIGINT) AS bad_{n}" for n, p in counters.items())
+    twice = ", ".join(f"coalesce(max(CASE WHEN identifier = '{c}' THEN extra END), 0) AS dup_{c.lower()}" for c in domain.IDENTIFIERS)
+    errors = " + ".join([*(f"bad_{n}" for n in counters), *(f"dup_{c.lower()}" for c in domain.IDENTIFIERS)])
+    rate = f"CASE WHEN n = 0 THEN 0e0 ELSE ({errors}) / CAST(n AS DOUBLE) END"
+    return f"SELECT *, round({rate}, 6) AS errors_per_row, round(1e0 - least(1e0, {rate}), 6) AS conformity FROM (SELECT count(*) AS n, {sums} FROM {rel} AS r) AS t CROSS JOIN (SELECT {twice} FROM ({duplicated_ids(d, rel)}) AS i) AS u"
+
+
+# The columns that label the failures of a rule.
+LABELS = {
+    "region_state": ("Estado", "Regiao"), "state_municipality": ("Estado", "Municipio"), "state_ddd": ("Estado", "DDD"),
+    "occupation_education": ("Escolaridade", "Ocupacao"), "occupation_age": ("Idade", "Ocupacao"), "marital_age": ("Idade", "Estado_Civil"),
+}
+
+
+def invalid_combinations(d: Spark, rel: str, k: int = 10) -> str:
+    """Per rule the k most frequent values that break it (a report's top-k), labelled by the rule's columns, or by what is wrong with a number."""
+    shown = {n: " , ' | ', ".join(f"coalesce(CAST({c} AS VARCHAR(60)), 'nan')" for c in cs) for n, cs in LABELS.items()}
+    label = {n: f"concat({e})" for n, e in shown.items()}
+    label |= {f"{a}_domain": canonical.failure_label(d, c, *map(float, b)) for a, c, b in (("age", "Idade", domain.AGE), ("income", "Renda", domain.INCOME), ("dependents", "Dependentes", domain.DEPENDENTS))}
+    r = {n: p for n, p in rules(d).items() if n in label}
+    keep = ("Idade", "Renda", "Dependentes", "Regiao", "Estado", "Municipio", "DDD", "Escolaridade", "Estado_Civil", "Ocupacao")
+    cells = [f"CASE WHEN ok_{n} THEN NULL ELSE concat('{n}{chr(1)}', {label[n]}) END" for n in r]
+    counts = f"(SELECT cell, count(*) AS n FROM (SELECT {d.explode(cells, 'cell')} FROM {masks_sql(d, rel, r, keep)} AS m) AS c WHERE cell IS NOT NULL GROUP BY cell)"
+    placed = f"(SELECT split_part(cell, '{chr(1)}', 1) AS rule, split_part(cell, '{chr(1)}', 2) AS combination, n, row_number() OVER (PARTITION BY split_part(cell, '{chr(1)}', 1) ORDER BY n DESC, cell) AS place FROM {counts} AS c)"
+    return f"SELECT rule, combination, n FROM {placed} AS p WHERE place <= {k}"
+
+
+def dominant_rule(d: Spark, rel: str) -> str:
+    """The rule, conjunctions left out, that most rows break (ties: the first in order)."""
+    r = {n: p for n, p in rules(d).items() if n not in COMPOSED}
+    order = " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(r))
+    return f"SELECT rule, total, invalid, valid_rate FROM ({rule_counts(d, rel, r)}) AS c ORDER BY invalid DESC, CASE rule {order} END LIMIT 1"
