@@ -36,6 +36,44 @@ def test_hmm_scores(docs, no_docs, texts):
     assert hmm.scores(no_docs).count() == 0
 
 
+def test_scores_are_the_models_probability_of_the_words(docs, texts, monkeypatch):
+    """The score of the query against the recursion by hand: classes, shares inside them, and a fixed model."""
+    monkeypatch.setattr(hmm, "TOP_WORDS", 5)
+    monkeypatch.setattr(hmm, "HASHED", 3)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    train = Counter(w for i, t in texts if not held(i) for w in tokens(t))
+    top = [w for w, _ in sorted(train.items(), key=lambda x: (-x[1], x[0]))[:5]]
+    kind = lambda w: top.index(w) if w in top else 5 + hmm.hashed_class(w)
+    mass = [train[w] + 1 for w in top] + [1, 1, 1]
+    for w, n in train.items():
+        if w not in top:
+            mass[kind(w)] += n + 1
+    rng = np.random.default_rng(8)
+    norm = lambda x, axis: x / x.sum(axis, keepdims=True)
+    m = hmm.Model(norm(rng.random(2), 0), norm(rng.random((2, 2)), 1), norm(rng.random((8, 2)), 0))
+    monkeypatch.setattr(hmm, "baum_welch", lambda *_: m)
+
+    def score(t):
+        a, total = None, 0.0
+        for w in tokens(t):
+            a = (m.start if a is None else a @ m.trans) * m.emit[kind(w)]
+            total += math.log10(a.sum()) + math.log10((train[w] + 1) / mass[kind(w)])
+            a = a / a.sum()
+        return round(total, 5)
+
+    got = sorted((str(r.doc_id), round(r.score, 5)) for r in hmm.scores(docs).collect())
+    want = sorted((str(i), score(t)) for i, t in texts)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-4)
+
+
+def test_every_document_held_out(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    docs = spark.createDataFrame([(i, "a b a") for i in held], "doc_id long, text string")
+    for r in hmm.scores(docs).collect():
+        assert r.held_out and (r.n_tokens, r.n_known, r.train_tokens) == (4, 0, 0) and math.isfinite(r.score)
+
+
 def tiny(seed=0, classes=7, states=3):
     rng = np.random.default_rng(seed)
     norm = lambda x, axis: x / x.sum(axis, keepdims=True)
@@ -50,15 +88,35 @@ def paths(m, seq):
         yield p, x
 
 
-def test_forward_and_expected_counts_against_all_paths():
+def counts(m, flat, at, lens):
+    out = [np.zeros_like(m.start), np.zeros_like(m.trans), np.zeros_like(m.emit)]
+    s = hmm.Stretches.cut(m, flat, at, lens)
+    for part in hmm._batches(s.lens):
+        hmm.expected(m, flat, s, part, out)
+    return out
+
+
+def test_cuts_change_no_count(monkeypatch):
+    m, rng = tiny(2, 11, 4), np.random.default_rng(6)
+    lens = np.array([1, 700, 33, 5, 150])
+    flat = rng.integers(0, 11, lens.sum())
+    at = np.cumsum(lens) - lens
+    monkeypatch.setattr(hmm, "STRETCH", 10_000)
+    want = counts(m, flat, at, lens)
+    monkeypatch.setattr(hmm, "STRETCH", 16)
+    for g, w in zip(counts(m, flat, at, lens), want):
+        assert g == pytest.approx(w)
+    assert want[2].sum() == pytest.approx(lens.sum())
+
+
+def test_forward_and_expected_counts_against_all_paths(monkeypatch):
     m, rng = tiny(), np.random.default_rng(5)
     seqs = [rng.integers(0, 7, k) for k in (1, 4, 3, 5)]
     flat, lens = np.concatenate(seqs), np.array([len(s) for s in seqs])
     at = np.cumsum(lens) - lens
     got = hmm.log10_likelihood(m, flat, at, lens)
     assert got == pytest.approx([math.log10(sum(x for _, x in paths(m, s))) for s in seqs])
-    out = [np.zeros(3), np.zeros((3, 3)), np.zeros((7, 3))]
-    hmm.expected(m, flat, at, lens, out)
+    out = counts(m, flat, at, lens)
     want = [np.zeros(3), np.zeros((3, 3)), np.zeros((7, 3))]
     for s in seqs:
         z = sum(x for _, x in paths(m, s))
@@ -68,8 +126,10 @@ def test_forward_and_expected_counts_against_all_paths():
                 want[1][a, b] += x / z
             for k, o in zip(p, s):
                 want[2][o, k] += x / z
-    for g, w in zip(out, want):
-        assert g == pytest.approx(w)
+    for size in (hmm.STRETCH, 1, 2, 3):
+        monkeypatch.setattr(hmm, "STRETCH", size)
+        for g, w in zip(counts(m, flat, at, lens), want):
+            assert g == pytest.approx(w), size
 
 
 def test_training_raises_the_likelihood():
@@ -81,9 +141,7 @@ def test_training_raises_the_likelihood():
     m = hmm.Model.first(share, 2)
     before = hmm.log10_likelihood(m, flat, at, lens).sum()
     for _ in range(8):
-        out = [np.zeros(2), np.zeros((2, 2)), np.zeros((6, 2))]
-        hmm.expected(m, flat, at, lens, out)
-        m = m.next(out, share * 0.01)
+        m = m.next(counts(m, flat, at, lens), share * 0.01)
     assert hmm.log10_likelihood(m, flat, at, lens).sum() > before + 100
 
 

@@ -13,8 +13,9 @@ Work is cut into chunks of documents by hashed id (about ``CHUNK_BYTES`` of text
    a chunk however often it occurs;
 2. words are dealt by hash, totals summed, and each chunk gets the totals of its own words back;
    no task and no broadcast ever holds the corpus's vocabulary;
-3. Baum-Welch: chunks compute expected counts by scaled forward-backward over stretches of
-   ``STRETCH`` tokens; the counts (states x classes, a fixed size) are summed across
+3. Baum-Welch: chunks compute expected counts by scaled forward-backward over whole texts. Long
+   ones are worked on in stretches of ``STRETCH`` tokens side by side, with the exact messages over the cuts (products of the
+   stretches' steps), so that the counts are those of the uncut texts; the counts (states x classes, a fixed size) are summed across
    partitions in two levels and the driver re-estimates;
 4. the scaled forward recursion over whole texts gives the exact likelihood.
 
@@ -98,8 +99,8 @@ def list_words(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("chunk").applyInArrow(f, _CHUNKS)
 
 
-def hashed_class(word: bytes, n: int = HASHED) -> int:
-    return zlib.crc32(word, 1) % n
+def hashed_class(word: bytes) -> int:
+    return zlib.crc32(word, 1) % HASHED
 
 
 def total_counts(chunks: DataFrame, n_buckets: int) -> DataFrame:
@@ -156,7 +157,17 @@ class Words:
         for r in stats.select(F.posexplode("mass").alias("c", "m")).groupBy("c").agg(F.sum("m").alias("m")).collect():
             mass[r.c] = r.m
         each = stats.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select("x.words", "x.counts")
-        best = each.orderBy(F.desc("counts"), "words").limit(TOP_WORDS).collect()
+        # How many words there are by logarithm of the count (a few thousand rows at most) bounds what comes to the driver:
+        # the wanted words, and those of about the count of the last one.
+        step = F.floor(F.log2("counts") * 64)
+        sizes = sorted(((r.s, r.n) for r in each.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)
+        least, held = None, 0
+        for least, n_words in sizes:  # noqa: B007
+            held += n_words
+            if held >= TOP_WORDS:
+                break
+        found = each.where(step >= least).collect() if sizes else []
+        best = sorted(found, key=lambda r: (-r["counts"], bytes(r["words"])))[:TOP_WORDS]
         top = {}
         own = np.zeros(len(best), dtype=np.int64)
         for i, r in enumerate(best):
@@ -228,21 +239,83 @@ def _steps(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, running
 
 
-def expected(model: Model, tokens: np.ndarray, at: np.ndarray, lens: np.ndarray, out: list[np.ndarray]) -> None:
-    """Adds the expected start, transition and emission counts of some sequences to ``out``."""
+@dataclass
+class Stretches:
+    """Sequences cut into stretches of at most STRETCH tokens, with the messages over the cuts.
+
+    ``left``: the scaled forward message of the token before (zeros at a sequence's start); ``right``: the scaled
+    backward message of the last token (ones at a sequence's end). With both, expected counts of stretches add up to
+    those of the whole sequences.
+    """
+
+    at: np.ndarray
+    lens: np.ndarray
+    first: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+    @classmethod
+    def cut(cls, model: Model, tokens: np.ndarray, at: np.ndarray, lens: np.ndarray) -> Stretches:
+        n = -(-lens // STRETCH)
+        doc = np.repeat(np.arange(len(n)), n)
+        k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        at, lens = at[doc] + k * STRETCH, np.minimum(lens[doc] - k * STRETCH, STRETCH)
+        states = len(model.start)
+        left, right = np.zeros((len(doc), states)), np.ones((len(doc), states))
+        parts = np.flatnonzero(n[doc] > 1)
+        if len(parts):
+            q = np.empty((len(parts), states, states))
+            for lot in _batches(lens[parts]):
+                q[lot] = products(model, tokens, at[parts[lot]], lens[parts[lot]])
+            place = np.full(len(doc), -1)
+            place[parts] = np.arange(len(parts))
+            last = n[doc] - 1
+            for step in range(1, int(n.max())):
+                here = np.flatnonzero((k == step) & (n[doc] > 1))
+                before = here - 1
+                source = model.start if step == 1 else left[before] @ model.trans
+                message = np.einsum("ns,nst->nt", np.broadcast_to(source, (len(here), states)), q[place[before]])
+                left[here] = message / message.sum(1, keepdims=True)
+                back = np.flatnonzero((last - k == step) & (n[doc] > 1))
+                after = back + 1
+                message = np.einsum("nst,nt->ns", q[place[after]], right[after]) @ model.trans.T
+                right[back] = message / message.sum(1, keepdims=True)
+        return cls(at, lens, k == 0, left, right)
+
+
+def products(model: Model, tokens: np.ndarray, at: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """What a stretch does to a message: emissions of its first token, then transition and emission of each other, up to a factor."""
     order, running = _steps(lens)
-    at = at[order]
+    at, states = at[order], len(model.start)
+    out = np.empty((len(lens), states, states))
+    q = np.zeros((0, 0, 0))
+    for t, n in enumerate(running):
+        e = model.emit.take(tokens.take(at[:n] + t), axis=0)[:, None, :]
+        q = np.eye(states) * e if t == 0 else (q[:n].reshape(-1, states) @ model.trans).reshape(n, states, states) * e
+        if t % RESCALE == RESCALE - 1:
+            q /= q.sum((1, 2))[:, None, None]
+        m = running[t + 1] if t + 1 < len(running) else 0
+        if n > m:
+            out[order[m:n]] = q[m:] / q[m:].sum((1, 2))[:, None, None]
+    return out
+
+
+def expected(model: Model, tokens: np.ndarray, s: Stretches, part: np.ndarray, out: list[np.ndarray]) -> None:
+    """Adds the expected start, transition and emission counts of some stretches to ``out``."""
+    order, running = _steps(s.lens[part])
+    part = part[order]
+    at, left, right, first = s.at[part], s.left[part], s.right[part], s.first[part]
     states, ones = len(model.start), np.ones(len(model.start))
     emit, trans, back = model.emit, model.trans, np.ascontiguousarray(model.trans.T)
     forward, weighted, seen = [], [], []
     for t, n in enumerate(running):
         o = tokens.take(at[:n] + t)
         e = emit.take(o, axis=0)
-        a = (model.start if t == 0 else forward[-1][:n] @ trans) * e
+        a = (np.where(first[:, None], model.start, left @ trans) if t == 0 else forward[-1][:n] @ trans) * e
         if t % RESCALE == RESCALE - 1:
-            s = 1.0 / (a @ ones)[:, None]
-            a *= s
-            e *= s
+            x = 1.0 / (a @ ones)[:, None]
+            a *= x
+            e *= x
         forward.append(a)
         weighted.append(e)
         seen.append(o)
@@ -251,15 +324,14 @@ def expected(model: Model, tokens: np.ndarray, at: np.ndarray, lens: np.ndarray,
     for t in range(len(running) - 1, -1, -1):
         n, m, w = running[t], len(beta), weighted[t]
         if n > m:  # rows that end here
-            last = 1.0 / (forward[t][m:] @ ones)
-            beta = np.concatenate([beta, np.repeat(last[:, None], states, axis=1)])
+            last = right[m:n] / (forward[t][m:] * right[m:n]).sum(1, keepdims=True)
+            beta = np.concatenate([beta, last])
         w *= beta
-        if t:
-            xi += forward[t - 1][:n].T @ w
+        xi += (forward[t - 1][:n] if t else left).T @ w
         # From here on the state's posterior takes the place of its forward value.
         forward[t] *= beta
         beta = w @ back
-    out[0] += forward[0].sum(0)
+    out[0] += forward[0][first].sum(0)
     out[1] += xi * trans
     cell = np.concatenate(seen).astype(np.int64)[:, None] * states + np.arange(states)
     out[2] += np.bincount(cell.ravel(), weights=np.concatenate(forward).ravel(), minlength=out[2].size).reshape(out[2].shape)
@@ -294,13 +366,6 @@ def _batches(lens: np.ndarray) -> Iterator[np.ndarray]:
             yield part
 
 
-def _stretches(at: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cuts sequences into stretches of at most STRETCH tokens."""
-    n = -(-lens // STRETCH)
-    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(at, n) + k * STRETCH, np.minimum(np.repeat(lens, n) - k * STRETCH, STRETCH)
-
-
 _PARTIAL = "lot long, block int, body binary"
 _PARTIAL_ARROW = pa.schema([("lot", pa.int64()), ("block", pa.int32()), ("body", pa.binary())])
 
@@ -324,9 +389,9 @@ def baum_welch(encoded: DataFrame, share: np.ndarray, states: int = STATES, iter
                     tokens = np.frombuffer(row["classes"], dtype="<u2")
                     lens = np.array(row["lens"], dtype=np.int64)
                     kept = ~np.array(row["held"], dtype=bool)
-                    at, lens = _stretches(offsets_of(lens)[:-1][kept], lens[kept])
-                    for part in _batches(lens):
-                        expected(model, tokens, at[part], lens[part], out)
+                    s = Stretches.cut(model, tokens, offsets_of(lens)[:-1][kept], lens[kept])
+                    for part in _batches(s.lens):
+                        expected(model, tokens, s, part, out)
             lot = TaskContext.get().partitionId() % fan
             blocks = [np.concatenate([out[0], out[1].ravel()])] + [out[2][i : i + BLOCK].ravel() for i in range(0, len(out[2]), BLOCK)]
             for i, b in enumerate(blocks):

@@ -153,15 +153,13 @@ class Encoder:
 
 
 def _lots(units: list[bytes], most: int) -> Iterator[list[bytes]]:
-    """Cuts a list where its bytes would pass ``most`` (one unit at least)."""
-    lo, size = 0, 0
-    for hi, u in enumerate(units):
-        if size and size + len(u) > most:
-            yield units[lo:hi]
-            lo, size = hi, 0
-        size += len(u)
-    if units:
-        yield units[lo:]
+    """Cuts a list where its bytes pass a multiple of ``most``."""
+    if not units:
+        return
+    lot = np.cumsum(np.fromiter(map(len, units), dtype=np.int64, count=len(units))) // most
+    cuts = [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), len(units)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        yield units[lo:hi]
 
 
 def _grown(x: np.ndarray, n: int) -> np.ndarray:
