@@ -129,7 +129,37 @@ def test_url_rules(spark, monkeypatch):
 def test_url_pattern_rules(spark):
     rules = (*urlrules.BASE_RULES, urlrules.Rule("", "", "block", r"/[a-z]+/\d{3,}\.exe$"), urlrules.Rule("b.org", "", "allow", r"/dl/.*"))
     pages = spark.createDataFrame([(1, "http://x.io/dl/1234.exe"), (2, "http://a.b.org/dl/1234.exe"), (3, "http://x.io/dl/12.exe")], "page_id long, url string")
-    assert {r.page_id: r.verdict for r in urlrules.judge(pages, rules).collect()} == {1: "block", 2: "block", 3: "allow"}
+    assert {r.page_id: r.verdict for r in urlrules.judge(pages, rules, more=()).collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
+def test_url_method_rules(spark, monkeypatch):
+    """The verdicts against every rule tried on every URL, by the index and by joins; names of columns clash on purpose."""
+    paths = ["/", "/login/", "/login/x", "/xlogin/", "/a/b/login/c", "/help/login/", "/help/a/login/", "/login.php", "/login.phpx", "/a.zip", "/a.zip/b", "/a.ZIP", "/LOGIN/", "/en/login/", "/wp-admin/", "/docs/x.exe", "//ads//", "/a/ads"]
+    urls = [f"https://{h}{p}?q=/login/" for h in ("x.com", "x.example.com", "x.zz", "com", "x.info") for p in paths] + URLS
+    rows = [(k, u, "r", "t", ["a"]) for k, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, row string, token string, tokens array<string>")
+    rules = urlrules.method_rules()
+    assert len(rules) > 2_000 and len({r.text for r in rules}) == len(rules)
+
+    def brute(u):
+        host, path, rule, verdict = brute_url(u)
+        fits = [r for r in rules if re.search(r.regex, host + path)]
+        best = max(fits, key=lambda r: (len(r.text), r.text), default=None)
+        return host, path, rule, verdict if rule or not best else best.action
+
+    want = sorted(map(str, [(k, *brute(u)) for k, u in enumerate(urls)]))
+    got = urlrules.judge(pages).collect()
+    assert sorted(str(tuple(r)) for r in got) == want and {r.verdict for r in got if r.rule is None} == {"allow", "block"}
+    monkeypatch.setattr(urlrules, "BROADCAST_RULES", 0)
+    assert sorted(str(tuple(r)) for r in urlrules.judge(pages).collect()) == want
+
+
+@pytest.mark.parametrize("pattern", ["/[a-z]+/\\d{3,}\\.exe$", "(/[^/]*)*/ads/", "/.*[.]zip$", "/ab*/cd/", "/x/y|/z/", "/a+b/c/", "/(x/)?y/"])
+def test_tokens_of_a_pattern_are_in_every_match(pattern):
+    rule = urlrules.Rule("", "", "block", pattern)
+    for path in ("/abc/1234.exe", "/q/ads/", "/n/ads/x", "/k.zip", "/a/cd/", "/abbb/cd/", "/x/y", "/z/", "/aab/c/", "/y/", "/x/y/", "/q/xy/"):
+        if re.search(rule.regex, "h" + path):
+            assert set(rule.tokens) <= set(re.findall("[a-z0-9]+", "h/" + path)), path
 
 
 def test_token_counts(docs, no_docs, texts):
