@@ -10,7 +10,7 @@ import pytest
 from tests.llm.conftest import SCHEMA, changed, prose
 from veredas.llm import jaccard, substrings
 from veredas.llm.components import connected
-from veredas.llm.suffixarray import common_prefix_at_least, suffix_array
+from veredas.llm.suffixarray import permuted_prefixes, suffix_array
 
 
 def union(edges):
@@ -98,13 +98,19 @@ def test_suffix_array():
         assert suffix_array(np.array(t, dtype=np.int16), 5).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
 
 
-def test_common_prefix():
-    t = np.frombuffer(b"abcabcabcabcxabcabcabcabcy" * 3, dtype=np.uint8)
-    for size in (8, 11, 12, 20):
-        order = np.array(sorted(range(len(t) - size + 1), key=lambda i: t[i:].tobytes()))
-        got = common_prefix_at_least(t, order, size)
-        want = [False] + [t[a : a + size].tobytes() == t[b : b + size].tobytes() for a, b in zip(order, order[1:])]
-        assert got.tolist() == want
+def test_permuted_prefixes():
+    r = random.Random(3)
+    for most in (5, 8, 50):
+        for _ in range(60):
+            t = np.array([r.randint(0, r.randint(1, 3)) for _ in range(r.randint(0, 90))], dtype=np.int16)
+            order = np.array(sorted(range(len(t)), key=lambda i: t[i:].tolist()), dtype=np.int64)
+            got = permuted_prefixes(t, order, most)
+            for a, b in zip(order, order[1:]):
+                n = 0
+                while n < most and max(a, b) + n < len(t) and t[a + n] == t[b + n]:
+                    n += 1
+                assert got[b] == n
+            assert not len(t) or got[order[0]] == 0
 
 
 def brute_repeats(texts):

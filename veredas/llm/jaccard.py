@@ -89,7 +89,7 @@ def shingle_sets(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     ``same`` names the set where all of it is shared (equal sets have equal names).
     """
     texts = id_text(docs)
-    n_buckets = min(n_parts(text_bytes(texts), BUCKET_BYTES), 1 << 16)
+    n_buckets = n_parts(text_bytes(texts), BUCKET_BYTES)
     set_schema = arrow_schema(_SETS)
 
     def gather(key: tuple, group: pa.Table) -> pa.Table:

@@ -38,7 +38,7 @@ def unpack48(body: bytes) -> np.ndarray:
 
 
 def bucket_of(h: np.ndarray, n_buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(48)) % np.uint64(n_buckets)).astype(np.int64)
+    return ((h >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
 
 
 def identity(h: np.ndarray, n_buckets: int) -> np.ndarray:

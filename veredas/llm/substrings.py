@@ -8,10 +8,9 @@ A byte goes if a string of WINDOW bytes that covers it also starts in a document
 2. *Shards.* Each shared anchor sends the bytes that its windows can reach (WINDOW - GRAM to either side) to the shard
    of its hash, equal ones of a chunk of documents only once, with the list of their places.
    All windows that can be equal thus meet in a shard, whatever the document.
-3. *Suffix arrays.* A shard sorts the suffixes of its distinct contexts by induced sorting (of grams with several contexts; a
-   lone context is equal to its copies as a whole). Neighbours that
-   agree in WINDOW bytes (the permuted common prefix, capped there) form groups; the smallest id of a group
-   removes the window everywhere else.
+3. *Suffix arrays.* A shard sorts the suffixes of all its distinct contexts by induced sorting and computes the permuted common
+   prefixes. Windows between which no common prefix falls below WINDOW bytes are equal; the smallest id of such a
+   group removes the window everywhere else.
 4. Chunks turn removed windows into removed bytes.
 
 Strings are judged on the input. Matches never cross documents. A null or empty text has nothing
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, id_text, materialize, mix64, n_parts, offsets_of, release, text_bytes
 from .sharing import collect_slice, identity, shared
-from .suffixarray import common_prefix_at_least, suffix_array
+from .suffixarray import permuted_prefixes, suffix_array
 
 WINDOW = 50
 GRAM = 24
@@ -187,12 +186,15 @@ def duplicated(contexts: np.ndarray, low: np.ndarray) -> np.ndarray:
     position = first[owner] + begin - (SIDE - left[owner])
     number = np.full(len(text), -1, dtype=np.int32)
     number[position] = np.arange(len(position))
-    windows = number[order]
-    windows = windows[windows >= 0]
+    number = number[order]
+    place = np.flatnonzero(number >= 0)
+    windows = number[place]
     out = np.full((m, SIDE + 1), np.iinfo(np.int64).max)
     if len(windows):
-        narrow = (text - 1).astype(np.uint8)
-        new = ~common_prefix_at_least(narrow, position[windows], WINDOW)
+        shared = permuted_prefixes(text, order, WIDTH)[order]
+        new = np.ones(len(windows), dtype=bool)
+        if len(windows) > 1:
+            new[1:] = np.minimum.reduceat(shared[: place[-1] + 1], place[:-1] + 1) < WINDOW
         ids = low[owner[windows]]
         least = np.minimum.reduceat(ids, np.flatnonzero(new))[np.cumsum(new) - 1]
         out[owner[windows], begin[windows]] = least
@@ -209,7 +211,7 @@ def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
 
 def removals(texts: DataFrame, total: int) -> DataFrame:
     """Removed windows of all documents: chunk, rows of the chunk, places of the anchor, and bits of the window starts."""
-    n_buckets = min(n_parts(total, BUCKET_BYTES), 1 << 16)
+    n_buckets = n_parts(total, BUCKET_BYTES)
     n_shards = n_parts(total, SHARD_BYTES)
     keys_schema, contexts_schema, removed_schema = arrow_schema(_KEYS), arrow_schema(_CONTEXTS), arrow_schema(_REMOVED)
 
@@ -274,14 +276,9 @@ def removals(texts: DataFrame, total: int) -> DataFrame:
         which = np.empty(len(x), dtype=np.int64)
         which[order] = np.cumsum(new) - 1
         distinct = x[order[starts]]
-        full, part = window_bits(distinct), np.zeros(len(distinct), dtype=np.uint32)
-        # Where a gram has one context only, its windows are equal with the context and in no other way.
-        by_gram, first = _same_rows(np.ascontiguousarray(distinct[:, SIDE : SIDE + GRAM]))
-        gram = np.cumsum(first) - 1
-        mixed = by_gram[np.bincount(gram)[gram] > 1]
-        if len(mixed):
-            held = duplicated(distinct[mixed], least[mixed])
-            part[mixed] = ((held < least[mixed, None]) * _BITS).sum(1, dtype=np.uint32)
+        held = duplicated(distinct, least)
+        # A document with the context's smallest id loses the windows that an earlier one holds elsewhere; any later one loses all of them.
+        full, part = window_bits(distinct), ((held < least[:, None]) * _BITS).sum(1, dtype=np.uint32)
         out, lo = [], 0
         for chunk, counts, docs, rows, places in zip(*(group.column(c).to_pylist() for c in ("chunk", "counts", "docs", "rows", "places")), strict=True):
             counts = np.frombuffer(counts, dtype="<u4")
