@@ -104,7 +104,7 @@ def test_permuted_prefixes():
         for _ in range(60):
             t = np.array([r.randint(0, r.randint(1, 3)) for _ in range(r.randint(0, 90))], dtype=np.int16)
             order = np.array(sorted(range(len(t)), key=lambda i: t[i:].tolist()), dtype=np.int64)
-            got = permuted_prefixes(t, order, most)
+            got = permuted_prefixes(t.astype(np.uint8), order, most)
             for a, b in zip(order, order[1:]):
                 n = 0
                 while n < most and max(a, b) + n < len(t) and t[a + n] == t[b + n]:
@@ -192,6 +192,28 @@ def test_pipeline(spark, tmp_path):
     assert Counter(n for n, _ in corpus_pipeline.STAGES).most_common(1)[0][1] == 1
 
 
+def test_groups_of_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None, prose(1, 60)), (None, prose(1, 60)), (None, None)], "doc_id long, text string")
+    assert sorted((r.n_shingles, r.component_id) for r in jaccard.groups(docs).collect()) == [(0, None), (56, None), (56, None)]
+
+
+def test_pipeline_of_nothing_and_of_more_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, extra int, _row long, component_id long"
+    spark.createDataFrame([(1, "w0 w1 w2")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(k, prose(500 + k, 80), "xx", "s", 1, 2, 3, 4) for k in (1, 2)]
+    for name, some in (("none", []), ("some", rows)):
+        folder = tmp_path / name
+        spark.createDataFrame(some, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{tmp_path}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, run in corpus_pipeline.STAGES:
+            docs = run(spark, docs, str(folder))
+            assert docs.count() == len(some), stage
+            assert stage == "piece_encoding" or docs.columns == spark.read.parquet(f"{folder}/documents.parquet").columns
+
+
 def test_pipeline_filters_judge_rows_apart(spark):
     from veredas.llm import decontaminate
 

@@ -101,6 +101,13 @@ def test_contamination_of_nothing(spark, docs, no_docs, texts):
     assert decontaminate.contamination(no_docs, none).count() == 0
 
 
+def test_contamination_of_rows_without_ids(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(None, text), (None, text), (None, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, " ".join(f"w{k}" for k in range(5, 20)))], "item_id long, text string")
+    assert sorted((r.n_words, r.n_hit) for r in decontaminate.contamination(docs, bench).collect()) == [(0, 0), (30, 15), (30, 15)]
+
+
 URLS = ["http://a.b.com/en/1", "http://example.com/en/7x?q=/de/", "https://www.Example.COM/en/71#x", "http://xexample.com/en/7", "http://net/de/", "http://example.net/de/81", "x", None, "http://org", "://org/es/a", "http://com:80/en/", "http://evil-com/en/", "http://a.org/es/http://b.com/en/", "http://a.com/EN/1", ""]
 
 

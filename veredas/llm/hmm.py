@@ -20,7 +20,8 @@ Work is cut into chunks of documents by hashed id (about ``CHUNK_BYTES`` of text
 4. the scaled forward recursion over whole texts gives the exact likelihood.
 
 A null or empty text has only the end token. Copies get equal scores; rows that
-share an id stay apart. An empty training set leaves a uniform model.
+share an id stay apart, and columns besides the id and the text are ignored. An empty training set leaves a uniform model;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations

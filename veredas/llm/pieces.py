@@ -15,7 +15,8 @@ units take their best one.
 
 A null or empty text has no pieces, one segmentation of score 0, and decodes to the
 empty text. A text that itself holds U+2581 decodes with a space in its place
-(``round_trip`` is false), as in the library. Copies get equal results.
+(``round_trip`` is false), as in the library. Copies get equal results; texts are encoded whole, however long; columns besides the
+id and the text are ignored.
 """
 
 from __future__ import annotations

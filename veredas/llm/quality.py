@@ -7,7 +7,7 @@ an ablation needs bitwise arithmetic over the ledger and never the texts again.
 
 Words are runs of anything but the six ASCII white-space characters. A null or
 empty text has no words and fails the first rule. Rows are judged one by one, so
-ties and repeated rows get equal results; extra columns of the input are
+ties and repeated rows get equal results, and whole texts are measured, however long; extra columns of the input are
 ignored by :func:`ledger` and kept by :func:`apply_policy`.
 """
 

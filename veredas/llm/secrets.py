@@ -17,8 +17,8 @@ ordinary words are learnt as such; the scan itself has no such bound) whose labe
 neighbouring words and hold a made-up secret of mixed letters and digits in
 place of the real one, so that shape alone can carry a decision.
 
-A null or empty text has no spans. Texts are judged alone: copies get equal
-results. Without any pattern hit in the corpus there is nothing to learn from and the
+A null or empty text has no spans. Texts are judged alone and whole, however long: copies get equal
+results. ``scan`` ignores columns besides the id and the text, ``redact`` keeps them. Without any pattern hit in the corpus there is nothing to learn from and the
 CRF adds no span.
 """
 

@@ -14,7 +14,7 @@ A byte goes if a string of WINDOW bytes that covers it also starts in a document
 4. Chunks turn removed windows into removed bytes.
 
 Strings are judged on the input. Matches never cross documents. A null or empty text has nothing
-to remove. Documents that share an id never remove each other; a null id removes nothing and loses nothing.
+to remove; an empty table gives an empty result; columns besides the id and the text are ignored. Documents that share an id never remove each other; a null id removes nothing and loses nothing.
 """
 
 from __future__ import annotations
@@ -180,7 +180,8 @@ def duplicated(contexts: np.ndarray, low: np.ndarray) -> np.ndarray:
     t[~inside] = 0
     first = np.concatenate([[0], np.cumsum(kept.sum(1))])[:-1]
     text = t[kept]
-    order = suffix_array(text, 257, depth=WIDTH)
+    # A name stands for two characters at least, so that suffixes are in order by their first WINDOW characters.
+    order = suffix_array(text, 257, depth=WINDOW // 2 + 1)
     # The windows among the suffixes: those that begin at one of the first SIDE + 1 columns and fit.
     owner, begin = np.nonzero(_windows(contexts))
     position = first[owner] + begin - (SIDE - left[owner])
@@ -191,7 +192,8 @@ def duplicated(contexts: np.ndarray, low: np.ndarray) -> np.ndarray:
     windows = number[place]
     out = np.full((m, SIDE + 1), np.iinfo(np.int64).max)
     if len(windows):
-        shared = permuted_prefixes(text, order, WIDTH)[order]
+        # Ends of contexts become 0xFF, which no UTF-8 text holds.
+        shared = permuted_prefixes((text - 1).astype(np.uint8), order, WIDTH)[order]
         new = np.ones(len(windows), dtype=bool)
         if len(windows) > 1:
             new[1:] = np.minimum.reduceat(shared[: place[-1] + 1], place[:-1] + 1) < WINDOW

@@ -131,8 +131,8 @@ def _rank(names: np.ndarray, most: int) -> np.ndarray:
 def suffix_array(t: np.ndarray, sigma: int, depth: int | None = None) -> np.ndarray:
     """Suffixes of ``t`` (values below ``sigma``) in order.
 
-    With ``depth``, suffixes that agree in so many characters may come in any order: enough where
-    the text is made of short parts between separators.
+    With ``depth``, suffixes that agree in so many names of leftmost-S substrings (of two characters at least) may come in
+    any order: enough where the text is made of short parts between separators.
     """
     t = np.ascontiguousarray(t)
     n = len(t)
@@ -156,27 +156,29 @@ def suffix_array(t: np.ndarray, sigma: int, depth: int | None = None) -> np.ndar
 
 
 def permuted_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """By place in the text: how many characters (up to ``most``) a suffix shares with the one before it in order.
+    """By place in a text of bytes: how many (up to ``most``) a suffix shares with the one before it in order.
 
-    Four characters of 16 bits are compared at a time, for all suffixes side by side.
+    Eight bytes are compared at a time, for all suffixes side by side.
     """
     n = len(t)
     shared = np.zeros(n, dtype=np.int32)
     if n < 2:
         return shared
-    wide = np.concatenate([np.ascontiguousarray(t, dtype="<i2"), np.zeros(most + 4, dtype="<i2")])
-    words = np.lib.stride_tricks.as_strided(wide, shape=(len(wide) - 3, 4), strides=(2, 2))
+    wide = np.concatenate([np.ascontiguousarray(t, dtype=np.uint8), np.zeros(most + 8, dtype=np.uint8)])
+    eight = np.ascontiguousarray(np.ndarray((len(wide) - 7,), dtype="<u8", buffer=wide.data, strides=(1,)))
+    x, y = order[:-1].astype(np.int64), order[1:].astype(np.int64)
     open_ = np.arange(1, n)
-    for off in range(0, most, 4):
-        differ = words[order[open_ - 1] + off].view("<u8")[:, 0] ^ words[order[open_] + off].view("<u8")[:, 0]
-        end = differ != 0
-        d = differ[end]
-        shared[open_[end]] = off + sum((d & np.uint64((1 << 16 * k) - 1) == 0).astype(np.int32) for k in (1, 2, 3))
-        open_ = open_[~end]
+    for off in range(0, most, 8):
+        d = eight[x + off] ^ eight[y + off]
+        same = d == 0
+        d, end = d[~same], open_[~same]
+        # The lowest bit that differs tells the byte.
+        shared[end] = off + (np.log2((d & (~d + np.uint64(1))).astype(np.float64)) / 8).astype(np.int32)
+        open_, x, y = open_[same], x[same], y[same]
         if not len(open_):
             break
     shared[open_] = most
-    # What lies behind the text is no character.
+    # What lies behind the text is no byte of it.
     shared[1:] = np.minimum(shared[1:], n - np.maximum(order[1:], order[:-1]))
     out = np.empty(n, dtype=np.int32)
     out[order] = np.minimum(shared, most)

@@ -9,7 +9,8 @@ comes out in time linear in the word, without ever building a piece.
 Words are runs of ASCII letters, digits and non-ASCII bytes, or else single other
 bytes that aren't white space. A word is matched with a leading space, the form in
 which the vocabulary holds pieces that begin a word; all single bytes are pieces, so every
-word has a length. A null or empty text has no words and no tokens.
+word has a length. A null or empty text has no words and no tokens. Texts are judged alone and whole, however long:
+repeated rows get equal results; columns besides the id and the text are ignored.
 """
 
 from __future__ import annotations

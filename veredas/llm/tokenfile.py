@@ -14,7 +14,8 @@ Blocks are binary cells of Parquet files, beside the ids and lengths of their do
 so Spark's own committers write them and any store can hold them.
 
 A null or empty text is only the end id. Rows with equal ids stay apart, ordered by
-text; rows with a null id come first.
+text; rows with a null id come first. Texts are encoded whole, however long; columns besides the id and the text are ignored;
+an empty table gives files without blocks.
 """
 
 from __future__ import annotations
