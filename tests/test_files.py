@@ -42,6 +42,12 @@ def test_json_array(spark, tmp_path):
     assert "São" in text and sorted(json.loads(text), key=str) == sorted([{"a": "São", "n": None}, {"a": "b", "n": 1}], key=str) and "\n  {" in text
 
 
+def test_json_has_no_nan(spark, tmp_path):
+    files.write_json(spark.createDataFrame([(float("nan"), 1.0), (2.0, float("inf"))], "a double, b double"), f"{tmp_path}/n.json", single=True)
+    (part,) = Path(f"{tmp_path}/n.json").glob("part-*.txt")
+    assert sorted(map(str, json.loads(part.read_text()))) == sorted(map(str, [{"a": None, "b": 1.0}, {"a": 2.0, "b": None}]))
+
+
 def test_export_chooses_last(spark, profiles, tmp_path):
     assert files.export_profiles(profiles, f"{tmp_path}/m.parquet", preset="minimo") == list(domain.PRESETS["minimo"])
     assert spark.read.parquet(f"{tmp_path}/m.parquet").columns == list(domain.PRESETS["minimo"])

@@ -50,6 +50,12 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     return reader.option("multiLine", suffix == ".json").json(path)
 
 
+def without_nan(table: DataFrame) -> DataFrame:
+    """Null where a number is none: JSON has no form for it."""
+    kinds = dict(table.dtypes)
+    return table.select(*(F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in table.columns))
+
+
 def write_csv(table: DataFrame, path: str, single: bool = False) -> None:
     """Semicolons, a header in UTF-8 with a byte-order mark in every part file, no index."""
     first, *rest = table.columns
@@ -60,8 +66,9 @@ def write_csv(table: DataFrame, path: str, single: bool = False) -> None:
 def write_json(table: DataFrame, path: str, single: bool = False) -> None:
     """JSON lines; with ``single`` one array of records with an indent of two, for exports that one task may hold."""
     if not single:
-        table.write.json(path)
+        without_nan(table).write.json(path)
         return
+    table = without_nan(table)
     rows = table.select(F.to_json(F.struct(*table.columns), {"ignoreNullFields": "false"}).alias("r"))
 
     def array(batches):
