@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, jaccard, pieces, quality, secrets, substrings, tokencount, tokenfile, urlrules
+from . import alignment, decontaminate, fim, hmm, jaccard, packing, pieces, quality, secrets, substrings, tokencount, tokenfile, urlrules
 from .common import table
 
 
@@ -69,9 +69,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.transform(table(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hmm_scores, op2_piece_segmentation, op3_quality_rules, op4_decontaminate, op5_token_files, op6_url_rules, op7_token_counts, op8_secret_scan, op9_jaccard_groups, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_hmm_scores, op2_piece_segmentation, op3_quality_rules, op4_decontaminate, op5_token_files, op6_url_rules, op7_token_counts, op8_secret_scan, op9_jaccard_groups, op10_suffix_dedup, op11_token_alignment, op12_sequence_packing, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.ORACLE_SQL, "op4_decontaminate": decontaminate.ORACLE_SQL, "op6_url_rules": urlrules.ORACLE_SQL}
+    return {"op3_quality_rules": quality.ORACLE_SQL, "op4_decontaminate": decontaminate.ORACLE_SQL, "op6_url_rules": urlrules.ORACLE_SQL, "op13_fill_in_middle": fim.ORACLE_SQL}
