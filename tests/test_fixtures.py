@@ -5,10 +5,11 @@ import math
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from veredas.functions import canonical, domain
 from veredas.functions.dialect import Duck, Spark
-from veredas.operators import conditional, encode, experiments, gates, generate, privacy, profilestats, reports, synthesizer, twosample, validate
+from veredas.operators import conditional, encode, experiments, finalize, gates, generate, kstest, privacy, profilestats, reports, synthesizer, twosample, validate
 
 MODEL = "row_id long, Idade int, Genero string, Regiao string, Estado string, Municipio string, Escolaridade string, Estado_Civil string, Ocupacao string, Renda double, Dependentes int, DDD int"
 SP = (0, 40, "Feminino", "Sudeste", "SP", "São Paulo", "Superior Completo", "Casado", "Médico", 9000.0, 1, 11)
@@ -287,17 +288,63 @@ def test_occupation_weights_follow_age():
 
 
 def test_batches_until_enough_are_valid_together(spark):
+    made = []
+
     def make(first, rows):
+        made.append(first)
         return spark.createDataFrame([(i, f"cpf{0 if i == 2 else i}", 30) for i in range(first, first + rows)], "row_id long, CPF string, Idade int")
 
-    def judge(candidates):
-        candidates.createOrReplaceTempView("candidates")
-        return spark.sql(f"SELECT row_id, NOT later AS valid FROM {validate.keep_first_sql('candidates', 'CPF')} AS k")
+    judged = []
+
+    def judge(batch):
+        judged.append(batch.count())
+        return batch.selectExpr("row_id", "Idade = 30 AS valid")
 
-    got = generate.accept_in_batches(make, judge, n=3, batch_rows=2, max_batches=3)
+    got = generate.accept_in_batches(make, judge, n=3, batch_rows=2, max_batches=3, identifiers=["CPF"])
     assert [r.row_id for r in got.rows.collect()] == [0, 1, 3] and (got.batches, got.accepted, got.candidates, got.surplus) == (2, 3, 4, 0)
+    assert made == [0, 2] and judged == [2, 2]
     with pytest.raises(ValueError):
-        generate.accept_in_batches(make, judge, n=9, batch_rows=2, max_batches=2)
+        generate.accept_in_batches(make, judge, n=9, batch_rows=2, max_batches=2, identifiers=["CPF"])
+
+
+def test_identifiers_that_were_used_are_drawn_again(spark, monkeypatch):
+    """A core row repeated, a stream of CPFs with one repeat, three rows wanted from batches of two: four are accepted, none twice."""
+    stream = iter(["291.417.776-38", "398.259.791-94", "291.417.776-38", "341.672.110-17"])
+    person = (30, "Feminino", "Sudeste", "SP", "São Paulo", "Ensino Médio", "Solteiro", "Atendente", 2500.0, 0, 11)
+    names = MODEL.split(", ", 1)[1]
+
+    def make(first, rows):
+        given = finalize.finalize(spark.createDataFrame([person] * rows, names), first=first)
+        cpf = spark.createDataFrame([(first + i, next(stream)) for i in range(rows)], "row_id long, CPF string")
+        return given.drop("CPF").join(cpf, "row_id").select("row_id", *domain.FINAL_COLUMNS)
+
+    def redraw(rows, attempt):
+        return rows.withColumn("CPF", F.lit("011.524.493-03"))
+
+    def judge(batch):
+        batch.createOrReplaceTempView("judged_batch")
+        return spark.sql(f"SELECT row_id, valid FROM {validate.validation_sql(Spark(), 'judged_batch')} AS v")
+
+    for limit in (generate.BROADCAST_CELLS, 0):
+        monkeypatch.setattr(generate, "BROADCAST_CELLS", limit)
+        stream = iter(["291.417.776-38", "398.259.791-94", "291.417.776-38", "341.672.110-17"])
+        got = generate.accept_in_batches(make, judge, n=3, batch_rows=2, max_batches=3, redraw=redraw)
+        rows = got.rows.collect()
+        assert (len(rows), got.accepted, got.candidates, got.batches) == (3, 4, 4, 2)
+        assert all(len({r[c] for r in rows}) == 3 for c in domain.IDENTIFIERS)
+    assert [r.CPF for r in rows] == ["291.417.776-38", "398.259.791-94", "011.524.493-03"]
+
+
+def test_redrawn_identifiers_are_valid(spark):
+    ids = spark.range(5).withColumnRenamed("id", "row_id")
+    rows = generate.generate_final_profiles(ids)
+    again = generate.redraw_identifiers(rows, 1).collect()
+    before = {r.row_id: r for r in rows.collect()}
+    for r in again:
+        assert all(r[c] != before[r.row_id][c] for c in domain.IDENTIFIERS) and r.Nome == before[r.row_id].Nome
+    spark.createDataFrame(again, rows.schema).createOrReplaceTempView("redrawn")
+    good = spark.sql(f"SELECT valid FROM {validate.validation_sql(Spark(), 'redrawn')} AS v").collect()
+    assert all(r.valid for r in good)
 
 
 def test_cross_batch_duplicates(ask):
@@ -351,3 +398,128 @@ def test_generators_by_name(spark, tmp_path):
     assert again == g and again.sample(spark, 5).count() == 5
     with pytest.raises(ValueError):
         synthesizer.create("other")
+
+
+def decomposed(text):
+    import unicodedata
+
+    return unicodedata.normalize("NFD", text)
+
+
+NFC_ROWS = [
+    "São Paulo", decomposed("São Paulo"), decomposed("Việt Nam ệ ǭ"), "a\u0327\u031b\u0323x", "a\u0323\u0307\u0327", "\u1112\u1161\u11ab\u1100\u1173\u11af", "\uac00\u11a8\u0301", "\u212b\u2126\u0340\u0344",
+    "\u0958\u095c", "\u0301abc", "e\u0315\u0301", "\U0001d15e \U000110a5", "\ufb1d\u2adc", "q\u0307\u0323", "", None, "\x00~", "a\u05ae\u0300\u0315b",
+]
+
+
+def test_composed_form(ask, spark):
+    import unicodedata
+
+    got = ask(lambda d: f"SELECT k, {d.nfc('x')} AS y FROM t", t=("k long, x string", list(enumerate(NFC_ROWS))))
+    assert {r["k"]: r["y"] for r in got} == {k: x and unicodedata.normalize("NFC", x) for k, x in enumerate(NFC_ROWS)}
+    every = [(c, chr(c)) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (unicodedata.normalize("NFC", chr(c)) != chr(c) or unicodedata.combining(chr(c)) or c % 97 == 0)]
+    frame = spark.createDataFrame([(c, f"a{x}", f"{x}\u0323\u0301") for c, x in every], "c int, x string, y string")
+    rows = spark.sql(f"SELECT c, x, y, {Spark().nfc('x')} AS nx, {Spark().nfc('y')} AS ny FROM {{f}}", f=frame).collect()
+    assert all((r.nx, r.ny) == tuple(unicodedata.normalize("NFC", z) for z in (r.x, r.y)) for r in rows)
+
+
+def brute_p_value(n, m, d):
+    """All merged orders of n and m values."""
+    import itertools
+
+    hit = total = 0
+    for places in itertools.combinations(range(n + m), n):
+        i, most = 0, 0.0
+        for k in range(n + m):
+            i += k in places
+            most = max(most, abs(i * m - (k + 1 - i) * n))
+        hit += most >= round(d * n * m)
+        total += 1
+    return hit / total
+
+
+def test_exact_p_values():
+    for n, m in ((1, 1), (2, 3), (4, 4), (5, 3), (6, 6), (7, 2)):
+        for h in range(0, n * m + 1, math.gcd(n, m)):
+            assert kstest.exact_p_value(n, m, h / (n * m)) == pytest.approx(brute_p_value(n, m, h / (n * m)), abs=1e-12), (n, m, h)
+    assert kstest.exact_p_value(4, 4, 1.0) == pytest.approx(2 / 70) and kstest.exact_p_value(1, 1, 1.0) == pytest.approx(1.0)
+    # Beyond some hundred values the exact distribution meets the series.
+    assert kstest.exact_p_value(2000, 3000, 0.04) == pytest.approx(duckdb.execute(f"SELECT {twosample.ks_p_value('0.04e0', '2000', '3000')}").fetchone()[0], abs=5e-3)
+
+
+def test_exact_p_values_of_groups(spark):
+    # Ties: ref 1 1 2 3, syn 2 2 4 4; the distance is 1/2.
+    rows = [("g", s, float(x)) for s, x in sided([1, 1, 2, 3], [2, 2, 4, 4])] + [("h", s, float(x)) for s, x in sided(range(30), range(10, 40))] + [("one", "ref", 1.0), (None, "ref", 1.0), (None, "syn", 1.0)]
+    frame = spark.createDataFrame(rows, "g string, side string, x double")
+    frame.createOrReplaceTempView("ks_t")
+    for most in (kstest.EXACT_N, 10):
+        got = {r.grp: (r.n_ref, r.n_syn, r.ks, r.p_value, r.exact) for r in kstest.p_values(spark, "ks_t", "g", "x", most).collect()}
+        with duckdb.connect() as con:
+            con.register("pd_t", frame.toPandas())
+            con.execute("CREATE TABLE ks_t AS SELECT * FROM pd_t")
+            twin = {r[0]: r[1:] for r in con.execute(kstest.duck_sql(Duck(), "ks_t", "g", "x", most)).fetchall()}
+        assert got == twin
+        assert set(got) == {"g", "h", None} and got["g"] == (4, 4, 0.5, round(brute_p_value(4, 4, 0.5), 6), True) and got[None][3] == 1.0
+        assert got["h"][4] is (most > 10)
+
+
+def test_repair_of_text_columns(ask):
+    """Old spellings in every column, numbers as text, texts that are no numbers, an unknown state, nulls."""
+    schema = "row_id long, " + ", ".join(f"{c} string" for c in domain.MODEL_COLUMNS)
+    row = lambda k, age, gender, region, state, city, edu, marital, work, income, deps, code: (k, age, gender, region, state, city, edu, marital, work, income, deps, code)
+    rows = [
+        row(0, "40", "Feminino", "Norte", "SP", "Sao Paulo", "Ensino Medio", "Uniao Estavel", "Tecnico", "2500.5", "1", "11"),
+        row(1, "abc", "Masculino", "Sul", "RJ", decomposed("Niterói"), "Pos-graduacao", "Viuvo", "Autonomo", "x", "2.5", "21.0"),
+        row(2, "17.6", "Outro", "Sul", "ZZ", "Nowhere", "Fundamental", "Casado", "Servicos Gerais", "99999", "-3", "77"),
+        row(3, None, None, None, None, None, None, None, None, None, None, None),
+        row(4, "90", "Feminino", "Sudeste", "MG", "Santos", "Fundamental", "Solteiro", "Vendedor", "NaN", "3.5", "junk"),
+    ]
+    got = {r["row_id"]: r for r in ask(lambda d: f"SELECT * FROM {finalize.repaired_sql(d, 't')} AS r", t=(schema, rows))}
+    a, b, c, e, f = (got[k] for k in range(5))
+    assert (a["Regiao"], a["Municipio"], a["Escolaridade"], a["Estado_Civil"], a["Ocupacao"], a["DDD"], a["Renda"]) == ("Sudeste", "São Paulo", "Ensino Médio", "União Estável", "Técnico", 11, 2500.5)
+    assert (b["Idade"], b["Renda"], b["Dependentes"], b["Municipio"], b["Escolaridade"], b["Estado_Civil"], b["Ocupacao"], b["DDD"], b["Regiao"]) == (18, 800.0, 2, "Niterói", "Pós-graduação", "Viúvo", "Autônomo", 21, "Sudeste")
+    assert (c["Idade"], c["Renda"], c["Dependentes"], c["Regiao"], c["Municipio"], c["DDD"], c["Ocupacao"]) == (18, 50000.0, 0, "Sul", "Nowhere", 77, "Serviços Gerais")
+    assert (e["Idade"], e["Renda"], e["Dependentes"], e["Regiao"], e["DDD"]) == (18, 800.0, 0, None, None)
+    assert f["Idade"] == 85 and f["Renda"] == 800.0 and f["Dependentes"] == 4 and f["Municipio"] in domain.STATES["MG"][1] and f["DDD"] in domain.STATES["MG"][2]
+
+
+def test_finalized_frames(spark):
+    person = ("40", "Feminino", "Norte", "SP", "Sao Paulo", "Ensino Medio", "Casado", "Tecnico", "2500.555", "1", "92")
+    names = ", ".join(f"{c} string" for c in domain.MODEL_COLUMNS)
+    given = spark.createDataFrame([person] * 25 + [(str(20 + k), *person[1:]) for k in range(30)] + [(None,) * 11], names)
+    rows = finalize.finalize(given.repartition(3), first=100).collect()
+    again = finalize.finalize(given.repartition(7).orderBy("Idade"), first=100).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, again), key=str)
+    assert sorted(r.row_id for r in rows) == list(range(100, 156)) and all(len({r[c] for r in rows}) == 56 for c in domain.IDENTIFIERS)
+    whole = [r for r in rows if r.Estado == "SP"]
+    assert len(whole) == 55 and all(r.Renda in (2500.55, 2500.56) and r.Municipio == "São Paulo" and r.DDD in domain.STATES["SP"][2] for r in whole)
+    spark.createDataFrame(whole).createOrReplaceTempView("finalized")
+    judged = spark.sql(f"SELECT valid FROM {validate.validation_sql(Spark(), 'finalized')} AS v").collect()
+    assert sum(r.valid for r in judged) == sum(int(r.Idade) >= 18 for r in whole)
+
+
+def test_copies_are_dealt_out_in_lots(ask, monkeypatch):
+    monkeypatch.setattr(finalize, "LOT", 3)
+    got = ask(lambda d: f"SELECT * FROM {finalize.numbered_sql(d, 't', ('a', 'b'), 5)} AS n", t=("a string, b double", [("x", 1.0)] * 10 + [("y", None)] * 3 + [(None, 2.0)]))
+    assert sorted(r["row_id"] for r in got) == list(range(5, 19)) and sum(r["a"] == "x" for r in got) == 10
+
+
+def test_absent_columns_are_drawn(spark):
+    given = spark.createDataFrame([(0.2, "30"), (1.0, "31"), (None, "x"), (0.2, "30")], "Sexo double, Idade string")
+    rows = finalize.finalize(given).collect()
+    assert len(rows) == 4 and len({r.CPF for r in rows}) == 4
+    assert sorted(((r.Genero, r.Idade) for r in rows), key=str) == sorted([("Feminino", 30), ("Masculino", 31), (None, 18), ("Feminino", 30)], key=str)
+    assert all(r.Municipio in domain.STATES[r.Estado][1] and r.Ocupacao in domain.OCCUPATIONS for r in rows)
+    with pytest.raises(ValueError, match="none of the columns"):
+        finalize.completed(spark.range(3))
+
+
+def test_masks_of_text_columns(ask):
+    """Columns as text with values that are no numbers: rows fail, the job does not."""
+    schema = "row_id long, " + ", ".join(f"{c} string" for c in domain.MODEL_COLUMNS)
+    good = tuple(str(x) for x in SP[1:])
+    bad = tuple("abc" if c in ("Idade", "Renda", "Dependentes", "DDD") else v for c, v in zip(domain.MODEL_COLUMNS, good, strict=True))
+    got = {r["row_id"]: r for r in ask(lambda d: f"SELECT * FROM {validate.masks_sql(d, 't', validate.rules(d))} AS m", t=(schema, [(0, *good), (1, *bad)]))}
+    assert all(v for k, v in got[0].items() if k.startswith("ok_"))
+    assert not any(got[1][f"ok_{n}"] for n in ("age_domain", "income_domain", "dependents_domain", "state_ddd", "occupation_age", "marital_age", "structural_global"))
+    assert got[1]["ok_occupation_education"] and got[1]["ok_region_state"]

@@ -6,21 +6,9 @@ the same definition runs on Spark and is checked by DuckDB.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterable
 
 
-def _composed() -> list[tuple[str, str]]:
-    """Decomposed and composed spellings of the Latin letters below U+0180, and of the three signs that stand for a letter."""
-    pairs = [(unicodedata.normalize("NFD", chr(c)), chr(c)) for c in range(0xC0, 0x180)]
-    return [p for p in pairs if len(p[0]) == 2] + [(chr(c), unicodedata.normalize("NFC", chr(c))) for c in (0x212A, 0x212B, 0x2126)]
-
-
-COMPOSED = _composed()
-#: A combining mark or one of the three signs.
-MARKED = f"[{chr(0x300)}-{chr(0x36F)}{chr(0x212A)}{chr(0x212B)}{chr(0x2126)}]"
-
-
 def _listed(values: Iterable[str]) -> str:
     """An array literal of texts without a comma, short to parse."""
     return f"split({literal(','.join(values))}, ',')"
@@ -79,8 +67,12 @@ class Spark:
         return f"explode(array({', '.join(items)})) AS {alias}"
 
     def nfc(self, x: str) -> str:
-        """``x`` with a Latin letter and its combining mark as one character; texts without marks pass untouched."""
-        return f"CASE WHEN {x} RLIKE '{MARKED}' THEN aggregate(arrays_zip({_listed(a for a, _ in COMPOSED)}, {_listed(b for _, b in COMPOSED)}), {x}, (t, p) -> replace(t, p.`0`, p.`1`)) ELSE {x} END"
+        """``x`` in Unicode's composed form, by the library that Spark itself brings; texts below U+0300, which are composed, pass untouched."""
+        return f"CASE WHEN {x} RLIKE '[^\\\\x00-\\\\u02FF]' THEN reflect('com.ibm.icu.text.Normalizer', 'compose', {x}, FALSE) ELSE {x} END"
+
+    def counted_out(self, n: str, alias: str) -> str:
+        """A row for each whole number from 0 up to a number, exclusive."""
+        return f"explode(sequence(0L, CAST({n} AS BIGINT) - 1)) AS {alias}"
 
     def spelled(self, x: str, table: dict[str, str]) -> str:
         """The table's value for a key, else the key itself; ``x`` is computed once."""
@@ -166,6 +158,9 @@ class Duck(Spark):
     def nfc(self, x: str) -> str:
         return f"nfc_normalize({x})"
 
+    def counted_out(self, n: str, alias: str) -> str:
+        return f"unnest(range(0, CAST({n} AS BIGINT))) AS {alias}"
+
     def spelled(self, x: str, table: dict[str, str]) -> str:
         return f"coalesce({lookup(x, table)}, {x})"
 

@@ -69,11 +69,18 @@ SUMMARY_ORDER = ("train_size", "model", "seed")
 LONG_ORDER = (*SUMMARY_ORDER, "metric_group", "metric_name")
 
 
-def placed(d: Spark, rel: str, order: tuple[str, ...], limit: int) -> str:
-    """The first ``limit`` rows of a report in its order, nulls last, with their place."""
-    by = ", ".join(f"{c} NULLS LAST" for c in order)
-    first = f"(SELECT * FROM {rel} AS r ORDER BY {by} LIMIT {limit})"
-    return f"SELECT row_number() OVER (ORDER BY {by}) AS place, {', '.join(order)} FROM {first} AS f"
+def placed(d: Spark, rel: str, order: tuple[str, ...], limit: int | None = None) -> str:
+    """The rows of a report with their place in its order, nulls last; all of them, or the first ``limit``.
+
+    Rows are put in order inside a value of the first column only; its values, of which a report has few, are counted and summed up.
+    """
+    lead, rest = order[0], ", ".join(f"{c} NULLS LAST" for c in order[1:])
+    if limit is not None:
+        by = ", ".join(f"{c} NULLS LAST" for c in order)
+        rel = f"(SELECT * FROM {rel} AS r ORDER BY {by} LIMIT {limit})"
+    starts = f"(SELECT {lead} AS lead_value, sum(n) OVER (ORDER BY {lead} NULLS LAST ROWS UNBOUNDED PRECEDING) - n AS start FROM (SELECT {lead}, count(*) AS n FROM {rel} AS c GROUP BY {lead}) AS g)"
+    inside = f"(SELECT {', '.join(order)}, row_number() OVER (PARTITION BY {lead} ORDER BY {rest}) AS place FROM {rel} AS f)"
+    return f"SELECT CAST(start + place AS BIGINT) AS place, {', '.join(order)} FROM {inside} AS i JOIN {starts} AS s ON i.{lead} IS NOT DISTINCT FROM s.lead_value"
 
 
 def by_metric_group(rel: str, group: str) -> str:

@@ -299,20 +299,83 @@ class Accepted:
         return self.accepted - self.rows.count()
 
 
-def accept_in_batches(make: Callable[[int, int], DataFrame], judge: Callable[[DataFrame], DataFrame], n: int, batch_rows: int, max_batches: int) -> Accepted:
+#: Cells of a batch (identifiers by row) that are broadcast against those used before; more are joined by a shuffle.
+BROADCAST_CELLS = 500_000
+
+
+def _cells(rows: DataFrame, identifiers: Iterable[str]) -> DataFrame:
+    """row_id and ``cell`` for every identifier of the rows that has a value."""
+    named = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in identifiers])
+    return rows.select("row_id", F.explode(named).alias("cell")).where("cell.value IS NOT NULL").select("row_id", "cell.name", "cell.value")
+
+
+def _clashing(rows: DataFrame, used: DataFrame | None, identifiers: Iterable[str]) -> DataFrame:
+    """The row ids that repeat an identifier used before, or one of an earlier row of their own."""
+    cells = _cells(rows, identifiers)
+    first = cells.groupBy("name", "value").agg(F.min("row_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    later = cells.join(first, ["name", "value"]).where("row_id > first_id").select("row_id")
+    if used is None:
+        return later.distinct()
+    small = cells.count() <= BROADCAST_CELLS
+    # The batch is the small side: what was used before is only scanned.
+    again = used.join(F.broadcast(cells) if small else cells, ["name", "value"]).select("row_id")
+    return later.union(again).distinct()
+
+
+def accept_in_batches(
+    make: Callable[[int, int], DataFrame],
+    judge: Callable[[DataFrame], DataFrame],
+    n: int,
+    batch_rows: int,
+    max_batches: int,
+    identifiers: Iterable[str] = domain.IDENTIFIERS,
+    redraw: Callable[[DataFrame, int], DataFrame] | None = None,
+    redraws: int = 8,
+) -> Accepted:
     """Makes batches until ``n`` candidates are valid together, and returns the first ``n`` by row id.
 
-    ``make(first_row, rows)`` gives a batch, lazily; ``judge(candidates)`` gives row_id and valid for all of them at once, so that an
-    identifier which two batches share counts against the later row. Raises after ``max_batches``. Candidates are functions of
-    their row ids: nothing is stored between batches but the plan.
+    ``make(first_row, rows)`` gives a batch, ``judge(batch)`` gives row_id and valid by the rules of rows. Between batches lies a state of
+    two tables: the accepted rows and the identifiers used so far. A batch is made and judged once and written; its
+    identifiers are held against the used ones. A row that repeats one gets others by ``redraw(rows, attempt)``, where that is given, up to
+    ``redraws`` times, and is rejected after that. So k batches cost k batches, and a scan of the used identifiers each. Raises after
+    ``max_batches``.
     """
-    candidates = None
+    from veredas.session import work_folder
+
+    identifiers = list(identifiers)
+    folder, spark, total, used, made = None, None, 0, None, 0
     for k in range(1, max_batches + 1):
         batch = make((k - 1) * batch_rows, batch_rows)
-        candidates = batch if candidates is None else candidates.unionByName(batch)
-        good = judge(candidates).where("valid").select(F.col("row_id").alias("good_id"))
-        found = good.count()
-        if found >= n:
-            chosen = candidates.join(good, F.col("row_id") == F.col("good_id"), "left_semi").orderBy("row_id").limit(n)
-            return Accepted(chosen, k * batch_rows, found, k)
+        if folder is None:
+            spark = batch.sparkSession
+            folder = work_folder(spark, "acceptance")
+
+        def kept(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{folder}/{name}")  # noqa: B023
+            return spark.read.schema(df.schema).parquet(f"{folder}/{name}")  # noqa: B023
+
+        batch = kept(batch, f"batch-{k}-0")
+        clash = kept(_clashing(batch, used, identifiers), f"clash-{k}-0")
+        for attempt in range(1, redraws + 1) if redraw else ():
+            if clash.isEmpty():
+                break
+            again = redraw(batch.join(clash, "row_id", "left_semi"), attempt).select(batch.columns)
+            batch = kept(batch.join(clash, "row_id", "left_anti").unionByName(again), f"batch-{k}-{attempt}")
+            clash = kept(_clashing(batch, used, identifiers), f"clash-{k}-{attempt}")
+        made += batch.count()
+        good = judge(batch).where("valid").select("row_id").join(clash, "row_id", "left_anti")
+        total += kept(batch.join(good, "row_id", "left_semi"), f"accepted/batch={k}").count()
+        _cells(batch, identifiers).select("name", "value").distinct().write.parquet(f"{folder}/used/batch={k}")
+        used = spark.read.schema("name string, value string").parquet(f"{folder}/used")
+        if total >= n:
+            rows = spark.read.schema(batch.schema).parquet(f"{folder}/accepted").select(batch.columns)
+            return Accepted(rows.orderBy("row_id").limit(n), made, total, k)
     raise ValueError(f"fewer than {n} valid rows after {max_batches} batches")
+
+
+def redraw_identifiers(rows: DataFrame, attempt: int, seed: int = 41, stride: int = 10_000_019) -> DataFrame:
+    """Final rows with the identifiers of another number each: that of the row id moved on by ``attempt`` strides."""
+    spark, moved = rows.sparkSession, rows.withColumn("number", F.col("row_id") + F.lit(attempt * stride))
+    others = [c for c in domain.FINAL_COLUMNS if c not in domain.IDENTIFIERS]
+    steps = [{k: e for k, e in step.items() if k not in others} for step in identifier_steps(Spark(), seed, "number")]
+    return spark.sql(f"SELECT * FROM {select_steps('{rows}', steps, ('row_id', *domain.FINAL_COLUMNS))}", rows=moved.drop(*domain.IDENTIFIERS))

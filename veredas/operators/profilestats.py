@@ -1,9 +1,9 @@
-"""Geography, vocabulary and relational reports of profiles, repair, and what changed between two stages."""
+"""Geography, vocabulary and relational reports of profiles, and what changed between two stages."""
 
 from __future__ import annotations
 
 from veredas.functions import canonical, domain
-from veredas.functions.dialect import Spark, any_of, lookup
+from veredas.functions.dialect import Spark, any_of
 
 from . import validate
 
@@ -75,20 +75,6 @@ def normalize_sql(d: Spark, rel: str, columns: tuple[str, ...]) -> str:
     return f"(SELECT *, {', '.join(f'{canonical.text(d, c)} AS {c}_norm' for c in columns)} FROM {rel})"
 
 
-def repaired_sql(d: Spark, rel: str, seed: int = 41) -> str:
-    """Repairs raw rows: old spellings, ranges, the region of a state, and places redrawn inside the state."""
-    u = lambda x: d.uniform(seed, "row_id", x)
-    cities = lookup("Estado", {s: ",".join(v[1]) for s, v in domain.STATES.items()})
-    codes = lookup("Estado", {s: ",".join(map(str, v[2])) for s, v in domain.STATES.items()})
-    n_codes = lookup("Estado", {s: len(v[2]) for s, v in domain.STATES.items()})
-    return f"""(SELECT row_id, Genero, Estado, Estado_Civil, Ocupacao,
-      CAST(least(85e0, greatest(18e0, coalesce({d.bround('CAST(Idade AS DOUBLE)')}, 18e0))) AS INT) AS Idade,
-      least(50000e0, greatest(800e0, coalesce(Renda, 800e0))) AS Renda, CAST(least(6e0, greatest(0e0, coalesce(CAST(Dependentes AS DOUBLE), 0e0))) AS INT) AS Dependentes,
-      coalesce({lookup('Escolaridade', domain.ALIASES)}, Escolaridade) AS Escolaridade, coalesce({validate.region_of('Estado')}, Regiao) AS Regiao,
-      CASE WHEN {validate.city_in_state('Estado', 'Municipio')} THEN Municipio ELSE coalesce(split_part({cities}, ',', 1 + CAST(floor({u('fix_city')} * 3) AS INT)), Municipio) END AS Municipio,
-      CASE WHEN {validate.ddd_in_state('Estado', 'DDD')} THEN DDD ELSE coalesce(CAST(split_part({codes}, ',', 1 + CAST(floor({u('fix_ddd')} * {n_codes}) AS INT)) AS INT), DDD) END AS DDD FROM {rel})"""
-
-
 #: Fields that a repair may change, and those of them whose change replaces the person.
 CHANGED = ("Idade", "Genero", "Regiao", "Estado", "Municipio", "Escolaridade", "Estado_Civil", "Ocupacao", "Renda", "Dependentes", "DDD")
 REPLACING = ("Idade", "Estado", "Escolaridade", "Ocupacao", "Estado_Civil", "Dependentes")

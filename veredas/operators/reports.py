@@ -139,7 +139,7 @@ def locale(d: Spark, rel: str) -> str:
     cells = [f"CASE WHEN {c} IS NULL OR {any_of(c, v)} THEN NULL ELSE concat('{c}{_SEP}', {c}) END" for c, v in domain.CATEGORIES.items()]
     values = f"(SELECT stage, cell, count(*) AS n FROM (SELECT stage, {d.explode(cells, 'cell')} FROM {rel} AS u) AS x WHERE cell IS NOT NULL GROUP BY stage, cell)"
     odd = f"(SELECT stage AS s, count(*) AS n_unexpected, CAST(sum(CASE WHEN {any_of(f'''split_part(cell, '{_SEP}', 2)''', tuple(domain.ALIASES))} THEN 1 ELSE 0 END) AS BIGINT) AS n_legacy FROM {values} AS v GROUP BY stage)"
-    return f"SELECT stage, not_composed, not_composed = 0 AS nfc_valid, coalesce(n_legacy, 0) AS n_legacy, coalesce(n_unexpected, 0) AS n_unexpected FROM (SELECT stage, CAST(sum(CASE WHEN {bad} THEN 1 ELSE 0 END) AS BIGINT) AS not_composed FROM {rel} AS r GROUP BY stage) AS a LEFT JOIN {odd} AS o ON a.stage = o.s"
+    return f"SELECT stage, not_composed, not_composed = 0 AS nfc_valid, coalesce(n_legacy, 0) AS n_legacy, coalesce(n_unexpected, 0) AS n_unexpected FROM (SELECT stage, CAST(sum(CASE WHEN is_other THEN 1 ELSE 0 END) AS BIGINT) AS not_composed FROM {d.fixed(f'{rel} AS given', {'is_other': bad})} AS r GROUP BY stage) AS a LEFT JOIN {odd} AS o ON a.stage = o.s"
 
 
 def coherence(d: Spark, rel: str, k: int = 20) -> str:
@@ -170,10 +170,10 @@ def vocabulary_gates(d: Spark, rel: str, requested: str) -> str:
     legacy = " OR ".join(f"coalesce({any_of(c, tuple(domain.ALIASES))}, FALSE)" for c in domain.CATEGORIES)
     known = " AND ".join(f"coalesce({any_of(c, v)}, TRUE)" for c, v in domain.CATEGORIES.items())
     composed = " AND ".join(f"coalesce({c} = {d.nfc(c)}, TRUE)" for c in (*domain.CATEGORIES, "Nome"))
-    checks = {"final_categories_canonical": known, "final_structural_compatibility": f"{r['occupation_education']} AND {r['occupation_age']}", "no_legacy_categories_final": f"NOT ({legacy})", "income_within_limits_final": r["income_domain"], "unicode_nfc_final": composed}
+    checks = {"final_categories_canonical": known, "final_structural_compatibility": f"{r['occupation_education']} AND {r['occupation_age']}", "no_legacy_categories_final": f"NOT ({legacy})", "income_within_limits_final": r["income_domain"], "unicode_nfc_final": "is_composed"}
     sums = ", ".join(f"CAST(coalesce(sum(CASE WHEN {p} THEN 0 ELSE 1 END), 0) AS DOUBLE) AS {n}" for n, p in checks.items())
     valid = f"(SELECT max(CASE WHEN reason = 'invalid_rows' THEN n END) AS bad FROM ({validate.validation_report(d, rel)}) AS v)"
-    one = f"(SELECT n, {', '.join(checks)}, CAST(bad AS DOUBLE) AS schema_final_valid, CAST(asked AS DOUBLE) AS asked, coverage, entropy, top_share FROM (SELECT CAST(count(*) AS DOUBLE) AS n, {sums} FROM {rel} AS r) AS a CROSS JOIN {valid} AS b CROSS JOIN {requested} AS q CROSS JOIN ({profilestats.occupation_entropy(d, rel)}) AS e)"
+    one = f"(SELECT n, {', '.join(checks)}, CAST(bad AS DOUBLE) AS schema_final_valid, CAST(asked AS DOUBLE) AS asked, coverage, entropy, top_share FROM (SELECT CAST(count(*) AS DOUBLE) AS n, {sums} FROM {d.fixed(f'{rel} AS given', {'is_composed': composed})} AS r) AS a CROSS JOIN {valid} AS b CROSS JOIN {requested} AS q CROSS JOIN ({profilestats.occupation_entropy(d, rel)}) AS e)"
     shown = {"final_rows_exact": ("n", "n = asked"), "schema_final_valid": ("schema_final_valid", "schema_final_valid = 0"), **{n: (n, f"{n} = 0" + (" AND n > 0" if n.startswith("income") else "")) for n in checks}}
     cells = [f"concat('{n}:', CAST({v} AS VARCHAR(40)), ':', CASE WHEN {p} THEN '1' ELSE '0' END)" for n, (v, p) in shown.items()]
     cells += [f"concat('{n}:', CAST({v} AS VARCHAR(40)), ':')" for n, v in (("occupation_final_coverage", "coverage"), ("occupation_entropy_final", "entropy"), ("occupation_top_share_final", "top_share"))]

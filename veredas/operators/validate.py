@@ -68,18 +68,18 @@ def _whole(column: str, bounds: tuple) -> str:
 
 def elementary(d: Spark) -> dict[str, str]:
     """name -> predicate that a valid row fulfils, each of one thing; ``known_<column>``: a value of the column's domain."""
-    known = {f"known_{c}": _ok(any_of(c, v)) for c, v in domain.CATEGORIES.items()}
+    known, age = {f"known_{c}": _ok(any_of(c, v)) for c, v in domain.CATEGORIES.items()}, canonical.number("Idade")
     return known | {
-        "known_DDD": _ok(any_of("DDD", tuple(x for v in domain.STATES.values() for x in v[2]))),
+        "known_DDD": _ok(any_of(canonical.number("DDD"), tuple(x for v in domain.STATES.values() for x in v[2]))),
         "age_domain": _whole("Idade", domain.AGE),
         "income_domain": _ok(f"{canonical.number('Renda')} BETWEEN {domain.INCOME[0]!r}e0 AND {domain.INCOME[1]!r}e0"),
         "dependents_domain": _whole("Dependentes", domain.DEPENDENTS),
         "region_state": _ok(f"{region_of('Estado')} = Regiao"),
         "state_municipality": city_in_state("Estado", "Municipio"),
-        "state_ddd": ddd_in_state("Estado", "DDD"),
+        "state_ddd": ddd_in_state("Estado", canonical.number("DDD")),
         "occupation_education": _ok(f"{level_of('Escolaridade')} >= {_of_occupation('Ocupacao', 'level')}"),
-        "occupation_age": _ok(f"Idade BETWEEN {_of_occupation('Ocupacao', 'min')} AND {_of_occupation('Ocupacao', 'max')}"),
-        "marital_age": _ok("Idade IS NOT NULL AND NOT (coalesce(Estado_Civil, '') = 'Viúvo' AND Idade < 25)"),
+        "occupation_age": _ok(f"{age} BETWEEN {_of_occupation('Ocupacao', 'min')} AND {_of_occupation('Ocupacao', 'max')}"),
+        "marital_age": _ok(f"{age} IS NOT NULL AND NOT (coalesce(Estado_Civil, '') = 'Viúvo' AND {age} < 25)"),
     }
 
 
@@ -108,7 +108,7 @@ def rules(d: Spark) -> dict[str, str]:
 def final_rules(d: Spark) -> dict[str, str]:
     """Rules of identifiers and birth dates, for final profiles."""
     return {
-        "Data_Nascimento_idade": _ok(f"{d.age_at('Data_Nascimento', domain.REFERENCE_DATE)} = Idade"),
+        "Data_Nascimento_idade": _ok(f"{d.age_at('Data_Nascimento', domain.REFERENCE_DATE)} = {canonical.number('Idade')}"),
         "CPF": cpf_valid(d, "CPF"),
         "CNH": cnh_valid(d, "CNH"),
         "RG": _ok(d.matches("RG", r"^[0-9]{2}\.[0-9]{3}\.[0-9]{3}-[0-9Xx]$")),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from veredas.functions import canonical, domain
 from veredas.functions.dialect import Duck, Spark
-from veredas.operators import conditional, encode, experiments, gates, generate, privacy, profilestats, ranks, reports, twosample, validate
+from veredas.operators import conditional, encode, experiments, finalize, gates, generate, kstest, privacy, profilestats, ranks, reports, twosample, validate
 
 from .registry import register
 
@@ -58,6 +58,7 @@ _add("cat_shares", lambda d: twosample.category_shares(d, _items(d), "l_shipdate
 _add("num_moments", lambda d: twosample.moments(d, _items(d), "l_extendedprice"))
 _add("mean_difference", lambda d: twosample.mean_difference(d, _items(d), "l_quantity"))
 _add("wasserstein_ks", lambda d: twosample.distances(d, _items(d), "l_returnflag", "l_extendedprice"))
+register("ks_exact", lambda spark, sf_dir: kstest.p_values(spark, _items(Spark(sf_dir)), "l_suppkey", "l_extendedprice"), kstest.duck_sql(Duck(), _items(Duck()), "l_suppkey", "l_extendedprice"))
 _add("pearson", lambda d: twosample.pearson_difference(d, _items(d), ("l_quantity", "l_extendedprice", "l_discount")))
 _add("spearman", lambda d: twosample.spearman_difference(d, _items(d), ("l_quantity", "l_discount", "l_tax")))
 _add("correlation_summary", lambda d: twosample.correlation_summary(d, _items(d), ("l_quantity", "l_extendedprice", "l_discount")))
@@ -160,19 +161,41 @@ _add("relational_validity", lambda d: profilestats.relational_validity(d, _broke
 _add("offending_pairs", lambda d: profilestats.offending_pairs(d, _broken(d)))
 _add("occupation_entropy", lambda d: profilestats.occupation_entropy(d, _broken(d)))
 _add("unexpected_values", lambda d: profilestats.unexpected_values(d, _broken(d)))
-_add("normalized_text", lambda d: f"SELECT row_id, Escolaridade_norm, Municipio_norm FROM {profilestats.normalize_sql(d, _broken(d), ('Escolaridade', 'Municipio'))} AS n")
+#: Combining marks after a text: two below and above a letter in the wrong order, three for one letter, jamo, Devanagari, a sign that stands for a letter.
+_MARKED = ("a\u0301\u0323", "e\u0302\u0301 ", "o\u031b\u0323\u0304", "\u1112\u1161\u11ab", "\uac00\u11a8", "\u0928\u093c\u0958", "\u212b\u2126", "s\u0307\u0323x")
+
+
+def _with_marks(d: Spark) -> str:
+    """The broken profiles, with marks in every script behind some names."""
+    marked = " ".join(f"WHEN {i} THEN concat(Municipio, '{m}')" for i, m in enumerate(_MARKED))
+    return f"(SELECT row_id, Escolaridade, CASE row_id % 11 {marked} ELSE Municipio END AS Municipio FROM {_broken(d)} AS w)"
+
+
+_add("normalized_text", lambda d: f"SELECT row_id, Escolaridade_norm, Municipio_norm FROM {profilestats.normalize_sql(d, _with_marks(d), ('Escolaridade', 'Municipio'))} AS n")
 _add("vocabulary_gates", lambda d: reports.vocabulary_gates(d, _broken(d), f"(SELECT count(*) AS asked FROM {d.table('orders')} AS o)"))
-_add("repaired", lambda d: _all("r", profilestats.repaired_sql(d, _broken(d))))
-_add("field_changes", lambda d: profilestats.field_changes(d, _broken(d), profilestats.repaired_sql(d, _broken(d))))
-_add("transitions", lambda d: profilestats.transitions(d, _broken(d), profilestats.repaired_sql(d, _broken(d))))
-_add("stage_outcomes", lambda d: profilestats.stage_outcomes(d, _broken(d), profilestats.repaired_sql(d, _broken(d))))
+_add("repaired", lambda d: _all("r", finalize.repaired_sql(d, _broken(d))))
+
+
+def _given(d: Spark) -> str:
+    """A frame without row ids whose columns are text, with texts that are no numbers and a third of it one and the same row."""
+    same = lambda c: f"CASE WHEN row_id % 3 = 0 THEN '{dict(zip(domain.MODEL_COLUMNS, ('40', 'Feminino', 'Norte', 'SP', 'Sao Paulo', 'Ensino Medio', 'Uniao Estavel', 'Tecnico', '2500.5', '1', '92'), strict=True))[c]}'"
+    odd = {"Idade": "WHEN row_id % 53 = 0 THEN 'abc'", "Renda": "WHEN row_id % 59 = 0 THEN '1.5x'", "DDD": "WHEN row_id % 61 = 0 THEN '11.0'"}
+    plain = {"Renda": "CAST(CAST(floor(Renda) AS BIGINT) AS VARCHAR(20))"}
+    return f"(SELECT {', '.join(f'{same(c)} {odd.get(c, str())} ELSE {plain.get(c, f'CAST({c} AS VARCHAR(60))')} END AS {c}' for c in domain.MODEL_COLUMNS)} FROM {_broken(d)} AS g)"
+
+
+_add("repaired_text", lambda d: _all("r", finalize.repaired_sql(d, f"(SELECT * FROM {finalize.numbered_sql(d, _given(d), domain.MODEL_COLUMNS)} AS n)")))
+_add("final_from_given", lambda d: _all("f", finalize.final_sql(d, _given(d))))
+_add("field_changes", lambda d: profilestats.field_changes(d, _broken(d), finalize.repaired_sql(d, _broken(d))))
+_add("transitions", lambda d: profilestats.transitions(d, _broken(d), finalize.repaired_sql(d, _broken(d))))
+_add("stage_outcomes", lambda d: profilestats.stage_outcomes(d, _broken(d), finalize.repaired_sql(d, _broken(d))))
 
 
 def _stages(d: Spark) -> str:
     """The same people as holdout, raw and repaired rows."""
     holdout = f"(SELECT * FROM {generate.profiles_sql(d, _ids(d), 7)} AS h0)"
     cols = ", ".join(domain.MODEL_COLUMNS)
-    return f"(SELECT 'holdout' AS stage, row_id, {cols} FROM {holdout} AS h UNION ALL SELECT 'raw', row_id, {cols} FROM {_broken(d)} AS r UNION ALL SELECT 'final', row_id, {cols} FROM {profilestats.repaired_sql(d, _broken(d))} AS f)"
+    return f"(SELECT 'holdout' AS stage, row_id, {cols} FROM {holdout} AS h UNION ALL SELECT 'raw', row_id, {cols} FROM {_broken(d)} AS r UNION ALL SELECT 'final', row_id, {cols} FROM {finalize.repaired_sql(d, _broken(d))} AS f)"
 
 
 def _against(d: Spark, stage: str) -> str:
@@ -191,7 +214,7 @@ _add("diversity", lambda d: reports.diversity(d, _stages(d)))
 _add("locale_report", lambda d: reports.locale(d, f"(SELECT stage, {', '.join(domain.CATEGORIES.keys() - {'Municipio'})}, CASE WHEN row_id % 9 = 0 THEN replace(Municipio, 'ã', 'a{chr(771)}') ELSE Municipio END AS Municipio FROM {_stages(d)} AS s)"))
 _add("coherence", lambda d: reports.coherence(d, _stages(d)))
 _add("rare_occupations_stages", lambda d: reports.rare_occupations(d, _stages(d)))
-_add("geography_outcomes", lambda d: profilestats.geography_outcomes(d, _broken(d), profilestats.repaired_sql(d, _broken(d))))
+_add("geography_outcomes", lambda d: profilestats.geography_outcomes(d, _broken(d), finalize.repaired_sql(d, _broken(d))))
 _add("catalog_check", profilestats.catalog_check)
 _add("dependency_class", lambda d: reports.dependency(d, f"(SELECT o_totalprice / 6e5 AS raw_rate, 0.1e0 AS rejection_rate, o_custkey AS repaired, 1500 AS selected FROM {d.table('orders')} AS o)"))
 _add("gate_statuses", lambda d: gates.statuses(d, f"(SELECT o_orderkey AS run, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS invalid_rows, 0 AS duplicated_identifier, 0 AS null_required_fields, o_totalprice / 5e7 AS exact_train_match_rate, o_totalprice / 2e6 AS total_variation_distance, 0.1e0 AS correlation_difference, 0e0 AS duplicate_base_row_rate, 500 AS synthetic_rows FROM {d.table('orders')} AS o)"))
@@ -222,7 +245,7 @@ _add("quality_gains", lambda d: experiments.quality_gains(d, f"(SELECT model, tr
 _add("long_metrics", _metrics)
 _add("metric_group_means", lambda d: experiments.group_means(d, _metrics(d)))
 _add("income_metrics", lambda d: _all("g", experiments.by_metric_group(f"({_metrics(d)})", "income")))
-_add("ordered_runs", lambda d: experiments.placed(d, f"(SELECT DISTINCT CASE WHEN train_size = 7 THEN NULL ELSE train_size END AS train_size, model, seed FROM {_runs(d)} AS x)", experiments.SUMMARY_ORDER, 50))
+_add("ordered_runs", lambda d: experiments.placed(d, f"(SELECT DISTINCT CASE WHEN train_size = 7 THEN NULL ELSE train_size END AS train_size, model, seed FROM {_runs(d)} AS x)", experiments.SUMMARY_ORDER))
 _add("model_rotation", lambda d: experiments.rotated(d, ["programmatic", "simple_gan", "ctgan"], [41, 42, 43]))
 _add("history_filter", lambda d: f"SELECT identifier, created_at FROM {experiments.history_filter(_history(d), kind='model', model='ctgan', seed=2)} AS f")
 _add("history_rows", lambda d: experiments.history_rows(d, _history(d)))

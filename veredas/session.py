@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +25,16 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a job's intermediate tables, below ``spark.checkpoint.dir``, which the driver and all executors share.
+
+    Only a session that runs on this machine alone may leave that setting out.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="veredas-work-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
