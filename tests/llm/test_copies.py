@@ -200,9 +200,9 @@ def test_groups_of_rows_without_ids(spark):
 def test_pipeline_of_nothing_and_of_more_columns(spark, tmp_path):
     import corpus_pipeline
 
-    schema = "doc_id long, text string, lang string, source string, n_chars long, extra int, _row long, component_id long"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, extra int, _row long, component_id long, _gone string, _MEASURED int, `a.b` int, node long"
     spark.createDataFrame([(1, "w0 w1 w2")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    rows = [(k, prose(500 + k, 80), "xx", "s", 1, 2, 3, 4) for k in (1, 2)]
+    rows = [(k, prose(500 + k, 80), "xx", "s", 1, 2, 77 + k, 4, f"g{k}", 5, 60 + k, 7) for k in (1, 2)]
     for name, some in (("none", []), ("some", rows)):
         folder = tmp_path / name
         spark.createDataFrame(some, schema).write.parquet(f"{folder}/documents.parquet")
@@ -211,7 +211,10 @@ def test_pipeline_of_nothing_and_of_more_columns(spark, tmp_path):
         for stage, run in corpus_pipeline.STAGES:
             docs = run(spark, docs, str(folder))
             assert docs.count() == len(some), stage
-            assert stage == "piece_encoding" or docs.columns == spark.read.parquet(f"{folder}/documents.parquet").columns
+            if stage != "piece_encoding":
+                assert docs.columns == spark.read.parquet(f"{folder}/documents.parquet").columns
+                kept = [tuple(r[c] for c in docs.columns if c not in ("text", "n_chars")) for r in docs.collect()]
+                assert sorted(kept) == sorted((r[0], *r[2:4], *r[5:]) for r in some), stage
 
 
 def test_pipeline_filters_judge_rows_apart(spark):
@@ -225,3 +228,36 @@ def test_pipeline_filters_judge_rows_apart(spark):
     clean = decontaminate.decontaminate_rows(docs.union(spark.createDataFrame([(7, c)], docs.schema)), bench)
     assert clean.columns == docs.columns
     assert sorted((str(r.doc_id), r.text) for r in clean.collect()) == sorted([("7", a), ("7", a), ("7", b), ("9", b), ("3", b), ("8", ""), ("8", "")])
+
+
+_ELSEWHERE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from veredas.session import local_session
+import __spark_entry__ as entry, corpus_pipeline
+spark = local_session(2, partitions=2, memory="3g")
+for name, query in entry.queries().items():
+    if name.startswith("op") and name[2:3].isdigit() or name == "pipeline":
+        query(spark, sys.argv[2]).write.format("noop").mode("overwrite").save()
+        print("ran", name)
+"""
+
+
+def test_executors_need_no_copy_of_the_package(spark, tmp_path):
+    """Every query from another folder: its workers cannot import the package."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    import __spark_entry__ as entry
+
+    texts = [(k, prose(700 + k, 60) + f" password = hunter{k}hunter{k}", "xx", "s", 1) for k in range(12)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "w0 w1 w2")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "http://a.net/de/8", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    repo = str(Path(entry.__file__).parent)
+    done = subprocess.run([sys.executable, "-c", _ELSEWHERE, repo, str(tmp_path)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert done.returncode == 0, done.stderr[-3000:]
+    assert done.stdout.count("ran ") == sum(n.startswith("op") and n[2:3].isdigit() or n == "pipeline" for n in entry.queries())

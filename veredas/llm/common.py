@@ -32,9 +32,11 @@ def id_text(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; one of our own only where none is set (tests)."""
+    """The folder that all executors see; one of our own only where none is set and all runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="veredas-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -130,19 +132,39 @@ def mix64(h: np.ndarray) -> np.ndarray:
 BROADCAST_IDS = 200_000
 
 
+def free_name(docs: DataFrame, wanted: str) -> str:
+    """``wanted``, or the like of it that no column of ``docs`` has (names differ in more than case)."""
+    taken = {c.lower() for c in docs.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def named(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose ``key`` is in ``ids`` (one column of longs, written once here).
 
     Up to BROADCAST_IDS ids are broadcast after counting them; more are anti-joined by a shuffle.
     """
-    ids = materialize(ids.toDF("_gone").distinct(), "gone")
+    gone = free_name(docs, "_gone")
+    ids = materialize(ids.toDF(gone).distinct(), "gone")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(side, docs[key].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(side, named(key).cast("long") == named(gone), "left_anti")
+
+
+def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of its own for every row, and that column's name, which no column of ``docs`` has; written once, so that the keys hold."""
+    row = free_name(docs, "_row")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
-def with_row(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of its own for every row, ``_row``; written once, so that the keys hold."""
-    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+def without_rows(rows: DataFrame, row: str, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows (of :func:`with_row`) whose key is not in ``gone``, with the columns they came with."""
+    return drop_ids(rows, gone, row).select(*map(named, columns))
 
 
 def ascii_lower(text: Column) -> Column:

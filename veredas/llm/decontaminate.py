@@ -15,8 +15,8 @@ The benchmark is measured before it is broadcast (``BROADCAST_BYTES``). A larger
 is joined by a shuffle on the window, without anchors.
 
 A null or empty text has no words, no hit and is never contaminated; items
-without words have no window. Rows are kept apart even where ids repeat. Extra
-columns of either input are ignored.
+without words have no window. Rows are kept apart even where ids repeat. Texts are searched whole, however long; an empty
+table of documents gives an empty result, an empty benchmark no hits. Extra columns of either input are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, drop_ids, with_row
+from .common import ascii_lower, drop_ids, named, with_row, without_rows
 
 WINDOW = 10
 BROADCAST_BYTES = 32 << 20
@@ -110,10 +110,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def decontaminate_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows without those that hold a benchmark window; each is judged alone, whatever its id."""
-    rows = with_row(docs)
-    judged = contamination(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark, window)
-    return drop_ids(rows, judged.where("n_hit > 0").select("doc_id"), "_row").select(docs.columns)
+    """The rows without those that hold a benchmark window; each is judged alone, whatever its id; all columns stay, whatever their names."""
+    rows, row = with_row(docs)
+    judged = contamination(rows.select(named(row).alias("doc_id"), "text"), benchmark, window)
+    return without_rows(rows, row, judged.where("n_hit > 0").select("doc_id"), docs.columns)
 
 
 ORACLE_SQL = r"""

@@ -21,7 +21,8 @@ A shingle's 63-bit token is its frequency class (eight steps a doubling) above 5
 that the order of tokens is the rare-first order everywhere.
 
 Texts without words, empty and null ones have an empty set and link with nothing. Rows that share an
-id count as one node; a row with a null id links with nothing. Extra columns are ignored.
+id count as one node; a row with a null id links with nothing. Of several smallest ids (repeated rows) all rows get the one id. Texts are
+taken whole, however long; an empty table gives an empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, drop_ids, id_text, materialize, mix64, n_parts, offsets_of, text_bytes, with_row
+from .common import arrow_schema, id_text, materialize, mix64, n_parts, named, offsets_of, text_bytes, with_row, without_rows
 from .components import connected
 from .sharing import collect_slice, shared
 
@@ -196,12 +197,14 @@ def groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """One row of each group of near copies: that with the smallest id, null ids last; all columns stay.
+    """One row of each group of near copies: that with the smallest id, null ids last; all columns stay, whatever their names.
 
-    Every row is a node of its own here, so that repeated ids and null ids are judged apart.
+    Every row is a node of its own here, so that repeated ids and null ids are judged apart. Of rows with equal ids in a group
+    the first in the order of the table as read stays. Rows with null, empty or blank texts all stay; texts are judged whole, however
+    long; an empty table stays empty.
     """
-    rows = with_row(docs)
-    found = materialize(groups(rows.select(F.col("_row").alias("doc_id"), "text"), threshold).select(F.col("doc_id").alias("_row"), "component_id"), "row-groups")
-    ids = rows.select("_row", F.col("doc_id").cast("long").alias("id"))
-    first = found.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("m")).select("m._row")
-    return drop_ids(rows, found.join(first, "_row", "left_anti").select("_row"), "_row").select(docs.columns)
+    rows, row = with_row(docs)
+    found = materialize(groups(rows.select(named(row).alias("doc_id"), "text"), threshold).select(F.col("doc_id").alias("node"), "component_id"), "row-groups")
+    ids = rows.select(named(row).alias("node"), F.col("doc_id").cast("long").alias("id"))
+    first = found.join(ids, "node").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("m")).select("m.node")
+    return without_rows(rows, row, found.join(first, "node", "left_anti").select("node"), docs.columns)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_rows
+from .common import free_name, id_text, map_rows
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -131,9 +131,7 @@ def apply_policy(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     def measured(bodies: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measure(b) for b in bodies], columns=list(MEASURES))
 
-    held = "_measured"
-    while held in docs.columns:
-        held += "_"
+    held = free_name(docs, "_measured")
     wanted = mask(POLICIES[policy])
     bits = " | ".join(f"CASE WHEN {_qualified(p, held)} THEN {1 << i} ELSE 0 END" for i, p in enumerate(RULES.values()))
     with_struct = docs.withColumn(held, measured(F.coalesce(F.col("text"), F.lit("")).cast("binary")))

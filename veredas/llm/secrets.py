@@ -24,7 +24,6 @@ CRF adds no span.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import itertools
 import re
@@ -79,11 +78,18 @@ def tokens(text: str) -> Tokens:
     return Tokens([m.start() for m in found], [m.end() for m in found], [m.group() for m in found])
 
 
-@functools.lru_cache(1 << 16)
 def _slot(feature: str) -> int:
     return int.from_bytes(hashlib.blake2b(feature.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % DIM
 
 
+class Slots(dict):
+    """Slots of features, remembered for as long as a training runs."""
+
+    def __missing__(self, feature: str) -> int:
+        found = self[feature] = _slot(feature)
+        return found
+
+
 def _shape(w: str) -> list[str]:
     if not w.isascii() or not w.isalnum():
         return [f"sym={w}"]
@@ -129,10 +135,11 @@ def _made_up(w: str) -> str:
     return "".join(chars[seed[i % len(seed)] % len(chars)] for i in range(len(w)))
 
 
-def features(text: str, s: Tokens) -> list[np.ndarray]:
+def features(text: str, s: Tokens, slots: Slots | None = None) -> list[np.ndarray]:
     """Feature slots of every token."""
-    whole = [_slot(f) for f in _file(text, sum(map(_has_digit, s.words)))]
-    return [np.array([_slot(f) for f in _shape(w) + _near(s, i)] + whole) for i, w in enumerate(s.words)]
+    slots = Slots() if slots is None else slots
+    whole = [slots[f] for f in _file(text, sum(map(_has_digit, s.words)))]
+    return [np.array([slots[f] for f in _shape(w) + _near(s, i)] + whole) for i, w in enumerate(s.words)]
 
 
 @dataclass
@@ -356,7 +363,7 @@ def _secret_part(text: str, span: tuple[int, int, str]) -> tuple[int, int]:
 
 
 def training_sequences(texts: list[str]) -> list[tuple[list[np.ndarray], list[int]]]:
-    out = []
+    out, slots = [], Slots()
     for text in texts:
         gold = [_secret_part(text, s) for s in pattern_spans(text)]
         s = tokens(text)
@@ -369,9 +376,9 @@ def training_sequences(texts: list[str]) -> list[tuple[list[np.ndarray], list[in
             tags.append(O if hit is None else I if hit == before else B)
             before = hit
         words = [w if t == O else _made_up(w) for w, t in zip(s.words, tags, strict=True)]
-        whole = [_slot(f) for f in _file(text, sum(map(_has_digit, s.words)))]
-        bare = [np.array([_slot(f) for f in _shape(w)] + whole) for w in words]
-        out += [(features(text, s), tags), (bare, tags)]
+        whole = [slots[f] for f in _file(text, sum(map(_has_digit, s.words)))]
+        bare = [np.array([slots[f] for f in _shape(w)] + whole) for w in words]
+        out += [(features(text, s, slots), tags), (bare, tags)]
     return [x for x in out if x[0]]
 
 
