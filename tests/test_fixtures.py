@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veredas.functions import canonical, domain
 from veredas.functions.dialect import Duck, Spark
-from veredas.operators import conditional, encode, experiments, finalize, gates, generate, kstest, privacy, profilestats, reports, synthesizer, twosample, validate
+from veredas.operators import conditional, encode, experiments, finalize, frames, gates, generate, kstest, privacy, profilestats, reports, synthesizer, twosample, validate
 
 MODEL = "row_id long, Idade int, Genero string, Regiao string, Estado string, Municipio string, Escolaridade string, Estado_Civil string, Ocupacao string, Renda double, Dependentes int, DDD int"
 SP = (0, 40, "Feminino", "Sudeste", "SP", "São Paulo", "Superior Completo", "Casado", "Médico", 9000.0, 1, 11)
@@ -523,3 +523,43 @@ def test_masks_of_text_columns(ask):
     assert all(v for k, v in got[0].items() if k.startswith("ok_"))
     assert not any(got[1][f"ok_{n}"] for n in ("age_domain", "income_domain", "dependents_domain", "state_ddd", "occupation_age", "marital_age", "structural_global"))
     assert got[1]["ok_occupation_education"] and got[1]["ok_region_state"]
+
+
+def test_reports_on_frames_with_absent_and_text_columns(spark):
+    rows = [r.asDict() for r in generate.generate_final_profiles(spark.range(6).withColumnRenamed("id", "row_id")).collect()]
+    text = spark.createDataFrame([{c: str(r[c]) for c in domain.FINAL_COLUMNS} for r in rows])
+    whole = {r.reason: r.n for r in frames.report(text).collect()}
+    assert whole == {"n_rows": 6, "valid_rows": 6, "invalid_rows": 0}
+    no_age = {r.reason: r.n for r in frames.report(text.drop("Idade").replace(rows[0]["Data_Nascimento"], "x", "Data_Nascimento")).collect()}
+    assert no_age == {"n_rows": 6, "valid_rows": 0, "invalid_rows": 6, "missing_required_columns": 1, "data_nascimento_invalida": 1}
+    no_cpf = {r.reason: r.n for r in frames.report(text.drop("CPF", "Estado").union(text.drop("CPF", "Estado").limit(1)).replace("11", "abc", "DDD")).collect()}
+    assert no_cpf["missing_required_columns"] == 2 and no_cpf["duplicated_rows"] == 1 and no_cpf["Telefone_duplicado"] == 1 and "CPF_invalido" not in no_cpf and "ddd_estado_incompativel" not in no_cpf
+    core = {r.reason: r.n for r in frames.report(spark.createDataFrame([("abc",), (None,), ("17.5",), ("40",)], "Idade string"), final=False).collect()}
+    assert core == {"n_rows": 4, "valid_rows": 0, "invalid_rows": 4, "missing_required_columns": 10, "null_required_fields": 1, "invalid_numeric_values": 2, "Idade_below_min": 1, "Idade_non_integer": 1}
+    assert {r.rule for r in frames.rule_counts(text.drop("Idade")).collect()} >= {"region_state", "CPF", "telefone_ddd"}
+    assert not {r.rule for r in frames.rule_counts(text.drop("Idade")).collect()} & {"age_domain", "structural_global", "Data_Nascimento_idade"}
+
+
+def test_rules_of_the_caller_reach_every_report(spark):
+    frame = generate.generate_final_profiles(spark.range(40).withColumnRenamed("id", "row_id")).withColumn("Altura", F.when(F.col("row_id") < 3, -1).when(F.col("row_id") > 5, 170))
+    validate.add_rule("height", lambda d: "Altura > 0", ["Altura"])
+    validate.add_rule("even", lambda d: "row_id % 2 = 0", ["row_id"])
+    try:
+        with pytest.raises(ValueError, match="free name"):
+            validate.add_rule("height", lambda d: "TRUE")
+        report = {r.reason: r.n for r in frames.report(frame).collect()}
+        assert report["height"] == 6 and report["valid_rows"] == 34 and "even" not in report
+        assert "height" not in {r.reason for r in frames.report(frame.drop("Altura")).collect()}
+        counts = {r.rule: r.invalid for r in frames.rule_counts(frame).collect()}
+        assert counts["height"] == 6
+        frame.createOrReplaceTempView("with_height")
+        both = {(r.rule_a, r.rule_b): r.n for r in spark.sql(validate.co_occurrence(Spark(), "with_height", validate.rules(Spark()))).collect()}
+        assert both["height", "even"] == 3
+        failed = {r.row_id: r.failed for r in spark.sql(f"SELECT * FROM {validate.failed_sql(Spark(), 'with_height', validate.rules(Spark()))}").collect()}
+        assert failed[1].split(",")[-2:] == ["height", "even"]
+        # One scan serves all rules.
+        plan = frames.rule_counts(frame)._jdf.queryExecution().toString().split("Optimized Logical Plan")[1].split("Physical Plan")[0]
+        assert plan.count("Range (0, 40") == 1
+    finally:
+        validate.remove_rule("height")
+        validate.remove_rule("even")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+
 from veredas.functions import canonical, domain
 from veredas.functions.dialect import Spark, any_of, literal, lookup
 
@@ -99,14 +102,60 @@ JOINT = {
 COMPOSED = ("geographic_joint", "professional_joint", "non_relational_joint", "structural_global")
 
 
-def rules(d: Spark) -> dict[str, str]:
-    """name -> predicate over the model columns."""
-    e = elementary(d)
-    return {n: "(" + " AND ".join(e[p] for p in parts) + ")" for n, parts in JOINT.items()}
+#: Columns that an elementary predicate reads.
+NEEDS = {f"known_{c}": (c,) for c in domain.CATEGORIES} | {
+    "known_DDD": ("DDD",), "age_domain": ("Idade",), "income_domain": ("Renda",), "dependents_domain": ("Dependentes",),
+    "region_state": ("Estado", "Regiao"), "state_municipality": ("Estado", "Municipio"), "state_ddd": ("Estado", "DDD"),
+    "occupation_education": ("Ocupacao", "Escolaridade"), "occupation_age": ("Ocupacao", "Idade"), "marital_age": ("Idade", "Estado_Civil"),
+}
+
+
+@dataclass(frozen=True)
+class UserRule:
+    """A rule of the caller: SQL (of a dialect) that a valid row fulfils, and the columns it reads. Unknown counts as broken."""
+
+    predicate: Callable[[Spark], str]
+    columns: tuple[str, ...] = ()
+
+
+_USER_RULES: dict[str, UserRule] = {}
+
+
+def add_rule(name: str, predicate: Callable[[Spark], str], columns: Iterable[str] = ()) -> None:
+    """Adds a rule to masks, counts, reasons and reports alike; its reason has the rule's name."""
+    if not name.isidentifier() or name in JOINT or name in _USER_RULES:
+        raise ValueError(f"{name!r} is no free name of a rule")
+    _USER_RULES[name] = UserRule(predicate, tuple(columns))
+
+
+def remove_rule(name: str) -> None:
+    del _USER_RULES[name]
+
 
+def user_rules(d: Spark, columns: Iterable[str] | None = None, named: dict[str, UserRule] | None = None) -> dict[str, str]:
+    """name -> predicate of the rules that were added (or given), as far as a frame of some columns has what they read."""
+    has = None if columns is None else set(columns)
+    return {n: _ok(r.predicate(d)) for n, r in (_USER_RULES if named is None else named).items() if has is None or has.issuperset(r.columns)}
 
-def final_rules(d: Spark) -> dict[str, str]:
-    """Rules of identifiers and birth dates, for final profiles."""
+
+def rules(d: Spark, columns: Iterable[str] | None = None) -> dict[str, str]:
+    """name -> predicate over the model columns, those of the caller last; for a frame of some columns those it can be judged by."""
+    e, has = elementary(d), None if columns is None else set(columns)
+    own = {n: "(" + " AND ".join(e[p] for p in parts) + ")" for n, parts in JOINT.items() if has is None or all(has.issuperset(NEEDS[p]) for p in parts)}
+    return own | user_rules(d, columns)
+
+
+#: Columns that a rule of final profiles reads besides the one it is named after.
+_FINAL_NEEDS = {"Data_Nascimento_idade": ("Data_Nascimento", "Idade"), "telefone_ddd": ("Telefone", "DDD")}
+
+
+def final_rules(d: Spark, columns: Iterable[str] | None = None) -> dict[str, str]:
+    """Rules of identifiers and birth dates, for final profiles; for a frame of some columns those it can be judged by."""
+    every = _final_rules(d)
+    return every if columns is None else {n: p for n, p in every.items() if set(columns).issuperset(_FINAL_NEEDS.get(n, (n,)))}
+
+
+def _final_rules(d: Spark) -> dict[str, str]:
     return {
         "Data_Nascimento_idade": _ok(f"{d.age_at('Data_Nascimento', domain.REFERENCE_DATE)} = {canonical.number('Idade')}"),
         "CPF": cpf_valid(d, "CPF"),
@@ -189,87 +238,115 @@ def null_counts(d: Spark, rel: str, columns: tuple[str, ...]) -> str:
     return f"SELECT split_part(cell, ':', 1) AS field, CAST(split_part(cell, ':', 2) AS BIGINT) AS n_null FROM (SELECT {d.explode(cells, 'cell')} FROM (SELECT {sums} FROM {rel} AS r) AS o) AS c"
 
 
-def report_flags(d: Spark, final: bool = True) -> dict[str, str]:
-    """reason -> whether a row has it, over canonical text columns; in the report's order. Several nulls of a row count apart (see :func:`validation_reasons`)."""
+def report_flags(d: Spark, final: bool = True, columns: Iterable[str] | None = None, named: dict[str, UserRule] | None = None) -> dict[str, str]:
+    """reason -> whether a row has it, over canonical text columns; in the report's order. Several nulls of a row count apart (see :func:`validation_reasons`).
+
+    For a frame of some columns the reasons that it can be judged by; a birth date without an age is only read.
+    """
+    required = domain.FINAL_COLUMNS if final else domain.MODEL_COLUMNS
+    has = set(required if columns is None else columns)
     n = canonical.number
     out: dict[str, str] = {}
     bad = lambda p: f"NOT {_ok(p)}"
     bounds = {"Idade": domain.AGE, "Renda": domain.INCOME, "Dependentes": domain.DEPENDENTS, "DDD": (11, 99)}
     for c, (low, high) in bounds.items():
-        out[f"{c}_below_min"] = _ok(f"{n(c)} < {float(low)!r}e0")
-        out[f"{c}_above_max"] = _ok(f"{n(c)} > {float(high)!r}e0")
-        if c != "Renda":
-            out[f"{c}_non_integer"] = _ok(f"{n(c)} % 1 <> 0")
+        if c in has:
+            out[f"{c}_below_min"] = _ok(f"{n(c)} < {float(low)!r}e0")
+            out[f"{c}_above_max"] = _ok(f"{n(c)} > {float(high)!r}e0")
+            if c != "Renda":
+                out[f"{c}_non_integer"] = _ok(f"{n(c)} % 1 <> 0")
     for c, values in domain.CATEGORIES.items():
-        out[f"{c}_unexpected_category"] = bad(any_of(c, values))
-    out["DDD_unexpected_category"] = bad(any_of(n("DDD"), tuple(x for v in domain.STATES.values() for x in v[2])))
+        if c in has:
+            out[f"{c}_unexpected_category"] = bad(any_of(c, values))
+    if "DDD" in has:
+        out["DDD_unexpected_category"] = bad(any_of(n("DDD"), tuple(x for v in domain.STATES.values() for x in v[2])))
     e = elementary(d)
-    out["estado_regiao_incompativel"] = f"NOT {e['region_state']}"
-    out["municipio_estado_incompativel"] = f"NOT {e['state_municipality']}"
-    out["ddd_estado_incompativel"] = f"NOT {ddd_in_state('Estado', n('DDD'))}"
-    whole = f"({n('Idade')} - {n('Idade')} % 1)"
-    fits = f"{level_of('Escolaridade')} >= {_of_occupation('Ocupacao', 'level')} AND {whole} BETWEEN {_of_occupation('Ocupacao', 'min')} AND {_of_occupation('Ocupacao', 'max')}"
-    out["ocupacao_escolaridade_idade_incompativel"] = bad(fits)
+    for reason, rule in (("estado_regiao_incompativel", "region_state"), ("municipio_estado_incompativel", "state_municipality"), ("ddd_estado_incompativel", "state_ddd")):
+        if has.issuperset(NEEDS[rule]):
+            out[reason] = f"NOT {e[rule]}"
+    if {"Ocupacao", "Escolaridade", "Idade"} <= has:
+        whole = f"({n('Idade')} - {n('Idade')} % 1)"
+        fits = f"{level_of('Escolaridade')} >= {_of_occupation('Ocupacao', 'level')} AND {whole} BETWEEN {_of_occupation('Ocupacao', 'min')} AND {_of_occupation('Ocupacao', 'max')}"
+        out["ocupacao_escolaridade_idade_incompativel"] = bad(fits)
     if final:
         names = {"CPF": "CPF_invalido", "CNH": "CNH_invalido", "RG": "RG_invalido", "Titulo_Eleitor": "Titulo_Eleitor_invalido", "Telefone": "Telefone_invalido", "Data_Nascimento_idade": "idade_data_nascimento_incompativel", "telefone_ddd": "telefone_ddd_incompativel"}
-        out |= {names[k]: f"NOT {p}" for k, p in final_rules(d).items()}
-    return out
+        out |= {names[k]: f"NOT {p}" for k, p in final_rules(d, has).items()}
+        if "Data_Nascimento" in has and "Idade" not in has:
+            out["data_nascimento_invalida"] = f"{d.age_at('Data_Nascimento', domain.REFERENCE_DATE)} IS NULL"
+    return out | {r: f"NOT {p}" for r, p in user_rules(d, has, named).items()}
+
 
+def _required(final: bool, columns: Iterable[str] | None) -> tuple[list[str], list[str]]:
+    """The required columns that are there, and those that are not."""
+    required = domain.FINAL_COLUMNS if final else domain.MODEL_COLUMNS
+    has = set(required if columns is None else columns)
+    return [c for c in required if c in has], [c for c in required if c not in has]
 
-def validation_sql(d: Spark, rel: str, final: bool = True) -> str:
+
+def validation_sql(d: Spark, rel: str, final: bool = True, columns: Iterable[str] | None = None, named: dict[str, UserRule] | None = None) -> str:
     """row_id, n_null and n_bad_number (of the row's fields), ``is_<reason>`` and ``later_<key>`` (another row with a smaller id has the same identifier, or the same row), and ``valid``.
 
-    Text is made canonical first. Keys are exploded and counted together; only those of several rows are joined back.
+    Text is made canonical first. Keys are exploded as hashes and counted together; only those of several rows are joined back. ``columns``
+    names what the frame has, where required columns may be absent: they are left out, and no row is valid. Columns beyond the required ones
+    are kept for the rules of the caller.
     """
-    columns = domain.FINAL_COLUMNS if final else domain.MODEL_COLUMNS
-    numbers = ("Idade", "Renda", "Dependentes", "DDD")
-    clean = f"(SELECT row_id, {', '.join(c if c in numbers else f'{canonical.text(d, f"CAST({c} AS VARCHAR(300))")} AS {c}' for c in columns)} FROM {rel} AS raw)"
-    reasons = report_flags(d, final)
-    flags = {"n_null": " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in columns)}
-    flags["n_bad_number"] = " + ".join(f"CASE WHEN {canonical._finite(canonical.number(c))} THEN 0 ELSE 1 END" for c in numbers)
+    there, missing = _required(final, columns)
+    numbers = tuple(c for c in ("Idade", "Renda", "Dependentes", "DDD") if c in there)
+    more = [c for c in dict.fromkeys(columns or ()) if c not in there and c != "row_id"]
+    clean = f"(SELECT {', '.join(['row_id', *(c if c in numbers else f'{canonical.text(d, f"CAST({c} AS VARCHAR(300))")} AS {c}' for c in there), *more])} FROM {rel} AS raw)"
+    reasons = report_flags(d, final, columns, named)
+    flags = {"n_null": " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in there) or "0"}
+    flags["n_bad_number"] = " + ".join(f"CASE WHEN {canonical._finite(canonical.number(c))} THEN 0 ELSE 1 END" for c in numbers) or "0"
     flags |= {f"is_{r}": p for r, p in reasons.items()}
-    keys = {"row": d.sha256("concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR(300)), '{chr(2)}')" for c in columns) + ")")}
+    whole = ", ".join(f"coalesce(CAST({c} AS VARCHAR(300)), '{chr(2)}')" for c in [*there, *more])
+    keys = {"row": f"concat_ws('|', {whole or literal('')})"}
     if final:
-        keys |= {c: f"coalesce({c}, '{chr(2)}')" for c in domain.IDENTIFIERS}
-    flags |= {f"key_{k}": e for k, e in keys.items()}
+        keys |= {c: f"coalesce({c}, '{chr(2)}')" for c in domain.IDENTIFIERS if c in there}
+    # A key travels as a short hash of its kind and value.
+    flags |= {f"key_{k}": f"substr({d.sha256(f"concat('{k}{chr(1)}', {e})")}, 1, 32)" for k, e in keys.items()}
     judged = d.fixed(f"{clean} AS clean", flags)
-    cells = [f"concat('{k}{chr(1)}', key_{k})" for k in keys]
+    cells = [f"concat('{i}', key_{k})" for i, k in enumerate(keys)]
     long = f"(SELECT row_id, {d.explode(cells, 'cell')} FROM {judged} AS j)"
     first = f"(SELECT cell, min(row_id) AS first_id FROM {long} AS l GROUP BY cell HAVING count(*) > 1)"
-    marks = ", ".join(f"max(CASE WHEN l.cell LIKE '{k}{chr(1)}%' THEN 1 ELSE 0 END) AS m_{k}" for k in keys)
+    marks = ", ".join(f"max(CASE WHEN substr(l.cell, 1, 1) = '{i}' THEN 1 ELSE 0 END) AS m_{k}" for i, k in enumerate(keys))
     later = f"(SELECT l.row_id AS later_id, {marks} FROM {long} AS l JOIN {first} AS f ON l.cell = f.cell AND l.row_id > f.first_id GROUP BY l.row_id)"
-    ok = " AND ".join(["n_null = 0", "n_bad_number = 0", *(f"NOT is_{r}" for r in reasons), "later_id IS NULL"])
+    ok = "FALSE" if missing else " AND ".join(["n_null = 0", "n_bad_number = 0", *(f"NOT is_{r}" for r in reasons), "later_id IS NULL"])
     picked = ["row_id", "n_null", "n_bad_number", *(f"is_{r}" for r in reasons), *(f"coalesce(m_{k}, 0) = 1 AS later_{k}" for k in keys), f"({ok}) AS valid"]
     return f"(SELECT {', '.join(picked)} FROM {judged} AS j LEFT JOIN {later} AS t ON j.row_id = t.later_id)"
 
 
-def _reason_names(d: Spark, final: bool) -> dict[str, str]:
+def _reason_names(d: Spark, final: bool, columns: Iterable[str] | None = None, named: dict[str, UserRule] | None = None) -> dict[str, str]:
     """reason -> what a row adds to its count."""
     one = lambda p: f"CASE WHEN {p} THEN 1 ELSE 0 END"
-    out = {"null_required_fields": "n_null", "invalid_numeric_values": "n_bad_number"} | {r: one(f"is_{r}") for r in report_flags(d, final)}
+    out = {"null_required_fields": "n_null", "invalid_numeric_values": "n_bad_number"} | {r: one(f"is_{r}") for r in report_flags(d, final, columns, named)}
     if final:
-        out |= {f"{c}_duplicado": one(f"later_{c}") for c in domain.IDENTIFIERS}
+        there = _required(final, columns)[0]
+        out |= {f"{c}_duplicado": one(f"later_{c}") for c in domain.IDENTIFIERS if c in there}
     return out | {"duplicated_rows": one("later_row")}
 
 
-def validation_report(d: Spark, rel: str, final: bool = True) -> str:
-    """n_rows, valid_rows, invalid_rows, and every reason that occurs with its count: one row each, from one aggregation."""
-    names = {"n_rows": "1", "valid_rows": "CASE WHEN valid THEN 1 ELSE 0 END", "invalid_rows": "CASE WHEN valid THEN 0 ELSE 1 END"} | _reason_names(d, final)
+def validation_report(d: Spark, rel: str, final: bool = True, columns: Iterable[str] | None = None, named: dict[str, UserRule] | None = None) -> str:
+    """n_rows, valid_rows, invalid_rows, and every reason that occurs with its count: one row each, from one aggregation.
+
+    ``missing_required_columns`` counts columns, not rows.
+    """
+    names = {"n_rows": "1", "valid_rows": "CASE WHEN valid THEN 1 ELSE 0 END", "invalid_rows": "CASE WHEN valid THEN 0 ELSE 1 END"} | _reason_names(d, final, columns, named)
     sums = ", ".join(f"sum({e}) AS x{i}" for i, e in enumerate(names.values()))
     cells = [f"concat('{n}:', CAST(coalesce(x{i}, 0) AS VARCHAR(20)))" for i, n in enumerate(names)]
-    return f"""SELECT split_part(cell, ':', 1) AS reason, CAST(split_part(cell, ':', 2) AS BIGINT) AS n FROM (SELECT {d.explode(cells, 'cell')} FROM (SELECT {sums} FROM {validation_sql(d, rel, final)} AS v) AS o) AS c
+    cells.append(f"'missing_required_columns:{len(_required(final, columns)[1])}'")
+    return f"""SELECT split_part(cell, ':', 1) AS reason, CAST(split_part(cell, ':', 2) AS BIGINT) AS n FROM (SELECT {d.explode(cells, 'cell')} FROM (SELECT {sums} FROM {validation_sql(d, rel, final, columns, named)} AS v) AS o) AS c
       WHERE split_part(cell, ':', 2) <> '0' OR split_part(cell, ':', 1) IN ('n_rows', 'valid_rows', 'invalid_rows')"""
 
 
-def validation_reasons(d: Spark, rel: str, final: bool = True) -> str:
+def validation_reasons(d: Spark, rel: str, final: bool = True, columns: Iterable[str] | None = None, named: dict[str, UserRule] | None = None) -> str:
     """row_id, valid and the comma-joined reasons of every row."""
-    cells = ", ".join(f"CASE WHEN {e} > 0 THEN '{r}' END" for r, e in _reason_names(d, final).items())
-    return f"SELECT row_id, valid, concat_ws(',', {cells}) AS reasons FROM {validation_sql(d, rel, final)} AS v"
+    cells = ", ".join(f"CASE WHEN {e} > 0 THEN '{r}' END" for r, e in _reason_names(d, final, columns, named).items())
+    return f"SELECT row_id, valid, concat_ws(',', {cells}) AS reasons FROM {validation_sql(d, rel, final, columns, named)} AS v"
 
 
 def missing_columns(columns: list[str], final: bool = True) -> list[str]:
     """Required columns that a frame lacks: with any, all of its rows are invalid. Names are compared by case."""
-    return [c for c in (domain.FINAL_COLUMNS if final else domain.MODEL_COLUMNS) if c not in columns]
+    return _required(final, columns)[1]
 
 
 # Labels of the checklist and the reason that each one excludes.

@@ -108,6 +108,19 @@ _add("keep_first", lambda d: f"SELECT row_id, CPF, later FROM {validate.keep_fir
 _add("null_counts", lambda d: validate.null_counts(d, _broken(d), domain.MODEL_COLUMNS))
 _add("validation_report", lambda d: validate.validation_report(d, _broken(d)))
 _add("validation_reasons", lambda d: validate.validation_reasons(d, _broken(d)))
+_PART = tuple(c for c in domain.FINAL_COLUMNS if c not in ("Idade", "CPF", "Municipio"))
+_RULES = {"children_of_students": validate.UserRule(lambda d: "NOT (Ocupacao = 'Estudante' AND Dependentes > 2)", ("Ocupacao", "Dependentes")), "rich_pupils": validate.UserRule(lambda d: "NOT (Escolaridade = 'Fundamental' AND Renda > 4000)", ("Escolaridade", "Renda")), "absent_column": validate.UserRule(lambda d: "Altura > 0", ("Altura",))}
+
+
+def _text_frame(d: Spark) -> str:
+    """Final rows as text without age, CPF and municipality, and with an income that is no number now and then."""
+    return f"(SELECT row_id, {', '.join(f'CASE WHEN row_id % 37 = 0 THEN {chr(39)}abc{chr(39)} ELSE CAST({c} AS VARCHAR(60)) END AS {c}' if c == 'Renda' else f'CAST({c} AS VARCHAR(60)) AS {c}' for c in _PART)} FROM {_broken(d)} AS x)"
+
+
+_add("validation_of_part", lambda d: validate.validation_report(d, _text_frame(d), columns=_PART))
+_add("reasons_of_part", lambda d: validate.validation_reasons(d, _text_frame(d), columns=_PART))
+_add("rule_counts_of_part", lambda d: validate.rule_counts(d, _text_frame(d), validate.rules(d, _PART) | validate.final_rules(d, _PART)))
+_add("validation_with_rules", lambda d: validate.validation_report(d, _broken(d), named=_RULES))
 _add("core_validation", lambda d: validate.validation_report(d, _broken(d), final=False))
 _add("validation_checklist", lambda d: validate.checklist(d, _broken(d)))
 _add("invalid_combinations", lambda d: validate.invalid_combinations(d, _broken(d)))
