@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veredas.functions import canonical, domain
 from veredas.functions.dialect import Duck, Spark
-from veredas.operators import conditional, encode, experiments, finalize, frames, gates, generate, kstest, privacy, profilestats, reports, synthesizer, twosample, validate
+from veredas.operators import conditional, encode, experiments, finalize, frames, gates, generate, kstest, neighbours, nested, privacy, probes, profilestats, reports, synthesizer, twosample, validate
 
 MODEL = "row_id long, Idade int, Genero string, Regiao string, Estado string, Municipio string, Escolaridade string, Estado_Civil string, Ocupacao string, Renda double, Dependentes int, DDD int"
 SP = (0, 40, "Feminino", "Sudeste", "SP", "São Paulo", "Superior Completo", "Casado", "Médico", 9000.0, 1, 11)
@@ -563,3 +563,153 @@ def test_rules_of_the_caller_reach_every_report(spark):
     finally:
         validate.remove_rule("height")
         validate.remove_rule("even")
+
+
+def test_two_nearest_of_all_rows(spark):
+    """5,000 rows, some of them repeated, some with nulls: equal to all pairs, at a part of the distances."""
+    made = generate.generate_profiles(spark.range(5000).withColumnRenamed("id", "row_id"))
+    odd = made.withColumn("side", F.expr("CASE WHEN row_id % 2 = 0 THEN 'ref' ELSE 'syn' END")).withColumn("Renda", F.expr("CASE WHEN row_id % 101 = 0 THEN NULL ELSE Renda END")).withColumn("Estado", F.expr("CASE WHEN row_id % 97 = 0 THEN NULL ELSE Estado END"))
+    copies = odd.where("row_id % 40 = 0").withColumn("row_id", F.col("row_id") + 10_001).withColumn("side", F.expr("CASE WHEN row_id % 80 = 1 THEN 'syn' ELSE 'ref' END"))
+    rows = odd.unionByName(copies).toPandas()
+    spark.createDataFrame(rows).createOrReplaceTempView("near_rows")
+    with duckdb.connect() as con:
+        con.register("near_rows", rows)
+        z = con.execute(f"SELECT * FROM {neighbours.scaled_sql(Duck(), 'near_rows')} AS z").df()
+    import numpy as np
+
+    side = {s: z[z.side == s] for s in ("ref", "syn")}
+    cells = lambda f: (f[[f"z_{c}" for c in neighbours.NUMBERS]].to_numpy(), np.column_stack([pd.factorize(z[f"c_{c}"])[0][f.index] for c in neighbours.CATEGORIES]))
+    want = np.sort(neighbours._distances(*cells(side["syn"]), *cells(side["ref"])), axis=1)[:, :2]
+    for block in (neighbours.BLOCK, 7):
+        got = {r.id: r for r in neighbours.two_nearest(spark, "near_rows", block).collect()}
+        assert len(got) == len(side["syn"])
+        for i, (a, b) in zip(side["syn"].id, want, strict=True):
+            assert got[i].d1 == pytest.approx(a, abs=1e-9) and got[i].d2 == pytest.approx(b, abs=1e-9)
+        assert sum(r.tested for r in got.values()) < 0.35 * len(side["syn"]) * len(side["ref"])
+
+
+def test_two_nearest_of_few_rows(spark):
+    one = (f"side string, {MODEL}", [("ref", *SP), ("syn", 5, *SP[1:]), ("syn", *YOUNG)])
+    spark.createDataFrame(one[1], one[0]).createOrReplaceTempView("few_rows")
+    got = {r.id: (r.d1, r.d2) for r in neighbours.two_nearest(spark, "few_rows").collect()}
+    assert got[5] == (0.0, None) and got[2][1] is None and got[2][0] > 1
+    spark.createDataFrame(one[1] + [("ref", 9, *SP[1:])], one[0]).createOrReplaceTempView("few_rows")
+    assert {r.id: r.d2 for r in neighbours.two_nearest(spark, "few_rows").collect()}[5] == 0.0
+    spark.createDataFrame([], one[0]).createOrReplaceTempView("few_rows")
+    assert neighbours.two_nearest(spark, "few_rows").count() == 0
+
+
+def evaluation_record(nan=False):
+    """A record as an evaluation writes it, by hand."""
+    numeric = {"synthetic": {"mean": 40.5, "median": 40, "std": 2.0}, "reference": {"mean": 39.5, "median": 41, "std": 2.5}, "absolute_mean_diff": 1.0, "median_diff": 1, "std_diff": 0.5, "relative_mean_diff": float("nan") if nan else None, "ks_statistic": 0.2}
+    return {
+        "evaluation": {
+            "against_holdout": {
+                "numeric": {"Idade": numeric},
+                "categorical": {"Genero": {"total_variation_distance": 0.1, "missing_categories": ["Outro"], "unexpected_categories": []}},
+                "correlations": {"summary": {"mean_abs_difference": 0.05, "max_abs_difference": 0.1}, "pearson": {"absolute_difference": {"Idade": {"Idade": 0.0, "Renda": 0.1}, "Renda": {"Idade": None}}}},
+                "categorical_relationships": {"Regiao__Estado": {"total_variation_distance": 0.1, "max_cell_difference": 0.05}},
+                "grouped_income": {"Regiao": {"absolute_difference": {"Sudeste": 100.0, "Sul": 50.0}}},
+            },
+            "privacy": {"columns_used": ["Idade", "Genero", "Renda"], "duplicate_row_rate": 0.0, "nearest_neighbor_train": {"distance_to_closest_record": {"mean": 0.3, "min": 0.1}}, "category_coverage_holdout": {"Genero": 1.0}},
+        },
+        "validation": {"reason_counts": {"CPF_invalido": 2}},
+        "text with NaN, [brackets] and {more}": [[], {}, "NaN \" Infinity", -1e300, True, None],
+    }
+
+
+def test_nested_records_as_long_rows(spark):
+    import json
+
+    texts = [(0, json.dumps(evaluation_record())), (1, json.dumps(evaluation_record(nan=True))), (2, None), (3, "no JSON {"), (4, "[]"), (5, "7"), (6, '{"a": [NaN, -Infinity, {"b": Infinity}]}')]
+    frame = spark.createDataFrame(texts, "k long, t string")
+    got = nested.nodes(frame, "k", "t").collect()
+
+    def walk(x, path):
+        pairs = x.items() if isinstance(x, dict) else enumerate(x)
+        for k, v in pairs:
+            at = f"{path}[{k}]" if isinstance(k, int) else f"{path}.{k}" if k.replace("_", "a").isalnum() else f'{path}."{k}"'
+            yield at, v
+            if isinstance(v, (dict, list)):
+                yield from walk(v, at)
+
+    want = {at: v for at, v in walk(evaluation_record(), "$")}
+    for k in (0, 1):
+        mine = {r.path: r for r in got if r.record == k}
+        assert set(mine) == set(want)
+        for at, v in want.items():
+            r = mine[at]
+            kind = "object" if isinstance(v, dict) else "array" if isinstance(v, list) else "text" if isinstance(v, str) else "flag" if isinstance(v, bool) else "null" if v is None else "number"
+            assert (r.kind, r.size, r.number, r.value) == (kind, len(v) if kind in ("object", "array") else None, v if kind == "number" else None, v if kind == "text" else "true" if kind == "flag" else None), at
+    assert {r.record for r in got} == {0, 1, 6} and {(r.path, r.kind) for r in got if r.record == 6} == {("$.a", "array"), ("$.a[0]", "null"), ("$.a[1]", "null"), ("$.a[2]", "object"), ("$.a[2].b", "null")}
+    rows = {(r.metric_group, r.metric_name, r.column_name): (r.value, r.reference, r.difference) for r in nested.run_metrics(frame, "k", "t").where("record = 0").collect()}
+    assert rows["numeric", "mean", "Idade"] == (40.5, 39.5, 1.0) and rows["numeric", "std", "Idade"] == (2.0, 2.5, 0.5) and rows["numeric", "relative_mean_diff", "Idade"] == (None, None, None)
+    assert rows["categorical", "missing_categories_count", "Genero"][0] == 1 and rows["categorical", "unexpected_categories_count", "Genero"][0] == 0 and rows["categorical", "category_coverage_holdout", "Genero"][0] == 1
+    assert rows["relationships", "pearson_mean_abs_difference", None][0] == pytest.approx(0.05) and rows["relationships", "grouped_income_mean_abs_difference", "Regiao"][0] == 75
+    assert rows["relationships", "categorical_relationship_tvd", "Regiao__Estado"][0] == 0.1 and rows["privacy", "columns_used", None][0] == 3 and rows["privacy", "dcr_train_min", None][0] == 0.1
+    assert rows["validation", "reason_count", "CPF_invalido"][0] == 2 and ("privacy", "nndr_train_mean", None) not in rows
+    assert nested.nodes(frame.limit(0), "k", "t").count() == 0
+
+
+def test_checks_of_manifests(ask):
+    checks = (nested.Check("model", "$.model", text="ctgan"), nested.Check("purpose", "$.p", text="recommended_candidate"), nested.Check("rate", "$.rate", low=0.915, high=0.969), nested.Check("hidden", "$.columns", absent="Geo_Key"))
+    nodes = [(1, "$.model", "text", None, None, "CTGAN"), (1, "$.p", "text", None, None, "Recommended Candidate"), (1, "$.rate", "number", None, 0.915, None), (1, "$.columns", "array", 1, None, None), (1, "$.columns[0]", "text", None, None, "Idade"),
+             (2, "$.model", "text", None, None, "other"), (2, "$.rate", "number", None, 0.97, None), (2, "$.columns", "array", 1, None, None), (2, "$.columns[0]", "text", None, None, "Geo_Key")]
+    frames_ = {"t": ("record long, path string, kind string, size long, number double, value string", nodes), "r": ("record long", [(1,), (2,), (3,)])}
+    got = {(x["record"], x["check_name"]): x["passed"] for x in ask(lambda d: nested.checks_sql(d, "t", "r", checks), **frames_)}
+    assert [got[1, c.name] for c in checks] == [True] * 4 and not any(got[k, c.name] for k in (2, 3) for c in checks) and len(got) == 12
+
+
+def test_no_nan_at_any_depth(spark):
+    from pyspark.sql import Row
+
+    frame = spark.createDataFrame([(1, Row(a=float("nan"), b=[1.0, float("inf")]), {"k": float("nan")}), (2, None, None)], "k long, s struct<a: double, b: array<double>>, m map<string, double>")
+    from veredas.sources import files
+
+    first, second = files.without_nan(frame).orderBy("k").collect()
+    assert (first.s.a, first.s.b, first.m) == (None, [1.0, None], {"k": None}) and second.s is None and second.m is None
+
+
+def test_profiles_from_a_data_source(spark):
+    from veredas.sources import profiles
+
+    want = sorted(generate.generate_profiles(spark.range(50).withColumnRenamed("id", "row_id"), 7).collect())
+    for n in (1, 3, 64):
+        got = profiles.read(spark, 50, seed=7, partitions=n)
+        assert sorted(got.collect()) == want and spark.read.format(profiles.NAME).options(rows=50, partitions=n).load().rdd.getNumPartitions() == min(n, 50)
+    tail = profiles.read(spark, 20, seed=7, first=30, partitions=2).collect()
+    assert sorted(tail) == want[30:]
+    assert profiles.read(spark, 0).count() == 0 and set(profiles.read(spark, 3, final=True).columns) == {"row_id", *domain.FINAL_COLUMNS}
+    for bad in ({}, {"rows": "x"}, {"rows": 5, "partitions": 0}, {"rows": -1}):
+        with pytest.raises(Exception, match="whole number"):
+            spark.read.format(profiles.NAME).options(**bad).load().count()
+
+
+def test_probes_of_stages(spark, tmp_path):
+    told, memory = [], iter([1.0, 5.0, 6.0, 7.0])
+    p = probes.Probes(resource=lambda: next(memory), on_stage=lambda r: told.append(r["stage"]))
+    rows = spark.range(100).selectExpr("id", "id % 4 = 0 AS valid")
+    p.run("written", rows, lambda df: df.write.parquet(f"{tmp_path}/x"), valid=probes.valid_rows(), largest=F.max("id"))
+    with pytest.raises(ZeroDivisionError):
+        p.run("broken", rows, lambda df: 1 / 0)
+    with pytest.raises(ValueError, match="run before"):
+        p.run("written", rows, lambda df: df.count())
+    got = {(r.stage, r.metric): r for r in p.table(spark).collect()}
+    assert (got["written", "rows"].value, got["written", "valid"].value, got["written", "largest"].value) == (100, 25, 99) and got["broken", "rows"].value is None
+    assert told == ["written", "broken"] and (got["written", "rows"].resource_before, got["written", "rows"].resource_after) == (1, 5) and got["written", "rows"].seconds > 0
+
+
+def test_rank_correlation_leaves_out_pairs_that_lack_a_value(ask):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    rows = [(s, *(None if r.random() < 0.2 else float(r.integers(0, 6) + (k % 3) * (c == 1)) for c in range(3))) for s in ("ref", "syn") for k in range(60)]
+    t = ("side string, a double, b double, c double", [*rows, ("ref", None, None, None), ("ref", float("nan"), 1.0, 2.0)])
+    frame = pd.DataFrame(t[1], columns=["side", "a", "b", "c"])
+    for method, build in (("pearson", twosample.pearson_difference), ("spearman", twosample.spearman_difference)):
+        got = {(x["a"], x["b"]): x for x in ask(lambda d: build(d, "t", ("a", "b", "c")), t=t)}  # noqa: B023
+        assert set(got) == {("a", "b"), ("a", "c"), ("b", "c")}
+        for side, name in (("ref", "ref"), ("syn", "syn")):
+            want = frame[frame.side == side][["a", "b", "c"]].corr(method=method)
+            for (x, y), row in got.items():
+                assert row[name] == pytest.approx(want.loc[x, y], abs=2e-6), (method, side, x, y)

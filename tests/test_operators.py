@@ -83,9 +83,3 @@ def test_tail_events_cut_by_all_four_keys(spark):
     build = conditional.tail_events(D, "{t}")
     got = sql(spark, build, rows, "row_id long, side string, Ocupacao string, Escolaridade string, Idade int, Regiao string, Renda double")
     assert [(r.row_id, r.Regiao) for r in got] == [(1, "N"), (5, "S"), (3, None)]
-
-
-def test_nearest_looks_at_the_reference_number_of_rows():
-    con = duckdb.connect()
-    con.execute("CREATE TABLE orders AS SELECT i AS o_orderkey, i % 977 * 400.0 AS o_totalprice, i % 1500 AS o_custkey, 'p' || i % 5 AS o_orderpriority FROM range(2600) AS r(i)")
-    assert con.execute(f"SELECT n FROM ({registry.oracle_sql()['dcr_nndr']}) AS t").fetchone() == (1000,)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from veredas.functions.dialect import Spark
 from veredas.functions.dialect import literal as literal_text
 
-from .ranks import counted, group_quantiles, quantile, ranked, settled, stats
+from .ranks import counted, finite, group_quantiles, quantile, ranked, settled, stats
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 _SIDES = {"r": "CASE WHEN side = 'ref' THEN 1 ELSE 0 END", "s": "CASE WHEN side = 'syn' THEN 1 ELSE 0 END"}
@@ -71,27 +71,48 @@ def tvd(d: Spark, rel: str, column: str) -> str:
       CAST(sum(CASE WHEN q > 0 AND coalesce(p, 0) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_unexpected, round(sum(CASE WHEN p > 0 AND q > 0 THEN 1e0 ELSE 0e0 END) / sum(CASE WHEN p > 0 THEN 1e0 END), 6) AS coverage FROM {shares_sql(rel, column)} AS s"""
 
 
+def _correlations(d: Spark, rel: str, pairs: list[tuple[str, str, str, str]]) -> str:
+    """Per pair (two names, two expressions) the correlations of both sides (null: 0) and their difference, from one aggregation, which is then dealt out to a row a pair."""
+    cor = lambda a, b, s: f"coalesce(corr(CASE WHEN side = '{s}' AND {b} IS NOT NULL THEN {a} END, CASE WHEN side = '{s}' AND {a} IS NOT NULL THEN {b} END), 0e0)"
+    sums = ", ".join(f"{cor(a, b, 'ref')} AS r{i}, {cor(a, b, 'syn')} AS s{i}" for i, (_, _, a, b) in enumerate(pairs))
+    names = d.values([(i, a, b) for i, (a, b, _, _) in enumerate(pairs)], "i, a, b")
+    of = lambda c: f"CASE p.i {' '.join(f'WHEN {i} THEN {c}{i}' for i in range(len(pairs)))} END"
+    return f"SELECT a, b, round(r, 6) AS ref, round(s, 6) AS syn, round(abs(r - s), 6) AS difference FROM (SELECT p.a, p.b, {of('r')} AS r, {of('s')} AS s FROM (SELECT {sums} FROM {rel}) AS t CROSS JOIN {names} AS p) AS c"
+
+
+def _number(column: str) -> str:
+    return f"CASE WHEN {finite(f'CAST({column} AS DOUBLE)')} THEN CAST({column} AS DOUBLE) END"
+
+
 def pearson_difference(d: Spark, rel: str, columns: tuple[str, ...]) -> str:
-    """Per pair of columns the correlations of both sides (null: 0) and their difference; one pass over the rows."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    cor = lambda a, b, s: f"coalesce(corr(CASE WHEN side = '{s}' THEN CAST({a} AS DOUBLE) END, CASE WHEN side = '{s}' THEN CAST({b} AS DOUBLE) END), 0e0)"
-    sums = ", ".join(f"{cor(a, b, 'ref')} AS r{i}, {cor(a, b, 'syn')} AS s{i}" for i, (a, b) in enumerate(pairs))
-    return " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(r{i}, 6) AS ref, round(s{i}, 6) AS syn, round(abs(r{i} - s{i}), 6) AS difference FROM (SELECT {sums} FROM {rel}) AS t" for i, (a, b) in enumerate(pairs))
+    """Per pair of columns the correlations of both sides over the rows that have both values; one pass over the rows."""
+    pairs = [(a, b, _number(a), _number(b)) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    return _correlations(d, f"{rel} AS given", pairs)
 
 
-def ranked_sql(rel: str, group: str, columns: tuple[str, ...]) -> str:
-    """Average ranks within a group. Values are ranked once each, with their counts, and joined back."""
-    out = f"{rel} AS base"
-    picked = ["base.*"]
-    for i, c in enumerate(columns):
-        ranks = f"(SELECT g, x, n_before + (n + 1) / 2e0 AS rk FROM {ranked(counted(rel, {'g': group}, c, {'n': '1'}), ['g'], ['n'])} AS q)"
-        out += f" LEFT JOIN {ranks} AS r{i} ON base.{group} = r{i}.g AND CAST(base.{c} AS DOUBLE) = r{i}.x"
-        picked.append(f"r{i}.rk AS rank_{i}")
-    return f"(SELECT {', '.join(picked)} FROM {out})"
+def ranked_sql(d: Spark, rel: str, group: str, columns: tuple[str, ...]) -> str:
+    """Average ranks within a group, for every ordered pair of columns among the rows that have both values.
+
+    ``ranks_<i>`` is a list: the row's rank in column i for each ordered pair, empty where i is not the pair's first. The values of all pairs are
+    counted and ranked together, from one pass over the rows; the ranks of a value are one row of a table that is joined once a column.
+    """
+    n = len(columns)
+    ordered = [(i, j) for i in range(n) for j in range(n) if i != j]
+    value = " ".join(f"WHEN {k} THEN CASE WHEN {finite(f'CAST({columns[j]} AS DOUBLE)')} THEN CAST({columns[i]} AS DOUBLE) END" for k, (i, j) in enumerate(ordered))
+    long = f"(SELECT {group} AS g, k, CASE k {value} END AS x FROM (SELECT *, {d.explode(list(map(str, range(len(ordered)))), 'k')} FROM {rel} AS wide) AS e)"
+    ranks = f"(SELECT g, k, x, n_before + (n + 1) / 2e0 AS rk FROM {ranked(counted(long, {'g': 'g', 'k': 'k'}, 'x', {'n': '1'}), ['g', 'k'], ['n'])} AS q)"
+    listed = d.listed([f"max(CASE WHEN k = {k} THEN rk END)" for k in range(len(ordered))])
+    table = f"(SELECT g, x, {listed} AS rks FROM {ranks} AS z GROUP BY g, x)"
+    joins = " ".join(f"LEFT JOIN {table} AS r{i} ON base.{group} = r{i}.g AND CAST(base.{c} AS DOUBLE) = r{i}.x" for i, c in enumerate(columns))
+    return f"(SELECT base.*, {', '.join(f'r{i}.rks AS ranks_{i}' for i in range(n))} FROM {rel} AS base {joins})"
 
 
 def spearman_difference(d: Spark, rel: str, columns: tuple[str, ...]) -> str:
-    return pearson_difference(d, f"{ranked_sql(rel, 'side', columns)} AS ranked", tuple(f"rank_{i}" for i in range(len(columns))))
+    """Per pair of columns the rank correlations of both sides over the rows that have both values."""
+    n = len(columns)
+    place = {pair: k + 1 for k, pair in enumerate((i, j) for i in range(n) for j in range(n) if i != j)}
+    pairs = [(f"{columns[i]}", f"{columns[j]}", f"ranks_{i}[{d.index(place[i, j])}]", f"ranks_{j}[{d.index(place[j, i])}]") for i in range(n) for j in range(i + 1, n)]
+    return _correlations(d, f"{ranked_sql(d, rel, 'side', columns)} AS ranked", pairs)
 
 
 def correlation_summary(d: Spark, rel: str, columns: tuple[str, ...]) -> str:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+
 from veredas.functions import canonical, domain
 from veredas.functions.dialect import Duck, Spark
-from veredas.operators import conditional, encode, experiments, finalize, gates, generate, kstest, privacy, profilestats, ranks, reports, twosample, validate
+from veredas.operators import conditional, encode, experiments, finalize, gates, generate, kstest, neighbours, nested, privacy, profilestats, ranks, reports, twosample, validate
 
 from .registry import register
 
@@ -145,12 +147,11 @@ _add("named_row_hashes", lambda d: f"SELECT row_id, {canonical.named_row_key(d,
 _add("documents_duplicates", lambda d: privacy.duplicate_rows(d, f"{d.table('documents')}", d.sha256("coalesce(text, '')")))
 
 
-def _nearest(d: Spark) -> str:
-    point = lambda s: f"(SELECT o_orderkey AS id, o_totalprice / 500000e0 AS x, CAST(o_custkey AS DOUBLE) / 1500e0 AS y, o_orderpriority AS c FROM {_orders(d)} WHERE side = '{s}')"
-    return privacy.nearest(d, point("ref"), point("syn"), "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + CASE WHEN a.c <> b.c THEN 2e0 ELSE 0e0 END)")
+def _customers(d: Spark) -> str:
+    return _sided(generate.profiles_sql(d, f"(SELECT c_custkey AS row_id FROM {d.table('customer')} AS c)"))
 
 
-_add("dcr_nndr", _nearest)
+register("nearest_all", lambda spark, sf_dir: neighbours.summary(spark, _customers(Spark(sf_dir))), neighbours.brute_sql(Duck(), _customers(Duck())))
 # Conditional income.
 _add("conditional_summary", lambda d: conditional.summary(d, _profiles(d)))
 _add("tail_rates", lambda d: conditional.tail_rates(d, _profiles(d), "Ocupacao"))
@@ -271,4 +272,24 @@ _add("sanitized_events", lambda d: experiments.sanitized(d, d.table("events"), "
 _add("history_summary", lambda d: experiments.history_summary(d, d.table("events")))
 _add("latest_per_user", lambda d: experiments.latest_per_user(d, d.table("events")))
 _add("events_windowed", lambda d: experiments.windowed(d, d.table("events")))
+def _flat_runs(d: Spark) -> str:
+    """Orders as runs with a few metrics."""
+    return f"(SELECT o_orderkey AS run, CASE WHEN o_custkey % 2 = 0 THEN 'ctgan' ELSE 'simple_gan' END AS model, o_custkey / 1e4 AS ks, o_totalprice / 1e6 AS w1, o_totalprice / 1e4 AS seconds FROM {d.table('orders')} AS o)"
+
+
+def _over_nodes(build: Callable[[Spark, str], str]) -> tuple[Callable, str]:
+    """A query over the nodes of the runs' nested records, and its twin."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = Spark(sf_dir)
+        nested.nodes(spark.sql(f"SELECT * FROM {nested.example_records_sql(d, _flat_runs(d))} AS e"), "record", "text").createOrReplaceTempView("veredas_nodes")
+        return spark.sql(build(d, "veredas_nodes"))
+
+    return query, build(Duck(), nested.duck(Duck(), _flat_runs(Duck())))
+
+
+_CHECKS = (nested.Check("model_is_ctgan", "$.model", text="ctgan"), nested.Check("purpose", "$.purpose", text="recommended_candidate"), nested.Check("few_duplicates", "$.evaluation.privacy.duplicate_row_rate", low=0.0, high=0.2), nested.Check("key_not_used", "$.evaluation.privacy.columns_used", absent="Geo_Key"), nested.Check("other_kept", "$.evaluation.against_holdout.categorical.Genero.missing_categories", absent="Outro"), nested.Check("checksum", "$.checksum", text="x"))
+register("nested_nodes", *_over_nodes(lambda d, n: f"SELECT record, path, kind, size, number, value FROM {n} AS n"))
+register("nested_metrics", *_over_nodes(lambda d, n: nested.metrics_sql(d, n)))
+register("nested_checks", *_over_nodes(lambda d, n: nested.checks_sql(d, n, f"(SELECT run AS record FROM {_flat_runs(d)} AS u)", _CHECKS)))
 _add("audit_props", lambda d: f"SELECT event_id, {d.json_text('props', 'k')} AS k FROM {d.table('events')} AS e")

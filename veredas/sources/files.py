@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from veredas.functions import domain
-from veredas.operators import validate
+from veredas.operators import nested, validate
 
 BOM = chr(0xFEFF)
 TABLE_SUFFIXES = (".parquet", ".csv", ".json", ".jsonl")
@@ -51,9 +51,8 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
 
 
 def without_nan(table: DataFrame) -> DataFrame:
-    """Null where a number is none: JSON has no form for it."""
-    kinds = dict(table.dtypes)
-    return table.select(*(F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in table.columns))
+    """Null where a number is none, at any depth: JSON has no form for it."""
+    return table.select(*(nested.without_nan(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in table.schema))
 
 
 def write_csv(table: DataFrame, path: str, single: bool = False) -> None:
