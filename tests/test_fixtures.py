@@ -368,9 +368,47 @@ def test_quality_gains(ask):
 def test_aggregate_and_limits(ask):
     (r,) = [x for x in ask(lambda d: experiments.aggregate(d, "t", ("model",), ("ks",)), t=("model string, ks double", [("m", 0.1), ("m", 0.3)]))]
     assert r["mean"] == pytest.approx(0.2) and r["n"] == 2
-    rows = [("m", 10000, "completed"), ("m", 50000, "quality_rejected"), ("m", 100000, "failed"), ("m", 200000, "skipped_after_failure"), ("k", 10000, "quality_quarantined"), ("k", 20000, "resource_limited")]
-    got = {x["model"]: (x["largest_success"], x["first_failure"]) for x in ask(lambda d: experiments.limits(d, "t"), t=("model string, train_size long, status string", rows))}
-    assert got == {"m": (50000, 100000), "k": (10000, 20000)}
+    assert (r["median"], r["std"], r["lo"], r["hi"], r["ci95"]) == (0.2, 0.14142, 0.1, 0.3, 0.196)
+    both = ask(lambda d: experiments.aggregate(d, "t", ("model", "train_size"), ("ks", "w")), t=("model string, train_size long, ks double, w string", [("m", 1, 0.4, "x"), ("m", 1, None, "2"), ("m", None, float("nan"), None), ("k", 2, 1.0, None)]))
+    assert {(x["model"], x["train_size"], x["metric"]): (x["n"], x["mean"], x["std"], x["ci95"]) for x in both} == {("m", 1, "ks"): (1, 0.4, 0.0, None), ("m", 1, "w"): (1, 2.0, 0.0, None), ("k", 2, "ks"): (1, 1.0, 0.0, None)}
+
+
+def test_status_counts(ask):
+    runs = ("model string, status string", [("p", "approved"), ("p", "quarantined"), ("k", "rejected")])
+    failures = ("model string, status string", [("p", "failed"), ("z", "resource_limited")])
+    got = {x["model"]: (x["completed_runs"], x["approved"], x["quarantined"], x["rejected"], x["failed"]) for x in ask(lambda d: experiments.status_counts("t", "f", ("model",)), t=runs, f=failures)}
+    assert got == {"p": (2, 1, 1, 0, 1), "k": (1, 0, 0, 1, 0), "z": (0, 0, 0, 0, 1)}
+
+
+def test_marginal_gains_are_shares(ask):
+    rows = [("c", 1000, 0.4, 0.8, 10.0, 100.0), ("c", 5000, 0.2, 0.5, 30.0, 160.0), ("c", 20000, 0.1, 0.4, 90.0, None), ("d", 1000, 0.0, None, 1.0, 1.0), ("d", 5000, 0.5, 1.0, 1.0, 1.0)]
+    t = ("model string, train_size long, renda_ks double, renda_wasserstein_normalized double, training_seconds double, peak_memory_mb double", rows)
+    got = ask(lambda d: experiments.marginal_gains(d, "t", [(1000, 5000), (5000, 20000)], ("renda_ks", "renda_wasserstein_normalized", "training_seconds", "peak_memory_mb")), t=t)
+    by = {(x["model"], x["comparison"], x["metric"]): (x["change"], x["percent_change"]) for x in got}
+    assert by["c", "1000_to_5000", "renda_wasserstein_normalized"] == (-0.3, -0.375) and by["c", "1000_to_5000", "training_seconds"] == (20.0, 2.0)
+    assert ("c", "5000_to_20000", "peak_memory_mb") not in by and by["d", "1000_to_5000", "renda_ks"] == (0.5, None) and ("d", "1000_to_5000", "renda_wasserstein_normalized") not in by
+
+
+def test_capacity_limits(ask):
+    rows = [("ctgan", 50000, "completed", None), ("ctgan", 100000, "resource_limited", None), ("ctgan", 200000, "skipped_after_failure", None), ("p", 400000, "completed", None), ("p", 800000, "quality_quarantined", None), ("p", 1600000, "quality_rejected", None),
+            ("both", 10, "failed", "MemoryError"), ("both", 10, "completed", None), ("both", 999, "failed", None), ("none", 7, "backend_unavailable", ""), ("none", None, "failed", None)]
+    got = {x["model"]: x for x in ask(lambda d: experiments.capacity_limits(d, "t"), t=("model string, train_size long, status string, failure_type string", rows))}
+    c, p, b, n = (got[k] for k in ("ctgan", "p", "both", "none"))
+    assert (c["completed_train_sizes"], c["largest_tested_successful_size"], c["first_failed_size"], c["first_failure_status"], c["first_failure_type"], c["skipped_train_sizes"], c["observed_interval_lower"], c["observed_interval_upper"]) == ("50000", 50000, 100000, "resource_limited", "resource_limited", "200000", 50000, 100000)
+    assert "primeira falha" in c["conclusion"] and "até 50.000 registros" in c["conclusion"] and c["tested_train_sizes"] == "50000,100000"
+    assert (p["completed_train_sizes"], p["first_failed_size"], p["observed_interval_upper"]) == ("400000,800000,1600000", None, None) and "pelo menos 1.600.000" in p["conclusion"]
+    # The first failure may be of a size that was carried out as well.
+    assert (b["first_failed_size"], b["first_failure_type"], b["largest_tested_successful_size"]) == (10, "MemoryError", 10)
+    assert (n["largest_tested_successful_size"], n["first_failure_type"]) == (None, "backend_unavailable") and n["conclusion"].startswith("Nenhum")
+
+
+def test_scalability_limits(ask):
+    runs = ("model string, train_size long, resource_limited boolean", [("s", 1000, False), ("s", 5000, None), ("s", 9000, True), ("u", 20000, False), ("ok", 1234567, False)])
+    failures = ("model string, train_size long, status string", [("s", 20000, "failed"), ("s", 5000, "failed"), ("u", 500, "resource_limited"), ("none", 10, "failed")])
+    got = {x["model"]: x for x in ask(lambda d: experiments.scalability_limits(d, "t", "f"), t=runs, f=failures)}
+    assert (got["s"]["successful_train_sizes"], got["s"]["first_failed_size"], got["s"]["resource_limited"]) == ("1000,5000", 20000, False) and "entre 5.000 e 20.000" in got["s"]["conclusion"]
+    assert "instabilidade" in got["u"]["conclusion"] and got["u"]["resource_limited"] and got["ok"]["conclusion"] == "Executado com sucesso com até 1.234.567 registros neste ambiente."
+    assert got["none"]["largest_tested_successful_size"] is None
 
 
 def test_vectors_there_and_back(ask):

@@ -100,6 +100,10 @@ class Spark:
         """Sorted distinct strings of a group, comma-joined."""
         return f"array_join(array_sort(collect_set({x})), ',')"
 
+    def joined_numbers(self, x: str) -> str:
+        """Distinct whole numbers of a group in order, comma-joined."""
+        return f"array_join(transform(array_sort(collect_set(CAST({x} AS BIGINT))), v -> CAST(v AS STRING)), ',')"
+
     def median(self, x: str) -> str:
         return self.quantile(x, 0.5)
 
@@ -182,6 +186,9 @@ class Duck(Spark):
     def joined(self, x: str) -> str:
         return f"array_to_string(list_sort(list(DISTINCT {x})), ',')"
 
+    def joined_numbers(self, x: str) -> str:
+        return f"coalesce(array_to_string(list_transform(list_sort(list(DISTINCT CAST({x} AS BIGINT)) FILTER (({x}) IS NOT NULL)), lambda v: CAST(v AS VARCHAR)), ','), '')"
+
     def json_text(self, x: str, key: str) -> str:
         return f"json_extract_string({x}, '$.{key}')"
 

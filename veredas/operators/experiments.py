@@ -6,16 +6,39 @@ from collections.abc import Iterable
 
 from veredas.functions.dialect import Spark, literal
 
+from .ranks import counted, quantile, ranked, settled, stats
+
+
+# The metrics that runs are compared by, and those that are compared by size as well.
+MAIN_METRICS = (
+    "renda_wasserstein_normalized", "renda_ks", "genero_tvd", "correlation_difference", "duplicate_row_rate", "exact_train_match_rate",
+    "dcr", "nndr", "training_seconds", "generation_seconds", "peak_memory_mb", "model_size_mb",
+)
+SIZE_METRICS = (*MAIN_METRICS, "artifact_size_mb", "batches_per_epoch", "generator_updates", "discriminator_updates")
+
+
+def _by_metric(d: Spark, rel: str, keys: tuple[str, ...], metrics: tuple[str, ...]) -> str:
+    """The keys, ``metric`` and ``v``: wide rows made long in one pass; what is no number is null."""
+    value = " ".join(f"WHEN {k} THEN TRY_CAST({m} AS DOUBLE)" for k, m in enumerate(metrics))
+    name = " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(metrics))
+    return f"(SELECT {', '.join(keys)}, CASE k {name} END AS metric, CASE k {value} END AS v FROM (SELECT *, {d.explode(list(map(str, range(len(metrics)))), 'k')} FROM {rel} AS wide) AS e)"
+
 
 def aggregate(d: Spark, rel: str, keys: tuple[str, ...], metrics: tuple[str, ...]) -> str:
-    """Per key set and metric: mean, median, deviation (0 of one run), extremes, half width of the 95% interval (null below two runs)."""
-    long = " UNION ALL ".join(f"SELECT {', '.join(keys)}, '{m}' AS metric, CAST({m} AS DOUBLE) AS v FROM {rel} AS r{i}" for i, m in enumerate(metrics))
-    return f"SELECT {', '.join(keys)}, metric, count(v) AS n, round(avg(v), 6) AS mean, round({d.median('v')}, 6) AS median, round(coalesce(stddev_samp(v), 0e0), 6) AS std, min(v) AS lo, max(v) AS hi, round(CASE WHEN count(v) >= 2 THEN 1.96e0 * stddev_samp(v) / sqrt(count(v)) END, 6) AS ci95 FROM ({long}) AS l GROUP BY {', '.join(keys)}, metric"
+    """Per key set and metric: n, mean, median, deviation (0 of one run), extremes, half width of the 95% interval (null below two runs). Metrics without a value are left out. One scan."""
+    names = (*keys, "metric")
+    r = ranked(counted(_by_metric(d, rel, keys, metrics), {k: k for k in names}, "v", {"n": "1"}), names, ["n"])
+    t = stats()
+    std, half = f"coalesce({t['std']}, 0e0)", f"1.96e0 * {t['std']} / sqrt(sum(n))"
+    cells = f"{t['n']} AS n, {settled(t['mean'])} AS mean, {settled(quantile('n', 0.5))} AS median, {settled(std, 5)} AS std, {t['lo']} AS lo, {t['hi']} AS hi, {settled(half, 5)} AS ci95"
+    return f"SELECT {', '.join(names)}, {cells} FROM {r} AS r GROUP BY {', '.join(names)}"
 
 
-def by_model_and_size(d: Spark, rel: str, metric: str) -> str:
-    """The aggregates by model and by model and size in one pass (grouping sets)."""
-    return f"SELECT model, train_size, CAST(grouping(train_size) AS INT) AS is_total, count(*) AS n, round(avg({metric}), 6) AS mean, round(coalesce(stddev_samp({metric}), 0e0), 6) AS std FROM {rel} AS r GROUP BY GROUPING SETS ((model), (model, train_size))"
+def status_counts(rel: str, failures: str, keys: tuple[str, ...]) -> str:
+    """Per key set the runs of a summary, those approved, quarantined and rejected, and the failures beside it; sets of either table count."""
+    one = lambda s: f"CAST(sum(CASE WHEN status = '{s}' AND NOT failure THEN 1 ELSE 0 END) AS BIGINT) AS {s}"
+    both = f"(SELECT {', '.join(keys)}, status, FALSE AS failure FROM {rel} AS s UNION ALL SELECT {', '.join(keys)}, status, TRUE FROM {failures} AS f)"
+    return f"SELECT {', '.join(keys)}, CAST(sum(CASE WHEN failure THEN 0 ELSE 1 END) AS BIGINT) AS completed_runs, {one('approved')}, {one('quarantined')}, {one('rejected')}, CAST(sum(CASE WHEN failure THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM {both} AS b GROUP BY {', '.join(keys)}"
 
 
 # The distances whose fall is a gain of quality, and the costs that it is set against.
@@ -35,17 +58,64 @@ def quality_gains(d: Spark, rel: str, sizes: list[tuple[int, int]]) -> str:
     return f"SELECT model, from_size, to_size, round(gain, 9) + 0e0 AS quality_gain, {ratio} FROM {pairs} AS q"
 
 
-def marginal_gains(d: Spark, rel: str, sizes: list[tuple[int, int]], metric: str) -> str:
-    """Change of a metric's mean between given pairs of sizes, absolute and in percent."""
-    g = f"(SELECT model, train_size, avg({metric}) AS v FROM {rel} AS r GROUP BY model, train_size)"
-    return f"SELECT a.model, p.a AS from_size, p.b AS to_size, round(b.v - a.v, 6) AS change, round(CASE WHEN abs(a.v) > 1e-12 THEN 100e0 * (b.v - a.v) / abs(a.v) END, 4) AS percent FROM {d.values(sizes, 'a, b')} AS p JOIN {g} AS a ON a.train_size = p.a JOIN {g} AS b ON b.train_size = p.b AND a.model = b.model"
+# The metrics whose change between sizes is a gain or a cost.
+GAIN_METRICS = (*DISTANCES, "training_seconds", "peak_memory_mb", "model_size_mb", "artifact_size_mb")
+
+
+def marginal_gains(d: Spark, rel: str, sizes: list[tuple[int, int]], metrics: tuple[str, ...] = GAIN_METRICS) -> str:
+    """Per model, pair of sizes and metric: the change of the mean, and its share of the mean before (null where that is about 0). Metrics that a size lacks are left out."""
+    long = _by_metric(d, rel, ("model", "train_size"), metrics)
+    g = f"(SELECT model, train_size, metric, avg(v) AS v FROM {long} AS l WHERE train_size IS NOT NULL AND v IS NOT NULL AND NOT isnan(v) GROUP BY model, train_size, metric)"
+    share = "CASE WHEN abs(a.v) > 1e-12 THEN (b.v - a.v) / abs(a.v) END"
+    return f"""SELECT a.model, concat(CAST(p.a AS VARCHAR(12)), '_to_', CAST(p.b AS VARCHAR(12))) AS comparison, p.a AS from_size, p.b AS to_size, a.metric, {settled('b.v - a.v')} AS change, {settled(share)} AS percent_change
+      FROM {d.values(sizes, 'a, b')} AS p JOIN {g} AS a ON a.train_size = p.a JOIN {g} AS b ON b.train_size = p.b AND a.model = b.model AND a.metric = b.metric"""
+
 
+# What counts as a run that was carried out, and the sentences below.
+DONE = ("completed", "quality_quarantined", "quality_rejected")
 
-def limits(d: Spark, rel: str) -> str:
-    """Per model the largest size that succeeded and the first that failed and never succeeded."""
-    ok = "status IN ('completed', 'quality_quarantined', 'quality_rejected')"
-    g = f"(SELECT model, train_size, max(CASE WHEN {ok} THEN 1 ELSE 0 END) AS good, max(CASE WHEN {ok} OR status = 'skipped_after_failure' THEN 0 ELSE 1 END) AS bad FROM {rel} AS r GROUP BY model, train_size)"
-    return f"SELECT model, max(CASE WHEN good = 1 THEN train_size END) AS largest_success, min(CASE WHEN bad = 1 AND good = 0 THEN train_size END) AS first_failure, CAST(sum(CASE WHEN good = 1 AND bad = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_unstable FROM {g} AS g GROUP BY model"
+
+def _dotted(n: str) -> str:
+    """A whole number with a point before every three digits."""
+    part = lambda p: f"lpad(CAST(CAST(floor({n} / 1e{p}) AS BIGINT) % 1000 AS VARCHAR(3)), 3, '0')"
+    head = lambda p: f"CAST(CAST(floor({n} / 1e{p}) AS BIGINT) AS VARCHAR(20))"
+    return f"CASE WHEN {n} < 1000 THEN CAST({n} AS VARCHAR(20)) WHEN {n} < 1000000 THEN concat({head(3)}, '.', {part(0)}) WHEN {n} < 1000000000 THEN concat({head(6)}, '.', {part(3)}, '.', {part(0)}) ELSE concat({head(9)}, '.', {part(6)}, '.', {part(3)}, '.', {part(0)}) END"
+
+
+def _size(predicate: str) -> str:
+    return f"CASE WHEN {predicate} THEN train_size END"
+
+
+def capacity_limits(d: Spark, rel: str) -> str:
+    """Per model the sizes tested, carried out and skipped, the largest that was, and the first run (by size) that was not, with its status and type.
+
+    A size may both have been carried out and not; then it is in either list. ``rel`` has model, train_size, status and failure_type; rows without a size are left out.
+    """
+    done, skipped = f"status IN ({', '.join(map(literal, DONE))})", "status = 'skipped_after_failure'"
+    failed = f"NOT ({done}) AND NOT {skipped}"
+    kinds = f"(SELECT model, train_size, status, min(failure_type) AS failure_type FROM {rel} AS r WHERE train_size IS NOT NULL GROUP BY model, train_size, status)"
+    # The first failure's status and type: of the smallest size, in the order of their names.
+    first = f"(SELECT model AS first_model, status AS first_failure_status, coalesce(nullif(failure_type, ''), status) AS first_failure_type FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY train_size, status) AS place FROM {kinds} AS k WHERE {failed}) AS f WHERE place = 1)"
+    sizes = f"(SELECT model, {d.joined_numbers(_size(f'NOT {skipped}'))} AS tested, {d.joined_numbers(_size(done))} AS completed, {d.joined_numbers(_size(skipped))} AS skipped, max({_size(done)}) AS largest, min({_size(failed)}) AS first_failed FROM {kinds} AS k GROUP BY model)"
+    end = "O limite máximo absoluto não foi determinado."
+    said = f"""CASE WHEN largest IS NULL THEN 'Nenhum tamanho foi concluído com sucesso neste ambiente. {end}' WHEN first_failed IS NULL THEN concat('O modelo foi executado com sucesso com pelo menos ', {_dotted('largest')}, ' registros neste ambiente. {end}')
+      ELSE concat('O modelo foi executado com sucesso até ', {_dotted('largest')}, ' registros neste ambiente. A primeira falha foi observada em ', {_dotted('first_failed')}, ' registros. {end}') END"""
+    return f"SELECT model, tested AS tested_train_sizes, completed AS completed_train_sizes, largest AS largest_tested_successful_size, first_failed AS first_failed_size, first_failure_status, first_failure_type, skipped AS skipped_train_sizes, skipped AS untested_larger_sizes, largest AS observed_interval_lower, first_failed AS observed_interval_upper, {said} AS conclusion FROM {sizes} AS s LEFT JOIN {first} AS f ON s.model = f.first_model"
+
+
+def scalability_limits(d: Spark, rel: str, failures: str) -> str:
+    """Per model the sizes that succeeded (not limited by resources), the largest, the first that failed and never succeeded, whether resources limited a run, and what follows.
+
+    ``rel`` has model, train_size and resource_limited; ``failures`` model, train_size and status.
+    """
+    good = f"(SELECT model, train_size, 1 AS good, 0 AS bad, 0 AS scarce FROM {rel} AS r WHERE NOT coalesce(resource_limited, FALSE))"
+    bad = f"(SELECT model, train_size, 0 AS good, 1 AS bad, CASE WHEN status = 'resource_limited' THEN 1 ELSE 0 END AS scarce FROM {failures} AS f)"
+    sizes = f"(SELECT model, train_size, max(good) AS good, max(bad) AS bad, max(scarce) AS scarce FROM (SELECT * FROM {good} AS g UNION ALL SELECT * FROM {bad} AS b) AS u GROUP BY model, train_size)"
+    one = f"(SELECT model, {d.joined_numbers(_size('good = 1'))} AS successful, max({_size('good = 1')}) AS largest, min({_size('bad = 1 AND good = 0')}) AS first_failed, max(scarce) = 1 AS resource_limited FROM {sizes} AS s GROUP BY model)"
+    said = f"""CASE WHEN largest IS NULL THEN 'Nenhum tamanho de treinamento foi concluído com sucesso neste ambiente.' WHEN first_failed IS NULL THEN concat('Executado com sucesso com até ', {_dotted('largest')}, ' registros neste ambiente.')
+      WHEN largest > first_failed THEN concat('Houve falha em ', {_dotted('first_failed')}, ' registros, mas também houve sucesso posterior até ', {_dotted('largest')}, '; o comportamento observado indica instabilidade neste ambiente.')
+      ELSE concat('O limite observado está entre ', {_dotted('largest')}, ' e ', {_dotted('first_failed')}, ' registros neste ambiente; o valor exato não foi determinado.') END"""
+    return f"SELECT model, successful AS successful_train_sizes, largest AS largest_tested_successful_size, first_failed AS first_failed_size, resource_limited, {said} AS conclusion FROM {one} AS o"
 
 
 def pivot(d: Spark, rel: str, key: str, name: str, value: str, names: tuple[str, ...]) -> str:
@@ -183,5 +253,5 @@ def latest_per_user(d: Spark, rel: str) -> str:
 
 
 def windowed(d: Spark, rel: str) -> str:
-    """Events per hour and type; the batch twin of the streaming surface."""
+    """Events per hour and type."""
     return f"SELECT date_trunc('hour', ts) AS hour_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM {rel} AS e GROUP BY 1, 2"

@@ -178,7 +178,7 @@ def identifier_steps(d: Spark, seed: int, key: str = "row_id") -> Steps:
             "CNH": text([*h, "cnh1", "cnh2"]),
             "RG": text(["p0", "p1", "'.'", "p2", "p3", "p4", "'.'", "p5", "p6", "p7", "'-'", "(n_rg % 9)"]),
             "Titulo_Eleitor": text([*t, "lpad(CAST(uf AS VARCHAR(2)), 2, '0')", "vote1", "vote2"]),
-            "Telefone": text(["'('", "DDD", "') 9'", *(f"f{i}" for i in range(4)), "'-'", *(f"f{i}" for i in range(4, 8))]),
+            "Telefone": f"CASE WHEN DDD IS NOT NULL THEN {text(["'('", 'DDD', "') 9'", *(f'f{i}' for i in range(4)), "'-'", *(f'f{i}' for i in range(4, 8))])} END",
         },
     ]
 

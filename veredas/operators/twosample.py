@@ -100,7 +100,8 @@ def ranked_sql(d: Spark, rel: str, group: str, columns: tuple[str, ...]) -> str:
     ordered = [(i, j) for i in range(n) for j in range(n) if i != j]
     value = " ".join(f"WHEN {k} THEN CASE WHEN {finite(f'CAST({columns[j]} AS DOUBLE)')} THEN CAST({columns[i]} AS DOUBLE) END" for k, (i, j) in enumerate(ordered))
     long = f"(SELECT {group} AS g, k, CASE k {value} END AS x FROM (SELECT *, {d.explode(list(map(str, range(len(ordered)))), 'k')} FROM {rel} AS wide) AS e)"
-    ranks = f"(SELECT g, k, x, n_before + (n + 1) / 2e0 AS rk FROM {ranked(counted(long, {'g': 'g', 'k': 'k'}, 'x', {'n': '1'}), ['g', 'k'], ['n'])} AS q)"
+    # The next value adds nothing; naming it keeps both uses of the counted values alike, so that they are counted once.
+    ranks = f"(SELECT g, k, x, n_before + (n + 1) / 2e0 + 0e0 * coalesce(nx, 0e0) AS rk FROM {ranked(counted(long, {'g': 'g', 'k': 'k'}, 'x', {'n': '1'}), ['g', 'k'], ['n'])} AS q)"
     listed = d.listed([f"max(CASE WHEN k = {k} THEN rk END)" for k in range(len(ordered))])
     table = f"(SELECT g, x, {listed} AS rks FROM {ranks} AS z GROUP BY g, x)"
     joins = " ".join(f"LEFT JOIN {table} AS r{i} ON base.{group} = r{i}.g AND CAST(base.{c} AS DOUBLE) = r{i}.x" for i, c in enumerate(columns))

@@ -283,17 +283,18 @@ def _required(final: bool, columns: Iterable[str] | None) -> tuple[list[str], li
     return [c for c in required if c in has], [c for c in required if c not in has]
 
 
-def validation_sql(d: Spark, rel: str, final: bool = True, columns: Iterable[str] | None = None, named: dict[str, UserRule] | None = None) -> str:
+def validation_sql(d: Spark, rel: str, final: bool = True, columns: Iterable[str] | None = None, named: dict[str, UserRule] | None = None, carry: dict[str, str] | None = None) -> str:
     """row_id, n_null and n_bad_number (of the row's fields), ``is_<reason>`` and ``later_<key>`` (another row with a smaller id has the same identifier, or the same row), and ``valid``.
 
     Text is made canonical first. Keys are exploded as hashes and counted together; only those of several rows are joined back. ``columns``
     names what the frame has, where required columns may be absent: they are left out, and no row is valid. Columns beyond the required ones
-    are kept for the rules of the caller.
+    are kept for the rules of the caller. ``carry``: more columns, by expressions over the rows as they came.
     """
+    carry = carry or {}
     there, missing = _required(final, columns)
     numbers = tuple(c for c in ("Idade", "Renda", "Dependentes", "DDD") if c in there)
     more = [c for c in dict.fromkeys(columns or ()) if c not in there and c != "row_id"]
-    clean = f"(SELECT {', '.join(['row_id', *(c if c in numbers else f'{canonical.text(d, f"CAST({c} AS VARCHAR(300))")} AS {c}' for c in there), *more])} FROM {rel} AS raw)"
+    clean = f"(SELECT {', '.join(['row_id', *(c if c in numbers else f'{canonical.text(d, f"CAST({c} AS VARCHAR(300))")} AS {c}' for c in there), *more, *(f'{e} AS {c}' for c, e in carry.items())])} FROM {rel} AS raw)"
     reasons = report_flags(d, final, columns, named)
     flags = {"n_null": " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in there) or "0"}
     flags["n_bad_number"] = " + ".join(f"CASE WHEN {canonical._finite(canonical.number(c))} THEN 0 ELSE 1 END" for c in numbers) or "0"
@@ -311,7 +312,7 @@ def validation_sql(d: Spark, rel: str, final: bool = True, columns: Iterable[str
     marks = ", ".join(f"max(CASE WHEN substr(l.cell, 1, 1) = '{i}' THEN 1 ELSE 0 END) AS m_{k}" for i, k in enumerate(keys))
     later = f"(SELECT l.row_id AS later_id, {marks} FROM {long} AS l JOIN {first} AS f ON l.cell = f.cell AND l.row_id > f.first_id GROUP BY l.row_id)"
     ok = "FALSE" if missing else " AND ".join(["n_null = 0", "n_bad_number = 0", *(f"NOT is_{r}" for r in reasons), "later_id IS NULL"])
-    picked = ["row_id", "n_null", "n_bad_number", *(f"is_{r}" for r in reasons), *(f"coalesce(m_{k}, 0) = 1 AS later_{k}" for k in keys), f"({ok}) AS valid"]
+    picked = ["row_id", "n_null", "n_bad_number", *(f"is_{r}" for r in reasons), *(f"coalesce(m_{k}, 0) = 1 AS later_{k}" for k in keys), *carry, f"({ok}) AS valid"]
     return f"(SELECT {', '.join(picked)} FROM {judged} AS j LEFT JOIN {later} AS t ON j.row_id = t.later_id)"
 
 

@@ -89,8 +89,8 @@ _add("geography_decode", lambda d: profilestats.decode_geography(d, f"(SELECT ro
 
 def _masks(d: Spark, batch_rows: int = 500) -> str:
     """Candidates in batches, with the verdict of the final rules of the whole table and of the model rules alone."""
-    core = validate.masks_sql(d, _broken(d), {"structural_global": validate.rules(d)["structural_global"]})
-    return f"(SELECT v.row_id, CAST(floor(v.row_id / {batch_rows}e0) AS BIGINT) AS batch, ok_structural_global AS batch_valid, v.valid FROM {validate.validation_sql(d, _broken(d))} AS v JOIN {core} AS c ON v.row_id = c.row_id)"
+    judged = validate.validation_sql(d, _broken(d), carry={"batch_valid": validate.rules(d)["structural_global"]})
+    return f"(SELECT row_id, CAST(floor(row_id / {batch_rows}e0) AS BIGINT) AS batch, batch_valid, valid FROM {judged} AS v)"
 
 
 _add("select_valid", lambda d: _all("s", generate.select_first_sql(_masks(d), 1000)))
@@ -234,9 +234,23 @@ _add("dependency_class", lambda d: reports.dependency(d, f"(SELECT o_totalprice
 _add("gate_statuses", lambda d: gates.statuses(d, f"(SELECT o_orderkey AS run, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS invalid_rows, 0 AS duplicated_identifier, 0 AS null_required_fields, o_totalprice / 5e7 AS exact_train_match_rate, o_totalprice / 2e6 AS total_variation_distance, 0.1e0 AS correlation_difference, 0e0 AS duplicate_base_row_rate, 500 AS synthetic_rows FROM {d.table('orders')} AS o)"))
 # Experiments, history.
 _add("agg_by_model", lambda d: experiments.aggregate(d, _runs(d), ("model",), ("renda_ks", "renda_w1", "seconds")))
-_add("agg_by_model_size", lambda d: experiments.by_model_and_size(d, _runs(d), "renda_ks"))
-_add("marginal_gains", lambda d: experiments.marginal_gains(d, _runs(d), [(1, 3), (3, 5)], "renda_ks"))
-_add("capacity_limits", lambda d: experiments.limits(d, _runs(d)))
+_add("agg_by_model_size", lambda d: experiments.aggregate(d, _runs(d), ("model", "train_size"), ("renda_ks", "renda_w1", "seconds")))
+_add("marginal_gains", lambda d: experiments.marginal_gains(d, _runs(d), [(1, 3), (3, 5), (5, 6)], ("renda_ks", "renda_w1", "seconds")))
+
+
+def _failures(d: Spark) -> str:
+    return f"(SELECT model, train_size, status FROM {_runs(d)} AS x WHERE status IN ('failed', 'resource_limited') AND train_size <> 2)"
+
+
+def _summary(d: Spark) -> str:
+    """The runs that were carried out, with the verdict on their rows."""
+    return f"(SELECT model, train_size, status = 'resource_limited' AS resource_limited, CASE seed WHEN 0 THEN 'approved' WHEN 1 THEN 'quarantined' ELSE 'rejected' END AS status FROM {_runs(d)} AS x WHERE status <> 'failed')"
+
+
+_add("status_counts", lambda d: experiments.status_counts(_summary(d), _failures(d), ("model",)))
+_add("status_counts_by_size", lambda d: experiments.status_counts(_summary(d), _failures(d), ("model", "train_size")))
+_add("capacity_limits", lambda d: experiments.capacity_limits(d, f"(SELECT model, train_size * 250000 AS train_size, status, CASE WHEN status = 'failed' AND seed = 1 THEN 'MemoryError' END AS failure_type FROM {_runs(d)} AS x)"))
+_add("scalability_limits", lambda d: experiments.scalability_limits(d, _summary(d), _failures(d)))
 _add("pivot_income", lambda d: experiments.pivot(d, f"(SELECT o_custkey, o_orderpriority, o_totalprice FROM {d.table('orders')} AS o)", "o_custkey", "substr(o_orderpriority, 1, 1)", "o_totalprice", ("1", "2", "3", "4", "5")))
 _add("status_histogram", lambda d: experiments.status_histogram(d, _runs(d)))
 
