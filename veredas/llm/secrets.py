@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_rows, slices
+from .common import id_text, map_rows, slices, trim
 
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 1 << 17
@@ -472,6 +472,7 @@ def redact(docs: DataFrame, model: Crf | None, mark: str = "[SECRET]") -> DataFr
         done = []
         for lo, hi in slices(texts, 1 << 20):
             done.append(pa.array([t if t is None else redact_text(t, model, mark) for t in texts.slice(lo, hi - lo).to_pylist()], type=pa.string()))
+        trim()
         return pa.concat_arrays(done) if done else pa.array([], type=pa.string())
 
     return docs.withColumn("text", masked(F.col("text")))
