@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.conftest import prose
 from veredas.llm import decontaminate, quality, secrets, tokencount, urlrules
 
 SPACE = re.compile("[^\x20\x09-\x0d]+")
@@ -270,3 +271,45 @@ def test_crf_scores_by_word_are_the_scores_of_the_features():
     starts, ends, u = secrets.Lookup(m).scores(text)
     assert (starts.tolist(), ends.tolist()) == (s.starts, s.ends)
     assert np.allclose(u, m.scores(secrets.features(text, s)))
+
+
+def random_model(r):
+    import numpy as np
+
+    m = secrets.Crf(np.zeros((1, 3)), r.normal(0, 2, (3, 3)))
+    m.trans[secrets.O, secrets.I] = -1e9
+    return m
+
+
+def test_decoding_where_a_tag_can_win_is_viterbi():
+    import numpy as np
+
+    r = np.random.default_rng(11)
+    for _ in range(400):
+        m, n = random_model(r), int(r.integers(1, 40))
+        u = r.normal(0, 3, (n, 3))
+        u[:, secrets.O] += r.choice([0.0, 2.0, 6.0])
+        u[0, secrets.I] = -1e9
+        worth = lambda path: sum(u[i, t] for i, t in enumerate(path)) + sum(m.trans[a, b] for a, b in zip(path, path[1:], strict=False))  # noqa: B023, E731
+        assert worth(m.decode(u).tolist()) == pytest.approx(worth(m.best_path(u)))
+
+
+def test_secrets_that_no_pattern_finds():
+    """Trained on hex tokens behind a keyword; held-out texts hold values of letters and digits behind other words, or none."""
+    import random
+
+    r = random.Random(8)
+    value = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    hexes, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    train = [f'{prose(900 + k, 60)} token = "{value(hexes, 40)}" {prose(1900 + k, 60)}' for k in range(60)] + [prose(3000 + k, 120) for k in range(60)]
+    model = secrets.train(secrets.training_sequences(train))
+    found = 0
+    for k in range(60):
+        v = value(mixed, r.choice((24, 32, 40)))
+        text = f"{prose(4000 + k, 50)} {('auth key ', 'Authorization: Bearer ', '')[k % 3]}{v} {prose(5000 + k, 50)}"
+        at = text.index(v)
+        assert not secrets.pattern_spans(text)
+        found += any(a < at + len(v) and at < b for a, b in secrets.crf_spans(text, model))
+    assert found >= 54
+    clean = [prose(6000 + k, 200) for k in range(60)]
+    assert sum(len(secrets.crf_spans(t, model)) for t in clean) <= 1

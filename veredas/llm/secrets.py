@@ -13,9 +13,10 @@ patterns ask as much of a value.
 The weights are trained here, on the driver, from a bounded sample
 (``SAMPLE_DOCS`` documents of up to ``SAMPLE_CHARS`` characters with a pattern
 hit, those with the smallest hashed ids, and as many picked without regard to hits, so that
-ordinary words are learnt as such; the scan itself has no such bound) whose labels are the pattern spans. Half the training copies hide the
-neighbouring words and hold a made-up secret of mixed letters and digits in
-place of the real one, so that shape alone can carry a decision.
+ordinary words are learnt as such; the scan itself has no such bound) whose labels are the pattern spans. Of a text with
+a secret, ``TURNS`` further copies hide the neighbouring words and hold made-up
+secrets of mixed letters and digits, of several lengths, in place of the real ones, so
+that shape alone can carry a decision.
 
 A null or empty text has no spans. Texts are judged alone and whole, however long: copies get equal
 results. ``scan`` ignores columns besides the id and the text, ``redact`` keeps them. Without any pattern hit in the corpus there is nothing to learn from and the
@@ -49,6 +50,9 @@ _TURN = re.compile(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
 _HINT = re.compile(r"(?:pass|secret|token|key|auth|cred|bearer|pwd)", re.I | re.A)
 MIN_RUN = 8
 B, I, O = 0, 1, 2  # noqa: E741
+#: Copies of a training text with made-up secrets, and the secrets' lengths.
+TURNS = 4
+MADE_UP_SIZES = tuple(range(16, 49))
 DIM = 1 << 12
 
 
@@ -126,13 +130,14 @@ def _has_digit(w: str) -> bool:
     return w.isascii() and any(c.isdigit() for c in w)
 
 
-def _made_up(w: str) -> str:
-    """Letters and digits of the same length, a function of the word."""
+def _made_up(w: str, turn: int = 0) -> str:
+    """Letters and digits in place of a word's, a function of the word and the turn; after turn 0 of another length."""
     if not w.isalnum() or len(w) < MIN_RUN:
         return w
     chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    seed = hashlib.blake2b(w.encode("utf-8", "surrogatepass")).digest()
-    return "".join(chars[seed[i % len(seed)] % len(chars)] for i in range(len(w)))
+    seed = hashlib.blake2b(f"{turn}:{w}".encode("utf-8", "surrogatepass")).digest()
+    size = MADE_UP_SIZES[seed[-1] % len(MADE_UP_SIZES)] if turn else len(w)
+    return "".join(chars[seed[i % len(seed)] % len(chars)] for i in range(size))
 
 
 def features(text: str, s: Tokens, slots: Slots | None = None) -> list[np.ndarray]:
@@ -375,10 +380,14 @@ def training_sequences(texts: list[str]) -> list[tuple[list[np.ndarray], list[in
             hit = next((g for g in itertools.takewhile(lambda g: g[0] <= a, gold[k:]) if b <= g[1]), None)  # noqa: B023
             tags.append(O if hit is None else I if hit == before else B)
             before = hit
-        words = [w if t == O else _made_up(w) for w, t in zip(s.words, tags, strict=True)]
         whole = [slots[f] for f in _file(text, sum(map(_has_digit, s.words)))]
-        bare = [np.array([slots[f] for f in _shape(w)] + whole) for w in words]
-        out += [(features(text, s, slots), tags), (bare, tags)]
+        out.append((features(text, s, slots), tags))
+        if all(t == O for t in tags):
+            out.append(([np.array([slots[f] for f in _shape(w)] + whole) for w in s.words], tags))
+            continue
+        for turn in range(TURNS):
+            words = [w if t == O else _made_up(w, turn) for w, t in zip(s.words, tags, strict=True)]
+            out.append(([np.array([slots[f] for f in _shape(w)] + whole) for w in words], tags))
     return [x for x in out if x[0]]
 
 
