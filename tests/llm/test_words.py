@@ -253,7 +253,7 @@ def test_crf_finds_secrets_without_digits():
     made = ["qWcRtYuLmPasDf", "ZxKvBnMqWeRtYu", "plOkMijNuhBygV", "tFcRdXesZwAqLk", "hGfDsAqPzoWixE"]
     texts = [f"some words and then password={made[k % 5][k % 3 :]}{'XyQz'[k % 4]} in the deployment configuration of everybody, authentication notwithstanding" for k in range(40)]
     sequences = secrets.training_sequences(texts)
-    assert all(secrets.B in tags for _, tags in sequences)
+    assert all(secrets.B in x.tags for x in sequences)
     model = secrets.train(sequences)
     text = "the header says password is: gHjKlQwErTyUzX thanks"
     assert [(text[s:e], k) for s, e, k in secrets.all_spans(text, model)] == [("gHjKlQwErTyUzX", "crf")]

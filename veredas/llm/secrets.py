@@ -28,6 +28,8 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -140,11 +142,14 @@ def _made_up(w: str, turn: int = 0) -> str:
     return "".join(chars[seed[i % len(seed)] % len(chars)] for i in range(size))
 
 
-def features(text: str, s: Tokens, slots: Slots | None = None) -> list[np.ndarray]:
-    """Feature slots of every token."""
-    slots = Slots() if slots is None else slots
+def _slotted(text: str, s: Tokens, slots: Slots) -> Iterator[list[int]]:
     whole = [slots[f] for f in _file(text, sum(map(_has_digit, s.words)))]
-    return [np.array([slots[f] for f in _shape(w) + _near(s, i)] + whole) for i, w in enumerate(s.words)]
+    return ([slots[f] for f in _shape(w) + _near(s, i)] + whole for i, w in enumerate(s.words))
+
+
+def features(text: str, s: Tokens) -> list[np.ndarray]:
+    """Feature slots of every token."""
+    return [np.array(f) for f in _slotted(text, s, Slots())]
 
 
 @dataclass
@@ -302,17 +307,34 @@ class Lookup:
         return starts, ends, u
 
 
-def train(sequences: list[tuple[list[np.ndarray | None], list[int]]], rounds: int = 5, rate: float = 0.3, decay: float = 1e-4) -> Crf:
+@dataclass(frozen=True)
+class Sequence:
+    """A training text: feature slots of its tokens end to end, how many each token has, and the tags. Kept small, as the driver holds all of them."""
+
+    slots: np.ndarray
+    sizes: np.ndarray
+    tags: np.ndarray
+
+    @classmethod
+    def of(cls, feats: Iterable[list[int]], tags: list[int]) -> Sequence:
+        flat, sizes = array("H"), array("B")
+        for f in feats:
+            flat.extend(f)
+            sizes.append(len(f))
+        return cls(np.frombuffer(flat, dtype=np.uint16) if len(flat) else np.zeros(0, np.uint16), np.frombuffer(sizes, dtype=np.uint8) if len(sizes) else np.zeros(0, np.uint8), np.array(tags, dtype=np.int8))
+
+
+def train(sequences: list[Sequence], rounds: int = 5, rate: float = 0.3, decay: float = 1e-4) -> Crf:
     """Maximum likelihood by AdaGrad over exact forward-backward gradients."""
     m = Crf(np.zeros((DIM, 3)), np.zeros((3, 3)))
     m.trans[O, I] = -1e9
     gu, gt = np.full((DIM, 3), 1e-6), np.full((3, 3), 1e-6)
     order = np.random.default_rng(7)
-    packed = [(np.concatenate(feats), np.repeat(np.arange(len(feats)), [len(f) for f in feats]), np.eye(3)[tags]) for feats, tags in sequences]
     for _ in range(rounds):
-        for k in order.permutation(len(packed)):
-            slots, at, gold = packed[k]
-            n = len(gold)
+        for k in order.permutation(len(sequences)):
+            x = sequences[k]
+            n = len(x.tags)
+            slots, at, gold = x.slots.astype(np.int64), np.repeat(np.arange(n), x.sizes), np.eye(3)[x.tags]
             u = np.stack([np.bincount(at, m.unary[slots, t], minlength=n) for t in range(3)], axis=1)
             u[0, I] = -1e9
             p, pairs = _marginals(u, m.trans)
@@ -367,7 +389,7 @@ def _secret_part(text: str, span: tuple[int, int, str]) -> tuple[int, int]:
     return m.start(2), m.end(2)
 
 
-def training_sequences(texts: list[str]) -> list[tuple[list[np.ndarray], list[int]]]:
+def training_sequences(texts: list[str]) -> list[Sequence]:
     out, slots = [], Slots()
     for text in texts:
         gold = [_secret_part(text, s) for s in pattern_spans(text)]
@@ -381,14 +403,13 @@ def training_sequences(texts: list[str]) -> list[tuple[list[np.ndarray], list[in
             tags.append(O if hit is None else I if hit == before else B)
             before = hit
         whole = [slots[f] for f in _file(text, sum(map(_has_digit, s.words)))]
-        out.append((features(text, s, slots), tags))
-        if all(t == O for t in tags):
-            out.append(([np.array([slots[f] for f in _shape(w)] + whole) for w in s.words], tags))
+        if not tags:
             continue
-        for turn in range(TURNS):
-            words = [w if t == O else _made_up(w, turn) for w, t in zip(s.words, tags, strict=True)]
-            out.append(([np.array([slots[f] for f in _shape(w)] + whole) for w in words], tags))
-    return [x for x in out if x[0]]
+        out.append(Sequence.of(_slotted(text, s, slots), tags))
+        for turn in range(1 if all(t == O for t in tags) else TURNS):
+            words = (w if t == O else _made_up(w, turn) for w, t in zip(s.words, tags, strict=True))
+            out.append(Sequence.of(([slots[f] for f in _shape(w)] + whole for w in words), tags))
+    return out
 
 
 def crf_spans(text: str, model: Crf) -> list[tuple[int, int]]:
