@@ -83,3 +83,27 @@ def test_tail_events_cut_by_all_four_keys(spark):
     build = conditional.tail_events(D, "{t}")
     got = sql(spark, build, rows, "row_id long, side string, Ocupacao string, Escolaridade string, Idade int, Regiao string, Renda double")
     assert [(r.row_id, r.Regiao) for r in got] == [(1, "N"), (5, "S"), (3, None)]
+
+
+def test_kept_relations_and_spread(spark, tmp_path):
+    """A kept relation is written once, with the session's settings left as they were; parts are dealt out by number."""
+    from veredas.functions.dialect import METHOD_LIMIT, Duck, Spark
+
+    d, before = Spark("", spark), spark.conf.get(METHOD_LIMIT)
+    rel = "(SELECT id, rand() AS x FROM range(100))"
+    a, b = (sorted(map(tuple, spark.sql(f"SELECT * FROM {d.kept(rel, 'test')} AS t").collect())) for _ in range(2))
+    assert a == b and len(a) == 100 and spark.conf.get(METHOD_LIMIT) == before
+    assert spark.sql(f"SELECT * FROM {d.spread('range(100)')} AS t").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert Duck().kept(rel, "test") == Spark().kept(rel, "test") == rel
+
+
+def test_evidence_checks_of_a_hot_metric(spark):
+    """The values are counted before they move: no shuffle of rows by metric, and the bounds are the broadcast side."""
+    from veredas.functions.dialect import Spark
+    from veredas.operators import experiments
+
+    rel = "(SELECT 'a' AS metric_name, CAST(id AS DOUBLE) AS value FROM range(10) UNION ALL SELECT 'b', NULL UNION ALL SELECT 'c', 0.5e0)"
+    found = spark.sql(experiments.evidence_checks(Spark(), rel, {"a": (0.0, 4.0), "b": (0.0, 1.0), "c": (0.0, 1.0), "none": (0.0, 1.0)}))
+    assert {tuple(r) for r in found.collect()} == {("a", 10, 5, False), ("b", 0, 0, False), ("c", 1, 1, True), ("none", 0, 0, False)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftOuter") < plan.index("Inner")
