@@ -150,3 +150,38 @@ def test_comparison_counts_its_values_once(spark):
     plain, kept = conditional.compare(D, rows), conditional.compare(d, rows)
     assert "GROUPING SETS" in plain and "GROUPING SETS" not in kept
     assert sorted(map(tuple, spark.sql(plain).collect())) == sorted(map(tuple, spark.sql(kept).collect()))
+
+
+def kept_names(spark, build):
+    """The relations that a query over the ids writes, and their SQL."""
+    d, found = Spark("/root/testdata/sf0.001", spark), {}
+    kept = d.kept
+    d.kept = lambda rel, name, *a, **k: found.setdefault(name, []).append(rel) or kept(rel, name, *a, **k)
+    spark.sql(build(d)).collect()
+    return found
+
+
+def test_keys_of_validation_are_numbers(spark):
+    found = kept_names(spark, lambda d: validate.validation_report(d, queries._broken(d)))
+    assert not any("sha2" in rel for rel in found["judged"])
+
+
+def test_check_digits_on_numbers_and_on_texts_agree(spark):
+    texts = ["529.982.247-25", "52998224725", " 52998224725", "52998224725\n", "5-2998224725", "+5299822472", "529.982.247-24", "00000000000", "11111111111", "12345678900", "00000000191", "12345", "", None,
+             "529 982 247 25", "５2998224725", "000000000191", "004356870906", "00435687090.", "0043568709-06", "102385010671", "1e10000000000", "2998224725a"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_id int, t string").selectExpr("row_id", "t AS CPF", "t AS CNH", "t AS Titulo_Eleitor")
+    frame.createOrReplaceTempView("odd_texts")
+    plain, staged = validate.final_rules(D, validate.NUMBERED), validate.final_rules(D, validate.NUMBERED, True)
+    rel = D.with_numbers("odd_texts", validate.NUMBERED)
+    rows = spark.sql(f"SELECT row_id, {', '.join(f'{plain[c]} AS p_{c}, {staged[c]} AS s_{c}' for c in validate.NUMBERED)} FROM {rel} AS x ORDER BY row_id").collect()
+    assert all(r[f"p_{c}"] == r[f"s_{c}"] for r in rows for c in validate.NUMBERED)
+    assert rows[0].s_CPF and rows[1].s_CPF and rows[2].s_CPF and not rows[6].s_CPF and not rows[7].s_CPF
+
+
+def test_later_rows_by_hand(spark):
+    rows = [(1, "a", "x"), (2, "b", None), (3, "a", "y"), (4, "c", None), (5, "a", "x")]
+    keys = {"k": "k", "row": "concat(k, coalesce(v, '-'))", "v": "coalesce(v, '-')"}
+    flags = ", ".join(f"{e} AS {c}" for c, e in D.key_flags(keys).items())
+    frame = spark.createDataFrame(rows, "row_id int, k string, v string")
+    got = spark.sql(f"SELECT * FROM {D.later(f'(SELECT row_id, {flags} FROM {{t}} AS g)', keys)} AS l", t=frame).collect()
+    assert {(r.later_id, r.m_k, r.m_row, r.m_v) for r in got} == {(3, 1, 0, 0), (5, 1, 1, 1), (4, 0, 0, 1)}
