@@ -161,6 +161,11 @@ def kept_names(spark, build):
     return found
 
 
+def test_stages_make_no_identifiers(spark):
+    found = kept_names(spark, lambda d: f"SELECT stage, count(*) AS n FROM {queries._stages(d)} AS s GROUP BY stage")
+    assert not any("n_cpf" in rel for rels in found.values() for rel in rels)
+
+
 def test_keys_of_validation_are_numbers(spark):
     found = kept_names(spark, lambda d: validate.validation_report(d, queries._broken(d)))
     assert not any("sha2" in rel for rel in found["judged"])
