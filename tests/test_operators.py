@@ -161,6 +161,11 @@ def kept_names(spark, build):
     return found
 
 
+def test_people_of_all_income_versions_are_made_once(spark):
+    found = kept_names(spark, lambda d: f"SELECT version, count(*) AS n FROM {queries._versions(d)} AS v GROUP BY version")
+    assert sum(map(len, found.values())) == 1
+
+
 def test_stages_make_no_identifiers(spark):
     found = kept_names(spark, lambda d: f"SELECT stage, count(*) AS n FROM {queries._stages(d)} AS s GROUP BY stage")
     assert not any("n_cpf" in rel for rels in found.values() for rel in rels)
