@@ -4,9 +4,10 @@ import gc
 import weakref
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 
-from veredas.llm.common import BATCH_ROWS
+from veredas.llm.common import BATCH_ROWS, arrow_rows, gathered
 from veredas.llm.pieces import Pieces
 
 NAME = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -35,3 +36,23 @@ def test_a_vocabulary_goes_with_its_last_reference():
         assert gone() is None
     finally:
         gc.enable()
+
+
+@pytest.mark.parametrize(("given", "inside"), [("10000", "5"), ("0", "5"), ("3", "3")])
+def test_batches_are_small_for_a_while(spark, given, inside):
+    before = spark.conf.get(NAME)
+    try:
+        spark.conf.set(NAME, given)
+        with pytest.raises(ZeroDivisionError), arrow_rows(spark, 5):
+            assert spark.conf.get(NAME) == inside
+            raise ZeroDivisionError
+        assert spark.conf.get(NAME) == given
+    finally:
+        spark.conf.set(NAME, before)
+
+
+def test_gathered_batches_hold_all_rows_in_order():
+    batches = [pa.record_batch({"x": pa.array(range(3 * k, 3 * k + 3), type=pa.int64())}) for k in range(7)]
+    got = list(gathered(iter(batches), 48))
+    assert [len(b) for b in got] == [6, 6, 6, 3] and [x for b in got for x in b["x"].to_pylist()] == list(range(21))
+    assert list(gathered(iter([]), 48)) == []

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -216,3 +217,47 @@ def test_token_files(spark, docs, no_docs, texts, tmp_path, monkeypatch):
         start += len(ids)
     assert {r.ids_crc32 for r in tokenfile.digest(tokenfile.read(spark, files)).where("doc_id = 7").collect()} == {tokenfile.crc([2])}
     assert tokenfile.read(spark, tokenfile.write(no_docs, f"file://{tmp_path}/none")).count() == 0
+
+
+def laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+
+
+def test_every_distinct_unit_goes_through_the_library_once():
+    e = tokenfile.Encoder(tokenfile.default_path())
+    library, given = e.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            given.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+
+    e.tokenizer = Counted()
+    r = random.Random(1)
+    words = sorted({"".join(r.choices("abcdefgh", k=7)) + r.choice(["", "é"]) for _ in range(3000)})
+    for k in range(10):  # each word stands once in a slice, with another sign behind it
+        r.shuffle(words)
+        e.encode(*laid([" ".join(["x", *(w + "!?,;:()/#*"[k] for w in words), "x"]).encode()]), 2)
+    assert sum(len(t.encode()) for t in given) < 1.1 * sum(1 + len(w.encode()) for w in words)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_units_of_odd_texts(seed):
+    from tokenizers import Tokenizer
+
+    e, t, r = tokenfile.Encoder(tokenfile.default_path()), Tokenizer.from_file(tokenfile.default_path()), random.Random(seed)
+    parts = ["a", "Z", "the", " of", "9", *[" "] * 4, *"\n\t\r\v\f\x1c\0\x7f'.,<|>", "'s", "'ll", "<|endoftext|>", *"é×÷ßЖ҂ɏ中१²½😀ª", "\xa0", "\u3000", "\u2003", "\x85", "\u0301"]
+    parts = [x.encode() for x in parts] + [b"\xc3", b"\xd0", b"\xa9", b"\xe4\xb8"] * (seed % 2)
+    for _ in range(40):
+        some = r.sample(parts, r.choice([3, 6, len(parts)]))
+        texts = [b"".join(r.choices(some, k=r.choice([0, 1, 2, 3, 5, 8, 20]))) for _ in range(100)]
+        ids, ends = e.encode(*laid(texts), 2)
+        for text, got in zip(texts, np.split(ids, ends[:-1]), strict=True):
+            assert got.tolist() == [*t.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, 2], text
+
+
+def test_ids_beyond_two_bytes(spark, tmp_path):
+    some = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    a, b = (sorted(tokenfile.read(spark, tokenfile.write(some, f"file://{tmp_path}/{i}", end_id=i)).collect()) for i in (2, 70_000))
+    for x, y in zip(a, b, strict=True):
+        assert x[:3] == y[:3] and np.frombuffer(y.ids, "<u4").tolist() == [*np.frombuffer(x.ids, "<u4").tolist()[:-1], 70_000]

@@ -30,17 +30,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, id_text, n_parts, offsets_of, shared_dir, slices, text_bytes
+from .common import BATCH_ROWS, arrow_rows, arrow_schema, gathered, id_text, n_parts, offsets_of, shared_dir, slices, text_bytes, trim
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 SHARD_BYTES = 32 << 20
 BLOCK_IDS = 1 << 16
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
+#: Blocks that travel to a worker at once to be coded: they are large, the usual 10,000 would be all of a task.
+BATCH_BLOCKS = 16
 #: Rows that a writer holds before it writes them out: blocks are large, so that the usual 128 MB would be all of a task.
 ROW_GROUP = 4 << 20
 MAGIC = b"VTB1"
@@ -52,24 +55,38 @@ def default_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-#: Bytes between which a lone space starts a new unit whatever stands around: printable ASCII.
-_PLAIN = np.zeros(256, dtype=bool)
-_PLAIN[0x21:0x7F] = True
+#: Classes of bytes: letters, digits, apostrophe, other printable ASCII, space, other white space; 0: no cut is known beside it.
+_LETTER, _DIGIT, _APOSTROPHE, _SIGN, _SPACE, _BREAK = range(1, 7)
+_CLASS = np.zeros(256, dtype=np.uint8)
+_CLASS[0x21:0x7F] = _SIGN
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[0x27], _CLASS[0x20], _CLASS[[0x09, 0x0A, 0x0D]] = _APOSTROPHE, _SPACE, _BREAK
+#: Lead bytes of U+00C0 to U+027F and U+0400 to U+047F, which are letters but for the signs of multiplication and division.
+_LEAD = np.zeros(256, dtype=bool)
+_LEAD[[*range(0xC3, 0xCA), 0xD0, 0xD1]] = True
+#: _CUT[8 * a + b]: between classes a and b the pre-tokenizer always cuts. An apostrophe may begin a contraction or end a run of signs.
+_CUT = np.zeros((8, 8), dtype=bool)
+_CUT[_LETTER, [_DIGIT, _APOSTROPHE, _SIGN, _SPACE, _BREAK]] = _CUT[_DIGIT, [_LETTER, _APOSTROPHE, _SIGN, _SPACE, _BREAK]] = True
+_CUT[_APOSTROPHE, [_DIGIT, _SPACE, _BREAK]] = _CUT[_SIGN, [_LETTER, _DIGIT, _SPACE, _BREAK]] = True
+_CUT = _CUT.reshape(-1)
+_SHOWN, _BLANK = np.isin(np.arange(256), [_LETTER, _DIGIT, _APOSTROPHE, _SIGN]), np.isin(np.arange(256), [_SPACE, _BREAK])
 
 
 class Encoder:
     """The library's encoder, for slices of texts; every distinct unit of a text is encoded once.
 
-    A unit starts at a space between two printable ASCII characters (and at the start of a text). The
-    byte-level pre-tokenizer always cuts there and tokens never cross its cuts, so that the ids of a text are those of its
-    units in order; the constructor refuses a tokenizer file of another kind. Units are told apart by their bytes. Up to
-    ``MEMO`` units that a slice holds twice or more are remembered with their ids, then the memory starts anew; the others are
-    kept for their slice only.
+    A unit ends where the byte-level pre-tokenizer cuts whatever stands around, as far as the classes of two bytes, or three
+    with white space, tell; mostly it is one word, number or run of signs, with the space before it. Tokens never cross those cuts,
+    so that the ids of a text are those of its units in order; the constructor refuses a tokenizer file of another kind. Beside other
+    letters, control bytes and the strings of added tokens there is no cut. Units are told apart by their bytes. They
+    are remembered with their ids until ``MEMO`` units or ``MEMO_BYTES`` are passed, then the memory starts anew.
     """
 
-    MEMO = 1 << 17
+    MEMO = 1 << 19
+    MEMO_BYTES = 16 << 20
     CALL_BYTES = 1 << 18
-    TEXT_BYTES = 1 << 12
+    TEXT_BYTES = 1 << 11
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already keeps the cores busy
@@ -78,91 +95,121 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         made = json.loads(self.tokenizer.to_str())
         before = made["pre_tokenizer"] or {}
-        if made["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex") or any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in made["added_tokens"]):
+        if made["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex") or any(len(t["content"].split()) != 1 or t["content"] != t["content"].strip() or not t["content"].isascii() or t["lstrip"] or t["rstrip"] or t["single_word"] for t in made["added_tokens"]):
             raise ValueError("token files need a byte-level tokenizer without a normalizer")
+        self.added = [t["content"].encode() for t in made["added_tokens"]]
         #: Bytes of a token: a byte-level token has a character for each.
         self.n_vocabulary = max(self.tokenizer.get_vocab().values()) + 1
         self.size = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.n_vocabulary)], dtype=np.int64)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = pa.array([], type=pa.binary())
         self.ids, self.ends = np.zeros(1 << 16, dtype="<u4"), np.zeros(1 << 16, dtype=np.int64)
-        self.n_units = self.n_ids = 0
-
-    def _add(self, into: dict[bytes, int], units: list[bytes], ids: np.ndarray, lens: np.ndarray) -> None:
-        self.ids, self.ends = _grown(self.ids, self.n_ids + len(ids)), _grown(self.ends, self.n_units + len(lens))
-        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-        self.ends[self.n_units : self.n_units + len(lens)] = self.n_ids + np.cumsum(lens)
-        into.update(zip(units, range(self.n_units, self.n_units + len(units)), strict=True))
-        self.n_units, self.n_ids = self.n_units + len(lens), self.n_ids + len(ids)
-
-    def _call(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        self.n_ids = 0
+
+    def _classes(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Classes of the bytes of texts laid end to end (text i from at[i] to at[i + 1])."""
+        kind = _CLASS[data]
+        lead = np.flatnonzero(_LEAD[data[:-1]])
+        lead = lead[(data[lead + 1] & 0xC0 == 0x80) & ((data[lead] != 0xC3) | ((data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)))]
+        if not np.all(data[at[1:-1][at[1:-1] < len(data)]] & 0xC0 != 0x80):  # a broken text: no letter may cross its end
+            lead = lead[~np.isin(lead + 1, at)]
+        kind[lead] = kind[lead + 1] = _LETTER
+        text = data.tobytes()
+        for one in self.added:
+            i = text.find(one)
+            while i >= 0:
+                kind[i : i + len(one)] = 0
+                i = text.find(one, i + 1)
+        return kind
+
+    def _starts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the units of such texts start."""
+        kind, first = self._classes(data, at), at[:-1][at[:-1] < at[1:]]
+        mark = np.zeros(len(data) + 1, dtype=bool)
+        mark[1:-1] = _CUT[kind[:-1] * np.uint8(8) + kind[1:]]
+        # The last of several white spaces stands apart, or goes with what follows in its text.
+        blank, shown = _BLANK[kind], _SHOWN[kind]
+        shown[first] = False
+        mark[1:-2] |= blank[:-2] & blank[1:-1] & shown[2:]
+        mark[first] = True
+        shown[first] = _SHOWN[kind[first]]
+        mark[1:-1] |= (kind[:-1] == _BREAK) & mark[:-2] & shown[1:]
+        return np.flatnonzero(mark[:-1])
+
+    def _call(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The library's ids of some texts, and how many each has."""
-        each = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lens = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
         return np.fromiter(itertools.chain.from_iterable(each), dtype="<u4", count=int(lens.sum())), lens
 
-    def _learn(self, into: dict[bytes, int], new: list[bytes]) -> None:
-        """Encodes units, in calls of bounded size."""
-        # Units between two cuts stay units in a row of such, whose ids the tokens' lengths tell apart.
-        rows = [u for u in new if u[0] == 0x20 and _PLAIN[u[-1]] and len(u) > 1 and _PLAIN[u[1]]]
-        taken = set(rows)
-        for lot in _lots(rows, self.CALL_BYTES):
-            texts = [b"".join(x) for x in _lots(lot, self.TEXT_BYTES)]
-            ids, _ = self._call(texts)
-            cut = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(np.fromiter(map(len, lot), dtype=np.int64, count=len(lot)))) + 1
-            self._add(into, lot, ids, np.diff(cut, prepend=0))
-        for lot in _lots([u for u in new if u not in taken], self.CALL_BYTES):
-            self._add(into, lot, *self._call(lot))
-
-    def _numbers(self, names: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Numbers of a slice's distinct units in the store of ids; those of several occurrences are kept in it."""
-        known = self.known
-        fresh = [i for i, u in enumerate(names) if u not in known]
-        often = [names[i] for i in fresh if counts[i] > 1]
-        if len(known) + len(often) > self.MEMO:
-            self.forget()
-            known, fresh = self.known, range(len(names))
-            often = [names[i] for i in fresh if counts[i] > 1]
-        self._learn(known, often)
-        held = self.n_units, self.n_ids
-        once: dict[bytes, int] = {}
-        self._learn(once, [names[i] for i in fresh if counts[i] == 1])
-        out = np.fromiter((known[u] if u in known else once[u] for u in names), dtype=np.int64, count=len(names))
-        self.n_units, self.n_ids = held
-        return out
+    def _learn(self, units: pa.Array) -> None:
+        """Encodes new units, in calls of bounded size, and remembers them."""
+        data, at = flat(units)
+        kind, first, last = self._classes(data, at), at[:-1], at[1:] - 1
+        shown = _SHOWN[kind]
+        # Between units that begin and end so, and line feeds between others, the pre-tokenizer cuts: they stay in one text, and the tokens' lengths tell their ids apart.
+        spaced = (kind[first] == _SPACE) & (last > first) & shown[np.minimum(first + 1, last)] & shown[last]
+        bare = shown[first] & shown[last]
+        for which, close in ((spaced, b""), (bare, b"\n"), (~spaced & ~bare, None)):
+            some = units.filter(pa.array(which))
+            while len(some):
+                n = max(1, int(np.searchsorted(flat(some)[1], self.CALL_BYTES, side="right")) - 1)
+                lot, some = some.slice(0, n), some.slice(n)
+                if close is None or not self._in_rows(lot, close):
+                    self._add(lot, *self._call([u.decode("utf-8", "replace") for u in lot.to_pylist()]))
+
+    def _in_rows(self, units: pa.Array, close: bytes) -> bool:
+        """Encodes units as texts of many, each closed by ``close``; refuses broken bytes, whose tokens have other lengths."""
+        data, at = flat(pc.binary_join_element_wise(units, pa.scalar(close, pa.binary()), pa.scalar(b"", pa.binary())) if close else units)
+        cuts = at[[0, *(np.flatnonzero(np.diff(at[:-1] // self.TEXT_BYTES)) + 1).tolist(), len(units)]].tolist()
+        text = data.tobytes()
+        try:
+            rows = [text[a:b].decode() for a, b in itertools.pairwise(cuts)]
+        except UnicodeDecodeError:
+            return False
+        ids, _ = self._call(rows)
+        lens = np.diff(np.searchsorted(np.cumsum(self.size[ids]), at[1:]) + 1, prepend=0)
+        if close:
+            ids, lens = np.delete(ids, np.cumsum(lens) - 1), lens - 1
+        self._add(units, ids, lens)
+        return True
+
+    def _add(self, units: pa.Array, ids: np.ndarray, lens: np.ndarray) -> None:
+        n = len(self.known)
+        self.ids, self.ends = _grown(self.ids, self.n_ids + len(ids)), _grown(self.ends, n + len(lens))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.ends[n : n + len(lens)] = self.n_ids + np.cumsum(lens)
+        self.known = pa.concat_arrays([self.known, units])
+        self.n_ids += len(ids)
 
     def encode(self, data: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Of texts laid end to end in ``data`` (text i from at[i] to at[i + 1]): all ids, each text closed by the end id, and the texts' ends among them."""
-        plain, mark = _PLAIN[data], np.zeros(len(data), dtype=bool)
-        mark[1:-1] = (data[1:-1] == 0x20) & plain[:-2] & plain[2:]
-        mark[at[:-1][at[:-1] < at[1:]]] = True
-        starts = np.flatnonzero(mark)
+        starts = self._starts(data, at)
         bounds = np.append(starts, len(data)).astype(np.int32)
         units = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        if len(self.known) > self.MEMO or self.known.nbytes > self.MEMO_BYTES:
+            self.forget()
+        # The memory is looked up in the slice's units, which are fewer.
+        n_old, number = len(self.known), np.full(len(units.dictionary), -1, dtype=np.int64)
+        met = np.asarray(pc.index_in(self.known, value_set=units.dictionary).fill_null(-1))
+        number[met[met >= 0]] = np.flatnonzero(met >= 0)
+        if np.any(number < 0):
+            new = units.dictionary.filter(pa.array(number < 0))
+            self._learn(new)
+            number[number < 0] = n_old + np.asarray(pc.index_in(new, value_set=self.known.slice(n_old)))
+        # Of each distinct unit: where its ids begin in the memory, and how many there are.
+        first, size = np.append(0, self.ends)[number], np.diff(self.ends, prepend=0)[number]
         places = np.asarray(units.indices)
-        which = self._numbers(units.dictionary.to_pylist(), np.bincount(places, minlength=len(units.dictionary)))[places]
-        ends = self.ends[which]
-        first = np.where(which > 0, self.ends[np.maximum(which, 1) - 1], 0)
-        size = ends - first
         # The end id of each text goes before the unit that follows it.
-        n = offsets_of(size)
+        n = offsets_of(size[places])
         closed = n[np.searchsorted(starts, at[1:])]
-        pick = np.repeat(first - n[:-1], size) + np.arange(n[-1])
+        pick = np.repeat(first[places] - n[:-1], size[places])
+        pick += np.arange(n[-1])
         return np.insert(self.ids[pick], closed, end_id).astype("<u4"), closed + np.arange(1, len(closed) + 1)
 
 
-def _lots(units: list[bytes], most: int) -> Iterator[list[bytes]]:
-    """Cuts a list where its bytes pass a multiple of ``most``."""
-    if not units:
-        return
-    lot = np.cumsum(np.fromiter(map(len, units), dtype=np.int64, count=len(units))) // most
-    cuts = [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), len(units)]
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        yield units[lo:hi]
-
-
 def _grown(x: np.ndarray, n: int) -> np.ndarray:
     """``x`` with room for ``n`` values."""
     if n <= len(x):
@@ -190,7 +237,13 @@ def pack(values: np.ndarray) -> bytes:
     codes[:n] = size - 1
     four = codes.reshape(-1, 4)
     control = four[:, 0] | (four[:, 1] << 2) | (four[:, 2] << 4) | (four[:, 3] << 6)
-    data = v.view(np.uint8).reshape(n, 4)[np.arange(4) < size[:, None]]
+    ends = np.cumsum(size, dtype=np.int64)
+    data = np.empty(ends[-1] if n else 0, dtype=np.uint8)
+    at = ends - size
+    data[at] = v & 0xFF
+    for k in (1, 2, 3):
+        more = np.flatnonzero(size > k)
+        data[at[more] + k] = (v[more] >> np.uint32(8 * k)) & 0xFF
     return MAGIC + n.to_bytes(8, "little") + control.astype(np.uint8).tobytes() + data.tobytes()
 
 
@@ -222,12 +275,12 @@ def flat(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-_RAW = "shard int, block int, at long, doc_ids array<long>, lens array<long>, ids binary, freq binary"
+_RAW = "shard int, block int, at long, doc_ids array<long>, lens array<long>, width int, ids binary, freq binary"
 _FILE = "shard int, block int, at long, doc_ids array<long>, lens array<long>, body binary"
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """Blocks of raw ids in doc_id order; ``at``: ids of the shard before the block. Written once.
+    """Blocks of raw ids, of two bytes where the vocabulary allows it (``width``), in doc_id order; ``at``: ids of the shard before the block. Written once.
 
     The last row of a task has no block but ``freq``: how often each id stands in the task, by id.
     """
@@ -237,16 +290,18 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     held: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         if not held:
             held["encoder"] = Encoder(path)
         encoder, shard = held["encoder"], TaskContext.get().partitionId()
         block, at, ids, lens, parts, size = 0, 0, [], [], [], 0
         freq = np.zeros(max(encoder.n_vocabulary, end_id + 1), dtype="<i8")
+        width = 2 if len(freq) <= 1 << 16 else 4
 
         def row(*values: object) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(values, arrow, strict=True)], schema=arrow)
 
-        for batch in batches:
+        for batch in gathered(batches, SLICE_BYTES):
             for lo, hi in slices(batch.column("body"), SLICE_BYTES):
                 names, bodies = (batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "body"))
                 found, ends = encoder.encode(*flat(bodies), end_id)
@@ -257,16 +312,18 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                     parts.append(found[a:b])
                     size += b - a
                     if size >= BLOCK_IDS:
-                        yield row(shard, block, at, ids, lens, np.concatenate(parts).astype("<u4").tobytes(), None)
+                        yield row(shard, block, at, ids, lens, width, np.concatenate(parts).astype(f"<u{width}").tobytes(), None)
                         block, at, ids, lens, parts, size = block + 1, at + size, [], [], [], 0
+            trim()
         if ids:
-            yield row(shard, block, at, ids, lens, np.concatenate(parts).astype("<u4").tobytes(), None)
+            yield row(shard, block, at, ids, lens, width, np.concatenate(parts).astype(f"<u{width}").tobytes(), None)
         if freq.any():
-            yield row(shard, None, None, None, None, None, freq.tobytes())
+            yield row(shard, None, None, None, None, None, None, freq.tobytes())
 
     dealt = texts.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "body")
     out = f"{shared_dir(docs.sparkSession).rstrip('/')}/veredas/token-ids-{uuid.uuid4().hex}"
-    dealt.mapInArrow(run, _RAW).write.option("parquet.block.size", ROW_GROUP).parquet(out)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        dealt.mapInArrow(run, _RAW).write.option("parquet.block.size", ROW_GROUP).parquet(out)
     return docs.sparkSession.read.schema(_RAW).parquet(out)
 
 
@@ -316,11 +373,12 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                body = pack(rank_of[np.frombuffer(row.column("ids")[0].as_py(), dtype="<u4")])
+                body = pack(rank_of[np.frombuffer(row.column("ids")[0].as_py(), dtype=f"<u{row.column('width')[0].as_py()}")])
                 yield pa.RecordBatch.from_arrays([*(row.column(c) for c in ("shard", "block", "at", "doc_ids", "lens")), pa.array([body], type=pa.binary())], schema=arrow)
 
     blocks = raw.where("block is not null").drop("freq")
-    blocks.mapInArrow(code, _FILE).write.option("parquet.block.size", ROW_GROUP).parquet(files.blocks)
+    with arrow_rows(spark, BATCH_BLOCKS):
+        blocks.mapInArrow(code, _FILE).write.option("parquet.block.size", ROW_GROUP).parquet(files.blocks)
     spark.createDataFrame([(r, int(i)) for r, i in enumerate(by_rank)], "rank long, id long").coalesce(1).write.parquet(files.table)
     return files
 
