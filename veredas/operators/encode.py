@@ -17,8 +17,7 @@ def width() -> int:
 def encode_sql(d: Spark, rel: str) -> str:
     """row_id and ``v``: the vector of a row. A missing number stands for its least value; an unknown category is all zeros."""
     scaled = [f"least(1e0, greatest(0e0, (coalesce(TRY_CAST({c} AS DOUBLE), {float(lo)!r}e0) - {float(lo)!r}e0) / {float(hi - lo)!r}e0))" for c, (lo, hi, _) in NUMBERS.items()]
-    hot = [f"CASE WHEN {c} = {literal(x)} THEN 1e0 ELSE 0e0 END" for c, values in CATEGORIES.items() for x in values]
-    return f"(SELECT row_id, {d.listed([*scaled, *hot])} AS v FROM {rel} AS e)"
+    return f"(SELECT row_id, {d.vector(scaled, CATEGORIES)} AS v FROM {rel} AS e)"
 
 
 def decode_sql(d: Spark, vectors: str) -> str:
